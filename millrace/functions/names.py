@@ -102,7 +102,7 @@ def format_bytes(n: Column) -> Column:
     units = ["Bytes", "KB", "MB", "GB", "TB"]
     out = F.lit("0 Bytes")
     for i, u in enumerate(units):
-        scaled = F.format_number(n.cast("double") / F.lit(float(1024 ** i)), "0.00")
+        scaled = F.format_string("%.2f", n.cast("double") / F.lit(float(1024 ** i)))
         text = F.concat(F.regexp_replace(scaled, r"\.?0+$", ""), F.lit(f" {u}"))
         out = F.when(n >= 1024 ** i, text).otherwise(out)
     return out

@@ -60,7 +60,7 @@ def csv_line_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def json_array_names(spark: SparkSession, path: str) -> list[str]:
     """Check that each file is an array of objects; keys of the first object in file order."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     checked = whole.select(
         F.json_array_length("value").alias("n"),
         F.get_json_object("value", "$[0]").alias("first"),
