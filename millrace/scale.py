@@ -261,3 +261,16 @@ def quantile(df: DataFrame, col: str, q: float) -> float | None:
     k0, k1 = math.floor(h), math.ceil(h)
     s = order_statistics(df, col, sorted({k0, k1}))
     return s[k0] + (s[k1] - s[k0]) * (h - k0)
+
+
+SMALL_ROWS = 200_000
+
+
+def join_small(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a frame expected to be catalog-sized.  Its rows are fixed once
+    and counted: up to ``SMALL_ROWS`` it is broadcast and ``left`` is not
+    shuffled; a larger one takes the hot-safe shuffle join."""
+    fixed = materialise(right)
+    if fixed.count() <= SMALL_ROWS:
+        return left.join(F.broadcast(fixed), list(keys), how)
+    return join_on_keys(left, fixed, keys, how)
