@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import keep_first
 from ..scale import dense_index, join_on_keys, join_small
+from ..session import materialise
 
 
 def seeded_hash(seed: int, *ids: Column) -> Column:
@@ -38,7 +39,8 @@ def sample_exact(df: DataFrame, quota: DataFrame, key: str, ids: Sequence[str],
     cuts = cum.join(quota, key).groupBy(key, *extra, "k").agg(
         F.max("_cum").alias("_total"), F.min(F.when(reach, F.col("_b"))).alias("_cb"),
         F.min(F.when(reach, F.struct(F.col("_b"), (F.col("k") - F.col("_cum") + F.col("_n")).alias("need")))).alias("_c"))
-    cuts = cuts.withColumn("_need", F.col("_c.need")).drop("_c")
+    # one row per quota row, used twice below
+    cuts = materialise(cuts.withColumn("_need", F.col("_c.need")).drop("_c"))
     at = cuts.filter("_total > k AND k > 0").select(key, F.col("_cb").alias("_b"), "_need", *extra)
     edge = join_small(slim, at, [key, "_b"])
     # one prefix of one dataset: 1/65536 of its rows
@@ -89,8 +91,8 @@ def extract_prompt_messages(chosen: Column, rejected: Column) -> dict[str, Colum
     same = F.zip_with(chosen, rejected, lambda a, b: a.eqNullSafe(b))
     at = F.array_position(same, False)
     n = F.when(at == 0, F.least(F.size(chosen), F.size(rejected)).cast("long")).otherwise(at - 1).cast("int")
-    big = F.lit(2**31 - 1)
-    return {"prompt": keep_first(chosen, n), "chosen": F.slice(chosen, n + 1, big), "rejected": F.slice(rejected, n + 1, big)}
+    return {"prompt": keep_first(chosen, n), "chosen": F.slice(chosen, n + 1, F.size(chosen)),
+            "rejected": F.slice(rejected, n + 1, F.size(rejected))}
 
 
 def extract_prompt_text(chosen: Column, rejected: Column) -> dict[str, Column]:

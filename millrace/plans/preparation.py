@@ -78,9 +78,8 @@ def apply_template(spark, sf):
 
 @query("extract_prompt", f"""
 WITH t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // {PART} AS part FROM conversations),
-g AS (SELECT conv_id, part, list({{'role': role, 'text': text}} ORDER BY turn) AS m FROM t GROUP BY conv_id, part)
-SELECT conv_id, part, m[1:len(m) - 1] AS prompt, [m[len(m)]] AS chosen,
-       [{{'role': m[len(m)].role, 'text': m[len(m)].text || '!'}}] AS rejected FROM g""")
+g AS (SELECT conv_id, part, list(role || ': ' || text ORDER BY turn) AS m FROM t GROUP BY conv_id, part)
+SELECT conv_id, part, m[1:len(m) - 1] AS prompt, [m[len(m)]] AS chosen, [m[len(m)] || '!'] AS rejected FROM g""")
 def extract_prompt(spark, sf):
     c = rank_within(table(spark, sf, "conversations"), ["conv_id"], ["turn"], "rn")
     g = c.groupBy("conv_id", F.floor((F.col("rn") - 1) / PART).alias("part")).agg(
@@ -90,7 +89,8 @@ def extract_prompt(spark, sf):
     g = g.withColumn("rejected", F.transform("chosen", lambda m, i: F.when(
         i == last, F.struct(m["role"].alias("role"), F.concat(m["text"], F.lit("!")).alias("text"))).otherwise(m)))
     out = prep.extract_prompt_messages(F.col("chosen"), F.col("rejected"))
-    return g.select("conv_id", "part", *[v.alias(k) for k, v in out.items()])
+    return g.select("conv_id", "part", *[
+        F.transform(v, lambda m: F.concat(m["role"], F.lit(": "), m["text"])).alias(k) for k, v in out.items()])
 
 
 @query("extract_prompt_text", """
@@ -123,7 +123,7 @@ def tokenize(spark, sf):
 WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> '')) AS w FROM documents),
 v AS (SELECT CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {VOCAB} AS id, min(w) AS w FROM w GROUP BY 1),
 a AS (SELECT list(w ORDER BY i) AS vocab FROM range({VOCAB}) r(i) LEFT JOIN v ON v.id = i)
-SELECT doc_id, array_to_string(list_transform({sql_words('text')}, lambda i: (SELECT vocab FROM a)[i + 1]), ' ') AS text FROM documents""")
+SELECT doc_id, array_to_string(list_transform({sql_words('text')}, lambda i: vocab[i + 1]), ' ') AS text FROM documents, a""")
 def detokenize(spark, sf):
     d = table(spark, sf, "documents")
     words = d.select(F.explode(F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")).alias("w")) \

@@ -21,6 +21,7 @@ from .session import materialise
 
 BUCKETS = 4096
 SALTS = 64
+SMALL_ROWS = 200_000
 HOT_ROWS_KEY = "spark.millrace.hotRows"
 HOT_ROWS_DEFAULT = 2_000_000
 
@@ -137,12 +138,17 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return cold.unionByName(ranked.join(before, keys + ["_rn"], "left").drop("_rn"))
 
 
-def running_sums(df: DataFrame, key: str, cols: Sequence[str], fan: int = 1024, depth: int = 2) -> DataFrame:
+def running_sums(df: DataFrame, key: str, cols: Sequence[str], fan: int = 1024, depth: int | None = None) -> DataFrame:
     """Inclusive running totals ``cum_<col>`` along a unique integer key.
 
     Blocks of ``fan`` keys are summed, the block totals are run recursively, and
     each block adds its offset: no window holds more than ``fan`` rows until the
-    last level, which has 1/fan**depth of them."""
+    last level, which has 1/fan**depth of them.  Without ``depth`` the rows are
+    counted: a table that fits one window is run in one."""
+    if depth is None:
+        n, depth = df.count(), 0
+        while n > SMALL_ROWS:
+            n, depth = n // fan, depth + 1
     if depth == 0:
         w = Window.partitionBy(F.lit(0)).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in cols])
@@ -263,9 +269,6 @@ def quantile(df: DataFrame, col: str, q: float) -> float | None:
     return s[k0] + (s[k1] - s[k0]) * (h - k0)
 
 
-SMALL_ROWS = 200_000
-
-
 def join_small(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join with a frame expected to be catalog-sized.  Its rows are fixed once
     and counted: up to ``SMALL_ROWS`` it is broadcast and ``left`` is not
