@@ -277,3 +277,18 @@ def join_small(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     if fixed.count() <= SMALL_ROWS:
         return left.join(F.broadcast(fixed), list(keys), how)
     return join_on_keys(left, fixed, keys, how)
+
+
+def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rows: int, aggs: dict[str, Column],
+            block: int = 100_000) -> DataFrame:
+    """Aggregates over the last ``rows`` rows of each key, the current one included.
+
+    Rows are ranked and cut into blocks; the end of a block is repeated as the
+    lead-in of the next, so a window never holds more than one block."""
+    if block < rows:
+        raise ValueError("a block must hold a whole frame")
+    r = rank_within(df, keys, order, "_rn").withColumn("_own", F.floor((F.col("_rn") - 1) / block))
+    late = (F.col("_rn") - 1) % block >= block - (rows - 1)
+    r = r.withColumn("_blk", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    w = Window.partitionBy(*keys, "_blk").orderBy("_rn").rowsBetween(-(rows - 1), 0)
+    return r.select("*", *[a.over(w).alias(n) for n, a in aggs.items()]).filter("_blk = _own").drop("_rn", "_own", "_blk")
