@@ -110,8 +110,9 @@ def aot_loss(df: DataFrame, kind: str = "aot_pair", batch: str = "batch_id", tie
         a, b = p.pc - p.pr, p.rc - p.rr
     else:
         raise ValueError(f"unknown loss type: {kind}")
-    left = rank_within(df.select(batch, tie, a.alias("a")), [batch], ["a", tie], "rank").select(batch, "rank", "a")
-    right = rank_within(df.select(batch, tie, b.alias("b")), [batch], ["b", tie], "rank").select(batch, "rank", "b")
+    both = materialise(df.select(batch, tie, a.alias("a"), b.alias("b")))
+    left = rank_within(both.drop("b"), [batch], ["a", tie], "rank").select(batch, "rank", "a")
+    right = rank_within(both.drop("a"), [batch], ["b", tie], "rank").select(batch, "rank", "b")
     delta = F.col("a") - F.col("b")
     # (batch, rank) is unique on both sides, so even one huge batch joins evenly
     return left.join(right, [batch, "rank"]).select(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import keep_first
-from ..scale import dense_index, join_on_keys, join_small
+from ..scale import dense_index, join_on_keys, join_small, spread
 from ..session import materialise
 
 
@@ -118,6 +118,7 @@ def tokenize(df: DataFrame, text: str, tokenizer: Callable[[Column], Column], ma
     that starts with it already (decided per row)."""
     if "labels" in df.columns or "input_ids" in df.columns:
         return df
+    df = spread(df)
     ids = tokenizer(F.col(text))
     if bos is not None:
         with_bos = F.array_prepend(ids, F.lit(bos).cast("long"))
@@ -169,6 +170,7 @@ def pack_sequences(lengths: DataFrame, key: str, length: str, max_length: int, s
     Rows are spread by the hash of their key over shards of about ``shard_rows``
     sequences and each shard is packed alone.  Only keys and lengths go through
     Python; tokens follow by join (``packed_tokens``)."""
+    lengths = materialise(lengths.select(key, length))  # the texts are measured once
     n = lengths.count()
     shards = max(1, math.ceil(n / shard_rows))
     cut = lengths.select(key, F.col(length).cast("long").alias("_len"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, masked_mean
 from ..scale import discounted_suffix, join_on_keys, quantile, rolling, with_group_stats, with_previous
+from ..session import materialise
 
 
 def _null_nan(c: Column) -> Column:
@@ -216,11 +217,12 @@ def gae(df: DataFrame, seq: str, gamma: float = 1.0, lam: float = 0.95) -> DataF
     """Generalised advantages of (pos, reward, value, last): ``advantage`` (raw),
     ``returns`` and ``whitened`` (masked past the last token)."""
     v = F.when(F.col("pos") <= F.col("last") + 1, F.col("value")).otherwise(0.0)
-    d = df.withColumn("_v", v)
+    d = materialise(df.select(seq, "pos", "last", "reward", v.alias("_v")))
     d = with_previous(d, [seq], [F.col("pos").desc()], "_v", "_next")
     d = d.withColumn("_delta", F.col("reward") + F.lit(gamma) * F.coalesce("_next", F.lit(0.0)) - F.col("_v"))
     d = discounted_suffix(d, [seq], "pos", "_delta", gamma * lam, "advantage")
     d = d.withColumn("returns", F.col("advantage") + F.col("_v")).withColumn("whitened", F.col("advantage")).drop("_next", "_delta", "_v")
+    d = materialise(d)  # read twice: for the mean and variance, and for the result
     return _whiten(d, "whitened", F.col("pos") <= F.col("last"), shift_mean=True)
 
 

@@ -183,13 +183,13 @@ def high_entropy_mask(spark, sf):
 PPO_SQL = TOK + f""", g AS (SELECT *, {ADV_SQL} AS score, min(CASE WHEN token_id = 0 THEN pos END) OVER s AS pad, max(pos) OVER s AS fin,
   bool_or(token_id = 7) OVER s AS has_eos FROM token_logps WINDOW s AS (PARTITION BY seq_id)),
 h AS (SELECT *, coalesce(pad - 1, fin) AS last, logp - ref_logp AS kl FROM g),
-r AS (SELECT *, -kl / 7.0 + CASE WHEN pos = CASE WHEN last + 1 <= fin THEN last + 1 ELSE last END
+r AS (SELECT *, -0.05123456789 * kl + CASE WHEN pos = CASE WHEN last + 1 <= fin THEN last + 1 ELSE last END
   THEN score - CASE WHEN has_eos THEN 0.0 ELSE 1.0 END ELSE 0.0 END AS reward FROM h)
 """
 
 
 def _ppo(spark: SparkSession, sf: str, **kw) -> DataFrame:
-    return rl.ppo_token_rewards(token_logps(spark, sf), "seq_id", adv(), 0, 7, 1 / 7, missing_eos_penalty=1.0, **kw)
+    return rl.ppo_token_rewards(token_logps(spark, sf), "seq_id", adv(), 0, 7, 0.05123456789, missing_eos_penalty=1.0, **kw)
 
 
 @query("ppo_token_rewards", PPO_SQL + f"SELECT seq_id, pos, last, {sql_rnd('reward', 8)} AS reward FROM r")
@@ -197,7 +197,7 @@ def ppo_token_rewards(spark, sf):
     return _ppo(spark, sf).select("seq_id", "pos", "last", rnd(F.col("reward"), 8).alias("reward"))
 
 
-@query("ppo_token_rewards_whitened", PPO_SQL + f""", k AS (SELECT seq_id, pos, last, -(exp(-kl) - 1.0 + kl) / 7.0 + (reward + kl / 7.0) AS reward FROM r),
+@query("ppo_token_rewards_whitened", PPO_SQL + f""", k AS (SELECT seq_id, pos, last, -0.05123456789 * (exp(-kl) - 1.0 + kl) + (reward + 0.05123456789 * kl) AS reward FROM r),
 s AS (SELECT avg(reward) AS m, var_samp(reward) AS v FROM k WHERE pos <= last + 1)
 SELECT seq_id, pos, {sql_rnd('CASE WHEN pos <= last + 1 THEN (reward - m) / sqrt(v + 1e-8) + m ELSE 0.0 END')} AS reward FROM k, s""")
 def ppo_token_rewards_whitened(spark, sf):
@@ -206,13 +206,13 @@ def ppo_token_rewards_whitened(spark, sf):
 
 @query("gae", PPO_SQL + f""", v AS (SELECT *, CASE WHEN pos <= last + 1 THEN value ELSE 0.0 END AS v FROM r),
 d AS (SELECT *, reward + coalesce(lead(v) OVER (PARTITION BY seq_id ORDER BY pos), 0.0) - v AS delta FROM v),
-a AS (SELECT t.seq_id, t.pos, max(t.last) AS last, max(t.v) AS v, sum(pow(0.9, k.pos - t.pos) * k.delta) AS adv
+a AS (SELECT t.seq_id, t.pos, max(t.last) AS last, max(t.v) AS v, sum(pow(0.93719, k.pos - t.pos) * k.delta) AS adv
   FROM d t JOIN d k ON k.seq_id = t.seq_id AND k.pos >= t.pos GROUP BY t.seq_id, t.pos),
 s AS (SELECT avg(adv) AS m, var_samp(adv) AS vv FROM a WHERE pos <= last)
 SELECT seq_id, pos, {sql_rnd('adv')} AS advantage, {sql_rnd('adv + v')} AS returns,
   {sql_rnd('CASE WHEN pos <= last THEN (adv - m) / sqrt(vv + 1e-8) ELSE 0.0 END')} AS whitened FROM a, s""")
 def gae(spark, sf):
-    out = rl.gae(_ppo(spark, sf), "seq_id", 1.0, 0.9)
+    out = rl.gae(_ppo(spark, sf), "seq_id", 1.0, 0.93719)
     return out.select("seq_id", "pos", *[rnd(F.col(c)).alias(c) for c in ("advantage", "returns", "whitened")])
 
 

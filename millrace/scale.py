@@ -34,6 +34,13 @@ def _hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_KEY, str(HOT_ROWS_DEFAULT)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, before work that
+    is heavy per row.  A large input has more partitions and stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def hot_buckets(df: DataFrame, keys: Sequence[str]) -> list[int]:
     """Hash buckets of ``keys`` too full for one task."""
     rows = df.groupBy(_bucket(keys).alias("b")).count().collect()

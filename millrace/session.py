@@ -49,7 +49,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Fix a frame's rows on reliable storage, so that every later use (and
-    every retry after an executor loss) sees the same partition contents."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Fix a frame's rows as a table below the shared folder, so that every later
+    use (and every retry after an executor loss) sees the same rows.  Unlike a
+    checkpoint the table can be read by column and has a known size."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
