@@ -128,12 +128,13 @@ def tokenize(df: DataFrame, text: str, tokenizer: Callable[[Column], Column], ma
     return df.withColumn("input_ids", ids)
 
 
-def vocabulary(words: DataFrame, word: str, token_id: str, size: int) -> DataFrame:
+def vocabulary(words: DataFrame, word: str, token_id: Callable[[Column], Column], size: int) -> DataFrame:
     """One row, ``vocab``: array of the word of each id (the first in order where
-    several share one).  ``size`` bounds it."""
-    per = words.groupBy(token_id).agg(F.min(word).alias("w"))
-    slots = words.sparkSession.range(size).withColumnRenamed("id", token_id).join(per, token_id, "left")
-    return slots.agg(F.transform(F.array_sort(F.collect_list(F.struct(token_id, "w"))), lambda s: s["w"]).alias("vocab"))
+    several share one).  ``size`` bounds it.  Words are made distinct first, so
+    ids are computed per distinct word and a frequent word moves once per task."""
+    per = words.select(F.col(word).alias("w")).distinct().groupBy(token_id(F.col("w")).alias("_id")).agg(F.min("w").alias("w"))
+    slots = words.sparkSession.range(size).withColumnRenamed("id", "_id").join(per, "_id", "left")
+    return slots.agg(F.transform(F.array_sort(F.collect_list(F.struct("_id", "w"))), lambda s: s["w"]).alias("vocab"))
 
 
 def detokenize(df: DataFrame, ids: str, vocab: DataFrame) -> DataFrame:

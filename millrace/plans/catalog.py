@@ -143,11 +143,11 @@ def allocate_rows(spark, sf):
 
 @query("project_total_rows", ctes("dataset_catalog", "allocations") + """
 SELECT project_id, CAST(coalesce(sum(floor(c.row_count * percentage / 100.0)), 0) AS BIGINT) AS total_rows
-FROM allocations a LEFT JOIN (SELECT * FROM dataset_catalog WHERE dataset_id > 3) c ON c.dataset_id = a.dataset_id
+FROM allocations a LEFT JOIN (SELECT * FROM dataset_catalog WHERE n_chars > row_count * 1500) c ON c.dataset_id = a.dataset_id
 GROUP BY project_id""")
 def project_total_rows(spark, sf):
     c = dataset_catalog(spark, sf)
-    return cat.project_total_rows(allocations(c), c.filter("dataset_id > 3"))
+    return cat.project_total_rows(allocations(c), c.filter("n_chars > row_count * 1500"))
 
 
 @query("patch_rows", """

@@ -126,9 +126,8 @@ a AS (SELECT list(w ORDER BY i) AS vocab FROM range({VOCAB}) r(i) LEFT JOIN v ON
 SELECT doc_id, array_to_string(list_transform({sql_words('text')}, lambda i: vocab[i + 1]), ' ') AS text FROM documents, a""")
 def detokenize(spark, sf):
     d = table(spark, sf, "documents")
-    words = d.select(F.explode(F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")).alias("w")) \
-        .select("w", word_id(F.col("w"), VOCAB).alias("token_id"))
-    vocab = prep.vocabulary(words, "w", "token_id", VOCAB)
+    words = d.select(F.explode(F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")).alias("w"))
+    vocab = prep.vocabulary(words, "w", lambda w: word_id(w, VOCAB), VOCAB)
     return prep.detokenize(d.select("doc_id", hashed_words(F.col("text"), VOCAB).alias("ids")), "ids", vocab).drop("ids")
 
 
