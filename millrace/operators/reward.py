@@ -93,7 +93,7 @@ def per_prompt_advantage(df: DataFrame, prompt: str, order: Sequence[str], rewar
 def reward_metrics(df: DataFrame, prompt: str, reward: str, funcs: Sequence[str], length: str, finished: str) -> DataFrame:
     """Log row of one step over completions.  Group means and stds count once per
     completion, as in the row form; they are folded from the group table."""
-    r, n = F.col(reward), F.col("n")
+    r, n = F.col(reward), F.col("_n")
     fin = F.col(finished)
     per_func = [a for f in funcs for a in (F.avg(f).alias(f"{f}_mean"), F.stddev_samp(f).alias(f"{f}_std"))]
     done = F.when(fin, F.col(length))
@@ -102,11 +102,11 @@ def reward_metrics(df: DataFrame, prompt: str, reward: str, funcs: Sequence[str]
                   F.coalesce(F.min(done), F.lit(0)).alias("min_terminated_length"),
                   F.coalesce(F.max(done), F.lit(0)).alias("max_terminated_length"),
                   (F.lit(1.0) - F.count_if(fin) / F.count(F.lit(1))).alias("clipped_ratio"))
-    g = df.groupBy(prompt).agg(F.count(F.lit(1)).alias("n"), F.avg(r).alias("m"), F.stddev_samp(r).alias("s"))
+    g = df.groupBy(prompt).agg(F.count(F.lit(1)).alias("_n"), F.avg(r).alias("_m"), F.stddev_samp(r).alias("_s"))
     groups = g.agg(F.struct(
-        (F.sum(n * F.col("m")) / F.sum(n)).alias("reward"),
-        (F.sum(n * F.col("s")) / F.sum(F.when(F.col("s").isNotNull(), n))).alias("reward_std"),
-        (F.sum(F.when(F.abs("s") <= 1e-8, n).otherwise(0)) / F.sum(n)).alias("frac_zero_std"))).scalar()
+        (F.sum(n * F.col("_m")) / F.sum(n)).alias("reward"),
+        (F.sum(n * F.col("_s")) / F.sum(F.when(F.col("_s").isNotNull(), n))).alias("reward_std"),
+        (F.sum(F.when(F.abs("_s") <= 1e-8, n).otherwise(0)) / F.sum(n)).alias("frac_zero_std"))).scalar()
     return base.withColumn("_g", groups).select(*base.columns, "_g.reward", "_g.reward_std", "_g.frac_zero_std")
 
 
@@ -141,11 +141,11 @@ def clipped_policy_loss(log_ratio: Column, advantage: Column, eps_low: float = 0
 def reduce_losses(df: DataFrame, seq: str, loss: Column, mask: str, max_length: int) -> DataFrame:
     """All four reductions: mean of sequence means, token mean, per B·max_len, per total tokens."""
     on = F.col(mask) == 1
-    per = df.groupBy(seq).agg(F.coalesce(F.sum(F.when(on, loss)), F.lit(0.0)).alias("s"), F.count_if(on).alias("n"))
-    n = F.sum("n")
-    return per.agg(F.avg(F.col("s") / F.greatest("n", F.lit(1))).alias("grpo"), (F.sum("s") / F.greatest(n, F.lit(1))).alias("bnpo"),
-                   (F.sum("s") / (F.count(F.lit(1)) * F.lit(max_length))).alias("dr_grpo"),
-                   F.try_divide(F.sum("s"), n.cast("double")).alias("dapo"))
+    per = df.groupBy(seq).agg(F.coalesce(F.sum(F.when(on, loss)), F.lit(0.0)).alias("_sum"), F.count_if(on).alias("_n"))
+    n = F.sum("_n")
+    return per.agg(F.avg(F.col("_sum") / F.greatest("_n", F.lit(1))).alias("grpo"), (F.sum("_sum") / F.greatest(n, F.lit(1))).alias("bnpo"),
+                   (F.sum("_sum") / (F.count(F.lit(1)) * F.lit(max_length))).alias("dr_grpo"),
+                   F.try_divide(F.sum("_sum"), n.cast("double")).alias("dapo"))
 
 
 def clip_metrics(df: DataFrame, batch: str, log_ratio: Column, advantage: Column, sampling: str, old: str, mask: str = "mask",
