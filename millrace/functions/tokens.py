@@ -145,11 +145,16 @@ def entropy(logits: Column) -> Column:
         logits, F.lit(0.0), lambda a, v: a + F.exp(v - z) * v))
 
 
-def hashed_words(text: Column, vocab: int) -> Column:
-    """Words (split at blanks and line ends) to ids below ``vocab`` by their MD5."""
+def hashed_words(text: Column, vocab: int, method: str = "xxhash64") -> Column:
+    """Words (split at blanks and line ends) to ids below ``vocab`` by hash."""
     words = F.filter(F.split(text, r"[ \n]+"), lambda w: w != "")
-    return F.transform(words, lambda w: word_id(w, vocab))
+    return F.transform(words, lambda w: word_id(w, vocab, method))
 
 
-def word_id(w: Column, vocab: int) -> Column:
+def word_id(w: Column, vocab: int, method: str = "xxhash64") -> Column:
+    """Id of one word: ``xxhash64`` is fast, ``md5`` gives the same ids outside Spark."""
+    if method == "xxhash64":
+        return F.pmod(F.xxhash64(w), F.lit(vocab).cast("long"))
+    if method != "md5":
+        raise ValueError(f"unknown hash: {method}")
     return F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(vocab)

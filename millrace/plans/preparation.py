@@ -116,7 +116,7 @@ SELECT doc_id, CASE WHEN starts_with(text, 'The ') THEN ids ELSE list_prepend(1,
 FROM (SELECT doc_id, text, {sql_words('text')} AS ids FROM documents)""")
 def tokenize(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return prep.tokenize(d, "text", lambda t: hashed_words(t, VOCAB), bos=1, bos_text="The ").drop("text")
+    return prep.tokenize(d, "text", lambda t: hashed_words(t, VOCAB, "md5"), bos=1, bos_text="The ").drop("text")
 
 
 @query("detokenize", f"""
@@ -127,8 +127,8 @@ SELECT doc_id, array_to_string(list_transform({sql_words('text')}, lambda i: voc
 def detokenize(spark, sf):
     d = table(spark, sf, "documents")
     words = d.select(F.explode(F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")).alias("w"))
-    vocab = prep.vocabulary(words, "w", lambda w: word_id(w, VOCAB), VOCAB)
-    return prep.detokenize(d.select("doc_id", hashed_words(F.col("text"), VOCAB).alias("ids")), "ids", vocab).drop("ids")
+    vocab = prep.vocabulary(words, "w", lambda w: word_id(w, VOCAB, "md5"), VOCAB)
+    return prep.detokenize(d.select("doc_id", hashed_words(F.col("text"), VOCAB, "md5").alias("ids")), "ids", vocab).drop("ids")
 
 
 def _lengths(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,8 +166,8 @@ def pack_sequences_wrapped(spark, sf):
 
 @query("filter_by_length", PAIR_TOKENS_SQL + "SELECT pair_id, len(p) AS n_chosen, len(c) AS n_rejected FROM t WHERE len(p) <= 256 AND len(c) <= 256")
 def filter_by_length(spark, sf):
-    t = text_pairs(spark, sf).select("pair_id", hashed_words(F.col("chosen"), VOCAB).alias("p"),
-                                     hashed_words(F.col("rejected"), VOCAB).alias("c"))
+    t = text_pairs(spark, sf).select("pair_id", hashed_words(F.col("chosen"), VOCAB, "md5").alias("p"),
+                                     hashed_words(F.col("rejected"), VOCAB, "md5").alias("c"))
     return prep.filter_by_length(t, 256, "p", "c").select("pair_id", F.size("p").alias("n_chosen"), F.size("c").alias("n_rejected"))
 
 

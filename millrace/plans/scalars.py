@@ -131,8 +131,8 @@ def extract_document_text(spark, sf):
 
 
 def _pair_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return text_pairs(spark, sf).select("pair_id", tokens.hashed_words(F.col("chosen"), VOCAB).alias("p"),
-                                        tokens.hashed_words(F.col("rejected"), VOCAB).alias("c"))
+    return text_pairs(spark, sf).select("pair_id", tokens.hashed_words(F.col("chosen"), VOCAB, "md5").alias("p"),
+                                        tokens.hashed_words(F.col("rejected"), VOCAB, "md5").alias("c"))
 
 
 PAIR_TOKENS_SQL = ctes("text_pairs") + f""", t AS (
@@ -177,7 +177,7 @@ FROM s GROUP BY conv_id, part""")
 def step_labels(spark, sf):
     c = rank_within(table(spark, sf, "conversations"), ["conv_id"], ["turn"], "rn").select(
         "conv_id", F.floor((F.col("rn") - 1) / PART).alias("part"), "turn",
-        tokens.hashed_words(F.col("text"), VOCAB).alias("ids"), (F.col("role") == "assistant").alias("label"))
+        tokens.hashed_words(F.col("text"), VOCAB, "md5").alias("ids"), (F.col("role") == "assistant").alias("label"))
     g = c.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "ids", "label"))).alias("s"))
     steps, labels = F.col("s.ids"), F.col("s.label")
     return g.select(

@@ -21,6 +21,8 @@ def get_spark(app: str = "millrace", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # call-site capture for error messages costs more than building the plans
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)

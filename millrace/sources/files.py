@@ -185,11 +185,10 @@ def scan_datasets(listing: DataFrame, known: DataFrame, parse_ok: Column | None
     directory = parts[1]
     stem = file_stem(file_name(F.col("path")))
     files = files.withColumn("name", F.when(directory.isin("unknown", ""), stem).otherwise(directory))
-    ids = known.select("path").distinct()
-    old = files.join(ids, "path", "left_semi").withColumn("reason", F.lit("known"))
-    new = files.join(ids, "path", "left_anti").withColumn(
-        "reason", F.when(~F.col("_ok"), "unparsable").otherwise(""))
-    return old.unionByName(new).select(
+    # one join decides both: a match is a known file (semi), no match a new one (anti)
+    ids = known.select("path").distinct().withColumn("_known", F.lit(True))
+    reason = F.when(F.col("_known"), "known").when(~F.col("_ok"), "unparsable").otherwise("")
+    return files.join(ids, "path", "left").withColumn("reason", reason).select(
         "path", "author", "name", F.when(F.col("reason") == "", "added").otherwise("skipped").alias("status"), "reason")
 
 
