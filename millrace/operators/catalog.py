@@ -171,7 +171,7 @@ def cascade_delete(parents: DataFrame, children: DataFrame, wanted: DataFrame, k
     gone = wanted.select(key).distinct().join(
         parents.filter(F.col("status") == running).select(key), key, "left_anti")
     left = parents.join(gone, key, "left_anti")
-    kept = children.join(gone.select(F.col(key).alias(child_key)), child_key, "left_anti")
+    kept = join_on_keys(children, gone.select(F.col(key).alias(child_key)), [child_key], "left_anti")
     return left, kept, refused
 
 

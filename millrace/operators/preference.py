@@ -342,6 +342,15 @@ def xpo_loss(mm: Column, mr: Column, rm: Column, rr: Column, model_chosen: Colum
             "margin": cr - rj, "kl": ((mm - rm) + (mr - rr)) / F.lit(2.0), "entropy": -(mm + mr) / F.lit(2.0)}
 
 
+def mean_metrics(df: DataFrame, cols: Sequence[str], positive: str | None = None) -> DataFrame:
+    """Log row of the online losses: the mean of each column (booleans as rates),
+    with ``accuracy`` as the share of rows where ``positive`` is above 0."""
+    aggs = [F.avg(F.col(c).cast("double")).alias(c) for c in cols]
+    if positive is not None:
+        aggs.append(F.avg((F.col(positive) > 0).cast("double")).alias("accuracy"))
+    return df.agg(*aggs)
+
+
 def nash_md_loss(logp_sum: Column, ref_sum: Column, ratio_logp_sum: Column, probability: Column,
                  beta: float = 0.1) -> dict[str, Column]:
     """``ratio_logp_sum`` is the sum of (logp - ref_logp) * logp over the tokens."""

@@ -209,9 +209,13 @@ def pack_sequences(lengths: DataFrame, key: str, length: str, max_length: int, s
 
 
 def packed_tokens(seqs: DataFrame, placed: DataFrame, key: str, ids: str) -> DataFrame:
-    """Token rows of the packed bins (each at most ``max_length`` tokens)."""
-    piece = placed.join(seqs.select(key, ids), key).select(
-        "shard", "bin", "offset", F.slice(ids, (F.col("start") + 1).cast("int"), F.col("len").cast("int")).alias("t"))
+    """Token rows of the packed bins (each at most ``max_length`` tokens).  A
+    sequence meets the list of its pieces once and is cut there, so its ids are
+    not repeated per piece."""
+    lists = placed.groupBy(key).agg(F.collect_list(F.struct("start", "len", "shard", "bin", "offset")).alias("_p"))
+    piece = seqs.select(key, ids).join(lists, key).select(F.inline(F.transform("_p", lambda p: F.struct(
+        p["shard"].alias("shard"), p["bin"].alias("bin"), p["offset"].alias("offset"),
+        F.slice(ids, (p["start"] + 1).cast("int"), p["len"].cast("int")).alias("t")))))
     return piece.groupBy("shard", "bin").agg(F.flatten(F.transform(
         F.sort_array(F.collect_list(F.struct("offset", "t"))), lambda s: s["t"])).alias("input_ids"))
 

@@ -34,6 +34,19 @@ def embed_documents(df: DataFrame, text: str, dim: int = 256, encoder=None) -> D
     return counted.withColumn("embedding", l2_normalize(vector_to_array("_tf"))).drop("_w", "_tf")
 
 
+def _best_k(s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best scores per row with their ids, the lower id first among equals."""
+    n = s.shape[1]
+    if n > k:
+        cut = np.partition(s, n - k, axis=1)[:, n - k]
+        keep = [np.flatnonzero(row >= c) for row, c in zip(s, cut)]  # k entries, more on ties
+        order = [x[np.lexsort((ids[x], -row[x]))[:k]] for x, row, ids in zip(keep, s, i)]
+        top = np.array(order)
+    else:
+        top = np.lexsort((i, -s), axis=1)
+    return np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+
+
 def _scan_block(docs: DataFrame, queries: list, k: int, key: str, vec: str, normalize: bool) -> DataFrame:
     """Candidates of one block of queries: every task keeps its own best ``k``
     rows per query while it streams over its documents, so no pair of query and
@@ -54,9 +67,7 @@ def _scan_block(docs: DataFrame, queries: list, k: int, key: str, vec: str, norm
                 m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
             s = np.hstack([held_s, q @ m.T])
             i = np.hstack([held_i, np.broadcast_to(b[key].to_numpy(dtype=np.int64), (len(q), len(b)))])
-            # best score first, lower id first among equals
-            top = np.lexsort((i, -s), axis=1)[:, :k]
-            held_s, held_i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+            held_s, held_i = _best_k(s, i, k)
         if held_s.shape[1]:
             yield pd.DataFrame({"query_id": np.repeat(ids, held_s.shape[1]), key: held_i.ravel(), "score": held_s.ravel()})
 

@@ -339,6 +339,35 @@ def nash_md_loss(spark, sf):
     return _sequence_sums(spark, sf).select("pair_id", *[rnd(c).alias(k) for k, c in out.items()], rnd(prob).alias("probability"))
 
 
+_XM = {"pair_loss": f"-{sql_logsigmoid(_XX)}", "xpo_loss": "0.01 * m1", "margin": _XX, "kl": "((m0 - r0) + (m1 - r1)) / 2.0",
+       "entropy": "-(m0 + m1) / 2.0", "scores_margin": "score0 - score1", "model_eos": "CASE WHEN eos0 THEN 1.0 ELSE 0.0 END",
+       "ref_eos": "CASE WHEN eos1 THEN 1.0 ELSE 0.0 END"}
+
+
+@query("xpo_metrics", SUMS_SQL + "SELECT " + ", ".join(f"{sql_rnd(f'avg({e})')} AS {n}" for n, e in _XM.items())
+       + f", {sql_rnd(f'avg(CASE WHEN {_XX} > 0 THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM s")
+def xpo_metrics(spark, sf):
+    out = pref.xpo_loss(F.col("m0"), F.col("m1"), F.col("r0"), F.col("r1"), F.round("score0", 6) >= F.round("score1", 6), BETA, 0.01)
+    s = _sequence_sums(spark, sf).select("*", *[c.alias(k) for k, c in out.items()], (F.col("score0") - F.col("score1")).alias("scores_margin"),
+                                         F.col("eos0").alias("model_eos"), F.col("eos1").alias("ref_eos"))
+    m = pref.mean_metrics(s, list(_XM), "margin")
+    return m.select(*[rnd(F.col(c)).alias(c) for c in m.columns])
+
+
+_NM = {"loss": f"0.1 * q0 - ({_PR} - 0.5) * m0", "score": f"({_PR} - 0.5) * m0", "kl": "m0 - r0", "entropy": "-m0", "margin": "m0 - r0",
+       "probability": _PR, "model_eos": "CASE WHEN eos0 THEN 1.0 ELSE 0.0 END"}
+
+
+@query("nash_md_metrics", SUMS_SQL + "SELECT " + ", ".join(f"{sql_rnd(f'avg({e})')} AS {n}" for n, e in _NM.items())
+       + f", {sql_rnd('avg(CASE WHEN m0 - r0 > 0 THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM s")
+def nash_md_metrics(spark, sf):
+    prob = pref.pair_preference(F.col("score0"), F.col("score1"))
+    out = pref.nash_md_loss(F.col("m0"), F.col("r0"), F.col("q0"), prob, BETA)
+    s = _sequence_sums(spark, sf).select("*", *[c.alias(k) for k, c in out.items()], prob.alias("probability"), F.col("eos0").alias("model_eos"))
+    m = pref.mean_metrics(s, list(_NM), "margin")
+    return m.select(*[rnd(F.col(c)).alias(c) for c in m.columns])
+
+
 JSD_SQL = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 10.0 / 2.0) AS s FROM embeddings),
 f AS (SELECT *, list_reverse(s) AS t FROM e),
 g AS (SELECT *, ln(list_sum(list_transform(s, lambda v: exp(v)))) AS zs, ln(list_sum(list_transform(t, lambda v: exp(v)))) AS zt FROM f),

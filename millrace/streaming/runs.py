@@ -101,13 +101,12 @@ def _ntz(ts: Column) -> Column:
 def throughput_windows(events: DataFrame, by: str, value: str, size: str, slide: str | None = None) -> DataFrame:
     """Rows and value sum per window and key, tumbling or sliding, with the rate
     per second of the window."""
-    e = events.withColumn("_t", _utc(F.col("ts")))
-    w = F.window("_t", size, slide) if slide else F.window("_t", size)
-    return _window_columns(e.groupBy(w.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")), by)
+    w = F.window("ts", size, slide) if slide else F.window("ts", size)
+    return _window_columns(events.groupBy(w.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")), by)
 
 
 def _window_columns(agg: DataFrame, by: str) -> DataFrame:
-    seconds = (F.unix_micros("w.end") - F.unix_micros("w.start")) / F.lit(1_000_000.0)
+    seconds = (F.unix_micros(_utc(F.col("w.end"))) - F.unix_micros(_utc(F.col("w.start")))) / F.lit(1_000_000.0)
     return agg.select(_ntz(F.col("w.start")).alias("window_start"), _ntz(F.col("w.end")).alias("window_end"), by, "n", "total",
                       (F.col("n") / seconds).alias("rows_per_second"))
 
