@@ -145,7 +145,7 @@ def pack_sequences(spark, sf):
 
 
 @query("pack_sequences_totals", "WITH " + LENGTHS_SQL + """
-SELECT count(*) FILTER (n > 0) AS sequences, CAST(sum(n) AS BIGINT) AS tokens, 0 AS overfull, 0 AS overlapping FROM l""")
+SELECT count(*) FILTER (n > 0) AS sequences, CAST(sum(n) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS overlapping FROM l""")
 def pack_sequences_totals(spark, sf):
     p = prep.pack_sequences(_lengths(spark, sf), "doc_id", "n", 512)
     bins = p.groupBy("shard", "bin").agg(F.sum("len").alias("fill"), F.max(F.col("offset") + F.col("len")).alias("end"))
@@ -168,7 +168,7 @@ def pack_sequences_wrapped(spark, sf):
 def filter_by_length(spark, sf):
     t = text_pairs(spark, sf).select("pair_id", hashed_words(F.col("chosen"), VOCAB, "md5").alias("p"),
                                      hashed_words(F.col("rejected"), VOCAB, "md5").alias("c"))
-    return prep.filter_by_length(t, 256, "p", "c").select("pair_id", F.size("p").alias("n_chosen"), F.size("c").alias("n_rejected"))
+    return prep.filter_by_length(t, 256, "p", "c").select("pair_id", F.size("p").cast("long").alias("n_chosen"), F.size("c").cast("long").alias("n_rejected"))
 
 
 @query("split_by_label", """

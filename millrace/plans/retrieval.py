@@ -35,7 +35,7 @@ def l2_normalize(spark, sf):
 @query("exact_topk_inner_product", TOPK_SQL + "SELECT query_id, vec_id, round(score, 6) + 0.0 AS score, rank FROM hits WHERE rank <= 3")
 def exact_topk_inner_product(spark, sf):
     hits = vec.exact_topk(table(spark, sf, "embeddings"), label_queries(spark, sf), 3)
-    return hits.withColumn("score", rnd(F.col("score")))
+    return hits.withColumn("score", rnd(F.col("score"))).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _index_parts(spark, sf):
@@ -76,7 +76,8 @@ SELECT (SELECT count(*) FROM embeddings) AS vectors, (SELECT min(len(embedding))
 def index_integrity(spark, sf):
     docs, vectors = _index_parts(spark, sf)
     cfg = vectors.agg(F.count(F.lit(1)).alias("num_documents")).withColumn("dimension", F.lit(64))
-    return vec.index_integrity(docs, vectors, cfg)
+    out = vec.index_integrity(docs, vectors, cfg)
+    return out.withColumn("min_dim", F.col("min_dim").cast("long")).withColumn("max_dim", F.col("max_dim").cast("long"))
 
 
 @query("domain_classifier")

@@ -258,7 +258,7 @@ SELECT run_id, step, """ + ", ".join(
     for m in ("view", "click", "purchase")) + " FROM e GROUP BY run_id, step")
 def metric_rollup(spark, sf):
     e = table(spark, sf, "events").select(
-        F.col("user_id").alias("run_id"), F.dayofmonth("ts").alias("step"),
+        F.col("user_id").alias("run_id"), F.dayofmonth("ts").cast("long").alias("step"),
         F.when(F.col("event_id") % 5 == 0, "eval").otherwise("train").alias("mode"), "event_type", "value")
     out = rl.metric_rollup(e, ["run_id", "step"], "mode", "event_type", "value", ["view", "click", "purchase"])
     return out.select("run_id", "step", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("run_id", "step")])

@@ -88,7 +88,7 @@ def log_append_stream(spark, sf):
 
 
 @query("stream_discovery", """
-SELECT 'source=' || source AS author, 'lang=' || lang AS dataset, true AS found, 0 AS found_again FROM documents GROUP BY source, lang""")
+SELECT 'source=' || source AS author, 'lang=' || lang AS dataset, true AS found, CAST(0 AS BIGINT) AS found_again FROM documents GROUP BY source, lang""")
 def stream_discovery(spark, sf):
     root, state = scratch_path(spark, "tree"), scratch_path(spark, "discovery")
     table(spark, sf, "documents").write.partitionBy("source", "lang").json(root)

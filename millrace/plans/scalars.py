@@ -172,7 +172,7 @@ WITH s AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY tur
   {sql_words('text')} AS ids, CAST(role = 'assistant' AS BIGINT) AS label FROM conversations)
 SELECT conv_id, part, list_concat([1], flatten(list(list_append(ids, 0) ORDER BY turn))) AS input_ids,
   list_concat([-100], flatten(list(list_append(list_transform(ids, lambda x: -100), label) ORDER BY turn))) AS labels,
-  list_sum(list_transform(flatten(list(list_append(ids, 0) ORDER BY turn)), lambda x: 1)) + 1 AS n_tokens
+  CAST(sum(len(ids) + 1) + 1 AS BIGINT) AS n_tokens
 FROM s GROUP BY conv_id, part""")
 def step_labels(spark, sf):
     c = rank_within(table(spark, sf, "conversations"), ["conv_id"], ["turn"], "rn").select(
@@ -198,7 +198,7 @@ def token_mask_ops(spark, sf):
     at = F.array_position("mask", 1)
     lead = F.when(at == 0, F.size("mask").cast("long")).otherwise(at - 1)
     return s.select(
-        "seq_id", "part", tokens.pad_count(F.col("ids"), 3, 0).alias("pads"),
+        "seq_id", "part", tokens.pad_count(F.col("ids"), 3, 0).cast("long").alias("pads"),
         tokens.completion_mask(F.col("ids"), lead, F.lit(3), 0).alias("completion"),
         tokens.left_pack(F.col("ids"), 0).alias("packed"),
         tokens.align_logprobs(F.col("logps"), F.col("mask")).alias("aligned"))

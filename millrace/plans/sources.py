@@ -237,7 +237,7 @@ SELECT log, line_no, line, hit FROM (
   SELECT log, line_no, line, row_number() OVER (PARTITION BY log ORDER BY line_no) AS hit FROM tail
   WHERE regexp_matches(line, 'ERROR|Error|Traceback|Exception|Failed|failed')) WHERE hit <= 50""")
 def scan_logs(spark, sf):
-    return src.scan_logs(run_log(spark, sf))
+    return src.scan_logs(run_log(spark, sf)).withColumn("hit", F.col("hit").cast("long"))
 
 
 @query("scan_logs_search", "WITH " + LOG_SQL + """
@@ -245,7 +245,7 @@ SELECT log, line_no, line, back FROM (
   SELECT log, line_no, line, row_number() OVER (PARTITION BY log ORDER BY line_no DESC) AS back FROM lines
   WHERE contains(lower(line), 'model')) WHERE back <= 20""")
 def scan_logs_search(spark, sf):
-    return src.search_logs(run_log(spark, sf), "MODEL")
+    return src.search_logs(run_log(spark, sf), "MODEL").withColumn("back", F.col("back").cast("long"))
 
 
 @query("scan_logs_by_area", "WITH " + LOG_SQL + """
