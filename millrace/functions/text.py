@@ -10,12 +10,15 @@ from pyspark.sql import types as T
 
 from ..scale import rank_within
 
+# Message and prompt formats.
 DEFAULT_TEMPLATE = "<|{role}|>\n{text}\n"
 CONTEXT_PROMPT = "Based on the following context, answer the question.\n\nContext:\n{context}\n\nQuestion: {question}\n\nAnswer:"
+INSTRUCTION_HEAD = "### Instruction:\n"
+RESPONSE_HEAD = "\n\n### Response:\n"
 
 
 def _instruction(instruction: Column, answer: Column) -> Column:
-    return F.concat(F.lit("### Instruction:\n"), instruction, F.lit("\n\n### Response:\n"), answer)
+    return F.concat(F.lit(INSTRUCTION_HEAD), instruction, F.lit(RESPONSE_HEAD), answer)
 
 
 def render_training_text(df: DataFrame, null_text: str = "None") -> Column:
@@ -74,12 +77,7 @@ def nested_names(value: Column) -> Column:
 
 def apply_template(messages: Column, template: str = DEFAULT_TEMPLATE) -> Column:
     """Messages (array of role, text) to one string by a per-message template."""
-    def one(m: Column) -> Column:
-        out = F.lit(template)
-        for k in ("role", "text"):
-            out = F.replace(out, F.lit("{" + k + "}"), m[k])
-        return out
-    return F.array_join(F.transform(messages, one), "")
+    return F.array_join(F.transform(messages, lambda m: fill(template, {"role": m["role"], "text": m["text"]})), "")
 
 
 def apply_chat_template(turns: DataFrame, template: str = DEFAULT_TEMPLATE, part_turns: int = 4096) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CONTEXT_PROMPT, fill
 from ..functions.tokens import bind
+from ..scale import dense_index
+from ..session import materialise
 
 QUERY_BLOCK = 1024
 
@@ -82,10 +84,13 @@ def exact_topk(docs: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_
     set is scanned block by block.  After the scan at most k rows per query and
     task are ranked."""
     n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK) * (1 if n <= QUERY_BLOCK else 2))
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    if blocks > 1:
+        at = dense_index(queries.select("query_id"), ["query_id"])
+        queries = materialise(queries.join(at.withColumn("_block", F.floor(F.col("idx") / QUERY_BLOCK)), "query_id"))
     found: DataFrame | None = None
     for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        part = queries if blocks == 1 else queries.filter(F.col("_block") == b)
         rows = [(r[0], r[1]) for r in part.select("query_id", "embedding").collect()]
         if rows:
             got = _scan_block(docs, rows, k, key, vec, normalize)

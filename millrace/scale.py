@@ -22,6 +22,7 @@ from .session import materialise
 BUCKETS = 4096
 SALTS = 64
 SMALL_ROWS = 200_000
+SMALL_BYTES = 64 << 20
 HOT_ROWS_KEY = "spark.millrace.hotRows"
 HOT_ROWS_DEFAULT = 2_000_000
 
@@ -277,11 +278,12 @@ def quantile(df: DataFrame, col: str, q: float) -> float | None:
 
 
 def join_small(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join with a frame expected to be catalog-sized.  Its rows are fixed once
-    and counted: up to ``SMALL_ROWS`` it is broadcast and ``left`` is not
-    shuffled; a larger one takes the hot-safe shuffle join."""
+    """Join with a frame expected to be catalog-sized.  It is written once and
+    measured: up to ``SMALL_ROWS`` rows and ``SMALL_BYTES`` on disk it is broadcast
+    and ``left`` is not shuffled; a larger one takes the hot-safe shuffle join."""
     fixed = materialise(right)
-    if fixed.count() <= SMALL_ROWS:
+    size = int(str(fixed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= SMALL_BYTES and fixed.count() <= SMALL_ROWS:
         return left.join(F.broadcast(fixed), list(keys), how)
     return join_on_keys(left, fixed, keys, how)
 
