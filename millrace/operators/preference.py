@@ -99,7 +99,7 @@ def pair_rewards(p: Pair, beta: float = 0.1) -> tuple[Column, Column]:
     return F.lit(beta) * p.chosen, F.lit(beta) * p.rejected
 
 
-def aot_loss(df: DataFrame, kind: str = "aot_pair", batch: str = "batch_id", tie: str = "pair_id", beta: float = 0.1,
+def aot_loss(df: DataFrame, kind: str = "aot_pair", batch: str = "batch_id", tie: Sequence[str] = ("pair_id",), beta: float = 0.1,
              eps: float = 0.0) -> DataFrame:
     """Both columns are sorted on their own within the batch and paired by rank:
     (batch, rank, delta, loss)."""
@@ -110,9 +110,9 @@ def aot_loss(df: DataFrame, kind: str = "aot_pair", batch: str = "batch_id", tie
         a, b = p.pc - p.pr, p.rc - p.rr
     else:
         raise ValueError(f"unknown loss type: {kind}")
-    both = materialise(df.select(batch, tie, a.alias("a"), b.alias("b")))
-    left = rank_within(both.drop("b"), [batch], ["a", tie], "rank").select(batch, "rank", "a")
-    right = rank_within(both.drop("a"), [batch], ["b", tie], "rank").select(batch, "rank", "b")
+    both = materialise(df.select(batch, *tie, a.alias("a"), b.alias("b")))
+    left = rank_within(both.drop("b"), [batch], ["a", *tie], "rank").select(batch, "rank", "a")
+    right = rank_within(both.drop("a"), [batch], ["b", *tie], "rank").select(batch, "rank", "b")
     delta = F.col("a") - F.col("b")
     # (batch, rank) is unique on both sides, so even one huge batch joins evenly
     return left.join(right, [batch, "rank"]).select(
@@ -290,9 +290,9 @@ def pair_preference(chosen: Column, rejected: Column) -> Column:
     return sigmoid(chosen - rejected)
 
 
-def online_pairs(two: DataFrame, prompt: str, gen: str, missing_eos_penalty: float | None = None,
+def online_pairs(two: DataFrame, prompt: Sequence[str], gen: str, missing_eos_penalty: float | None = None,
                  judge_rank: str | None = None) -> DataFrame:
-    """One row per prompt from its completions 0 and 1 (columns reward, logp,
+    """One row per prompt (key columns) from its completions 0 and 1 (columns reward, logp,
     ref_logp, eos).  The first is chosen if its penalised reward is not lower, or
     if the judge ranks it 0."""
     r = F.col("reward")
@@ -303,7 +303,7 @@ def online_pairs(two: DataFrame, prompt: str, gen: str, missing_eos_penalty: flo
     aggs = [F.max(F.when(c, v)).alias(f"{n}{i}") for n, v in names.items() for i, c in enumerate((first, second))]
     if judge_rank is not None:
         aggs.append(F.max(F.when(first, F.col(judge_rank))).alias("rank0"))
-    wide = two.groupBy(prompt).agg(F.count_if(first | second).alias("_n"), *aggs).filter("_n = 2").drop("_n")
+    wide = two.groupBy(*prompt).agg(F.count_if(first | second).alias("_n"), *aggs).filter("_n = 2").drop("_n")
     mask = F.col("rank0") == 0 if judge_rank is not None else F.col("reward0") >= F.col("reward1")
 
     def pick(n: str, best: bool) -> Column:

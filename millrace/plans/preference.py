@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rnd, sql_logsigmoid, sql_rnd, sql_sigmoid, sql_softplus
 from ..operators import preference as pref
 from ..operators.retrieval import density_ratio_weight
-from ..scale import first_per_key
+from ..scale import rank_within
 from ..tables import LINE_ORDER, binary_logps, ctes, pair_logps, table, token_logps
 from .registry import query
 
@@ -21,11 +21,11 @@ SQL_CH, SQL_RJ = "(policy_chosen - ref_chosen)", "(policy_rejected - ref_rejecte
 
 
 def _loss_sql(exprs: dict[str, str]) -> str:
-    return PAIRS + "SELECT pair_id, " + ", ".join(f"{sql_rnd(e)} AS {n}" for n, e in exprs.items()) + " FROM pair_logps"
+    return PAIRS + "SELECT pair_id, pair_no, " + ", ".join(f"{sql_rnd(e)} AS {n}" for n, e in exprs.items()) + " FROM pair_logps"
 
 
 def _loss_query(spark: SparkSession, sf: str, kinds: dict[str, dict]) -> DataFrame:
-    return pair_logps(spark, sf).select("pair_id", *[
+    return pair_logps(spark, sf).select("pair_id", "pair_no", *[
         rnd(pref.pair_loss(k.removesuffix("_ls"), pref.Pair(), BETA, **kw)).alias(k) for k, kw in kinds.items()])
 
 
@@ -36,7 +36,7 @@ def _loss_query(spark: SparkSession, sf: str, kinds: dict[str, dict]) -> DataFra
 def pair_logits(spark, sf):
     p = pref.Pair()
     return pair_logps(spark, sf).select(
-        "pair_id", rnd(pref.pair_logits(p)).alias("reverse_kl"), rnd(pref.pair_logits(p, reference_free=True)).alias("reference_free"),
+        "pair_id", "pair_no", rnd(pref.pair_logits(p)).alias("reverse_kl"), rnd(pref.pair_logits(p, reference_free=True)).alias("reference_free"),
         rnd(pref.pair_logits(p, "alpha", 0.5)).alias("alpha_half"), rnd(pref.pair_logits(p, "js")).alias("js"))
 
 
@@ -64,20 +64,20 @@ def loss_sppo_family(spark, sf):
     cr, rr = pref.pair_rewards(pref.Pair(), BETA)
     out = pair_logps(spark, sf)
     kinds = ("sppo_hard", "nca_pair", "apo_zero", "apo_down", "discopop", "sft")
-    return out.select("pair_id", *[rnd(pref.pair_loss(k, pref.Pair(), BETA, nll=-F.col("policy_chosen"))).alias(k) for k in kinds],
+    return out.select("pair_id", "pair_no", *[rnd(pref.pair_loss(k, pref.Pair(), BETA, nll=-F.col("policy_chosen"))).alias(k) for k in kinds],
                       rnd(cr).alias("chosen_reward"), rnd(rr).alias("rejected_reward"))
 
 
 def _aot_sql(a: str, b: str) -> str:
     x = "(0.1 * (a - b))"
-    return PAIRS + f""", l AS (SELECT batch_id, {a} AS a, row_number() OVER (PARTITION BY batch_id ORDER BY {a}, pair_id) AS rank FROM pair_logps),
-r AS (SELECT batch_id, {b} AS b, row_number() OVER (PARTITION BY batch_id ORDER BY {b}, pair_id) AS rank FROM pair_logps)
+    return PAIRS + f""", l AS (SELECT batch_id, {a} AS a, row_number() OVER (PARTITION BY batch_id ORDER BY {a}, pair_id, pair_no) AS rank FROM pair_logps),
+r AS (SELECT batch_id, {b} AS b, row_number() OVER (PARTITION BY batch_id ORDER BY {b}, pair_id, pair_no) AS rank FROM pair_logps)
 SELECT batch_id, rank, {sql_rnd('a - b')} AS delta, {sql_rnd(f'-{sql_logsigmoid(x)} * 0.95 - {sql_logsigmoid("-" + x)} * 0.05')} AS loss
 FROM l JOIN r USING (batch_id, rank)"""
 
 
 def _aot(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    out = pref.aot_loss(pair_logps(spark, sf), kind, beta=BETA, eps=0.05)
+    out = pref.aot_loss(pair_logps(spark, sf), kind, tie=("pair_id", "pair_no"), beta=BETA, eps=0.05)
     return out.select("batch_id", "rank", rnd(F.col("delta")).alias("delta"), rnd(F.col("loss")).alias("loss"))
 
 
@@ -93,12 +93,12 @@ def loss_aot(spark, sf):
 
 @query("loss_bco_pair", PAIRS + f""", b AS (SELECT batch_id, avg(({CR} + {RR}) / 2.0) AS m FROM pair_logps GROUP BY batch_id),
 d AS (SELECT batch_id, avg(m) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS delta FROM b)
-SELECT pair_id, batch_id, {sql_rnd('delta')} AS delta,
+SELECT pair_id, pair_no, batch_id, {sql_rnd('delta')} AS delta,
   {sql_rnd(f"-{sql_logsigmoid(f'({CR} - delta)')} - {sql_logsigmoid(f'(-({RR} - delta))')}")} AS loss
 FROM pair_logps JOIN d USING (batch_id)""")
 def loss_bco_pair(spark, sf):
     out = pref.bco_pair_loss(pair_logps(spark, sf), beta=BETA)
-    return out.select("pair_id", "batch_id", rnd(F.col("delta")).alias("delta"), rnd(F.col("loss")).alias("loss"))
+    return out.select("pair_id", "pair_no", "batch_id", rnd(F.col("delta")).alias("delta"), rnd(F.col("loss")).alias("loss"))
 
 
 _R = "(0.1 * (policy_logp - ref_logp))"
@@ -120,7 +120,7 @@ def loss_bco_unpaired(spark, sf):
     "chosen_reward": f"2.0 * {CR}", "rejected_reward": f"2.0 * {RR}"}))
 def multi_loss_weighting(spark, sf):
     out = pref.multi_loss({"sigmoid": 0.8, "hinge": 0.2, "apo_zero": 1.0}, pref.Pair(), BETA)
-    return pair_logps(spark, sf).select("pair_id", *[rnd(c).alias(k) for k, c in out.items()])
+    return pair_logps(spark, sf).select("pair_id", "pair_no", *[rnd(c).alias(k) for k, c in out.items()])
 
 
 def two_sided(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,7 +214,7 @@ def cpo_loss(spark, sf):
     pc, pr = F.col("policy_chosen"), F.col("policy_rejected")
     a = pref.cpo_loss("sigmoid", pc, pr, BETA, alpha=0.3)
     plain = [rnd(pref.cpo_loss(k, pc, pr, BETA)["loss"]).alias(k) for k in ("sigmoid", "hinge", "ipo", "simpo")]
-    return pair_logps(spark, sf).select("pair_id", *plain, rnd(a["loss"]).alias("alphapo"),
+    return pair_logps(spark, sf).select("pair_id", "pair_no", *plain, rnd(a["loss"]).alias("alphapo"),
                                         rnd(a["chosen_reward"]).alias("alphapo_chosen_reward"),
                                         rnd(pref.cpo_loss("sigmoid", pc, pr, BETA)["loss"] + F.lit(0.5) * -pc).alias("total"))
 
@@ -233,7 +233,7 @@ def orpo_loss(spark, sf):
 @query("orpo_terms", _loss_sql({"log_odds": _ODDS, "ratio": sql_logsigmoid(_ODDS)}))
 def orpo_terms(spark, sf):
     t = pref.orpo_terms(F.col("policy_chosen"), F.col("policy_rejected"))
-    return pair_logps(spark, sf).select("pair_id", *[rnd(c).alias(k) for k, c in t.items()])
+    return pair_logps(spark, sf).select("pair_id", "pair_no", *[rnd(c).alias(k) for k, c in t.items()])
 
 
 @query("reward_model_loss", PAIRS + f"""
@@ -247,23 +247,24 @@ def reward_model_loss(spark, sf):
 @query("reward_model_preference", _loss_sql({"loss": f"-{sql_logsigmoid(_Z)}", "preference": sql_sigmoid(_Z)}))
 def reward_model_preference(spark, sf):
     c, r = F.col("policy_chosen"), F.col("policy_rejected")
-    return pair_logps(spark, sf).select("pair_id", rnd(pref.reward_model_loss(c, r)).alias("loss"),
+    return pair_logps(spark, sf).select("pair_id", "pair_no", rnd(pref.reward_model_loss(c, r)).alias("loss"),
                                         rnd(pref.pair_preference(c, r)).alias("preference"))
 
 
 def _online(spark: SparkSession, sf: str) -> DataFrame:
-    two = first_per_key(table(spark, sf, "lineitem"), ["l_orderkey"], LINE_ORDER, 2)
+    """Completions 0 and 1, 2 and 3, ... of each prompt as the two of a round."""
+    two = rank_within(table(spark, sf, "lineitem"), ["l_orderkey"], LINE_ORDER, "rn")
     q = F.col("l_quantity") / F.lit(50.0)
-    two = two.select(F.col("l_orderkey").alias("prompt_id"), (F.col("rn") - 1).alias("gen"), (F.lit(1.0) - q).alias("reward"),
+    two = two.select(F.col("l_orderkey").alias("prompt_id"), F.floor((F.col("rn") - 1) / 2).alias("round"), ((F.col("rn") - 1) % 2).alias("gen"), (F.lit(1.0) - q).alias("reward"),
                      (-q).alias("logp"), (-q + (F.col("l_tax") + F.lit(0.0)) - F.lit(0.04)).alias("ref_logp"),
                      (F.col("l_returnflag") != "R").alias("eos"))
-    return pref.online_pairs(two, "prompt_id", "gen", 0.2)
+    return pref.online_pairs(two, ["prompt_id", "round"], "gen", 0.2)
 
 
-ONLINE_SQL = ctes("token_logps") + """, p AS (SELECT a.seq_id AS prompt_id,
+ONLINE_SQL = ctes("token_logps") + """, p AS (SELECT a.seq_id AS prompt_id, a.pos // 2 AS round,
   1.0 + a.logp - CASE WHEN a.mask = 0 THEN 0.2 ELSE 0.0 END AS r0, 1.0 + b.logp - CASE WHEN b.mask = 0 THEN 0.2 ELSE 0.0 END AS r1,
   a.logp AS l0, b.logp AS l1, a.ref_logp AS f0, b.ref_logp AS f1, a.mask AS e0, b.mask AS e1
-  FROM token_logps a JOIN token_logps b ON a.seq_id = b.seq_id AND a.pos = 0 AND b.pos = 1),
+  FROM token_logps a JOIN token_logps b ON a.seq_id = b.seq_id AND a.pos % 2 = 0 AND b.pos = a.pos + 1),
 o AS (SELECT *, r0 >= r1 AS m, CASE WHEN r0 >= r1 THEN l0 ELSE l1 END AS lc, CASE WHEN r0 >= r1 THEN l1 ELSE l0 END AS lr,
   CASE WHEN r0 >= r1 THEN f0 ELSE f1 END AS fc, CASE WHEN r0 >= r1 THEN f1 ELSE f0 END AS fr FROM p)
 """
@@ -271,11 +272,11 @@ _XO = "(0.1 * ((lc - lr) - (fc - fr)))"
 
 
 @query("online_pair_selection", ONLINE_SQL + f"""
-SELECT prompt_id, m AS first_chosen, {sql_rnd('abs(r0 - r1)')} AS scores_margin, {sql_rnd(f'-{sql_logsigmoid(_XO)}')} AS loss,
+SELECT prompt_id, round, m AS first_chosen, {sql_rnd('abs(r0 - r1)')} AS scores_margin, {sql_rnd(f'-{sql_logsigmoid(_XO)}')} AS loss,
   {sql_rnd('pow((lc - lr) - (fc - fr) - 5.0, 2)')} AS loss_ipo FROM o""")
 def online_pair_selection(spark, sf):
     p = pref.Pair()
-    return _online(spark, sf).select("prompt_id", "first_chosen", rnd(F.col("scores_margin")).alias("scores_margin"),
+    return _online(spark, sf).select("prompt_id", "round", "first_chosen", rnd(F.col("scores_margin")).alias("scores_margin"),
                                      rnd(pref.pair_loss("sigmoid", p, BETA)).alias("loss"), rnd(pref.pair_loss("ipo", p, BETA)).alias("loss_ipo"))
 
 

@@ -226,11 +226,11 @@ def shuffle_and_slice_buffer(spark, sf):
 
 
 @query("attach_reference_scores", ctes("token_logps", "pair_logps") + """
-SELECT pair_id, policy_chosen, CASE WHEN policy_rejected < -0.5 THEN ref_chosen END AS ref_chosen_logps FROM pair_logps""")
+SELECT pair_id, pair_no, policy_chosen, CASE WHEN policy_rejected < -0.5 THEN ref_chosen END AS ref_chosen_logps FROM pair_logps""")
 def attach_reference_scores(spark, sf):
     p = pair_logps(spark, sf)
-    scores = p.filter("policy_rejected < -0.5").select("pair_id", F.col("ref_chosen").alias("ref_chosen_logps"))
-    return prep.attach_reference_scores(p.select("pair_id", "policy_chosen"), scores, ["pair_id"], ["ref_chosen_logps"])
+    scores = p.filter("policy_rejected < -0.5").select("pair_id", "pair_no", F.col("ref_chosen").alias("ref_chosen_logps"))
+    return prep.attach_reference_scores(p.select("pair_id", "pair_no", "policy_chosen"), scores, ["pair_id", "pair_no"], ["ref_chosen_logps"])
 
 
 @query("drop_duplicate_prompts", """

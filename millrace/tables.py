@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scale import first_per_key, rank_within
+from .scale import rank_within
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 
@@ -51,16 +51,15 @@ def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_logps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chosen and rejected log-probs: the first two completions of each sequence."""
-    two = first_per_key(table(spark, sf_dir, "lineitem"), ["l_orderkey"], LINE_ORDER, 2).select(
-        F.col("l_orderkey").alias("seq_id"), "rn", *_token_columns())
-    first, second = F.col("rn") == 1, F.col("rn") == 2
-    wide = two.groupBy("seq_id").agg(
+    """Chosen and rejected log-probs: completions 0 and 1, 2 and 3, ... of each sequence."""
+    t = token_logps(spark, sf_dir).withColumn("pair_no", F.floor(F.col("pos") / 2))
+    first = F.col("pos") % 2 == 0
+    wide = t.groupBy("seq_id", "pair_no").agg(
         F.count(F.lit(1)).alias("n"),
-        F.max(F.when(first, F.col("logp"))).alias("cl"), F.max(F.when(second, F.col("logp"))).alias("rl"),
-        F.max(F.when(first, F.col("ref_logp"))).alias("cr"), F.max(F.when(second, F.col("ref_logp"))).alias("rr"))
+        F.max(F.when(first, F.col("logp"))).alias("cl"), F.max(F.when(~first, F.col("logp"))).alias("rl"),
+        F.max(F.when(first, F.col("ref_logp"))).alias("cr"), F.max(F.when(~first, F.col("ref_logp"))).alias("rr"))
     return wide.filter("n = 2").select(
-        F.col("seq_id").alias("pair_id"), (F.col("seq_id") % 64).alias("batch_id"),
+        F.col("seq_id").alias("pair_id"), "pair_no", (F.col("seq_id") % 64).alias("batch_id"),
         (F.col("cl") - F.lit(0.001)).alias("policy_chosen"), (F.col("rl") - F.lit(0.001)).alias("policy_rejected"),
         (F.col("cr") - F.lit(0.05)).alias("ref_chosen"), (F.col("rr") - F.lit(0.05)).alias("ref_rejected"))
 
@@ -159,10 +158,10 @@ SELECT seq_id AS prompt_id, pos AS gen, logp + 1.0 AS r1,
        token_id, logp, old_logp, ref_logp
 FROM token_logps)""",
     "pair_logps": """pair_logps AS (
-SELECT c.seq_id AS pair_id, c.seq_id % 64 AS batch_id,
+SELECT c.seq_id AS pair_id, c.pos // 2 AS pair_no, c.seq_id % 64 AS batch_id,
        c.logp - 0.001 AS policy_chosen, r.logp - 0.001 AS policy_rejected,
        c.ref_logp - 0.05 AS ref_chosen, r.ref_logp - 0.05 AS ref_rejected
-FROM token_logps c JOIN token_logps r ON c.seq_id = r.seq_id AND c.pos = 0 AND r.pos = 1)""",
+FROM token_logps c JOIN token_logps r ON c.seq_id = r.seq_id AND c.pos % 2 = 0 AND r.pos = c.pos + 1)""",
     "binary_logps": """binary_logps AS (
 SELECT seq_id AS row_id, seq_id % 64 AS batch_id, mask = 1 AS label,
        logp AS policy_logp, ref_logp, old_logp AS policy_kl_logp, ref_logp AS ref_kl_logp

@@ -102,10 +102,10 @@ def test_orpo_needs_negative_logps(spark):
 def test_online_pairs(spark):
     df = spark.createDataFrame([(1, 0, 0.5, -1.0, -1.1, False, 1), (1, 1, 0.4, -2.0, -1.9, True, 0), (2, 0, 0.3, -1.0, -1.0, True, 0), (2, 1, 0.3, -1.5, -1.0, True, 1),
                                 (3, 0, 0.9, -1.0, -1.0, True, 0)], "p int, g int, reward double, logp double, ref_logp double, eos boolean, rank int")
-    got = {r.p: r for r in pref.online_pairs(df, "p", "g", 0.2).collect()}
+    got = {r.p: r for r in pref.online_pairs(df, ["p"], "g", 0.2).collect()}
     assert set(got) == {1, 2} and not got[1].first_chosen and got[2].first_chosen  # a tie keeps the first
     assert got[1].policy_chosen == -2.0 and got[1].scores_margin == pytest.approx(0.1)
-    judged = {r.p: r.first_chosen for r in pref.online_pairs(df, "p", "g", judge_rank="rank").collect()}
+    judged = {r.p: r.first_chosen for r in pref.online_pairs(df, ["p"], "g", judge_rank="rank").collect()}
     assert judged == {1: False, 2: True}
 
 
