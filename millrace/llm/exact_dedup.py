@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .joins import without
 from .text import lower_az
 
 #: A chunk ends after white space before one of the letters b to h, once it has 512 characters, and at 4,096.
@@ -67,9 +68,12 @@ def _numbered(norm: DataFrame, cut: Column, sha: Column, clash: DataFrame, mark:
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each text.  Rows that repeat a key with equal texts count once;
     rows of one key with different texts are different documents."""
-    stay = exact_groups(docs, key, text).filter("kept").select(F.col(key).alias("_k"), F.col("text_sha256").alias("_s")) \
-        .distinct()
+    groups = materialise(exact_groups(docs, key, text))
     sha = next(f"_sha{i}" for i in range(len(docs.columns) + 1) if f"_sha{i}" not in docs.columns)
     own = docs.withColumn(sha, F.sha2(lower_az(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256))
-    same = own[key].eqNullSafe(stay["_k"]) & (own[sha] == stay["_s"])
-    return own.join(stay, same, "left_semi").dropDuplicates([key, sha]).drop(sha)
+    gone = groups.filter("not kept").select(F.col(key).alias("_k"), F.col("text_sha256").alias("_s")).distinct()
+    out = without(own, gone, lambda d, g: d[key].eqNullSafe(g["_k"]) & (d[sha] == g["_s"]))
+    repeated = groups.filter("kept and group_size > 1").groupBy(key, "text_sha256").count().filter("count > 1")
+    if not repeated.isEmpty():
+        out = out.dropDuplicates([key, sha])
+    return out.drop(sha)

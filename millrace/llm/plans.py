@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import round_trip_digests
 from .exact_dedup import exact_groups
+from .jaccard_join import jaccard_components
+from .language_id import fold, identify_languages, train_languages
+from .packing import pack_documents
 from .sharding import shard_documents
+from .token_counts import encoded_lengths, length_histogram
 from .url_filter import url_verdicts
 
 QUERIES: dict = {}
@@ -17,6 +22,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; every machine has the package."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -46,6 +57,34 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@_query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(encoded_lengths(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
 @_query
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents")).withColumn("law", F.lit("key"))
+
+
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = train_languages(docs.filter(~held_out))
+    return identify_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@_query
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+@_query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
