@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +15,11 @@ from .components import components
 from .joins import without
 from .text import Texts, mix64, parts
 
+FULL = 2_000_000  # signatures of a block
+GROUP = 2_000_000  # shingles whose signatures one group compares, on average
 SUBPARTS = 3  # second-level parts of a part; all subsets that leave one out are signatures
 BLOCK = 32  # members of a bucket up to which its open pairs are tested at once
-SMALL = 1_000_000  # classes whose keys (16 bytes each) are broadcast; more are joined by shuffle
+SMALL = 1_000_000  # keys (16 bytes) that are broadcast; more are joined by shuffle
 
 
 class Shingles:
@@ -120,28 +123,77 @@ def classes_of(docs: DataFrame, width: int, key: str, text: str, seed: int) -> D
     return _scan(docs, key, text).mapInArrow(run, f"_key {kind}, n_shingles bigint, c bigint, c2 bigint")
 
 
-def signatures_of(docs: DataFrame, width: int, percent: int, key: str, text: str, seed: int) -> DataFrame:
-    """A row (sig, c) for each signature of each row."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def buckets_of(docs: DataFrame, width: int, percent: int, key: str, text: str, seed: int, groups: int) -> DataFrame:
+    """Members (sig, c) of each signature that several classes share; a row may come twice.
+
+    A task sorts the signatures of a block of documents.  Members that share one inside the block are passed on as
+    they are, and one row for each signature and block goes, packed with its neighbours, to the group of its range.
+    So a signature of most documents has a row for each block there, and each signature moves once, in 10 bytes."""
+    top = np.uint64(64 - groups.bit_length() + 1)
+    fields = ["part", "c", "sig", "at"]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, enum = Shingles(width, seed), PartEnum(percent)
+        seen: dict[int, int] = {}
+        sigs: list[np.ndarray] = []
+        size, task, block = 0, TaskContext.get().partitionId(), 0
         for b in batches:
-            sigs, c, size = [], [], 0
             for s in shingles.sets(b.column("_text").to_pylist()):
+                c = _class(s)[0] if len(s) else 0
+                if not len(s) or c in seen:
+                    continue
                 own = enum.signatures(s)
                 if len(own):
+                    seen[c] = len(sigs)
                     sigs.append(own)
-                    c.append(np.full(len(own), _class(s)[0]))
                     size += len(own)
-                if size > 1 << 18:
-                    yield _rows(sigs, c)
-                    sigs, c, size = [], [], 0
-            if sigs:
-                yield _rows(sigs, c)
-    return _scan(docs, key, text).mapInArrow(run, "sig bigint, c bigint")
-
-
-def _rows(sigs: list[np.ndarray], c: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(c))], names=["sig", "c"])
+                if size > FULL or len(sigs) >= 60_000:
+                    yield packed(seen, sigs, task + block)
+                    seen, sigs, size, block = {}, [], 0, block + 1
+        if sigs:
+            yield packed(seen, sigs, task + block)
+
+    def packed(seen: dict[int, int], sigs: list[np.ndarray], number: int) -> pa.RecordBatch:
+        c = np.fromiter(seen, dtype=np.int64, count=len(seen))
+        at = np.repeat(np.arange(len(sigs), dtype=np.uint16), [len(x) for x in sigs])
+        sig = np.concatenate(sigs)
+        order = np.argsort(sig)
+        sig, at = sig[order], at[order]
+        first = np.ones(len(sig), dtype=bool)
+        first[1:] = sig[1:] != sig[:-1]
+        twice = ~first
+        twice[:-1] |= ~first[1:]
+        rows = []
+        if twice.any():  # another group passes them on
+            rows.append((groups + number % groups, c[at[twice]].tobytes(), sig[twice].tobytes(), b""))
+        sig, at = sig[first], at[first]
+        part = (sig >> top).astype(np.int64) if groups > 1 else np.zeros(len(sig), dtype=np.int64)
+        cut = np.searchsorted(part, np.arange(groups + 1))
+        for p in range(groups):
+            if cut[p] < cut[p + 1]:
+                used, i = np.unique(at[cut[p]:cut[p + 1]], return_inverse=True)
+                rows.append((p, c[used].tobytes(), sig[cut[p]:cut[p + 1]].tobytes(), i.astype(np.uint16).tobytes()))
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=fields)
+
+    def shared(blocks: pa.Table) -> pa.Table:
+        c = [np.frombuffer(x, dtype=np.int64) for x in blocks.column("c").to_pylist()]
+        sig = [np.frombuffer(x, dtype=np.int64) for x in blocks.column("sig").to_pylist()]
+        if blocks.column("part")[0].as_py() >= groups:
+            c, sig = np.concatenate(c), np.concatenate(sig)
+        else:
+            at = [np.frombuffer(x, dtype=np.uint16) for x in blocks.column("at").to_pylist()]
+            c, sig = np.concatenate([x[i] for x, i in zip(c, at, strict=True)]), np.concatenate(sig)
+            order = np.argsort(sig, kind="stable")
+            sig, c = sig[order], c[order]
+            same = sig[1:] == sig[:-1]
+            keep = np.zeros(len(sig), dtype=bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            sig, c = sig[keep], c[keep]
+        return pa.table({"sig": pa.array(sig, pa.int64()), "c": pa.array(c, pa.int64())})
+    return _scan(docs, key, text).mapInArrow(split, "part int, c binary, sig binary, at binary") \
+        .groupBy("part").applyInArrow(shared, "sig bigint, c bigint")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str, seed: int) -> DataFrame:
@@ -192,11 +244,13 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
         if clash.isEmpty():
             break
         seed += 1
-    sigs = signatures_of(docs, width, percent, key, text, seed)
+    elements = base.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    groups = 1 << (elements // GROUP).bit_length()
+    member = materialise(buckets_of(docs, width, percent, key, text, seed, groups).distinct())
     # written, so that AQE may split a hot signature in the join
-    shared = materialise(sigs.groupBy("sig").agg(F.min("c").alias("pivot"), F.max("c").alias("hi"))
+    shared = materialise(member.groupBy("sig").agg(F.min("c").alias("pivot"), F.max("c").alias("hi"))
                          .filter("pivot <> hi").drop("hi"))
-    bucket = materialise(sigs.join(shared, "sig").filter("c <> pivot").distinct())
+    bucket = materialise(member.join(shared, "sig").filter("c <> pivot"))
     pairs = materialise(bucket.select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct())
     nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     wanted = materialise(base.filter("c is not null").groupBy("c").agg(F.min("_key").alias("_key")).join(nodes, "c", "left_semi"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import round_trip_digests
+from .embedding_dedup import near_duplicate_components
 from .exact_dedup import exact_groups
 from .jaccard_join import jaccard_components
 from .language_id import fold, identify_languages, train_languages
+from .lm_scoring import score_documents
 from .packing import pack_documents
 from .sharding import shard_documents
 from .token_counts import encoded_lengths, length_histogram
@@ -67,6 +69,16 @@ def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents")).withColumn("law", F.lit("key"))
 
 
+@_query
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_components(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1)
+
+
 @_query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
