@@ -14,7 +14,7 @@ DEPTH = 4  # levels of the tree; what lies deeper is one segment "**"
 SHARE = 0.02  # a segment stays literal with this share of its parent's pages ...
 SUPPORT = 3  # ... and so many pages
 SIMILAR = 1.96  # branches within so many standard errors of their pooled rate are merged
-EVIDENCE = 3  # labelled pages that a branch needs to be compared
+EVIDENCE = 3  # labelled pages that a branch needs to be compared or rejected
 STRENGTH = 5.0  # pseudo-pages at the rate of all hosts
 REJECT = 0.8  # smoothed share of blocked pages
 
@@ -82,8 +82,8 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str =
     segments that are rare below their parent become ``*`` (``SHARE``, ``SUPPORT``), segments below ``DEPTH``
     become one ``**``.  From the leaves up, sibling branches with ``EVIDENCE`` labels whose blocked shares do not
     differ from their pooled share (``SIMILAR``) become one branch ``~`` and share their labels.  A template
-    is rejected when its blocked share, smoothed by ``STRENGTH`` pages at the rate of all hosts, reaches
-    ``REJECT``; branches without labels keep that rate.
+    is rejected when it has ``EVIDENCE`` labels and its blocked share, smoothed by ``STRENGTH`` pages at the rate of all
+    hosts, reaches ``REJECT``; branches without labels are allowed.
 
     One row per page: the key, host, path, rule, verdict, template, purity (smoothed share of pages not
     blocked).  A null url, or one without ``://``, has an empty host and path.  Pages are counted by path
@@ -109,11 +109,12 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str =
     every = tree.agg(F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("n")).first()
     rate = (every["b"] + 1.0) / (every["n"] + 2.0)
     branch = tree.groupBy("host", "merged").agg(
-        ((F.sum("blocked") + F.lit(STRENGTH * rate)) / (F.sum("labelled") + F.lit(STRENGTH))).alias("_p"))
+        ((F.sum("blocked") + F.lit(STRENGTH * rate)) / (F.sum("labelled") + F.lit(STRENGTH))).alias("_p"),
+        F.sum("labelled").alias("_n"))
     judged = paths.select("host", "path", "tpl").join(tree.select("host", "tpl", "merged"), ["host", "tpl"]) \
-        .join(branch.select("host", "merged", "_p"), ["host", "merged"]) \
-        .select("host", "path", F.concat_ws("/", "merged").alias("template"), "_p")
+        .join(branch, ["host", "merged"]) \
+        .select("host", "path", F.concat_ws("/", "merged").alias("template"), "_p", "_n")
     return seen.join(judged, ["host", "path"], "left").select(
         F.col("_key").alias(key), "host", "path", "rule",
-        F.coalesce("_label", F.when(F.col("_p") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        F.coalesce("_label", F.when((F.col("_p") >= REJECT) & (F.col("_n") >= EVIDENCE), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         "template", (F.lit(1.0) - F.col("_p")).alias("purity"))
