@@ -182,7 +182,7 @@ class ByteBpe:
                 first = np.empty(len(distinct), dtype=np.int64)
                 first[codes[::-1]] = np.arange(len(codes))[::-1]
                 whole = buf.tobytes()
-                self.cache.add(distinct[new], [merge(whole[starts[k]:ends[k]], self.ranks) for k in first[new]])
+                self.cache.add_lists(distinct[new], [merge(whole[starts[k]:ends[k]], self.ranks) for k in first[new]])
             rows = self.cache.rows_of(distinct)[codes] if len(codes) else codes
             lens = self.cache.lens[rows]
             upto = np.zeros(j - i + 1, dtype=np.int64)

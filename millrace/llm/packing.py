@@ -196,7 +196,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     slots = packing_slots(complete_bins(histogram, capacity))  # bounded by the capacity, not by the documents
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ranked = pieces.join(starts, ["length", "_task"]).select(
+    # the list of counts grows with the tasks, so it is never broadcast
+    ranked = pieces.join(starts.hint("merge"), ["length", "_task"]).select(
         key, "piece", "start", "length", "ids_crc32", (F.col("_start") + F.col("_local")).alias("_rank"))
     lengths, ranks = slots["length"].to_numpy(), slots["rank"].to_numpy()
     each, base, offset = (slots[c].to_numpy() for c in ("each", "base", "offset"))

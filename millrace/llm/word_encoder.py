@@ -39,17 +39,20 @@ class SliceIds:
             return np.ones(len(hashes), dtype=bool)
         return self.hashes[np.minimum(at, len(self.hashes) - 1)] != hashes
 
-    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
-        lens = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((x for one in ids for x in one), dtype=np.int32, count=int(lens.sum()))
+    def add(self, hashes: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> None:
+        """Ids of new hashes, one after the other."""
         starts = len(self.flat) + np.cumsum(lens) - lens
-        rows = len(self.lens) + np.arange(len(ids))
+        rows = len(self.lens) + np.arange(len(lens))
         self.lens, self.starts = np.concatenate([self.lens, lens]), np.concatenate([self.starts, starts])
         self.flat = np.concatenate([self.flat, flat])
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
         self.hashes, self.rows = np.insert(self.hashes, at, hashes[order]), np.insert(self.rows, at, rows[order])
 
+    def add_lists(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        lens = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.add(hashes, lens, np.fromiter((x for one in ids for x in one), dtype=np.int32, count=int(lens.sum())))
+
     def rows_of(self, hashes: np.ndarray) -> np.ndarray:
         return self.rows[np.searchsorted(self.hashes, hashes)]
 
@@ -59,8 +62,24 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
         self.texts, self.cache = Texts(), SliceIds()
 
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """One call for all words with a special token between them, as long as none of them holds one."""
+        for content, mark in list(self.special.items())[:1]:
+            text = b"\n".join(words)
+            if not any(c.encode() in text for c in self.special):
+                joined = text.decode("utf-8", "replace").replace("\n", content)  # no word holds a line break
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
+                cut = ids == mark
+                if cut.sum() == len(words) - 1:
+                    lens = np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(ids)]])) - 1
+                    self.cache.add(hashes, lens, ids[~cut])
+                    return
+        encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        self.cache.add_lists(hashes, [e.ids for e in encoded])
+
     def encode(self, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """First text, its and the following texts' ids, and where each text's ids begin (with the end)."""
         for i, j, buf, offsets in parts(texts):
@@ -71,8 +90,7 @@ class WordEncoder:
                 first = np.empty(len(distinct), dtype=np.int64)
                 first[codes[::-1]] = np.arange(len(codes))[::-1]
                 whole = buf.tobytes()
-                words = [whole[starts[k]:ends[k]].decode("utf-8", "replace") for k in first[new]]
-                self.cache.add(distinct[new], [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)])
+                self._learn(distinct[new], [whole[starts[k]:ends[k]] for k in first[new]])
             rows = self.cache.rows_of(distinct)[codes] if len(codes) else codes
             lens = self.cache.lens[rows]
             upto = np.zeros(j - i + 1, dtype=np.int64)
