@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -18,7 +18,7 @@ from .text import Texts, mix64, parts
 FULL = 2_000_000  # signatures of a block
 GROUP = 2_000_000  # shingles whose signatures one group compares, on average
 SUBPARTS = 3  # second-level parts of a part; all subsets that leave one out are signatures
-BLOCK = 32  # members of a bucket up to which its open pairs are tested at once
+BLOCK = 512  # classes on each side of a task that compares open components
 SMALL = 1_000_000  # keys (16 bytes) that are broadcast; more are joined by shuffle
 
 
@@ -224,6 +224,71 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(size).mapInArrow(run, "a bigint, b bigint")
 
 
+def _open_links(bucket: DataFrame, root: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components that meet in a bucket, as many as join them.
+
+    Buckets that hold several components are open; classes that meet in open buckets form a group.  In a group
+    all that are not in its largest component are compared with all of it, in blocks of ``BLOCK`` classes."""
+    at = bucket.select("sig", "c").join(root.select(F.col("node").alias("c"), "root"), "c", "left") \
+        .select("sig", "c", F.coalesce("root", "c").alias("root"))
+    at = materialise(at)
+    state = materialise(at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("c").alias("first"))
+                        .filter("lo <> hi").select("sig", "first"))
+    meet = at.join(state, "sig").select(F.col("first").alias("a"), F.col("c").alias("b"))
+    group = components(meet).select(F.col("node").alias("c"), F.col("root").alias("grp"))
+    member = materialise(group.join(root.select(F.col("node").alias("c"), "root"), "c", "left")
+                         .select("grp", "c", F.coalesce("root", "c").alias("root")))
+    by_root = member.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n"))
+    size = materialise(by_root.groupBy("grp").agg(
+        F.sum("n").alias("every"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")))
+    lefts, rights = F.ceil((F.col("every") - F.col("most")) / F.lit(BLOCK)), F.ceil(F.col("every") / F.lit(BLOCK))
+    sized = member.join(size, "grp").select("grp", "c", "root", (F.col("root") != F.col("main")).alias("rest"),
+                                            lefts.cast("int").alias("lefts"), rights.cast("int").alias("rights"))
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - F.lit(1)))
+    left = sized.filter("rest").select("grp", "c", "root", F.lit(True).alias("is_left"), block("lefts").alias("l"), every("rights").alias("r"))
+    right = sized.select("grp", "c", "root", F.lit(False).alias("is_left"), block("rights").alias("r"), every("lefts").alias("l"))
+    return materialise(left.unionByName(right).join(sets, "c").groupBy("grp", "l", "r").applyInArrow(
+        _compare(percent), "a bigint, b bigint"))
+
+
+def _compare(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Task function: links of the left classes to the right ones that join components."""
+    def compare(rows: pa.Table) -> pa.Table:
+        is_left = np.array(rows.column("is_left").to_pylist(), dtype=bool)
+        c, root = rows.column("c").to_numpy(), rows.column("root").to_numpy()
+        s = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("s").to_pylist()]
+        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            flat, place = np.unique(np.concatenate([s[i] for i in right]), return_inverse=True)
+            n = np.array([len(s[i]) for i in right])
+            start = np.cumsum(n) - n
+            up = {int(x): int(x) for x in root}
+
+            def top(x: int) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+            mark = np.zeros(len(flat), dtype=np.int32)
+            for i in left:
+                at = np.minimum(np.searchsorted(flat, s[i]), len(flat) - 1)
+                at = at[flat[at] == s[i]]
+                mark[at] = 1
+                both = np.add.reduceat(mark[place], start)
+                mark[at] = 0
+                for j in right[100 * both >= percent * (len(s[i]) + n - both)]:
+                    x, y = top(int(root[i])), top(int(root[j]))
+                    if x != y:
+                        up[x] = y
+                        out.append((int(c[i]), int(c[j])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return compare
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of documents linked by a Jaccard similarity of at least ``percent`` / 100 of their word shingles.
 
@@ -232,10 +297,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     nothing and is its own component.  Null keys are never the smallest.  Other columns are not read.
 
     Rows with equal sets are one class (64-bit hash, checked by a second one; on a clash all is hashed anew).
-    Classes that share a signature form a bucket.  Its least class is tested against all others; buckets whose
-    other classes are then in several components stay open, and their next class is tested, until none is open
-    (small ones at once).  So a bucket of n near copies costs n tests, and no pair of different components that
-    shares a signature stays untested.  Shingles are compared by 64-bit hashes.
+    Classes that share a signature form a bucket.  Its least class is tested against all others, so a bucket of
+    n near copies costs n tests.  Where the others are then in several components, what is outside of the largest is
+    compared with all classes it may meet, in blocks (``_open_links``): no pair of different components that shares a
+    signature stays untested.  That step grows with the product of the two numbers; it holds
+    near copies that are not quite similar enough.  Shingles are compared by 64-bit hashes.
     """
     seed = 0
     while True:
@@ -257,27 +323,9 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     sets = materialise(sets_of(docs, wanted, width, key, text, seed).dropDuplicates(["c"]))
     links = materialise(_similar(pairs, sets, percent))
     root = components(links)
-    open_ = bucket.select("sig", "c")
-    while True:
-        at = open_.join(root.select(F.col("node").alias("c"), "root"), "c", "left") \
-            .select("sig", "c", F.coalesce("root", "c").alias("root"))
-        state = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"),
-                                      F.min("c").alias("pivot")).filter("lo <> hi")
-        at = materialise(at.join(materialise(state.select("sig", "n", "pivot")), "sig"))
-        if at.isEmpty():
-            break
-        p = at.filter(F.col("c") == F.col("pivot")).select("sig", F.col("root").alias("pivot_root"))
-        large = at.filter((F.col("n") > BLOCK) & (F.col("c") != F.col("pivot"))).join(p, "sig")
-        tests = large.filter("root <> pivot_root").select(F.col("pivot").alias("a"), F.col("c").alias("b"))
-        small = at.filter(F.col("n") <= BLOCK)
-        other = small.select("sig", F.col("c").alias("b"), F.col("root").alias("root_b"))
-        tests = tests.union(small.select("sig", F.col("c").alias("a"), "root").join(other, "sig")
-                            .filter("a < b and root <> root_b").select("a", "b"))
-        more = materialise(_similar(tests.distinct(), sets, percent))
-        open_ = materialise(large.select("sig", "c"))
-        if not more.isEmpty():
-            links = materialise(links.union(more))
-            root = components(links)
+    more = _open_links(bucket, root, sets, percent)
+    if not more.isEmpty():
+        root = components(links.union(more))
     named = materialise(base.join(root.select(F.col("node").alias("c"), "root"), "c", "left")
                         .select("_key", "n_shingles", F.coalesce("root", "c").alias("root")))
     least = materialise(named.filter("root is not null").groupBy("root").agg(F.min("_key").alias("least")))
