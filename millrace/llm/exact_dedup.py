@@ -44,7 +44,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
     else:
         recipes = _numbered(norm, cut, sha, clash, mark)
     recipes = materialise(recipes)
-    groups = recipes.groupBy("recipe").agg(F.max("_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that AQE may split a hot recipe in the join
+    groups = materialise(recipes.groupBy("recipe").agg(F.max("_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     return recipes.join(groups, "recipe").select(
         F.col("_key").alias(key), "keep_id", "group_size", F.col("_key").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256")
