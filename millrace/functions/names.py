@@ -57,7 +57,7 @@ def extension(path: Column) -> Column:
 def parse_dataset_filename(name: Column) -> Column:
     """Struct (author, name) from an import file name."""
     stem = file_stem(name)
-    parts = F.split(F.substring(stem, 4, 1_000_000), "_")
+    parts = F.split(F.substring(stem, F.lit(4), F.length(stem)), "_")
     first = F.array_position(F.transform(parts, lambda p: p.isin(*SPLIT_NAMES)), True)
     end = F.when(first > 1, first - 1).otherwise(F.size(parts).cast("long"))
     imported = stem.startswith("hf_") & (F.size(parts) >= 2)

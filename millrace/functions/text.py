@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scale import rank_within
-
 # Message and prompt formats.
 DEFAULT_TEMPLATE = "<|{role}|>\n{text}\n"
 CONTEXT_PROMPT = "Based on the following context, answer the question.\n\nContext:\n{context}\n\nQuestion: {question}\n\nAnswer:"
@@ -23,13 +21,15 @@ def _instruction(instruction: Column, answer: Column) -> Column:
 
 def render_training_text(df: DataFrame, null_text: str = "None") -> Column:
     """Text of a uniform table's rows.  Which form applies depends on the columns
-    that exist (not on nulls), so it is chosen once, at plan time."""
+    that exist (not on nulls), so it is chosen once, at plan time.  ``text`` is taken as it
+    is, null included; joined fields print a null as ``null_text``.  Nested and boolean
+    values print as Spark casts them."""
     def s(name: str) -> Column:
         return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(null_text))
 
     names = df.columns
     if "text" in names:
-        return s("text")
+        return F.col("text").cast("string")
     if "input" in names and "output" in names:
         return F.concat(s("input"), F.lit("\n"), s("output"))
     if "instruction" in names:
@@ -49,7 +49,7 @@ def render_map_text(m: Column, raw: Column, null_text: str = "None") -> Column:
 
     answer = F.when(has("output"), s("output")).when(has("response"), s("response")).otherwise("")
     rest = F.array_join(F.transform(F.map_values(m), lambda v: F.coalesce(v, F.lit(null_text))), " ")
-    return F.when(m.isNull(), raw).when(has("text"), s("text")) \
+    return F.when(m.isNull(), raw).when(has("text"), F.try_element_at(m, F.lit("text"))) \
         .when(has("input") & has("output"), F.concat(s("input"), F.lit("\n"), s("output"))) \
         .when(has("instruction"), _instruction(s("instruction"), answer)).otherwise(rest)
 
@@ -80,13 +80,16 @@ def apply_template(messages: Column, template: str = DEFAULT_TEMPLATE) -> Column
     return F.array_join(F.transform(messages, lambda m: fill(template, {"role": m["role"], "text": m["text"]})), "")
 
 
-def apply_chat_template(turns: DataFrame, template: str = DEFAULT_TEMPLATE, part_turns: int = 4096) -> DataFrame:
-    """One text per conversation and part.  A part holds at most ``part_turns``
-    turns, so a conversation of any length never sits in one task whole;
-    ordinary conversations have the single part 0."""
-    ranked = rank_within(turns, ["conv_id"], ["turn"], "_rn")
+def chat_turns(turns: DataFrame, template: str = DEFAULT_TEMPLATE) -> DataFrame:
+    """The rendered turns as rows (conv_id, turn, text), for conversations too long for one value."""
+    return turns.select("conv_id", "turn", fill(template, {"role": F.col("role"), "text": F.col("text")}).alias("text"))
+
+
+def apply_chat_template(turns: DataFrame, template: str = DEFAULT_TEMPLATE) -> DataFrame:
+    """One text per conversation.  A text is one value, so each conversation must fit a task; ``chat_turns`` has no such
+    bound."""
     msg = F.struct("turn", "role", "text")
-    return ranked.groupBy("conv_id", F.floor((F.col("_rn") - 1) / part_turns).alias("part")).agg(
+    return turns.groupBy("conv_id").agg(
         apply_template(F.sort_array(F.collect_list(msg)), template).alias("text"),
         F.count(F.lit(1)).alias("turns"))
 

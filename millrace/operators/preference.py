@@ -374,7 +374,8 @@ def generalized_jsd(student: Column, teacher: Column, beta: float = 0.5, tempera
             return kl(s, t)
         if beta == 1:
             return kl(t, s)
-        m = F.log(F.exp(s) * F.lit(1 - beta) + F.exp(t) * F.lit(beta))
+        x, y = s + F.lit(math.log(1 - beta)), t + F.lit(math.log(beta))
+        m = F.greatest(x, y) + F.log1p(F.exp(-F.abs(x - y)))
         return F.lit(beta) * kl(m, t) + F.lit(1 - beta) * kl(m, s)
 
     return F.aggregate(F.zip_with(log_softmax(student), log_softmax(teacher), term), F.lit(0.0), lambda a, v: a + v)

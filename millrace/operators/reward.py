@@ -190,6 +190,10 @@ def _whiten(df: DataFrame, col: str, on: Column, shift_mean: bool) -> DataFrame:
     return df.withColumn("_w", stats).withColumn(col, F.when(on, z).otherwise(0.0)).drop("_w")
 
 
+#: Fixed value: the log-prob of positions past the last token.
+PADDING_LOGPROB = 1.0
+
+
 def ppo_token_rewards(df: DataFrame, seq: str, score: Column, pad: int, eos: int, kl_coef: float = 0.05, estimator: str = "k1",
                       missing_eos_penalty: float | None = None, whiten: bool = False) -> DataFrame:
     """``reward`` per token: minus the KL cost, plus the score at the position
@@ -208,6 +212,7 @@ def ppo_token_rewards(df: DataFrame, seq: str, score: Column, pad: int, eos: int
         kl = F.exp(logr) - F.lit(1.0) - logr
     else:
         raise ValueError(f"unknown estimator: {estimator}")
+    kl = F.when(pos <= last, kl).otherwise(0.0)  # both log-probs are one constant past the last token
     out = g.withColumn("last", last).withColumn("kl", kl) \
         .withColumn("reward", F.lit(-kl_coef) * kl + F.when(pos == end, score).otherwise(0.0)).drop("_pad", "_end", "_eos")
     return _whiten(out, "reward", pos <= F.col("last") + 1, shift_mean=False) if whiten else out
@@ -228,10 +233,12 @@ def gae(df: DataFrame, seq: str, gamma: float = 1.0, lam: float = 0.95) -> DataF
 
 def ppo_losses(df: DataFrame, mask: Column, mask_p1: Column, vpred: Column, value: Column, returns: Column, advantage: Column,
                new: Column, old: Column, entropy: Column, clip: float = 0.2, clip_value: float = 0.2, vf_coef: float = 0.1) -> DataFrame:
-    """One row of losses and statistics over all tokens."""
+    """One row of losses and statistics over all tokens.  ``mask`` holds up to the last token of a sequence, ``mask_p1`` one
+    further: beyond, log-probs are equal and values 0.  KL, ratio and entropy are means over all positions."""
+    vpred, value = F.when(mask_p1, vpred).otherwise(0.0), F.when(mask_p1, value).otherwise(0.0)
     clipped = F.least(F.greatest(vpred, value - F.lit(clip_value)), value + F.lit(clip_value))
     v1, v2 = F.pow(vpred - returns, F.lit(2.0)), F.pow(clipped - returns, F.lit(2.0))
-    d = new - old
+    d = F.when(mask, new - old).otherwise(0.0)
     ratio = F.exp(d)
     p1, p2 = -advantage * ratio, -advantage * clamp(ratio, 1 - clip, 1 + clip)
     out = df.agg(
@@ -243,8 +250,10 @@ def ppo_losses(df: DataFrame, mask: Column, mask_p1: Column, vpred: Column, valu
 
 
 def ppo_objective(df: DataFrame, seq: str, score: Column, kl_coef: float = 0.05) -> DataFrame:
-    """Means over sequences of KL, entropy, KL cost and the full reward."""
-    per = df.groupBy(seq).agg(F.sum("kl").alias("kl"), F.sum(-F.col("logp")).alias("entropy"), F.max(score).alias("score"))
+    """Means over sequences of KL, entropy, KL cost and the full reward, from the rows of ``ppo_token_rewards``
+    (``kl`` is 0 past ``last``; the log-prob there is ``PADDING_LOGPROB``)."""
+    logp = F.when(F.col("pos") <= F.col("last"), F.col("logp")).otherwise(PADDING_LOGPROB)
+    per = df.groupBy(seq).agg(F.sum("kl").alias("kl"), F.sum(-logp).alias("entropy"), F.max(score).alias("score"))
     out = per.agg(F.avg("kl").alias("kl"), F.avg("entropy").alias("entropy"), F.avg(F.lit(-kl_coef) * F.col("kl")).alias("non_score_reward"),
                   F.avg("score").alias("scores"))
     return out.withColumn("rlhf_reward", F.col("non_score_reward") + F.col("scores"))

@@ -9,10 +9,9 @@ from ..functions.text import apply_chat_template, render_training_text
 from ..functions.tokens import hashed_words, word_id
 from ..operators import catalog as cat
 from ..operators import preparation as prep
-from ..scale import rank_within
 from ..tables import allocations, ctes, dataset_catalog, pair_logps, table, text_pairs
 from .registry import query
-from .scalars import PAIR_TOKENS_SQL, PART, VOCAB, sql_words
+from .scalars import PAIR_TOKENS_SQL, VOCAB, sql_words
 
 SEED = 7
 
@@ -69,27 +68,24 @@ def sample_with_replacement(spark, sf):
 
 
 @query("apply_chat_template", f"""
-WITH t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4096 AS part FROM conversations)
-SELECT conv_id, part, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) AS text, count(*) AS turns
-FROM t GROUP BY conv_id, part""")
+SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) AS text, count(*) AS turns
+FROM conversations GROUP BY conv_id""")
 def apply_template(spark, sf):
     return apply_chat_template(table(spark, sf, "conversations"))
 
 
 @query("extract_prompt", f"""
-WITH t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // {PART} AS part FROM conversations),
-g AS (SELECT conv_id, part, list(role || ': ' || text ORDER BY turn) AS m FROM t GROUP BY conv_id, part)
-SELECT conv_id, part, m[1:len(m) - 1] AS prompt, [m[len(m)]] AS chosen, [m[len(m)] || '!'] AS rejected FROM g""")
+WITH g AS (SELECT conv_id, list(role || ': ' || text ORDER BY turn) AS m FROM conversations GROUP BY conv_id)
+SELECT conv_id, m[1:len(m) - 1] AS prompt, [m[len(m)]] AS chosen, [m[len(m)] || '!'] AS rejected FROM g""")
 def extract_prompt(spark, sf):
-    c = rank_within(table(spark, sf, "conversations"), ["conv_id"], ["turn"], "rn")
-    g = c.groupBy("conv_id", F.floor((F.col("rn") - 1) / PART).alias("part")).agg(
+    g = table(spark, sf, "conversations").groupBy("conv_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))),
                     lambda s: F.struct(s["role"].alias("role"), s["text"].alias("text"))).alias("chosen"))
     last = F.size("chosen") - 1
     g = g.withColumn("rejected", F.transform("chosen", lambda m, i: F.when(
         i == last, F.struct(m["role"].alias("role"), F.concat(m["text"], F.lit("!")).alias("text"))).otherwise(m)))
     out = prep.extract_prompt_messages(F.col("chosen"), F.col("rejected"))
-    return g.select("conv_id", "part", *[
+    return g.select("conv_id", *[
         F.transform(v, lambda m: F.concat(m["role"], F.lit(": "), m["text"])).alias(k) for k, v in out.items()])
 
 

@@ -182,7 +182,9 @@ def high_entropy_mask(spark, sf):
 
 PPO_SQL = TOK + f""", g AS (SELECT *, {ADV_SQL} AS score, min(CASE WHEN token_id = 0 THEN pos END) OVER s AS pad, max(pos) OVER s AS fin,
   bool_or(token_id = 7) OVER s AS has_eos FROM token_logps WINDOW s AS (PARTITION BY seq_id)),
-h AS (SELECT *, coalesce(pad - 1, fin) AS last, logp - ref_logp AS kl FROM g),
+l AS (SELECT *, coalesce(pad - 1, fin) AS last FROM g),
+f AS (SELECT * REPLACE (CASE WHEN pos > last THEN 1.0 ELSE logp END AS logp, CASE WHEN pos > last THEN 1.0 ELSE ref_logp END AS ref_logp) FROM l),
+h AS (SELECT *, logp - ref_logp AS kl FROM f),
 r AS (SELECT *, -0.05123456789 * kl + CASE WHEN pos = CASE WHEN last + 1 <= fin THEN last + 1 ELSE last END
   THEN score - CASE WHEN has_eos THEN 0.0 ELSE 1.0 END ELSE 0.0 END AS reward FROM h)
 """
@@ -216,28 +218,29 @@ def gae(spark, sf):
     return out.select("seq_id", "pos", *[rnd(F.col(c)).alias(c) for c in ("advantage", "returns", "whitened")])
 
 
-@query("ppo_losses_and_stats", TOK + f""", t AS (SELECT *, {ADV_SQL} AS a, value + entropy AS vp, value * 0.9 AS ret FROM token_logps),
+@query("ppo_losses_and_stats", PPO_SQL + f""", t AS (SELECT * REPLACE (CASE WHEN pos > last THEN 1.0 ELSE old_logp END AS old_logp,
+    CASE WHEN pos > last + 1 THEN 0.0 ELSE value END AS value, CAST(pos <= last AS INT) AS mask), pos <= last + 1 AS p1m, {ADV_SQL} AS a,
+  CASE WHEN pos > last + 1 THEN 0.0 ELSE value + entropy END AS vp, value * 0.9 AS ret FROM r),
 u AS (SELECT *, least(greatest(vp, value - 0.2), value + 0.2) AS vc, exp(logp - old_logp) AS ratio FROM t),
 w AS (SELECT *, pow(vp - ret, 2) AS v1, pow(vc - ret, 2) AS v2, -a * ratio AS p1, -a * least(greatest(ratio, 0.95), 1.05) AS p2 FROM u),
-x AS (SELECT 0.5 * avg(greatest(v1, v2)) AS vl, avg(CASE WHEN v2 > v1 THEN 1.0 ELSE 0.0 END) AS vcf,
+x AS (SELECT 0.5 * avg(greatest(v1, v2)) FILTER (p1m) AS vl, avg(CASE WHEN v2 > v1 THEN 1.0 ELSE 0.0 END) FILTER (p1m) AS vcf,
   avg(greatest(p1, p2)) FILTER (mask = 1) AS pl, avg(CASE WHEN p2 > p1 THEN 1.0 ELSE 0.0 END) FILTER (mask = 1) AS pcf,
   0.5 * avg(pow(logp - old_logp, 2)) AS kl, avg(entropy) AS e, avg(ratio) AS r FROM w)
 SELECT {sql_rnd('vl')} AS value_loss, {sql_rnd('vcf')} AS value_clipfrac, {sql_rnd('pl')} AS policy_loss, {sql_rnd('pcf')} AS policy_clipfrac,
   {sql_rnd('kl')} AS approx_kl, {sql_rnd('e')} AS entropy, {sql_rnd('r')} AS ratio, {sql_rnd('pl + 0.1 * vl')} AS loss FROM x""")
 def ppo_losses_and_stats(spark, sf):
-    t = tokens_unordered(spark, sf)
+    t = _ppo(spark, sf)
     v = F.col("value")
-    out = rl.ppo_losses(t, F.col("mask") == 1, F.lit(True), v + F.col("entropy"), v, v * F.lit(0.9), adv(), F.col("logp"), F.col("old_logp"),
+    out = rl.ppo_losses(t, F.col("pos") <= F.col("last"), F.col("pos") <= F.col("last") + 1, v + F.col("entropy"), v, v * F.lit(0.9), adv(), F.col("logp"), F.col("old_logp"),
                         F.col("entropy"), clip=0.05)
     return out.select(*[rnd(F.col(c)).alias(c) for c in out.columns])
 
 
-@query("ppo_objective", TOK + f""", p AS (SELECT seq_id, sum(logp - ref_logp) AS kl, sum(-logp) AS e, max({ADV_SQL}) AS s FROM token_logps GROUP BY seq_id)
+@query("ppo_objective", PPO_SQL + f""", p AS (SELECT seq_id, sum(kl) AS kl, sum(-logp) AS e, max({ADV_SQL}) AS s FROM r GROUP BY seq_id)
 SELECT {sql_rnd('avg(kl)')} AS kl, {sql_rnd('avg(e)')} AS entropy, {sql_rnd('avg(-0.05 * kl)')} AS non_score_reward, {sql_rnd('avg(s)')} AS scores,
   {sql_rnd('avg(-0.05 * kl) + avg(s)')} AS rlhf_reward FROM p""")
 def ppo_objective(spark, sf):
-    t = tokens_unordered(spark, sf).withColumn("kl", F.col("logp") - F.col("ref_logp"))
-    out = rl.ppo_objective(t, "seq_id", adv())
+    out = rl.ppo_objective(_ppo(spark, sf), "seq_id", adv())
     return out.select(*[rnd(F.col(c)).alias(c) for c in out.columns])
 
 
@@ -255,12 +258,12 @@ def ddpo_loss(spark, sf):
 WITH e AS (SELECT user_id AS run_id, day(ts) AS step, CASE WHEN event_id % 5 = 0 THEN 'eval' ELSE 'train' END AS mode, event_type, value FROM events)
 SELECT run_id, step, """ + ", ".join(
     f"round(avg(value) FILTER (event_type = '{m}' AND mode = '{k}'), 6) AS {p}{m}" for k, p in (("train", ""), ("eval", "eval_"))
-    for m in ("view", "click", "purchase")) + " FROM e GROUP BY run_id, step")
+    for m in ("view", "click", "purchase", "signup", "error")) + " FROM e GROUP BY run_id, step")
 def metric_rollup(spark, sf):
     e = table(spark, sf, "events").select(
         F.col("user_id").alias("run_id"), F.dayofmonth("ts").cast("long").alias("step"),
         F.when(F.col("event_id") % 5 == 0, "eval").otherwise("train").alias("mode"), "event_type", "value")
-    out = rl.metric_rollup(e, ["run_id", "step"], "mode", "event_type", "value", ["view", "click", "purchase"])
+    out = rl.metric_rollup(e, ["run_id", "step"], "mode", "event_type", "value", ["view", "click", "purchase", "signup", "error"])
     return out.select("run_id", "step", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("run_id", "step")])
 
 

@@ -72,9 +72,9 @@ def transition_guard_actions(spark, sf):
     return st.action_guard(r, "job", F.col("action"), F.col("status"))
 
 
-LOG_SQL = RUNS + """, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS rn FROM run_events)
-SELECT run_id, (rn - 1) // 4096 AS part, string_agg('[' || strftime(ts, '%H:%M:%S') || '] status ' || status || chr(10), '' ORDER BY rn) AS log,
-  count(*) AS lines FROM r GROUP BY run_id, (rn - 1) // 4096"""
+LOG_SQL = RUNS + """
+SELECT run_id, string_agg('[' || strftime(ts, '%H:%M:%S') || '] status ' || status || chr(10), '' ORDER BY ts, event_id) AS log,
+  count(*) AS lines FROM run_events GROUP BY run_id"""
 
 
 @query("log_append", LOG_SQL)

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import names, numeric, text, tokens
 from ..functions.numeric import rnd
-from ..scale import rank_within
 from ..tables import ctes, table, text_pairs, token_logps
 from .registry import query
 
 VOCAB = 1000
-PART = 1024  # tokens per array row; a longer sequence continues in the next part
 
 
 def sql_words(text_sql: str, vocab: int = VOCAB) -> str:
@@ -21,17 +19,17 @@ def sql_words(text_sql: str, vocab: int = VOCAB) -> str:
 
 
 def sequence_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    """Token arrays per sequence, cut into parts of at most ``PART`` tokens."""
+    """Token arrays, one row per sequence."""
     t = token_logps(spark, sf)
     s = F.sort_array(F.collect_list(F.struct("pos", "token_id", "logp", "mask")))
-    return t.groupBy("seq_id", F.floor(F.col("pos") / PART).alias("part")).agg(s.alias("s")).select(
-        "seq_id", "part", F.col("s.token_id").alias("ids"), F.col("s.logp").alias("logps"),
+    return t.groupBy("seq_id").agg(s.alias("s")).select(
+        "seq_id", F.col("s.token_id").alias("ids"), F.col("s.logp").alias("logps"),
         F.col("s.mask").alias("mask"))
 
 
-SEQ_SQL = ctes("token_logps") + f""", seqs AS (
-SELECT seq_id, pos // {PART} AS part, list(token_id ORDER BY pos) AS ids, list(logp ORDER BY pos) AS logps,
-       list(mask ORDER BY pos) AS mask FROM token_logps GROUP BY seq_id, pos // {PART})
+SEQ_SQL = ctes("token_logps") + """, seqs AS (
+SELECT seq_id, list(token_id ORDER BY pos) AS ids, list(logp ORDER BY pos) AS logps,
+       list(mask ORDER BY pos) AS mask FROM token_logps GROUP BY seq_id)
 """
 
 
@@ -104,7 +102,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("render_training_text", """
-SELECT 'c' || conv_id || '-' || turn AS row_id, CASE turn WHEN 0 THEN 'None' WHEN 1 THEN role || chr(10) || text
+SELECT 'c' || conv_id || '-' || turn AS row_id, CASE turn WHEN 0 THEN NULL WHEN 1 THEN role || chr(10) || text
   WHEN 2 THEN '### Instruction:' || chr(10) || text || chr(10) || chr(10) || '### Response:' || chr(10) || role
   WHEN 3 THEN text || ' None ' || role ELSE text END AS text FROM conversations
 UNION ALL SELECT 'd' || doc_id, text FROM documents""")
@@ -168,27 +166,27 @@ def budget_pair_tokens(spark, sf):
 
 
 @query("step_labels", f"""
-WITH s AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // {PART} AS part, turn,
+WITH s AS (SELECT conv_id, turn,
   {sql_words('text')} AS ids, CAST(role = 'assistant' AS BIGINT) AS label FROM conversations)
-SELECT conv_id, part, list_concat([1], flatten(list(list_append(ids, 0) ORDER BY turn))) AS input_ids,
+SELECT conv_id, list_concat([1], flatten(list(list_append(ids, 0) ORDER BY turn))) AS input_ids,
   list_concat([-100], flatten(list(list_append(list_transform(ids, lambda x: -100), label) ORDER BY turn))) AS labels,
   CAST(sum(len(ids) + 1) + 1 AS BIGINT) AS n_tokens
-FROM s GROUP BY conv_id, part""")
+FROM s GROUP BY conv_id""")
 def step_labels(spark, sf):
-    c = rank_within(table(spark, sf, "conversations"), ["conv_id"], ["turn"], "rn").select(
-        "conv_id", F.floor((F.col("rn") - 1) / PART).alias("part"), "turn",
+    c = table(spark, sf, "conversations").select(
+        "conv_id", "turn",
         tokens.hashed_words(F.col("text"), VOCAB, "md5").alias("ids"), (F.col("role") == "assistant").alias("label"))
-    g = c.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "ids", "label"))).alias("s"))
+    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "ids", "label"))).alias("s"))
     steps, labels = F.col("s.ids"), F.col("s.label")
     return g.select(
-        "conv_id", "part",
+        "conv_id",
         F.array_prepend(tokens.step_ids(steps, 0), F.lit(1).cast("long")).alias("input_ids"),
         F.array_prepend(tokens.step_labels(steps, labels), F.lit(-100).cast("long")).alias("labels")) \
         .withColumn("n_tokens", F.size("labels").cast("long"))
 
 
 @query("token_mask_ops", SEQ_SQL + """, l AS (SELECT *, CASE WHEN list_position(mask, 1) IS NULL OR list_position(mask, 1) = 0 THEN len(mask) ELSE list_position(mask, 1) - 1 END AS lead FROM seqs)
-SELECT seq_id, part, len(list_filter(ids[1:3], lambda x: x = 0)) AS pads,
+SELECT seq_id, len(list_filter(ids[1:3], lambda x: x = 0)) AS pads,
   list_transform(ids, lambda x, i: CAST((i - 1) >= 3 - lead AND x <> 0 AS INT)) AS completion,
   list_concat(list_filter(ids, lambda x: x <> 0), list_filter(ids, lambda x: x = 0)) AS packed,
   list_concat(list_transform(range(lead), lambda x: 0.0::DOUBLE), logps[1:len(mask) - lead]) AS aligned
@@ -198,16 +196,16 @@ def token_mask_ops(spark, sf):
     at = F.array_position("mask", 1)
     lead = F.when(at == 0, F.size("mask").cast("long")).otherwise(at - 1)
     return s.select(
-        "seq_id", "part", tokens.pad_count(F.col("ids"), 3, 0).cast("long").alias("pads"),
+        "seq_id", tokens.pad_count(F.col("ids"), 3, 0).cast("long").alias("pads"),
         tokens.completion_mask(F.col("ids"), lead, F.lit(3), 0).alias("completion"),
         tokens.left_pack(F.col("ids"), 0).alias("packed"),
         tokens.align_logprobs(F.col("logps"), F.col("mask")).alias("aligned"))
 
 
-@query("eos_mask", SEQ_SQL + """, l AS (SELECT seq_id, part, ids, coalesce(nullif(list_position(ids, 7), 0), 0) AS fst FROM seqs),
+@query("eos_mask", SEQ_SQL + """, l AS (SELECT seq_id, ids, coalesce(nullif(list_position(ids, 7), 0), 0) AS fst FROM seqs),
 m AS (SELECT *, CASE WHEN fst = 0 THEN len(ids) ELSE fst END AS length FROM l),
 c AS (SELECT *, list_transform(ids, lambda x, i: CASE WHEN fst > 0 AND i > fst THEN 0 ELSE x END) AS cut FROM m)
-SELECT seq_id, part, list_transform(ids, lambda x, i: CAST(i <= length AS INT)) AS mask, length, fst > 0 AS terminated,
+SELECT seq_id, list_transform(ids, lambda x, i: CAST(i <= length AS INT)) AS mask, length, fst > 0 AS terminated,
   list_transform(ids, lambda x, i: CAST(i <= length AND fst > 0 AS INT)) AS mask_finished, cut AS cut_ids,
   CASE WHEN coalesce(list_position(cut, 0), 0) = 0 THEN len(cut) ELSE list_position(cut, 0) - 1 END - 1 AS cut_length
 FROM c""")
@@ -215,7 +213,7 @@ def eos_mask(spark, sf):
     ids = F.col("ids")
     m, m2, c = tokens.eos_mask(ids, 7), tokens.eos_mask(ids, 7, True), tokens.cut_after_stop(ids, 7, 0)
     return sequence_arrays(spark, sf).select(
-        "seq_id", "part", *[v.alias(k) for k, v in m.items()], m2["mask"].alias("mask_finished"),
+        "seq_id", *[v.alias(k) for k, v in m.items()], m2["mask"].alias("mask_finished"),
         c["ids"].alias("cut_ids"), c["length"].alias("cut_length"))
 
 

@@ -4,14 +4,14 @@ A key, batch or source may hold a third of all rows.  Plain keyed windows and
 the join of rows with their own group statistics then put that third into one
 task.  The helpers here first count rows per hash bucket of the key (one
 map-side combined pass that moves at most ``BUCKETS`` rows per task) and treat
-the few overfull buckets another way.  At most a quarter of the buckets can
-exceed four times the mean, so the list of hot buckets is bounded by a constant.
+the overfull buckets another way.  The list of hot buckets is bounded by ``BUCKETS``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,33 +46,45 @@ def hot_buckets(df: DataFrame, keys: Sequence[str]) -> list[int]:
     """Hash buckets of ``keys`` too full for one task."""
     rows = df.groupBy(_bucket(keys).alias("b")).count().collect()
     mean = sum(r["count"] for r in rows) / BUCKETS
-    limit = max(_hot_rows(df.sparkSession), 4 * mean)
-    return sorted(r["b"] for r in rows if r["count"] > limit)
+    return sorted(r["b"] for r in rows if r["count"] > _limit(df.sparkSession, mean))
 
 
-def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join rows with a frame that has one row per key.
+def _limit(spark: SparkSession, mean: float) -> float:
+    """Rows of a bucket above which its keys take the other route: the set number, and the mean where buckets
+    of ordinary keys are larger than that (there half of them or fewer are listed, 4,096 at most)."""
+    return max(_hot_rows(spark), mean)
+
+
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", null_safe: bool = False) -> DataFrame:
+    """Join rows with a frame that has one row per key; with ``null_safe`` null is a key like others.
 
     Left rows in hot buckets get a salt from the hash of the whole row and the
     matching right rows are repeated once per salt; all other rows join plainly.
     """
     keys = list(keys)
     hot = hot_buckets(left, keys)
+    def equal(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        if not null_safe:
+            return a.join(b, on, how)
+        b = b.select(*[F.col(k).alias(f"_same_{k}") for k in on], *[c for c in b.columns if c not in on])
+        same = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in on]
+        return a.join(b, reduce(lambda x, y: x & y, same), how).drop(*[f"_same_{k}" for k in on])
+
     if not hot:
-        return left.join(right, keys, how)
+        return equal(left, right, keys)
     is_hot = _bucket(keys).isin(hot)
     hashable = [F.col(f.name) for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
     salted = left.withColumn(
         "_salt", F.when(is_hot, F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
     spread = right.withColumn(
         "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return salted.join(spread, keys + ["_salt"], how).drop("_salt")
+    return equal(salted, spread, keys + ["_salt"]).drop("_salt")
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     """Every row with aggregates of its group (partial aggregation, then a
     hot-safe join back) in place of an unordered keyed window."""
-    return join_on_keys(df, df.groupBy(*keys).agg(*aggs), keys)
+    return join_on_keys(df, df.groupBy(*keys).agg(*aggs), keys, null_safe=True)
 
 
 def _range_rank(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

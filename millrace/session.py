@@ -32,8 +32,8 @@ def get_spark(app: str = "millrace", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither the session nor the context names one (tests, local
-    mode) a fresh temporary folder is set.
+    Only in local mode, where neither the session nor the context names one, a fresh
+    temporary folder is set; elsewhere that is an error, since executors would not share it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
     return spark.sparkContext.getCheckpointDir()
 

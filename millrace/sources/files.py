@@ -79,10 +79,8 @@ def json_array_scan(spark: SparkSession, path: str, schema: T.StructType | None
     reader = spark.read.option("multiLine", True)
     if schema is not None:
         return reader.schema(schema).json(path)
-    if not names:
-        return spark.createDataFrame([], T.StructType([]))
     rows = reader.json(path)
-    return rows.select(*names, *[c for c in rows.columns if c not in names])
+    return rows.select(*[F.col(f"`{c}`") for c in [*[n for n in names if n in rows.columns], *[c for c in rows.columns if c not in names]]])
 
 
 def json_lines_scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..scale import rank_within, with_previous
+from ..scale import with_previous
 from ..sources.files import ALLOWED_EXTENSIONS
 
 # States an action may start from, for jobs and for projects.
@@ -80,13 +80,17 @@ def action_guard(requests: DataFrame, kind: str, action: Column, status: Column)
         "reason", F.when(~F.col("allowed"), F.concat(F.lit("cannot "), action, F.lit(f" a {kind} that is "), status)))
 
 
-def log_append(events: DataFrame, message: Column, run: str = "run_id", part_lines: int = 4096) -> DataFrame:
-    """The run's log text, ``[HH:MM:SS] message`` per line in event order, in
-    parts of at most ``part_lines`` lines (a long log is never one value)."""
-    r = rank_within(events.withColumn("_msg", message), [run], ["ts", "event_id"], "_rn")
-    line = F.concat(F.lit("["), F.date_format("ts", "HH:mm:ss"), F.lit("] "), F.col("_msg"), F.lit("\n"))
-    lines = F.sort_array(F.collect_list(F.struct("_rn", line.alias("line"))))
-    return r.groupBy(run, F.floor((F.col("_rn") - 1) / part_lines).alias("part")).agg(
+def log_lines(events: DataFrame, message: Column, run: str = "run_id") -> DataFrame:
+    """One formatted line per event, for logs too long for one value."""
+    line = F.concat(F.lit("["), F.date_format("ts", "HH:mm:ss"), F.lit("] "), message, F.lit("\n"))
+    return events.select(run, "ts", "event_id", line.alias("line"))
+
+
+def log_append(events: DataFrame, message: Column, run: str = "run_id") -> DataFrame:
+    """The run's log text, ``[HH:MM:SS] message`` per line in event order.  A text is one
+    value, so each log must fit a task; ``log_lines`` has no such bound."""
+    lines = F.sort_array(F.collect_list(F.struct("ts", "event_id", "line")))
+    return log_lines(events, message, run).groupBy(run).agg(
         F.array_join(F.transform(lines, lambda s: s["line"]), "").alias("log"), F.count(F.lit(1)).alias("lines"))
 
 
@@ -225,10 +229,11 @@ def discover_files(spark: SparkSession, root: str, path: str, extensions: Sequen
     """Register files that no earlier call with the same ``path`` has seen; the
     stream's checkpoint is the memory.  Returns all registered files with the
     number of the call's micro-batch."""
-    glob = "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}"
+    # no age limit: a file older than others seen before is still new here
     files = spark.readStream.format("binaryFile").schema(
-        "path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", True) \
-        .load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+        "path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFileAge", "36500d") \
+        .load(root).select("path", "length", F.col("modificationTime").alias("modified")) \
+        .filter(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*[e.lower() for e in extensions]))
     run_to_end(files, f"{path}/_checkpoint", "append", _batch_writer(f"{path}/table"))
     return spark.read.parquet(f"{path}/table")
 

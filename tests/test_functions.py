@@ -58,7 +58,7 @@ def test_format_bytes(spark, n, want):
 
 
 @pytest.mark.parametrize("raw,want", [
-    ('{"text": null}', "None"), ('{"input": "a"}', "a"), ('{"instruction": "i"}', "### Instruction:\ni\n\n### Response:\n"),
+    ('{"text": null}', None), ('{"input": "a"}', "a"), ('{"instruction": "i"}', "### Instruction:\ni\n\n### Response:\n"),
     ('{"instruction": "i", "response": "r"}', "### Instruction:\ni\n\n### Response:\nr"), ('{"z": 1, "y": null}', "1 None"),
     ('{"text": "t", "instruction": "i"}', "t"), ("a bare string", "a bare string"), ('{"input": "a", "output": null}', "a\nNone")])
 def test_render_map_text(spark, raw, want):
@@ -71,7 +71,7 @@ def test_render_uniform(spark):
         return df.select(text.render_training_text(df)).first()[0]
     assert r("select 'a' as input, 'b' as output") == "a\nb"
     assert r("select 'i' as instruction, 'r' as response") == "### Instruction:\ni\n\n### Response:\nr"
-    assert r("select cast(null as string) as text, 1 as input") == "None"
+    assert r("select cast(null as string) as text, 1 as input") is None
     assert r("select 1 as a, cast(null as int) as b") == "1 None"
 
 

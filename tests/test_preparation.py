@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import scale
-from millrace.functions.text import apply_chat_template, fill
+from millrace.functions.text import apply_chat_template, chat_turns, fill
 from millrace.functions.tokens import hashed_words
 from millrace.operators import preparation as prep
 
@@ -72,10 +72,12 @@ def test_sample_with_replacement(spark):
     assert prep.sample_with_replacement(spark.range(2000), "id", 512).count() == 512
 
 
-def test_chat_template_parts(spark):
+def test_long_conversation_is_one_text(spark):
     t = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(5)] + [(2, 0, "system", "{role}")], "conv_id int, turn int, role string, text string")
-    got = apply_chat_template(t, "{role}:{text};", part_turns=2)
-    assert rows(got) == [(1, 0, "user:t0;user:t1;", 2), (1, 1, "user:t2;user:t3;", 2), (1, 2, "user:t4;", 1), (2, 0, "system:{role};", 1)]
+    assert rows(apply_chat_template(t, "{role}:{text};")) == [(1, "user:t0;user:t1;user:t2;user:t3;user:t4;", 5), (2, "system:{role};", 1)]
+    assert (1, 3, "user:t3;") in rows(chat_turns(t, "{role}:{text};"))
+    long = spark.range(5000).select(F.lit(1).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.lit("u").alias("role"), F.col("id").cast("string").alias("text"))
+    assert rows(apply_chat_template(long, "{text},")) == [(1, "".join(f"{i}," for i in range(5000)), 5000)]
 
 
 def test_fill_does_not_rescan_values(spark):

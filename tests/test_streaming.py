@@ -67,10 +67,10 @@ def test_log_stream_equals_batch(spark, events, tmp_path):
     assert rows(got) == rows(st.log_append(batch(spark, events), msg))
 
 
-def test_log_parts(spark, events):
+def test_log_is_one_text(spark, events):
     one = st.log_append(batch(spark, events), F.lit("m")).filter("run_id = 0").first()
-    cut = st.log_append(batch(spark, events), F.lit("m"), part_lines=10).filter("run_id = 0").orderBy("part").collect()
-    assert "".join(r.log for r in cut) == one.log and max(r.lines for r in cut) == 10
+    lines = st.log_lines(batch(spark, events), F.lit("m")).filter("run_id = 0").orderBy("ts", "event_id").collect()
+    assert "".join(r.line for r in lines) == one.log and len(lines) == one.lines
     assert one.log.startswith("[00:00:00] m\n[00:49:00] m\n")
 
 
