@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import bisect
-import math
+from bisect import insort
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import keep_first
-from ..scale import dense_index, join_on_keys, join_small, spread
+from ..scale import dense_index, join_on_keys, join_small, rank_within, running_sums, spread
 from ..session import materialise
 
 
@@ -144,79 +143,83 @@ def detokenize(df: DataFrame, ids: str, vocab: DataFrame) -> DataFrame:
         F.transform(ids, lambda i: F.get("_v", i.cast("int"))), " ")).drop("_v")
 
 
-def _best_fit(lengths: list[int], cap: int) -> list[tuple[int, int]]:
-    """(bin, offset) per length, best-fit decreasing."""
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    free: list[tuple[int, int]] = []
-    placed: list[tuple[int, int]] = [(0, 0)] * len(lengths)
+def best_fit_slots(counts: dict[int, int], cap: int) -> list[tuple[int, int, int, int, int]]:
+    """Best-fit decreasing on a histogram of lengths (1 to ``cap``): rows (length, rank, each, bin, offset).
+
+    Sequences of a length, ranked from ``rank`` on, lie ``each`` to a bin, from ``bin`` on, the first at ``offset``.
+    Bins with equal room are ranges of numbers, so the work depends on the lengths that occur, not on
+    the number of sequences: a bin takes as many of a length as it holds before the next one is touched."""
+    slots = []
+    room: dict[int, list[tuple[int, int]]] = {}  # free tokens -> ranges of bins, by number
     bins = 0
-    for i in order:
-        at = bisect.bisect_left(free, (lengths[i], -1))
-        if at == len(free):
-            room, b = cap, bins
-            bins += 1
-        else:
-            room, b = free.pop(at)
-        placed[i] = (b, cap - room)
-        if room > lengths[i]:
-            bisect.insort(free, (room - lengths[i], b))
-    return placed
-
-
-def pack_sequences(lengths: DataFrame, key: str, length: str, max_length: int, strategy: str = "bfd",
-                   shard_rows: int = 20_000) -> DataFrame:
-    """Place sequences into rows of ``max_length`` tokens: (key, piece, len, shard, bin, offset).
-
-    Sequences longer than a row are first cut into pieces, so no token is lost.
-    Rows are spread by the hash of their key over shards of about ``shard_rows``
-    sequences and each shard is packed alone.  Only keys and lengths go through
-    Python; tokens follow by join (``packed_tokens``)."""
-    lengths = materialise(lengths.select(key, length))  # the texts are measured once
-    n = lengths.count()
-    shards = max(1, math.ceil(n / shard_rows))
-    cut = lengths.select(key, F.col(length).cast("long").alias("_len"),
-                         (F.conv(F.substring(seeded_hash(0, F.col(key)), 1, 8), 16, 10).cast("long") % shards).alias("shard"))
+    for length in sorted(counts, reverse=True):
+        left, rank = counts[length], 0
+        while left:
+            free = min((f for f in room if f >= length), default=cap)
+            each = free // length
+            first, last = room[free].pop(0) if free in room else (bins, bins + -(-left // each))
+            if free in room and not room[free]:
+                del room[free]
+            if first == bins:
+                bins = last
+            full = min(last - first, left // each)
+            for n, k in ((full, each), (min(1, last - first - full), left - full * each)):
+                if n and 0 < k <= each:
+                    slots.append((length, rank, k, first, cap - free))
+                    if free > k * length:
+                        insort(room.setdefault(free - k * length, []), (first, first + n))
+                    first, rank, left = first + n, rank + n * k, left - n * k
+            if first < last:
+                insort(room.setdefault(free, []), (first, last))
+    return slots
+
+
+def pack_sequences(lengths: DataFrame, key: str, length: str, max_length: int, strategy: str = "bfd") -> DataFrame:
+    """Place sequences into rows of ``max_length`` tokens: (key, start, len, bin, offset).
+
+    ``wrapped`` lays them end to end by key.  ``bfd`` cuts longer ones into pieces, so no token is lost, and places pieces best-fit
+    decreasing, those of one length by key and start.  The bins follow from the histogram of lengths (``max_length`` rows at
+    most), and a piece's place from its rank within its length.  Only keys and lengths move; tokens follow
+    by join (``packed_tokens``)."""
+    lengths = materialise(lengths.select(key, F.col(length).cast("long").alias("_len")))  # the texts are measured once
     if strategy == "wrapped":
-        w = Window.partitionBy("shard").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        at = cut.withColumn("_at", F.coalesce(F.sum("_len").over(w), F.lit(0)))
+        summed = running_sums(dense_index(lengths.filter("_len > 0"), [key], "_i"), "_i", ["_len"])
+        at = summed.withColumn("_at", F.col("cum__len") - F.col("_len"))
         first, last = F.floor(F.col("_at") / max_length), F.floor((F.col("_at") + F.col("_len") - 1) / max_length)
-        rows = at.filter("_len > 0").select("*", F.explode(F.sequence(first, last)).alias("bin"))
+        rows = at.select("*", F.explode(F.sequence(first, last)).alias("bin"))
         start = F.greatest(F.col("_at"), F.col("bin") * max_length)
         end = F.least(F.col("_at") + F.col("_len"), (F.col("bin") + 1) * max_length)
-        return rows.select(key, (start - F.col("_at")).alias("start"), (end - start).alias("len"), "shard", "bin",
+        return rows.select(key, (start - F.col("_at")).alias("start"), (end - start).alias("len"), "bin",
                            (start - F.col("bin") * max_length).alias("offset"))
     if strategy != "bfd":
         raise ValueError(f"unknown packing strategy: {strategy}")
-    pieces = cut.filter("_len > 0").select(
-        key, "shard", "_len", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_len") - 1) / max_length))).alias("p")) \
-        .select(key, "shard", (F.col("p") * max_length).alias("start"),
-                F.least(F.lit(max_length).cast("long"), F.col("_len") - F.col("p") * max_length).alias("len"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([key, "start"])
-        placed = _best_fit(pdf["len"].tolist(), max_length)
-        return pdf.assign(bin=[b for b, _ in placed], offset=[o for _, o in placed])
-
-    whole, rest = F.col("len") == max_length, F.col("len") < max_length
-    # full pieces are bins of their own and skip Python, so one endless sequence adds nothing to its shard
-    full = pieces.filter(whole).select(key, "start", "len", (-F.col("shard") - 1).alias("shard"),
-                                       F.concat_ws(":", F.col(key).cast("string"), F.col("start").cast("string")).alias("bin"),
-                                       F.lit(0).cast("long").alias("offset"))
-    kt = dict(lengths.dtypes)[key]
-    packed = pieces.filter(rest).groupBy("shard").applyInPandas(
-        pack, f"{key} {kt}, shard long, start long, len long, bin long, offset long")
-    return packed.select(key, "start", "len", "shard", F.col("bin").cast("string").alias("bin"), "offset").unionByName(full)
+    pieces = materialise(lengths.filter("_len > 0").select(
+        key, "_len", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_len") - 1) / max_length))).alias("p"))
+        .select(key, (F.col("p") * max_length).alias("start"),
+                F.least(F.lit(max_length).cast("long"), F.col("_len") - F.col("p") * max_length).alias("len")))
+    counts = {r["len"]: r["count"] for r in pieces.groupBy("len").count().collect()}
+    slots = best_fit_slots(counts, max_length)
+    ends = {(a[0], a[1]): b[1] for a, b in zip(slots, slots[1:], strict=False) if a[0] == b[0]}
+    table = lengths.sparkSession.createDataFrame(
+        [(n, r, ends.get((n, r), counts[n]), k, b, o) for n, r, k, b, o in slots],
+        "len long, _from long, _to long, _each long, _bin long, _offset long")
+    ranked = rank_within(pieces, ["len"], [key, "start"], "_rank")
+    i = F.col("_rank") - 1 - F.col("_from")
+    # as many rows as best-fit steps, bounded by the lengths that can occur
+    return ranked.join(F.broadcast(table), "len").filter("_rank > _from and _rank <= _to").select(
+        key, "start", "len", (F.col("_bin") + F.floor(i / F.col("_each"))).alias("bin"),
+        (F.col("_offset") + i % F.col("_each") * F.col("len")).alias("offset"))
 
 
 def packed_tokens(seqs: DataFrame, placed: DataFrame, key: str, ids: str) -> DataFrame:
     """Token rows of the packed bins (each at most ``max_length`` tokens).  A
     sequence meets the list of its pieces once and is cut there, so its ids are
     not repeated per piece."""
-    lists = placed.groupBy(key).agg(F.collect_list(F.struct("start", "len", "shard", "bin", "offset")).alias("_p"))
+    lists = placed.groupBy(key).agg(F.collect_list(F.struct("start", "len", "bin", "offset")).alias("_p"))
     piece = seqs.select(key, ids).join(lists, key).select(F.inline(F.transform("_p", lambda p: F.struct(
-        p["shard"].alias("shard"), p["bin"].alias("bin"), p["offset"].alias("offset"),
+        p["bin"].alias("bin"), p["offset"].alias("offset"),
         F.slice(ids, (p["start"] + 1).cast("int"), p["len"].cast("int")).alias("t")))))
-    return piece.groupBy("shard", "bin").agg(F.flatten(F.transform(
+    return piece.groupBy("bin").agg(F.flatten(F.transform(
         F.sort_array(F.collect_list(F.struct("offset", "t"))), lambda s: s["t"])).alias("input_ids"))
 
 

@@ -144,18 +144,17 @@ def pack_sequences(spark, sf):
 SELECT count(*) FILTER (n > 0) AS sequences, CAST(sum(n) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS overlapping FROM l""")
 def pack_sequences_totals(spark, sf):
     p = prep.pack_sequences(_lengths(spark, sf), "doc_id", "n", 512)
-    bins = p.groupBy("shard", "bin").agg(F.sum("len").alias("fill"), F.max(F.col("offset") + F.col("len")).alias("end"))
+    bins = p.groupBy("bin").agg(F.sum("len").alias("fill"), F.max(F.col("offset") + F.col("len")).alias("end"))
     bad = bins.agg(F.count_if(F.col("fill") > 512).alias("overfull"), F.count_if(F.col("fill") != F.col("end")).alias("overlapping"))
     return p.agg(F.count_distinct("doc_id").alias("sequences"), F.sum("len").alias("tokens")) \
         .withColumn("overfull", bad.select("overfull").scalar()).withColumn("overlapping", bad.select("overlapping").scalar())
 
 
 @query("pack_sequences_wrapped", "WITH " + LENGTHS_SQL + """,
-s AS (SELECT doc_id, n, CAST('0x' || substr(md5('0:' || doc_id), 1, 8) AS BIGINT) % greatest(1, CAST(ceil((SELECT count(*) FROM l) / 20000.0) AS BIGINT)) AS shard FROM l),
-a AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY shard ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at0 FROM s),
+a AS (SELECT *, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at0 FROM l),
 b AS (SELECT *, unnest(range(at0 // 512, (at0 + n - 1) // 512 + 1)) AS bin FROM a WHERE n > 0)
 SELECT doc_id, greatest(at0, bin * 512) - at0 AS start, least(at0 + n, (bin + 1) * 512) - greatest(at0, bin * 512) AS len,
-  shard, bin, greatest(at0, bin * 512) - bin * 512 AS offset FROM b""")
+  bin, greatest(at0, bin * 512) - bin * 512 AS offset FROM b""")
 def pack_sequences_wrapped(spark, sf):
     return prep.pack_sequences(_lengths(spark, sf), "doc_id", "n", 512, "wrapped")
 

@@ -124,27 +124,53 @@ def test_detokenize_round_trip(spark):
 
 
 @pytest.mark.parametrize("strategy", ["bfd", "wrapped"])
-@pytest.mark.parametrize("shard_rows", [7, 1000])
-def test_packing_invariants(spark, strategy, shard_rows):
+def test_packing_invariants(spark, strategy):
     rng = random.Random(1)
     lens = [(i, rng.choice([0, 1, 5, 16, 17, 40, 333])) for i in range(60)]
     df = spark.createDataFrame(lens, "id long, n int")
-    p = prep.pack_sequences(df, "id", "n", 16, strategy, shard_rows).collect()
+    p = prep.pack_sequences(df, "id", "n", 16, strategy).collect()
     assert sum(r.len for r in p) == sum(n for _, n in lens)
     for i, n in lens:  # each token of each sequence is placed once
         spots = sorted((r.start, r.len) for r in p if r.id == i)
         assert sum(x for _, x in spots) == n and all(a + x == b for (a, x), (b, _) in zip(spots, spots[1:]))
     bins = {}
     for r in p:
-        bins.setdefault((r.shard, r.bin), []).append((r.offset, r.len))
+        bins.setdefault(r.bin, []).append((r.offset, r.len))
     for spots in bins.values():
         spots.sort()
         assert spots[0][0] == 0 and all(a + x == b for (a, x), (b, _) in zip(spots, spots[1:]))
         assert sum(x for _, x in spots) <= 16
 
 
-def test_best_fit_decreasing():
-    assert [b for b, _ in prep._best_fit([4, 8, 1, 2, 6], 10)] == [1, 0, 2, 0, 1]
+def _plain_best_fit(lengths, cap):
+    """Bin of each length, item by item."""
+    free, placed = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        fits = [(f, b) for b, f in enumerate(free) if f >= lengths[i]]
+        b = min(fits)[1] if fits else len(free)
+        if not fits:
+            free.append(cap)
+        placed[i] = (b, cap - free[b])
+        free[b] -= lengths[i]
+    return [placed[i] for i in range(len(lengths))]
+
+
+def test_best_fit_on_a_histogram_equals_item_by_item(spark):
+    assert [b for b, _ in _plain_best_fit([4, 8, 1, 2, 6], 10)] == [1, 0, 2, 0, 1]
+    for seed in range(40):
+        rng = random.Random(seed)
+        cap = rng.choice([10, 16, 100])
+        lens = [rng.randint(1, rng.choice([3, cap])) for _ in range(rng.choice([1, 9, 200]))]
+        want = _plain_best_fit(lens, cap)
+        got, rank = {}, {}
+        slots = prep.best_fit_slots({n: lens.count(n) for n in set(lens)}, cap)
+        for i, n in enumerate(lens):
+            r = rank[n] = rank.get(n, -1) + 1
+            _, first, each, b, offset = max(x for x in slots if x[0] == n and x[1] <= r)
+            got[i] = (b + (r - first) // each, offset + (r - first) % each * n)
+        assert [got[i] for i in range(len(lens))] == want
+    df = spark.createDataFrame(list(enumerate(lens)), "id long, n int")
+    assert rows(prep.pack_sequences(df, "id", "n", cap), "id", "bin", "offset") == sorted(((i, *p) for i, p in enumerate(want)), key=repr)
 
 
 def test_packed_tokens(spark):
