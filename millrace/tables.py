@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scale import rank_within
+from .scale import rank_within, with_group_stats
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 
@@ -119,16 +119,15 @@ def run_events(events: DataFrame) -> DataFrame:
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Good and bad documents of one language, paired by rank.  Only ids are
-    ranked; the texts are joined on afterwards."""
+    """Every document with the next one of its language (the last with the first).  Only ids are ranked; the
+    texts are joined on afterwards."""
     docs = table(spark, sf_dir, "documents")
-    ids = docs.select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    ranked = rank_within(ids, ["lang", "quality"], ["doc_id"], "rn")
-    good = ranked.filter("quality = 1").select("lang", "rn", F.col("doc_id").alias("pair_id"))
-    bad = ranked.filter("quality = 0").select("lang", "rn", F.col("doc_id").alias("bad_id"))
-    pairs = good.join(bad, ["lang", "rn"])
+    ranked = rank_within(docs.select("doc_id", "lang"), ["lang"], ["doc_id"], "rn")
+    ranked = with_group_stats(ranked, ["lang"], F.count(F.lit(1)).alias("n"))
+    after = ranked.select("lang", F.col("rn").alias("at"), F.col("doc_id").alias("next_id"))
+    pairs = ranked.select(F.col("doc_id").alias("pair_id"), "lang", (F.col("rn") % F.col("n") + 1).alias("at")).join(after, ["lang", "at"])
     return pairs.join(docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("chosen")), "pair_id") \
-        .join(docs.select(F.col("doc_id").alias("bad_id"), F.col("text").alias("rejected")), "bad_id") \
+        .join(docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("rejected")), "next_id") \
         .select("pair_id", "lang", "chosen", "rejected")
 
 
@@ -189,14 +188,8 @@ SELECT event_id, user_id AS run_id, ts,
        least(value, 100.0) AS progress, CASE WHEN event_type = 'error' THEN NULL ELSE value / 100.0 END AS loss
 FROM events)""",
     "text_pairs": """text_pairs AS (
-SELECT g.doc_id AS pair_id, g.lang, g.text AS chosen, b.text AS rejected
-FROM (SELECT d.doc_id, d.lang, d.text, l.quality,
-       row_number() OVER (PARTITION BY d.lang, l.quality ORDER BY d.doc_id) AS rn
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id) g
-JOIN (SELECT d.doc_id, d.lang, d.text, l.quality,
-       row_number() OVER (PARTITION BY d.lang, l.quality ORDER BY d.doc_id) AS rn
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id) b
-ON g.lang = b.lang AND g.rn = b.rn AND g.quality = 1 AND b.quality = 0)""",
+SELECT doc_id AS pair_id, lang, text AS chosen, coalesce(lead(text) OVER w, first_value(text) OVER w) AS rejected
+FROM documents WINDOW w AS (PARTITION BY lang ORDER BY doc_id))""",
     "label_queries": """label_queries AS (
 SELECT CAST(label AS BIGINT) AS query_id, list(x ORDER BY d) AS embedding FROM (
   SELECT label, d, avg(CAST(x AS DOUBLE)) AS x FROM (
