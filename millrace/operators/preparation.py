@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import keep_first
-from ..scale import dense_index, join_on_keys, join_small, rank_within, running_sums, spread
+from ..scale import SMALL_ROWS, dense_index, join_on_keys, join_small, rank_within, running_sums, spread
 from ..session import materialise
 
 
@@ -57,14 +57,16 @@ def sample_exact(df: DataFrame, quota: DataFrame, key: str, ids: Sequence[str],
 
 def sample_with_replacement(df: DataFrame, key: str, k: int = 512, seed: int = 0) -> DataFrame:
     """min(n, k) draws with replacement as (draw, row).  Only the key column is
-    indexed; the drawn rows, at most ``k`` of them, are joined by broadcast."""
+    indexed; the drawn rows, at most ``k`` of them, are broadcast if they are few."""
     n = df.count()
     m = min(n, k)
     draws = df.sparkSession.range(m).select(
         F.col("id").alias("draw"),
         (F.conv(F.substring(seeded_hash(seed, F.col("id")), 1, 12), 16, 10).cast("long") % F.lit(max(n, 1))).alias("idx"))
-    picked = dense_index(df.select(key), [key]).join(F.broadcast(draws), "idx").select("draw", key)
-    return df.join(F.broadcast(picked), key)
+    index = dense_index(df.select(key), [key])
+    if m <= SMALL_ROWS:
+        return df.join(F.broadcast(index.join(F.broadcast(draws), "idx").select("draw", key)), key)
+    return df.join(index.join(draws, "idx").select("draw", key), key)
 
 
 def mix_datasets(df: DataFrame, quota: DataFrame, key: str, ids: Sequence[str], seed: int = 0) -> DataFrame:

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CONTEXT_PROMPT, fill
 from ..functions.tokens import bind
-from ..scale import dense_index
-from ..session import materialise
 
 QUERY_BLOCK = 1024
+DOCUMENT_BLOCK = 65_536
 
 
 def l2_normalize(v: Column) -> Column:
@@ -80,27 +79,43 @@ def exact_topk(docs: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_
                normalize: bool = True) -> DataFrame:
     """Exact inner-product search: (query_id, key, score, rank).
 
-    Queries are shipped in blocks of at most ``QUERY_BLOCK`` vectors; a larger
-    set is scanned block by block.  After the scan at most k rows per query and
-    task are ranked."""
+    One block of queries (``QUERY_BLOCK`` vectors at most) travels to the documents, which are neither shuffled nor
+    copied.  More queries meet the documents on a grid: each task has one block of either, and ranks there;
+    then at most k rows per query and block are ranked."""
     n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    if blocks > 1:
-        at = dense_index(queries.select("query_id"), ["query_id"])
-        queries = materialise(queries.join(at.withColumn("_block", F.floor(F.col("idx") / QUERY_BLOCK)), "query_id"))
-    found: DataFrame | None = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.col("_block") == b)
-        rows = [(r[0], r[1]) for r in part.select("query_id", "embedding").collect()]
-        if rows:
-            got = _scan_block(docs, rows, k, key, vec, normalize)
-            found = got if found is None else found.unionByName(got)
-    if found is None:
+    if n == 0:
         return docs.sparkSession.createDataFrame([], f"query_id long, {key} long, score double, rank int")
+    if n <= QUERY_BLOCK:
+        rows = [(r[0], r[1]) for r in queries.select("query_id", "embedding").collect()]
+        found = _scan_block(docs, rows, k, key, vec, normalize)
+    else:
+        found = _grid(docs, queries, n, k, key, vec, normalize)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _grid(docs: DataFrame, queries: DataFrame, n: int, k: int, key: str, vec: str, normalize: bool) -> DataFrame:
+    rows, cols = -(-n // QUERY_BLOCK), max(1, -(-docs.count() // DOCUMENT_BLOCK))
+    def cell(c: str, m: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(m))
+    def all_of(m: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    q = queries.select("query_id", F.col("embedding").alias("_v"), cell("query_id", rows).alias("_r")).withColumn("_c", all_of(cols))
+    d = docs.select(key, F.col(vec).alias("_v"), cell(key, cols).alias("_c")).withColumn("_r", all_of(rows))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), key: np.zeros(0, np.int64), "score": np.zeros(0)})
+        a, m = (np.vstack(x["_v"].to_numpy()).astype(np.float64) for x in (left, right))
+        if normalize:
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+        ids = np.broadcast_to(right[key].to_numpy(dtype=np.int64), (len(a), len(m)))
+        s, i = _best_k(a @ m.T, ids, k)
+        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), s.shape[1]), key: i.ravel(), "score": s.ravel()})
+    return q.groupBy("_r", "_c").cogroup(d.groupBy("_r", "_c")).applyInPandas(best, f"query_id long, {key} long, score double")
+
+
 def build_index_table(docs: DataFrame, vectors: DataFrame, path: str, model: str, created_at: str,
                       mode: str = "overwrite") -> DataFrame:
     """Write ``documents`` (id, text), ``vectors`` (id, embedding) and the one-row
