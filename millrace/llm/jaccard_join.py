@@ -15,7 +15,7 @@ from .components import components
 from .joins import without
 from .text import Texts, mix64, parts
 
-FULL = 2_000_000  # signatures of a block
+FULL = 1_000_000  # signatures of a block
 GROUP = 2_000_000  # shingles whose signatures one group compares, on average
 SUBPARTS = 3  # second-level parts of a part; all subsets that leave one out are signatures
 BLOCK = 512  # classes on each side of a task that compares open components
