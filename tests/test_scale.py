@@ -111,3 +111,12 @@ def test_first_per_key_cuts_before_the_shuffle(skewed):
     got = scale.first_per_key(skewed, ["k"], ["id"], 2)
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
     assert got.groupBy("k").count().filter("count > 2").count() == 0
+
+
+@pytest.mark.parametrize("is_hot", [False, True])
+def test_group_stats_of_a_null_key(spark, is_hot, request):
+    if is_hot:
+        request.getfixturevalue("hot")
+    df = spark.createDataFrame([(1, 2.0), (1, 4.0), (None, 1.0), (None, 5.0)], "k int, v double")
+    assert rows(scale.with_group_stats(df, ["k"], F.avg("v").alias("m")), "k", "v", "m") == sorted(
+        [(1, 2.0, 3.0), (1, 4.0, 3.0), (None, 1.0, 3.0), (None, 5.0, 3.0)], key=repr)

@@ -136,3 +136,9 @@ def test_log_scans(spark, tmp_path):
     assert [r["line"] for r in src.scan_logs(lines, last=5).orderBy("hit").collect()] == ["job failed", "Traceback x"]
     assert [r["line"] for r in src.search_logs(lines, "FAILED").collect()] == ["job failed"]
     assert rows(src.classify_log_lines(lines)) == [("database", "no such table", 1)]
+
+
+def test_json_array_with_an_empty_first_object_and_dotted_names(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{}, {"a.b": 1}, {"a.b": 2, "c": "x"}]')
+    got = src.json_array_scan(spark, str(tmp_path / "a.json"))
+    assert got.columns == ["a.b", "c"] and sorted(map(tuple, got.collect()), key=repr) == [(1, None), (2, "x"), (None, None)]
