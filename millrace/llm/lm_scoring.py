@@ -17,7 +17,7 @@ from .ngram_trie import WORD_BITS, PairTrie
 from .text import Texts, mix64, parts
 
 SHARD_BYTES = 16 << 20  # text whose pairs one shard scores, on average
-BLOCK_BYTES = 16 << 20  # text whose pairs are counted together before they move
+BLOCK_BYTES = 6 << 20  # text whose pairs are counted together before they move
 BLOCK_DOCS = 60_000
 DISCOUNT = 0.9  # taken from the count of each pair that was seen
 PAIR_SHARE = 0.5  # of the pair model; the rest is the single word's probability
