@@ -16,7 +16,7 @@ from millrace.llm.packing import pack_documents
 from millrace.llm.plans import vocabulary
 from millrace.session import materialise
 
-LEAST_SCORE = 0.2  # below, no language holds a fifth of the letters with certainty
+LEAST_SCORE = 0.1  # below, words and spans tell next to nothing
 SEQUENCE = 2048
 
 #: Word statistics and token ids can't be written in SQL; tests compare with brute force.

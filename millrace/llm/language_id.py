@@ -190,7 +190,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id
 
     Words are scored in each candidate language by their letter n-grams; the best path with ``SWITCH`` for each
     change labels them.  ``lang_pred`` has most letters (the first name on a tie), ``score`` is its share of all
-    letters times its probability given all words.  ``und`` with score 0 stands for null, for a text without a letter, and
+    letters, each counted by the probability of the language given its word alone.  ``und`` with score 0 stands for null, for a text without a letter, and
     for all texts if nothing was learned.  ``spans`` are (first word, words, language), in order.  Every row is
     one row; other columns are not read.
     """
@@ -244,11 +244,12 @@ class Judge:
             np.add.at(each, (doc, label), letters[codes])
             total = each.sum(axis=1)
             pick = each.argmax(axis=1)
-            sums = np.stack([np.bincount(doc, weights=scores[codes, x], minlength=j - i) for x in range(k)], axis=1)
-            sure = 1.0 / np.exp(np.minimum(sums - sums[np.arange(j - i), pick][:, None], 600.0)).sum(axis=1)
-            share = each[np.arange(j - i), pick] / np.maximum(total, 1)
+            weight = np.exp(scores)
+            weight /= weight.sum(axis=1, keepdims=True)
+            sure = np.bincount(doc, weights=np.where(label == pick[doc], letters[codes] * weight[codes, label], 0.0), minlength=j - i)
+            value = np.minimum(sure / np.maximum(total, 1), 1.0)
             lang += [model.languages[p] if t else "und" for p, t in zip(pick, total, strict=True)]
-            score += [float(s * c) if t else 0.0 for s, c, t in zip(share, sure, total, strict=True)]
+            score += value.tolist()
             if spans:
                 found += _spans(label, lens, model.languages)
         return lang, score, found
