@@ -99,7 +99,8 @@ class PartEnum:
 
 
 def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
+    return rows.withColumn("t", F.xxhash64("_text"))
 
 
 def _class(s: np.ndarray) -> tuple[int, int]:
@@ -110,7 +111,7 @@ def _class(s: np.ndarray) -> tuple[int, int]:
 
 
 def classes_of(docs: DataFrame, width: int, key: str, text: str, seed: int) -> DataFrame:
-    """Key, size of the set and class (``c``; ``c2`` to verify it) of each row; empty sets have no class."""
+    """Key, hash of the text (``t``), size of the set and class (``c``; ``c2`` to verify it) of each row; empty sets have no class."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +119,9 @@ def classes_of(docs: DataFrame, width: int, key: str, text: str, seed: int) -> D
         for b in batches:
             rows = [(len(s), *_class(s)) if len(s) else (0, None, None) for s in shingles.sets(b.column("_text").to_pylist())]
             n, c, c2 = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("_key"), *(pa.array(x, pa.int64()) for x in (n, c, c2))],
-                                             names=["_key", "n_shingles", "c", "c2"])
-    return _scan(docs, key, text).mapInArrow(run, f"_key {kind}, n_shingles bigint, c bigint, c2 bigint")
+            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("t"), *(pa.array(x, pa.int64()) for x in (n, c, c2))],
+                                             names=["_key", "t", "n_shingles", "c", "c2"])
+    return _scan(docs, key, text).mapInArrow(run, f"_key {kind}, t bigint, n_shingles bigint, c bigint, c2 bigint")
 
 
 def buckets_of(docs: DataFrame, width: int, percent: int, key: str, text: str, seed: int, groups: int) -> DataFrame:
@@ -197,15 +198,18 @@ def buckets_of(docs: DataFrame, width: int, percent: int, key: str, text: str, s
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str, seed: int) -> DataFrame:
-    """The set (sorted 8-byte hashes) of each wanted class; ``wanted`` has c and the key of one row of it."""
+    """The set (sorted 8-byte hashes) of each wanted class; ``wanted`` has c and the hash (t) of one text of it.
+    Keys play no part: they may be null or repeated.  Where texts of other classes share t, the class is told by the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width, seed)
         for b in batches:
-            sets = [s.tobytes() for s in shingles.sets(b.column("_text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("c"), pa.array(sets, pa.binary())], names=["c", "s"])
+            sets = list(shingles.sets(b.column("_text").to_pylist()))
+            own = [len(s) > 0 and _class(s)[0] == c for s, c in zip(sets, b.column("c").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("c"), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                             names=["c", "s"]).filter(pa.array(own, pa.bool_()))
     few = wanted.count() <= SMALL
-    side = wanted.select("_key", "c")
-    return _scan(docs, key, text).join(F.broadcast(side) if few else side, "_key").select("c", "_text") \
+    side = wanted.select("t", "c")
+    return _scan(docs, key, text).join(F.broadcast(side) if few else side, "t").select("c", "_text") \
         .mapInArrow(run, "c bigint, s binary")
 
 
@@ -319,7 +323,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     bucket = materialise(member.join(shared, "sig").filter("c <> pivot"))
     pairs = materialise(bucket.select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct())
     nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    wanted = materialise(base.filter("c is not null").groupBy("c").agg(F.min("_key").alias("_key")).join(nodes, "c", "left_semi"))
+    wanted = materialise(base.filter("c is not null").groupBy("c").agg(F.min("t").alias("t")).join(nodes, "c", "left_semi"))
     sets = materialise(sets_of(docs, wanted, width, key, text, seed).dropDuplicates(["c"]))
     links = materialise(_similar(pairs, sets, percent))
     root = components(links)

@@ -112,6 +112,23 @@ def test_jaccard_join(spark, docs, texts, no_docs, width, percent):
         assert jaccard_components(no_docs).count() == 0
 
 
+def test_jaccard_join_null_and_repeated_keys(spark):
+    rng = random.Random(11)
+    def changed(words, *places):
+        return " ".join("changed" + str(i) if i in places else w for i, w in enumerate(words))
+    a, b, c, d = (prose(rng, 100).split(" ") for _ in range(4))
+    every = [(1, " ".join(a)), (None, changed(a, 40)), (2, changed(a, 40, 60)),  # the row without a key is the bridge
+             (None, " ".join(b)), (None, changed(b, 50)),  # no keys at all
+             *[(5, " ".join(x)) for x in (c, d)], *[(5, prose(rng, 50)) for _ in range(20)],  # one key, unlike texts
+             (6, changed(c, 30)), (7, changed(d, 30)), (5, changed(d, 70)), (8, changed(d, 30, 70))]
+    every = [(k, t, None) for k, t in every]
+    sets, want = _jaccard_truth(every, 3, 94)
+    assert want[:3] == [1, 1, 1] and _jaccard_truth([every[0], every[2]], 3, 94)[1] == [1, 2]
+    df = spark.createDataFrame(every, "doc_id long, text string, lang string").repartition(3)
+    got = rows(jaccard_components(df, 3, 94), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(((k, len(s), w) for (k, _, _), s, w in zip(every, sets, want)), key=repr)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for top, n in ((10, 0), (10, 1), (1 << 20, 500), (1 << 62, 3000), (40, 200)):
