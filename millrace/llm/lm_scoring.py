@@ -1,4 +1,4 @@
-"""Language-model scores of documents by a sharded trie of word pairs."""
+"""Language-model scores of documents by a sharded trie of word n-grams."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import materialise
-from .ngram_trie import WORD_BITS, PairTrie
+from .ngram_trie import WORD_BITS, Level, PairTrie
 from .text import Texts, mix64, parts
 
 SHARD_BYTES = 16 << 20  # text whose pairs one shard scores, on average
@@ -49,6 +49,37 @@ class Tokens:
         return t, before, np.concatenate(number) if number else np.zeros(0, dtype=np.int64)
 
 
+def older(token: np.ndarray, number: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words (``WORD_BITS``) two and more places before each token, as far as ``order`` needs; ends before the text."""
+    out = []
+    for k in range(2, order):
+        u = np.full(len(token), END, dtype=np.uint64)
+        u[k:] = np.where(number[k:] == number[:-k], token[:-k], np.uint64(END))
+        out.append(u & WORD)
+    return out
+
+
+def context_key(before: np.ndarray, us: list[np.ndarray]) -> np.ndarray:
+    """Hash of a context: the word before and the ones before that."""
+    key = mix64(before)
+    for u in us:
+        key = mix64((key ^ mix64(u + np.uint64(1))) + np.uint64(0x9E3779B97F4A7C15))
+    return key
+
+
+def _starts(*cols: np.ndarray) -> np.ndarray:
+    """Where a row of these columns differs from the one before."""
+    new = np.ones(len(cols[0]), dtype=bool)
+    new[1:] = False
+    for x in cols:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first) if len(first) else values[:0]
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """Rows of several batches, in blocks of bounded text; one longer text is a block."""
     held: dict[str, list] = {}
@@ -159,6 +190,68 @@ def count_words(source: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
         .groupBy("part").applyInArrow(gather, "part int, w binary, n binary")
 
 
+def count_contexts(source: DataFrame, hot: np.ndarray, shards: int, order: int) -> DataFrame:
+    """Counts and distinct successors of longer contexts that end in a hot word, sent on to the shards that have one of
+    their n-grams, seen or asked for.  Rows: ``part`` (shard) with keys (``w``), counts (``n``) and successors (``t``)."""
+    fields = ["part", "key", "kn", "v", "lo", "hi", "n"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for held in blocks(batches):
+            token, before, number = tokens.of(held["_text"])
+            at = deal(before, token, hot, shards)[1]
+            mine = at >= 0
+            if not mine.any():
+                continue
+            us = [u[mine] for u in older(token, number, order)]
+            learn = np.array(held["_train"], dtype=bool)[number[mine]].astype(np.int64)
+            word, at = token[mine] & WORD, at[mine]
+            rows = []
+            for n in range(3, order + 1):
+                key = context_key(hot[at], us[:n - 2])
+                group = (key % np.uint64(shards)).astype(np.int64)
+                o = np.lexsort((word, key, group))
+                g, k, w = group[o], key[o], word[o]
+                first = np.flatnonzero(_starts(k, w))
+                c = _sums(learn[o], first).astype(np.uint32)
+                g, k, w, v = g[first], k[first], w[first], at[o][first].astype(np.uint32)
+                own = np.flatnonzero(_starts(k))
+                kn = np.diff(np.append(own, len(k))).astype(np.uint32)
+                edges = np.arange(shards + 1)
+                upto, by = np.searchsorted(g, edges), np.searchsorted(g[own], edges)
+                for p in range(shards):
+                    a, z, i, j = upto[p], upto[p + 1], by[p], by[p + 1]
+                    if a < z:
+                        rows.append((p, k[own[i:j]].tobytes(), kn[i:j].tobytes(), v[own[i:j]].tobytes(), w[a:z].astype(np.uint32).tobytes(),
+                                     (w[a:z] >> np.uint64(32)).astype(np.uint8).tobytes(), c[a:z].tobytes()))
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=fields)
+
+    def gather(rows: pa.Table) -> pa.Table:
+        key, kn, v, lo, hi, n = (np.concatenate([np.frombuffer(x, dtype=t) for x in rows.column(c).to_pylist()]) for c, t in (
+            ("key", np.uint64), ("kn", np.uint32), ("v", np.uint32), ("lo", np.uint32), ("hi", np.uint8), ("n", np.uint32)))
+        w = lo.astype(np.uint64) | (hi.astype(np.uint64) << np.uint64(32))
+        key, v = np.repeat(key, kn), np.repeat(v, kn)
+        o = np.lexsort((w, key))
+        key, w, v, n = key[o], w[o], v[o], n[o].astype(np.int64)
+        first = np.flatnonzero(_starts(key, w))
+        key, w, v, n = key[first], w[first], v[first], _sums(n, first)
+        new = _starts(key)
+        first, owner = np.flatnonzero(new), np.cumsum(new) - 1
+        total, after = _sums(n, first), _sums((n > 0).astype(np.int64), first)
+        to = deal(hot[v], w, hot, shards)[0]
+        keep = total[owner] > 0
+        pairs = np.unique(to[keep] * len(first) + owner[keep])
+        to, owner = pairs // len(first), pairs % len(first)
+        cut = np.searchsorted(to, np.arange(shards + 1))
+        out = [(p, key[first[i]].tobytes(), total[i].astype(np.uint32).tobytes(), after[i].astype(np.uint32).tobytes())
+               for p in range(shards) if len(i := owner[cut[p]:cut[p + 1]])]
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table({"part": pa.array(cols[0], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip("wnt", cols[1:], strict=True)}})
+    return source.mapInArrow(count, "part int, key binary, kn binary, v binary, lo binary, hi binary, n binary") \
+        .groupBy("part").applyInArrow(gather, "part int, w binary, n binary, t binary")
+
+
 def _totals(answers: DataFrame, code: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums over the groups of two short arrays (``size`` numbers each), added up in tasks."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,14 +270,14 @@ def _totals(answers: DataFrame, code: int, size: int) -> tuple[np.ndarray, np.nd
     return a, b
 
 
-PAIRS = ("h", "hn", "lo", "hi", "m", "d", "train")
+PAIRS = ("h", "hn", "lo", "hi", "wn", "ulo", "uhi", "m", "d", "train")
 
 
-def pair_blocks(source: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
-    """All pairs of all documents, packed by block and shard, and for each block its documents.
+def pair_blocks(source: DataFrame, hot: np.ndarray, shards: int, order: int) -> DataFrame:
+    """All n-grams of all documents, packed by block and shard, and for each block its documents.
 
-    A pair of a block moves once, with the documents it is in: context (8 bytes, once for its pairs), word (5),
-    number of occurrences (1), and the document of each (2)."""
+    An n-gram of a block moves once, with the documents it is in: word before (8 bytes, once for its pairs), word (5, once
+    for the pair), older words (5 each), number of occurrences (1), and the document of each (2)."""
     fields, kind = ["part", "block", *PAIRS, "keys"], source.schema["_key"].dataType
     keys = pa.list_(to_arrow_type(kind))
 
@@ -197,39 +290,42 @@ def pair_blocks(source: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
             train = np.array(held["_train"], dtype=bool)
             part, _ = deal(before, token, hot, shards)
             word = token & WORD
-            order = np.lexsort((doc, word, before, part))
-            part, before, word, doc = part[order], before[order], word[order], doc[order]
-            new_context = np.ones(len(part), dtype=bool)
-            new_context[1:] = (part[1:] != part[:-1]) | (before[1:] != before[:-1])
-            new_pair = new_context.copy()
-            new_pair[1:] |= word[1:] != word[:-1]
-            start = np.flatnonzero(new_pair)
-            new_pair |= (np.arange(len(part)) - start[np.cumsum(new_pair) - 1]) % 255 == 0  # a long list of documents goes on in a new row
-            pair, context = np.flatnonzero(new_pair), np.flatnonzero(new_context)
-            m = np.diff(np.append(pair, len(part))).astype(np.uint8)
+            us = older(token, doc, order)
+            by = np.lexsort((doc, *us[::-1], word, before, part))
+            part, before, word, doc, us = part[by], before[by], word[by], doc[by], [u[by] for u in us]
+            new_context = _starts(part, before)
+            new_pair = new_context | _starts(word)
+            new_entry = new_pair | _starts(word, *us)
+            start = np.flatnonzero(new_entry)
+            new_entry |= (np.arange(len(part)) - start[np.cumsum(new_entry) - 1]) % 255 == 0  # a long list of documents goes on in a new row
+            entry, pair, context = np.flatnonzero(new_entry), np.flatnonzero(new_pair), np.flatnonzero(new_context)
+            m = np.diff(np.append(entry, len(part))).astype(np.uint8)
+            wn = np.diff(np.append(np.searchsorted(entry, pair), len(entry))).astype(np.uint32)
             hn = np.diff(np.append(np.searchsorted(pair, context), len(pair))).astype(np.uint32)
             w, h = word[pair], before[context]
+            old = np.stack([u[entry] for u in us]) if us else np.zeros((0, len(entry)), dtype=np.uint64)
             bits = np.packbits(train).tobytes()
             rows = []
             edges = np.arange(shards + 1)
-            for p, (a, z), (b, y), (c, x) in zip(range(shards), *(zip(e[:-1], e[1:], strict=True) for e in (
-                    np.searchsorted(part[context], edges), np.searchsorted(part[pair], edges), np.searchsorted(part, edges))), strict=True):
+            cuts = [np.searchsorted(x, edges) for x in (part[context], part[pair], part[entry], part)]
+            for p, (a, z), (b, y), (e, f), (c, x) in zip(range(shards), *(zip(i[:-1], i[1:], strict=True) for i in cuts), strict=True):
                 if z > a:
                     rows.append((p, block, h[a:z].tobytes(), hn[a:z].tobytes(), w[b:y].astype(np.uint32).tobytes(),
-                                 (w[b:y] >> np.uint64(32)).astype(np.uint8).tobytes(), m[b:y].tobytes(),
+                                 (w[b:y] >> np.uint64(32)).astype(np.uint8).tobytes(), wn[b:y].tobytes(), old[:, e:f].astype(np.uint32).tobytes(),
+                                 (old[:, e:f] >> np.uint64(32)).astype(np.uint8).tobytes(), m[e:f].tobytes(),
                                  doc[c:x].astype(np.uint16).tobytes(), bits, None))
             # the documents of the block: keys and numbers of tokens
             n = np.bincount(doc, minlength=len(train)).astype(np.int64)
-            rows.append((shards + block % shards, block, None, None, None, None, None, n.tobytes(), bits, held["_key"]))
+            rows.append((shards + block % shards, block, *[None] * 8, n.tobytes(), bits, held["_key"]))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[2:9]),
-                 pa.array(cols[9], keys)], names=fields)
+                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[2:12]),
+                 pa.array(cols[12], keys)], names=fields)
     return source.mapInArrow(pack, f"part int, block bigint, {', '.join(f'{c} binary' for c in PAIRS)}, keys array<{kind.simpleString()}>")
 
 
-def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_count: np.ndarray, hot_after: np.ndarray):
-    """Task function of a shard: its pairs and the counts of their words in, sums for documents of blocks out."""
+def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_count: np.ndarray, hot_after: np.ndarray, order: int):
+    """Task function of a shard: its n-grams and the counts of their words in, sums for documents of blocks out."""
     names = ["block", "shard", "a", "b", "n", "d", "keys"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -245,19 +341,32 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
         for r in raw:
             h = np.repeat(np.frombuffer(r["h"], dtype=np.uint64), np.frombuffer(r["hn"], dtype=np.uint32))
             w = np.frombuffer(r["lo"], dtype=np.uint32).astype(np.uint64) | (np.frombuffer(r["hi"], dtype=np.uint8).astype(np.uint64) << np.uint64(32))
+            wn = np.frombuffer(r["wn"], dtype=np.uint32)
+            h, w = np.repeat(h, wn), np.repeat(w, wn)
             m, d = np.frombuffer(r["m"], dtype=np.uint8).astype(np.int64), np.frombuffer(r["d"], dtype=np.uint16)
+            old = np.frombuffer(r["ulo"], dtype=np.uint32).astype(np.uint64) | (np.frombuffer(r["uhi"], dtype=np.uint8).astype(np.uint64) << np.uint64(32))
             learn = np.unpackbits(np.frombuffer(r["train"], dtype=np.uint8))[d]
-            lists.append((h, w, m, d, np.add.reduceat(learn.astype(np.int64), np.cumsum(m) - m)))
+            lists.append((h, w, m, d, np.add.reduceat(learn.astype(np.int64), np.cumsum(m) - m), old.reshape(order - 2, len(m))))
         h, w, c = (np.concatenate([x[i] for x in lists]) for i in (0, 1, 4))
+        us = np.concatenate([x[5] for x in lists], axis=1)
+        asked = np.isin(h, hot)  # contexts whose totals come from elsewhere
+        asked_h, asked_us = h[asked], us[:, asked]
         seen = c > 0
-        h, w, c = h[seen], w[seen], c[seen]
-        order = np.lexsort((w, h))
-        h, w, c = h[order], w[order], c[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+        h, w, c, us = h[seen], w[seen], c[seen], us[:, seen]
+        by = np.lexsort((*us[::-1], w, h))
+        h, w, c, us = h[by], w[by], c[by], us[:, by]
+        all_h, all_c = np.concatenate([h, asked_h]), c
+        all_us = np.concatenate([us, asked_us], axis=1)
+        new = _starts(h, w)
         first = np.flatnonzero(new)
-        c = np.add.reduceat(c, first) if len(first) else c
-        h, w = h[first], w[first]
+        pair_of = above = np.cumsum(new) - 1
+        nodes = []  # of each longer order: first entry, parent, count
+        for u in us:
+            new = new | _starts(u)
+            at = np.flatnonzero(new)
+            nodes.append((at, above[at], _sums(c, at)))
+            above = np.cumsum(new) - 1
+        h, w, c = h[first], w[first], _sums(c, first)
         contexts, sizes = np.unique(h, return_counts=True)
         start = np.cumsum(sizes) - sizes
         counts, after = (np.add.reduceat(c, start) if len(start) else c).astype(np.int64), sizes.astype(np.int64)
@@ -269,26 +378,58 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
         more = ~here & (hot_count > 0)
         contexts, at = np.insert(contexts, at[more], hot[more]), at[more]
         counts, after, sizes = np.insert(counts, at, hot_count[more]), np.insert(after, at, hot_after[more]), np.insert(sizes, at, 0)
-        known = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in right.column("w").to_pylist()] or [w[:0]])
-        single = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in right.column("n").to_pylist()] or [np.zeros(0, dtype=np.uint32)])
-        order = np.argsort(known)
-        known, single = known[order], single[order]
+        answers = list(zip(*(right.column(x).to_pylist() for x in ("w", "n", "t")), strict=True))
+        def numbers(i: int, kind: type, longer: bool) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x[i], dtype=kind) for x in answers if (x[2] is not None) == longer] or [np.zeros(0, dtype=kind)])
+        known, single = numbers(0, np.uint64, False), numbers(1, np.uint32, False)
+        by = np.argsort(known)
+        known, single = known[by], single[by]
         p = (single[np.searchsorted(known, w)] + 0.5) / smoothed if len(w) else np.zeros(0)
         back = discount * after / np.maximum(counts, 1)
         context_of = np.repeat(np.arange(len(contexts)), sizes)
         pair = (c - discount) / (counts[context_of] * p) + back[context_of]
         with tempfile.TemporaryDirectory() as folder:
             PairTrie.write(folder, contexts, counts, np.log10(share * back + 1 - share), sizes, w, np.log10(share * pair + 1 - share))
+            keys, key_count, key_after = numbers(0, np.uint64, True), numbers(1, np.uint32, True), numbers(2, np.uint32, True)
+            by = np.argsort(keys)
+            keys, key_count, key_after = keys[by], key_count[by], key_after[by]
+            hot_key = np.concatenate([np.isin(all_h[:len(all_c)], hot), np.ones(len(asked_h), dtype=bool)])
+            up, up_size, ratio, size = np.searchsorted(contexts, all_h), len(contexts), pair, len(w)
+            for n, (at, parent, own) in enumerate(nodes, 3):
+                key, where, of = np.unique(context_key(all_h, list(all_us[:n - 2])), return_index=True, return_inverse=True)
+                total = np.bincount(of[:len(all_c)], weights=all_c, minlength=len(key))
+                follow = np.bincount(of[at], minlength=len(key)).astype(np.float64)
+                far = hot_key[where]
+                if far.any():
+                    i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                    hit = far & (keys[i] == key) if len(keys) else np.zeros(len(key), dtype=bool)
+                    total[far], follow[far] = 0, 0
+                    total[hit], follow[hit] = key_count[i[hit]], key_after[i[hit]]
+                lower = discount * follow / np.maximum(total, 1)
+                ratio = (own - discount) / (total[of[at]] * p[pair_of[at]]) + lower[of[at]] * ratio[parent]
+                kept = np.flatnonzero(total > 0)
+                kept = kept[np.lexsort((all_us[n - 3][where[kept]], up[where[kept]]))]
+                Level.write(folder, f"contexts{n}", up_size, up[where[kept]], all_us[n - 3][where[kept]], np.log10(lower[kept]))
+                Level.write(folder, f"words{n}", size, parent, us[n - 3][at], np.log10(share * ratio + 1 - share))
+                row = np.full(len(key), -1)
+                row[kept] = np.arange(len(kept))
+                up, up_size, size = row[of], len(kept), len(at)
             trie = PairTrie(folder)
+            longer = [(Level(folder, f"contexts{n}"), Level(folder, f"words{n}")) for n in range(3, order + 1)]
             out = []
-            for block, part, (h, w, m, d, _) in zip(left.column("block").to_pylist(), left.column("part").to_pylist(), lists, strict=True):
+            for block, part, (h, w, m, d, _, old) in zip(left.column("block").to_pylist(), left.column("part").to_pylist(), lists, strict=True):
                 rank, count = trie.context(h)
-                weight = np.repeat(trie.weight(rank, w), m)
+                weight, node, above = trie.weight(rank, w), trie.successor(rank, w), rank
+                for (lower, level), u in zip(longer, old, strict=True):
+                    node, above = level.find(node, u), lower.find(above, u)
+                    less = np.maximum(10 ** weight - (1 - share), 1e-12) * 10 ** lower.weight(above) + 1 - share
+                    weight = np.where(above < 0, weight, np.where(node < 0, np.log10(less), level.weight(node)))
+                weight = np.repeat(weight, m)
                 count = np.repeat(count, m)
                 docs, i = np.unique(d, return_inverse=True)
                 out.append((block, part, np.bincount(i, weights=weight).tobytes(), np.bincount(i, weights=np.log10(count + 0.5)).tobytes(),
                             np.bincount(i, weights=count > 0).astype(np.int32).tobytes(), docs.tobytes(), None))
-            del trie
+            del trie, longer
         cols = list(zip(*out, strict=True))
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[2:6]),
                          pa.nulls(len(out), left.schema.field("keys").type)], names=names)
@@ -301,12 +442,12 @@ def _none(left: pa.Table, names: list[str]) -> pa.Table:
 
 
 def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", discount: float = DISCOUNT,
-                    share: float = PAIR_SHARE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """log10 probability of every whole text under a word-pair model learned from the rows where ``train`` is true.
+                    share: float = PAIR_SHARE, shard_bytes: int = SHARD_BYTES, order: int = 2) -> DataFrame:
+    """log10 probability of every whole text under a word n-gram model (n up to ``order``, 2 or more) learned from the rows where ``train`` is true.
 
     Tokens are words (A-Z lower-cased, cut at ASCII white space) and one end for each text; null is the empty text.
     Single words have (c + 0.5) / (N + 0.5 (V + 1)).  Pairs are smoothed by absolute discounting (``discount``) down
-    to single words, and mixed with these (``share``), so each context's probabilities sum to one.  A row: the key, ``held_out``,
+    to single words, longer n-grams in the same way down to the next shorter (to these alone where the context was not seen), and mixed with single words (``share``), so each context's probabilities sum to one.  A row: the key, ``held_out``,
     ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (single words), ``score``.  Without training
     rows every probability is that of an unknown word.  Every input row is one row; other columns are not read.
 
@@ -315,6 +456,8 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     memory-mapped levels in the task's own folder, removed when done; all pairs of the shard are looked up there, and sums per block and
     document go on.  So corpus, counts and model stay distributed; the driver sees two totals, and two for each hot word.
     """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     source = _source(docs, key, text, F.coalesce(train, F.lit(False)))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     shards = max(4, -(-size // shard_bytes))
@@ -323,10 +466,13 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     (v,), (n,) = _totals(answers, -1, 1)
     hot_count, hot_after = _totals(answers, -2, len(hot)) if len(hot) else (np.zeros(0, dtype=np.int64),) * 2
     smoothed = n + 0.5 * (v + 1)
-    pairs = pair_blocks(source, hot, shards)
+    answers = answers.filter("part >= 0").withColumn("t", F.lit(None).cast("binary"))
+    if order > 2 and len(hot):
+        answers = answers.unionByName(count_contexts(source, hot, shards, order))
+    pairs = pair_blocks(source, hot, shards, order)
     kind = docs.schema[key].dataType.simpleString()
-    sums = pairs.groupBy("part").cogroup(answers.filter("part >= 0").groupBy("part")).applyInArrow(
-        _shard(discount, share, smoothed, hot, hot_count, hot_after),
+    sums = pairs.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
+        _shard(discount, share, smoothed, hot, hot_count, hot_after, order),
         f"block bigint, shard int, a binary, b binary, n binary, d binary, keys array<{kind}>")
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     tokens, base = int(n), float(np.log10(smoothed))

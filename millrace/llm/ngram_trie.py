@@ -1,4 +1,4 @@
-"""Word-pair probabilities in a trie of Elias-Fano sequences with memory-mapped levels."""
+"""Word n-gram probabilities in a trie of Elias-Fano sequences with memory-mapped levels."""
 
 from __future__ import annotations
 
@@ -119,9 +119,51 @@ class PairTrie:
         """log10 of p(word | context) / p(word) for contexts of these ranks."""
         out = np.zeros(len(rank))
         known = np.flatnonzero(rank >= 0)
-        r = rank[known]
-        out[known] = restore(self.backoff[r])
-        first, last = self.pointers.values(r).astype(np.int64), self.pointers.values(r + 1).astype(np.int64)
-        i, hit = self.successors.successor((r.astype(np.uint64) << np.uint64(WORD_BITS)) | words[known], first, last)
-        out[known[hit]] = restore(self.weights[i[hit]])
+        out[known] = restore(self.backoff[rank[known]])
+        i = self.successor(rank, words)
+        hit = i >= 0
+        out[hit] = restore(self.weights[i[hit]])
+        return out
+
+    def successor(self, rank: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Index of each word below the context of this rank (-1: none)."""
+        return _below(self.pointers, self.successors, rank, words)
+
+
+def _below(pointers: EliasFano, entries: EliasFano, parent: np.ndarray, words: np.ndarray) -> np.ndarray:
+    out = np.full(len(parent), -1)
+    known = np.flatnonzero(parent >= 0)
+    r = parent[known]
+    first, last = pointers.values(r).astype(np.int64), pointers.values(r + 1).astype(np.int64)
+    i, hit = entries.successor((r.astype(np.uint64) << np.uint64(WORD_BITS)) | words[known], first, last)
+    out[known[hit]] = i[hit]
+    return out
+
+
+class Level:
+    """One more level of a trie: pointers of the parents, and words (hash below the parent, weight)."""
+
+    @staticmethod
+    def write(folder: str, name: str, parents: int, parent: np.ndarray, words: np.ndarray, weights: np.ndarray) -> None:
+        """``parent``: rank of each word's parent; sorted by parent and word."""
+        upto = np.concatenate([[0], np.cumsum(np.bincount(parent, minlength=parents))])
+        entries = (parent.astype(np.uint64) << np.uint64(WORD_BITS)) | words
+        for kind, values in (("pointers", upto), ("words", entries)):
+            for part, array in zip(("low", "high", "shape"), EliasFano.build(values), strict=True):
+                np.save(os.path.join(folder, f"{name}.{kind}.{part}.npy"), array)
+        np.save(os.path.join(folder, f"{name}.weights.npy"), quantise(weights))
+
+    def __init__(self, folder: str, name: str) -> None:
+        def load(what: str) -> np.ndarray:
+            return np.load(os.path.join(folder, f"{name}.{what}.npy"), mmap_mode="r")
+        self.pointers, self.words = (EliasFano(*(load(f"{k}.{part}") for part in ("low", "high", "shape"))) for k in ("pointers", "words"))
+        self.weights = load("weights")
+
+    def find(self, parent: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return _below(self.pointers, self.words, parent, words)
+
+    def weight(self, i: np.ndarray) -> np.ndarray:
+        """Weights of these indexes; 0 for -1."""
+        out = np.zeros(len(i))
+        out[i >= 0] = restore(self.weights[i[i >= 0]])
         return out

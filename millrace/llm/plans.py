@@ -76,7 +76,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1)
+    return score_documents(_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1, order=3)
 
 
 @_query

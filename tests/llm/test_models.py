@@ -181,6 +181,35 @@ def test_lm_scores(docs, texts, no_docs, shard_bytes):
         assert {r["n_known"] for r in score_documents(docs, F.lit(False)).collect()} == {0}
 
 
+@pytest.mark.parametrize("order,shard_bytes", [(3, 1 << 20), (3, 2000), (4, 2000)])
+def test_lm_scores_of_longer_contexts(docs, texts, order, shard_bytes):
+    train = F.coalesce(F.col("doc_id") % 4 != 1, F.lit(False))
+    got = {}
+    for r in score_documents(docs, train, shard_bytes=shard_bytes, order=order).collect():
+        got.setdefault(r["doc_id"], []).append(r["score"])
+    words = [(d, [None] * (order - 1) + [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None]) for d, t, _ in texts]
+    grams = Counter(tuple(w[i - n + 1:i + 1]) for d, w in words if d is not None and d % 4 != 1
+                    for i in range(order - 1, len(w)) for n in range(1, order + 1))
+    total, after = Counter(), Counter()
+    for g, c in grams.items():
+        total[g[:-1]] += c
+        after[g[:-1]] += 1
+    z = sum(c for g, c in grams.items() if len(g) == 1) + 0.5 * (after[()] + 1)
+    longer = 0
+    for d, w in words:
+        score = 0.0
+        for i in range(order - 1, len(w)):
+            p = q = (grams[w[i],] + 0.5) / z
+            for n in range(2, order + 1):
+                g = tuple(w[i - n + 1:i + 1])
+                if total[g[:-1]]:
+                    q = max(grams[g] - 0.9, 0) / total[g[:-1]] + 0.9 * after[g[:-1]] / total[g[:-1]] * q
+                    longer += n > 2
+            score += math.log10(0.5 * q + 0.5 * p)
+        assert any(abs(s - score) <= (len(w) - order + 1) * order / 2048 for s in got[d]), (d, score, got[d])
+    assert longer
+
+
 def test_languages(spark, docs, texts, no_docs):
     rng = random.Random(3)
     def make(chars, n):
