@@ -135,8 +135,8 @@ def train_languages(labelled: DataFrame, lang: str = "lang", text: str = "text")
     return LanguageModel(languages, logp.T.astype(np.float32), candidates)
 
 
-def word_scores(model: LanguageModel, grams: WordGrams, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Score of each word in each language (0 for the best one), and its letters."""
+def word_scores(model: LanguageModel, grams: WordGrams, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score of each word in each language (0 for the best one), its letters, and whether no language was learned with its script."""
     letters, script, bucket, owner = grams.of(words)
     k = len(model.languages)
     score = np.empty((len(words), k))
@@ -148,7 +148,7 @@ def word_scores(model: LanguageModel, grams: WordGrams, words: list[bytes]) -> t
     score -= score.max(axis=1, keepdims=True)
     unknown = (script >= 0) & ~model.candidates[script].any(axis=1)
     score[unknown] = 0.0  # a script that no language was learned with tells nothing
-    return np.maximum(score, FAR), letters
+    return np.maximum(score, FAR), letters, unknown
 
 
 def viterbi(scores: np.ndarray, rows: np.ndarray, lens: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -190,7 +190,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id
 
     Words are scored in each candidate language by their letter n-grams; the best path with ``SWITCH`` for each
     change labels them.  ``lang_pred`` has most letters (the first name on a tie), ``score`` is its share of all
-    letters, each counted by the probability of the language given its word alone.  ``und`` with score 0 stands for null, for a text without a letter, and
+    letters, each counted by the probability of the language given its word alone; it is 0 where most letters are of scripts that no language was learned with.  ``und`` with score 0 stands for null, for a text without a letter, and
     for all texts if nothing was learned.  ``spans`` are (first word, words, language), in order.  Every row is
     one row; other columns are not read.
     """
@@ -237,7 +237,7 @@ class Judge:
                 score += [0.0] * (j - i)
                 found += [[]] * (j - i)
                 continue
-            scores, letters = word_scores(model, self.grams, words)
+            scores, letters, unknown = word_scores(model, self.grams, words)
             lens = np.bincount(doc, minlength=j - i)
             label = viterbi(scores, codes, lens)
             each = np.zeros((j - i, k))
@@ -247,7 +247,8 @@ class Judge:
             weight = np.exp(scores)
             weight /= weight.sum(axis=1, keepdims=True)
             sure = np.bincount(doc, weights=np.where(label == pick[doc], letters[codes] * weight[codes, label], 0.0), minlength=j - i)
-            value = np.minimum(sure / np.maximum(total, 1), 1.0)
+            foreign = np.bincount(doc, weights=(letters * unknown)[codes], minlength=j - i)
+            value = np.where(2 * foreign > total, 0.0, np.minimum(sure / np.maximum(total, 1), 1.0))
             lang += [model.languages[p] if t else "und" for p, t in zip(pick, total, strict=True)]
             score += value.tolist()
             if spans:

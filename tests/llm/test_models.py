@@ -236,6 +236,15 @@ def test_languages(spark, docs, texts, no_docs):
     assert kept.count() == sum(x != "und" and s >= 0.2 for x, s in zip(lang, score))
 
 
+def test_texts_of_unlearned_scripts_have_score_0(spark):
+    model = train_languages(spark.createDataFrame([("some words here", "aa"), ("andere worte dort", "bb")], "text string, lang string"))
+    texts = ["ΑΒΓ ΔΕΖ", "слова и words", "some words и слова here", "some words", "ה", "some andere words worte"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in identify_languages(df, model).collect()}
+    assert [score[i] > 0 for i in range(6)] == [False, False, True, True, False, True]
+    assert {r["doc_id"] for r in keep_identified(df, model, 0.1).collect()} == {2, 3, 5}
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(4)
     for _ in range(60):
