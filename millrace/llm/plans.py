@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from .byte_bpe import round_trip_digests
 from .embedding_dedup import near_duplicate_components
 from .exact_dedup import exact_groups
+from .hard_negatives import mine_hard_negatives
 from .jaccard_join import jaccard_components
 from .language_id import fold, identify_languages, train_languages
 from .lm_scoring import score_documents
 from .packing import pack_documents
+from .runs import periodic_runs, run_digests
 from .sharding import shard_documents
 from .token_counts import encoded_lengths, length_histogram
 from .url_filter import url_verdicts
+from .word_bpe import word_bpe_digests
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +103,41 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+w AS (
+  SELECT p.anchor AS anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank
+  FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same
+  WHERE 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 3"""
+
+
+@_query
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe_digests(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    return run_digests(periodic_runs(_table(spark, sf_dir, "documents"), F.when(h % 10 == 0, g)))
