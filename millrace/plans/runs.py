@@ -28,8 +28,9 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PROGRESS_SQL = RUNS + """
-SELECT run_id, arg_max(progress, event_id) AS progress, arg_max(loss, event_id) FILTER (loss IS NOT NULL) AS loss,
-  arg_max(status, event_id) AS status, min(ts) FILTER (status = 'running') AS started_at,
+SELECT run_id, arg_max(progress, event_id) AS progress, arg_max(epoch, event_id) AS epoch,
+  arg_max(loss, event_id) FILTER (loss IS NOT NULL) AS loss, arg_max(status, event_id) AS status,
+  arg_max(error, event_id) FILTER (error IS NOT NULL) AS error, min(ts) FILTER (status = 'running') AS started_at,
   max(ts) FILTER (status IN ('completed', 'failed')) AS completed_at
 FROM (SELECT * REPLACE (row_number() OVER (ORDER BY ts, event_id) AS event_id) FROM run_events) GROUP BY run_id"""
 
@@ -138,8 +139,14 @@ def throughput_windows_stream(spark, sf):
     return _rounded(st.throughput_stream(_raw_stream(spark, sf), scratch_path(spark, "windows"), "event_type", "value", "1 day"))
 
 
+@query("throughput_windows_session_stream", SESSION_SQL)
+def throughput_windows_session_stream(spark, sf):
+    sessions = st.session_stream(_raw_stream(spark, sf), scratch_path(spark, "sessions"), "user_id", "value", "6 hours", close=True)
+    return sessions.withColumn("total", rnd(F.col("total"), 4))
+
+
 LATEST_SQL = RUNS + """, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS rn FROM run_events)
-SELECT run_id, ts, event_id, status, progress, loss FROM r WHERE rn = 1"""
+SELECT run_id, ts, event_id, status, progress, epoch, loss, error FROM r WHERE rn = 1"""
 
 
 @query("latest_state_table", LATEST_SQL)

@@ -1,8 +1,10 @@
 """Run events: batch folds and the Structured Streaming jobs that equal them.
 
-Streams read a file source with ``availableNow`` (or any other trigger the
-caller sets) and write to a table of one directory per micro-batch.  A batch
-that is retried overwrites its own directory, so results stay exact."""
+Streams read a file source with ``availableNow`` (or any other trigger the caller sets) and write to a ``BatchTable``: a
+batch that is retried replaces its rows, so results stay exact, and the number of files stays bounded.
+
+A stream that waits for a watermark (the guard, sessions) shows what is final.  A closing event, far later than any
+other, ends it: it is read from a folder of the job itself and moves the watermark past all events."""
 
 from __future__ import annotations
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..scale import with_previous
 from ..sources.files import ALLOWED_EXTENSIONS
+from .guard import TransitionGuard
+from .tables import BatchTable
 
 # States an action may start from, for jobs and for projects.
 ACTION_RULES = {
@@ -32,6 +36,11 @@ TRANSITIONS = (
     ("failed", "pending"), ("pending", "cancelled"), ("queued", "cancelled"), ("running", "cancelled"), ("failed", "cancelled"),
 )
 
+POLLED = ("status", "progress", "epoch", "loss", "error")
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CLOSING = "9999-01-01 00:00:00"  # time of the closing event
+
 
 # ---------------------------------------------------------------- batch forms
 
@@ -39,21 +48,23 @@ def _state_columns(order: Column) -> list[Column]:
     s = F.col("status")
     return [
         F.max_by("progress", order).alias("progress"),
+        F.max_by("epoch", order).alias("epoch"),
         F.max_by("loss", F.when(F.col("loss").isNotNull(), order)).alias("loss"),
         F.max_by("status", F.when(s.isNotNull(), order)).alias("status"),
+        F.max_by("error", F.when(F.col("error").isNotNull(), order)).alias("error"),
         F.min(F.when(s == "running", F.col("ts"))).alias("started_at"),
         F.max(F.when(s.isin("completed", "failed"), F.col("ts"))).alias("completed_at")]
 
 
 def progress_state(events: DataFrame, run: str = "run_id") -> DataFrame:
-    """Fold updates per run: last progress and status, last non-null loss, first
+    """Fold updates per run: last progress and epoch (also null), last non-null loss, status and error, first
     start, last end.  All parts are combinable, so a busy run is pre-folded
     before the shuffle."""
     return events.groupBy(run).agg(*_state_columns(F.struct("ts", "event_id")))
 
 
-def latest_state(events: DataFrame, run: str = "run_id", cols: Sequence[str] = ("status", "progress", "loss")) -> DataFrame:
-    """The newest event of each run."""
+def latest_state(events: DataFrame, run: str = "run_id", cols: Sequence[str] = POLLED) -> DataFrame:
+    """The newest event of each run, with the fields that pollers read."""
     e = events.groupBy(run).agg(F.max_by(F.struct("ts", "event_id", *cols), F.struct("ts", "event_id")).alias("_e"))
     return e.select(run, *[F.col(f"_e.{c}").alias(c) for c in ("ts", "event_id", *cols)])
 
@@ -150,58 +161,69 @@ def run_to_end(stream: DataFrame, checkpoint: str, mode: str, batch: Callable[[D
     q.awaitTermination()
 
 
-def _batch_writer(path: str) -> Callable[[DataFrame, int], None]:
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id:010d}")
-    return write
+def _kept(stream: DataFrame, path: str, mode: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Run a stream to its end into a table; the table's rows."""
+    spark = stream.sparkSession
+    table = BatchTable(spark, f"{path}/table", keys)
+    run_to_end(stream, f"{path}/_checkpoint", mode, lambda df, batch: table.write(df, batch))
+    return table.read(stream.schema)
+
 
+def _with_closing(events: DataFrame, path: str) -> DataFrame:
+    """Events and, from a folder that is empty until ``_close``, the closing event (all columns null but ``_t``)."""
+    spark, folder = events.sparkSession, f"{path}/closing"
+    # the folder must be there when the stream starts
+    spark.createDataFrame([], events.schema).write.mode("ignore").parquet(folder)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(folder))
 
-def merged_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Newest version of each key from an update-mode batch table."""
-    t = spark.read.parquet(path)
-    rest = [c for c in t.columns if c not in (*keys, "batch")]
-    return t.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+def _close(events: DataFrame, path: str) -> None:
+    spark = events.sparkSession
+    one = spark.range(1).select(*[
+        (F.lit(CLOSING) if f.name == "_t" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields])
+    one.coalesce(1).write.mode("append").parquet(f"{path}/closing")
 
 
 def progress_state_stream(events: DataFrame, path: str, run: str = "run_id") -> DataFrame:
-    """``progress_state`` kept by a streaming aggregation; read with ``merged_updates``."""
+    """``progress_state`` kept by a streaming aggregation in an upsert table."""
     e = events.withColumn("ts", _utc(F.col("ts")))
-    state = e.groupBy(run).agg(*_state_columns(F.struct("ts", "event_id")))
-    run_to_end(state, f"{path}/_checkpoint", "update", _batch_writer(f"{path}/table"))
-    out = merged_updates(events.sparkSession, f"{path}/table", [run])
+    out = _kept(e.groupBy(run).agg(*_state_columns(F.struct("ts", "event_id"))), path, "update", [run])
     return out.withColumn("started_at", _ntz(F.col("started_at"))).withColumn("completed_at", _ntz(F.col("completed_at")))
 
 
-def latest_state_stream(events: DataFrame, path: str, run: str = "run_id", cols: Sequence[str] = ("status", "progress", "loss")) -> DataFrame:
+def latest_state_stream(events: DataFrame, path: str, run: str = "run_id", cols: Sequence[str] = POLLED) -> DataFrame:
+    """``latest_state`` kept by a streaming aggregation in an upsert table."""
     e = events.withColumn("ts", _utc(F.col("ts")))
     newest = e.groupBy(run).agg(F.max_by(F.struct("ts", "event_id", *cols), F.struct("ts", "event_id")).alias("_e"))
     flat = newest.select(run, *[F.col(f"_e.{c}").alias(c) for c in ("ts", "event_id", *cols)])
-    run_to_end(flat, f"{path}/_checkpoint", "update", _batch_writer(f"{path}/table"))
-    return merged_updates(events.sparkSession, f"{path}/table", [run]).withColumn("ts", _ntz(F.col("ts")))
+    return _kept(flat, path, "update", [run]).withColumn("ts", _ntz(F.col("ts")))
 
 
-def transition_guard_stream(events: DataFrame, path: str, run: str = "run_id",
-                            transitions: Sequence[tuple[str, str]] = TRANSITIONS) -> DataFrame:
-    """The guard per micro-batch: the last status of each run is carried from
-    batch to batch as a table and enters the next one as that run's first row."""
-    spark = events.sparkSession
-    cols = [run, "event_id", "ts", "status"]
+def transition_guard_stream(events: DataFrame, path: str, run: str = "run_id", transitions: Sequence[tuple[str, str]] = TRANSITIONS,
+                            delay: str = "10 minutes", close: bool = True) -> DataFrame:
+    """The violations of ``transition_guard``, from state per run that follows event time (``TransitionGuard``).
 
-    def check(df: DataFrame, batch_id: int) -> None:
-        rows = df.select(*cols).withColumn("_old", F.lit(False))
-        if batch_id > 0:
-            last = df.sparkSession.read.parquet(f"{path}/state/{batch_id - 1:010d}")
-            rows = rows.unionByName(last.withColumn("_old", F.lit(True)))
-        key = F.struct("ts", "event_id")
-        seen = with_previous(rows, [run], ["ts", "event_id"], "status", "previous")
-        bad = seen.filter(~F.col("_old") & F.col("previous").isNotNull() & (F.col("previous") != F.col("status"))
-                          & ~_allowed(F.col("previous"), F.col("status"), transitions))
-        bad.drop("_old").write.mode("overwrite").parquet(f"{path}/table/batch={batch_id:010d}")
-        rows.groupBy(run).agg(F.max_by(F.struct("event_id", "ts", "status"), key).alias("_l")).select(run, "_l.*") \
-            .write.mode("overwrite").parquet(f"{path}/state/{batch_id:010d}")
-
-    run_to_end(events.select(*cols), f"{path}/_checkpoint", "append", check)
-    return spark.read.parquet(f"{path}/table").drop("batch")
+    Events wait in the state until the watermark (the latest time less ``delay``) has passed them, are then judged in
+    order and leave; so an event that comes late, but inside the watermark, takes its place, and a batch
+    costs what it brings.  Later ones are dropped, as are events without a time.  Without ``close`` the violations are those up to
+    the watermark, and a later call with the same ``path`` goes on.  Needs the RocksDB state store, which is set for this stream."""
+    spark = events.sparkSession
+    kind = events.schema[run].dataType.simpleString()
+    ids = events.schema["event_id"].dataType.simpleString()
+    e = events.select(F.col(run).alias("run"), "event_id", "status", _utc(F.col("ts")).alias("_t")).filter("_t IS NOT NULL")
+    checked = _with_closing(e, path).withWatermark("_t", delay).groupBy("run").transformWithState(
+        TransitionGuard([f"{a}>{b}" for a, b in transitions], ids),
+        f"run {kind}, event_id {ids}, ts timestamp, status string, previous string", "append", "EventTime")
+    old = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        out = _kept(checked, path, "append")
+        if close:
+            _close(e, path)
+            out = _kept(checked, path, "append")
+    finally:
+        spark.conf.set(STATE_STORE, old)
+    return out.withColumn("ts", _ntz(F.col("ts"))).withColumnRenamed("run", run)
 
 
 def throughput_stream(events: DataFrame, path: str, by: str, value: str, size: str, slide: str | None = None,
@@ -211,18 +233,21 @@ def throughput_stream(events: DataFrame, path: str, by: str, value: str, size: s
     e = events.withColumn("_t", _utc(F.col("ts"))).withWatermark("_t", delay)
     w = F.window("_t", size, slide) if slide else F.window("_t", size)
     agg = e.groupBy(w.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
-    run_to_end(agg, f"{path}/_checkpoint", mode, _batch_writer(f"{path}/table"))
-    return _window_columns(merged_updates(events.sparkSession, f"{path}/table", ["w", by]), by)
+    return _window_columns(_kept(agg, path, mode, ["w", by]), by)
 
 
-def session_stream(events: DataFrame, path: str, by: str, value: str, gap: str, delay: str = "10 minutes") -> DataFrame:
-    """Sessions closed so far (append mode)."""
-    e = events.withColumn("_t", _utc(F.col("ts"))).withWatermark("_t", delay)
-    agg = e.groupBy(F.session_window("_t", gap).alias("w"), by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.max("_t").alias("last_event"))
-    run_to_end(agg, f"{path}/_checkpoint", "append", _batch_writer(f"{path}/table"))
-    return events.sparkSession.read.parquet(f"{path}/table").select(
-        by, _ntz(F.col("w.start")).alias("session_start"), _ntz(F.col("last_event")).alias("last_event"), "n", "total")
+def session_stream(events: DataFrame, path: str, by: str, value: str, gap: str, delay: str = "10 minutes",
+                   close: bool = False) -> DataFrame:
+    """Sessions that the watermark has passed; with ``close`` all of them, and the stream takes no more events."""
+    e = events.select(by, value, _utc(F.col("ts")).alias("_t"), F.lit(1).alias("_real"))
+    w = F.session_window("_t", gap).alias("w")
+    agg = _with_closing(e, path).withWatermark("_t", delay).groupBy(w, by).agg(
+        F.count("_real").alias("n"), F.sum(value).alias("total"), F.max("_t").alias("last_event"))
+    out = _kept(agg, path, "append")
+    if close:
+        _close(e, path)
+        out = _kept(agg, path, "append")
+    return out.select(by, _ntz(F.col("w.start")).alias("session_start"), _ntz(F.col("last_event")).alias("last_event"), "n", "total")
 
 
 def discover_files(spark: SparkSession, root: str, path: str, extensions: Sequence[str] = ALLOWED_EXTENSIONS) -> DataFrame:
@@ -234,14 +259,12 @@ def discover_files(spark: SparkSession, root: str, path: str, extensions: Sequen
         "path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFileAge", "36500d") \
         .load(root).select("path", "length", F.col("modificationTime").alias("modified")) \
         .filter(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*[e.lower() for e in extensions]))
-    run_to_end(files, f"{path}/_checkpoint", "append", _batch_writer(f"{path}/table"))
-    return spark.read.parquet(f"{path}/table")
+    table = BatchTable(spark, f"{path}/table")
+    run_to_end(files, f"{path}/_checkpoint", "append", lambda df, batch: table.write(df.withColumn("batch", F.lit(batch)), batch))
+    return table.read(files.withColumn("batch", F.lit(0)).schema)
 
 
 def log_stream(events: DataFrame, path: str, message: Column, run: str = "run_id") -> DataFrame:
     """Log lines appended per micro-batch; ``log_append`` over them gives the text."""
-    run_to_end(events.withColumn("message", message).select(run, "ts", "event_id", "message"),
-               f"{path}/_checkpoint", "append", _batch_writer(f"{path}/table"))
-    return log_append(events.sparkSession.read.parquet(f"{path}/table"), F.col("message"), run)
-
-
+    lines = events.withColumn("message", message).select(run, "ts", "event_id", "message")
+    return log_append(_kept(lines, path, "append"), F.col("message"), run)

@@ -115,7 +115,9 @@ def run_events(events: DataFrame) -> DataFrame:
         F.when(e == "signup", "pending").when(e == "view", "queued").when(e == "click", "running")
         .when(e == "purchase", "completed").otherwise("failed").alias("status"),
         F.least(F.col("value"), F.lit(100.0)).alias("progress"),
-        F.when(e != "error", F.col("value") / F.lit(100.0)).alias("loss"))
+        F.floor(F.col("value") / F.lit(50.0)).cast("int").alias("epoch"),
+        F.when(e != "error", F.col("value") / F.lit(100.0)).alias("loss"),
+        F.when(e == "error", F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" failed"))).alias("error"))
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +187,9 @@ FROM customer)""",
     "run_events": """run_events AS (
 SELECT event_id, user_id AS run_id, ts,
        CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status,
-       least(value, 100.0) AS progress, CASE WHEN event_type = 'error' THEN NULL ELSE value / 100.0 END AS loss
+       least(value, 100.0) AS progress, CAST(floor(value / 50.0) AS INT) AS epoch,
+       CASE WHEN event_type = 'error' THEN NULL ELSE value / 100.0 END AS loss,
+       CASE WHEN event_type = 'error' THEN 'event ' || event_id || ' failed' END AS error
 FROM events)""",
     "text_pairs": """text_pairs AS (
 SELECT doc_id AS pair_id, lang, text AS chosen, coalesce(lead(text) OVER w, first_value(text) OVER w) AS rejected

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.streaming import runs as st
+from millrace.streaming.tables import BatchTable
 
 from .conftest import rows
 
@@ -18,7 +19,8 @@ def events(spark, tmp_path_factory):
         F.col("id").alias("event_id"), (F.col("id") % 7).alias("run_id"),
         F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(id * 7 as int))").alias("ts"),
         F.element_at(F.array(*[F.lit(s) for s in STATUS]), (F.xxhash64("id") % 5).cast("int") % 5 + F.when(F.xxhash64("id") < 0, 5).otherwise(1)).alias("status"),
-        (F.col("id") % 100).cast("double").alias("progress"), F.when(F.col("id") % 4 != 0, F.col("id") / 10.0).alias("loss"))
+        (F.col("id") % 100).cast("double").alias("progress"), F.when(F.col("id") % 5 != 0, F.col("id") / 50).cast("int").alias("epoch"),
+        F.when(F.col("id") % 4 != 0, F.col("id") / 10.0).alias("loss"), F.when(F.col("id") % 9 == 0, F.col("id").cast("string")).alias("error"))
     for i in range(4):
         e.filter(F.floor(F.col("event_id") / 100) == i).coalesce(1).write.mode("append").parquet(d)
     return d, spark.read.parquet(d).schema
@@ -94,6 +96,74 @@ def _raw(spark, tmp_path):
     return st.event_stream(spark, str(tmp_path / "in"), "ts timestamp_ntz, k string, v double", files_per_trigger=1)
 
 
+def _status_files(spark, path, *files):
+    for f in files:
+        spark.createDataFrame(f, "run_id long, event_id long, ts string, status string").select(
+            "run_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "status").coalesce(1).write.mode("append").parquet(path)
+    return st.event_stream(spark, path, "run_id long, event_id long, ts timestamp_ntz, status string", files_per_trigger=1)
+
+
+def test_late_event_takes_its_place(spark, tmp_path):
+    """An event inside the watermark is judged where it belongs; one before it is dropped."""
+    source = str(tmp_path / "in")
+    s = _status_files(spark, source, [(1, 0, "2024-01-01 00:00:00", "queued")], [(1, 1, "2024-01-01 00:10:00", "running")],
+                      [(1, 2, "2024-01-01 00:05:00", "completed")])
+    got = st.transition_guard_stream(s, str(tmp_path / "s"), close=False)
+    # the watermark stands at 0:00 now, so nothing after it is final
+    assert rows(got) == []
+    s = _status_files(spark, source, [(2, 3, "2024-01-01 00:30:00", "failed")], [(2, 5, "2024-01-01 00:31:00", "failed")],
+                      [(1, 4, "2024-01-01 00:01:00", "running")])
+    got = st.transition_guard_stream(s, str(tmp_path / "s"), close=False)
+    assert rows(got, "event_id", "status", "previous") == [(1, "running", "completed"), (2, "completed", "queued")]
+    got = st.transition_guard_stream(s, str(tmp_path / "s"))
+    assert rows(got, "run_id", "event_id") == [(1, 1), (1, 2)]
+    kept = spark.read.schema("run_id long, event_id long, ts timestamp_ntz, status string").parquet(source).filter("event_id <> 4")
+    assert rows(st.transition_guard(kept), "run_id", "event_id") == [(1, 1), (1, 2)]
+
+
+def test_guard_with_nulls_and_repeats(spark, tmp_path):
+    s = _status_files(spark, str(tmp_path / "in"), [(1, 0, "2024-01-01 00:00:00", "completed"), (1, 0, "2024-01-01 00:00:00", "completed"),
+                                                   (1, 1, "2024-01-01 00:00:01", None), (1, 2, "2024-01-01 00:00:02", "queued"), (1, 3, None, "failed"),
+                                                   (None, 4, "2024-01-01 00:00:00", "failed"), (None, 5, "2024-01-01 00:00:00", "running")])
+    got = st.transition_guard_stream(s, str(tmp_path / "s"))
+    assert rows(got, "run_id", "event_id", "status", "previous") == [(None, 5, "running", "failed")]
+
+
+def test_batch_table_keeps_few_files_and_survives_retries(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "t"), ["k"], kept=4)
+    log = BatchTable(spark, str(tmp_path / "a"), kept=4)
+    schema = "k long, v string"
+    empty = spark.createDataFrame([], schema)
+    assert table.read(empty.schema).count() == 0
+    for b in range(30):
+        df = spark.createDataFrame([(b % 3, f"v{b}"), (10 + b % 2, None)], schema).coalesce(1)
+        for _ in range(2 if b % 7 in (0, 1) else 1):  # some batches come twice, folded ones too
+            table.write(df, b)
+            log.write(df, b)
+    assert rows(table.read(empty.schema)) == [(0, "v27"), (1, "v28"), (10, None), (11, None), (2, "v29")]
+    assert log.read(empty.schema).count() == 60
+    for t in ("t", "a"):
+        assert len(list((tmp_path / t / "data").iterdir())) <= 2 * 4 + 2 and len(list((tmp_path / t / "log").glob("*.json"))) <= 2
+
+
+def test_a_failed_batch_leaves_the_table_as_it_was(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "t"), ["k"])
+    df = spark.createDataFrame([(1, "old")], "k long, v string")
+    table.write(df, 0)
+    broken = df.select("k", F.when(F.col("k") == 1, F.raise_error(F.lit("lost"))).cast("string").alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        table.write(broken, 1)
+    assert rows(table.read(df.schema)) == [(1, "old")]
+    table.write(df.withColumn("v", F.lit("new")), 1)
+    assert rows(table.read(df.schema)) == [(1, "new")]
+
+
+def test_closed_sessions_equal_batch(spark, events, tmp_path):
+    got = st.session_stream(stream(spark, events), str(tmp_path), "run_id", "progress", "1 minute", close=True)
+    want = st.session_throughput(batch(spark, events), "run_id", "progress", 60)
+    assert rows(got, *want.columns) == rows(want)
+
+
 def test_sessions(spark, events, tmp_path):
     e = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1.0), ("a", "2024-01-01 00:09:59", 2.0), ("a", "2024-01-01 00:20:00", 4.0), ("b", "2024-01-01 00:00:00", 8.0)],
                               "k string, t string, v double").select("k", F.expr("cast(t as timestamp_ntz)").alias("ts"), "v")
