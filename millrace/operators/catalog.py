@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import format_bytes, format_duration
-from ..scale import join_on_keys
+from ..scale import SMALL_ROWS, join_on_keys
+from ..session import materialise
 
-# Trait arity (exact count, or a minimum).
-TRAIT_EXACT = {"reasoning": 1, "coding": 1}
-TRAIT_MINIMUM = {"general_tools": 1}
+# Trait, least and most datasets (null: no limit).
+TRAIT_RULES = (("reasoning", 1, 1), ("coding", 1, 1), ("general_tools", 1, None))
+# Fields that a project must have.
+PROJECT_FIELDS = ("name", "base_model", "training_type", "output_directory")
 # Accepted ranges of run parameters.
 RANGES = {
     "batch_size": (1, 64),
@@ -104,23 +108,36 @@ def range_checks(df: DataFrame, fields: Mapping[str, Column], name: Column | Non
     return df.withColumn("failures", F.array_compact(F.array(*tests)))
 
 
-def project_checks(allocs: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Violations as (project_id, rule, item, found).  Every rule pre-aggregates
-    on its own key; percentages need not sum to 100."""
-    per_trait = allocs.groupBy("project_id", "trait_type").agg(F.count(F.lit(1)).alias("found"))
-    trait = F.col("trait_type")
-    exact = F.create_map(*[F.lit(x) for kv in TRAIT_EXACT.items() for x in kv])
-    known = [*TRAIT_EXACT, *TRAIT_MINIMUM]
-    rule = F.when(~trait.isin(*known), "unknown_trait") \
-        .when(F.col("found") != F.try_element_at(exact, trait), "trait_needs_exactly_one")
-    arity = per_trait.withColumn("rule", rule).filter(F.col("rule").isNotNull()) \
-        .select("project_id", "rule", trait.alias("item"), "found")
-    twice = allocs.groupBy("project_id", "dataset_id").agg(F.count(F.lit(1)).alias("found")).filter("found > 1") \
-        .select("project_id", F.lit("dataset_used_twice").alias("rule"), F.col("dataset_id").cast("string").alias("item"), "found")
-    missing = allocs.groupBy("project_id", "dataset_id").agg(F.count(F.lit(1)).alias("found")) \
-        .join(datasets.select("dataset_id").distinct(), "dataset_id", "left_anti") \
-        .select("project_id", F.lit("dataset_missing").alias("rule"), F.col("dataset_id").cast("string").alias("item"), "found")
-    return arity.unionByName(twice).unionByName(missing)
+def project_checks(projects: DataFrame, traits: DataFrame, allocs: DataFrame, datasets: DataFrame,
+                   fields: Sequence[str] = PROJECT_FIELDS) -> DataFrame:
+    """Violations as (project_id, rule, item, found).
+
+    Rules: a required field is null; a trait is unknown or has too few or too many datasets, none included; a dataset
+    is used twice in a project, or comes twice in one trait, or is not known.  ``traits`` lists the traits of each project; one
+    that only ``allocs`` names counts as listed.  Percentages need not sum to 100.  Every rule pre-aggregates on its own key."""
+    spark = projects.sparkSession
+    one = F.count(F.lit(1)).alias("found")
+    keys = ["project_id", "trait_type"]
+    counts = traits.select(*keys, F.lit(0).alias("n")).unionByName(allocs.select(*keys, F.lit(1).alias("n"))) \
+        .groupBy(*keys).agg(F.sum("n").alias("found"))
+    rules = spark.createDataFrame(TRAIT_RULES, "trait_type string, least int, most int")  # a fixed, short list
+    judged = counts.join(F.broadcast(rules), "trait_type", "left")
+    found = F.col("found")
+    rule = F.when(F.col("least").isNull(), "unknown_trait") \
+        .when((F.col("least") == F.col("most")) & (found != F.col("least")), "trait_needs_exactly_one") \
+        .when(found < F.col("least"), "trait_needs_at_least_one").when(found > F.col("most"), "trait_has_too_many")
+    arity = judged.withColumn("rule", rule).filter("rule IS NOT NULL").select("project_id", "rule", F.col("trait_type").alias("item"), "found")
+    dataset = F.col("dataset_id").cast("string")
+    repeated = allocs.groupBy(*keys, "dataset_id").agg(one).filter("found > 1").select(
+        "project_id", F.lit("allocation_repeated").alias("rule"), F.concat_ws("/", "trait_type", dataset).alias("item"), "found")
+    used = allocs.groupBy("project_id", "dataset_id").agg(one)
+    twice = used.filter("found > 1").select("project_id", F.lit("dataset_used_twice").alias("rule"), dataset.alias("item"), "found")
+    missing = join_on_keys(used, datasets.select("dataset_id").distinct(), ["dataset_id"], "left_anti").select(
+        "project_id", F.lit("dataset_missing").alias("rule"), dataset.alias("item"), "found")
+    absent = projects.select("project_id", F.explode(F.array_compact(F.array(
+        *[F.when(F.col(f).isNull(), F.lit(f)) for f in fields]))).alias("item")) \
+        .select("project_id", F.lit("field_missing").alias("rule"), "item", F.lit(0).cast("long").alias("found"))
+    return reduce(DataFrame.unionByName, [arity, repeated, twice, missing, absent])
 
 
 def allocation_rows(row_count: Column, percentage: Column) -> Column:
@@ -163,16 +180,67 @@ def empty_list_to_null(c: Column) -> Column:
     return F.when(F.size(c) > 0, c)
 
 
-def cascade_delete(parents: DataFrame, children: DataFrame, wanted: DataFrame, key: str, child_key: str,
-                   running: str = "running") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Delete parents and their children, except running parents.
-    Returns (parents left, children left, refused parents)."""
-    refused = parents.filter(F.col("status") == running).join(wanted.select(key), key, "left_semi")
-    gone = wanted.select(key).distinct().join(
-        parents.filter(F.col("status") == running).select(key), key, "left_anti")
-    left = parents.join(gone, key, "left_anti")
-    kept = join_on_keys(children, gone.select(F.col(key).alias(child_key)), [child_key], "left_anti")
-    return left, kept, refused
+@dataclass(frozen=True)
+class ForeignKey:
+    """Rows of ``child`` go with the row of ``parent`` whose key is in their ``column``."""
+
+    child: str
+    column: str
+    parent: str
+
+
+def _meet(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """Join with a written list of ids, broadcast if it is short (it is counted)."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids, on, how)
+
+
+def cascade_closure(tables: Mapping[str, DataFrame], keys: Mapping[str, str], links: Sequence[ForeignKey], root: str,
+                    wanted: DataFrame) -> dict[str, DataFrame]:
+    """All rows that go with the wanted rows of ``root``: per table (root, id), a row for each root that reaches it.
+
+    Level by level along the foreign keys until a level adds nothing, so chains of any depth and tables that refer to
+    themselves or to each other end too.  Each level is a written table; only ids move."""
+    start = tables[root].select(F.col(keys[root]).alias("id")).filter("id IS NOT NULL").distinct() \
+        .join(wanted.select(F.col(wanted.columns[0]).alias("id")).distinct(), "id", "left_semi")
+    start = materialise(start.select(F.col("id").alias("root"), "id"))
+    reached: dict[str, list[DataFrame]] = {root: [start]}
+    frontier = {root: start}
+    while frontier:
+        found: dict[str, list[DataFrame]] = {}
+        for link in links:
+            if link.parent in frontier:
+                own = tables[link.child].select(F.col(link.column).alias("parent"), F.col(keys[link.child]).alias("id"))
+                parents = frontier[link.parent].select("root", F.col("id").alias("parent"))
+                found.setdefault(link.child, []).append(_meet(own, parents, "parent", "inner").select("root", "id"))
+        frontier = {}
+        for name, parts in found.items():
+            new = reduce(DataFrame.union, parts).distinct()
+            for seen in reached.get(name, []):
+                new = new.join(seen, ["root", "id"], "left_anti")
+            new = materialise(new)
+            if not new.isEmpty():
+                frontier[name] = new
+                reached.setdefault(name, []).append(new)
+    return {name: reduce(DataFrame.union, parts) for name, parts in reached.items()}
+
+
+def cascade_delete(tables: Mapping[str, DataFrame], keys: Mapping[str, str], links: Sequence[ForeignKey], root: str, wanted: DataFrame,
+                   blocked: Mapping[str, Column]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Delete rows of ``root`` with all that depends on them.
+
+    A wanted row is refused, and nothing goes with it, if it or anything that would go is ``blocked`` (a condition per table).
+    Returns the rows left of each table and the ids refused (``id``).  A row that two roots reach goes if one of them does.  Rows
+    with a null foreign key stay."""
+    reached = cascade_closure(tables, keys, links, root, wanted)
+    held = [reached[name].join(tables[name].filter(condition).select(F.col(keys[name]).alias("id")), "id", "left_semi").select("root")
+            for name, condition in blocked.items() if name in reached]
+    refused = materialise(reduce(DataFrame.union, held).distinct()) if held else tables[root].sparkSession.createDataFrame(
+        [], reached[root].select("root").schema)
+    left = dict(tables)
+    for name, rows in reached.items():
+        gone = materialise(_meet(rows, refused, "root", "left_anti").select(F.col("id").alias(keys[name])).distinct())
+        left[name] = _meet(tables[name], gone, keys[name], "left_anti")
+    return left, refused.select(F.col("root").alias("id"))
 
 
 def find_orphans(jobs: DataFrame, *held: DataFrame) -> DataFrame:

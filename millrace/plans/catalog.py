@@ -116,21 +116,35 @@ def range_checks(spark, sf):
 WITH a AS (SELECT l_orderkey AS project_id, l_suppkey AS dataset_id,
   CASE l_returnflag WHEN 'R' THEN 'reasoning' WHEN 'A' THEN 'coding' ELSE CASE WHEN l_linestatus = 'O' THEN 'general_tools' ELSE 'vision' END END AS trait_type
   FROM lineitem),
+listed AS (SELECT o_orderkey AS project_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'reasoning' WHEN '2' THEN 'general_tools' ELSE 'coding' END AS trait_type
+  FROM orders),
+p AS (SELECT o_orderkey AS project_id, CASE WHEN o_orderkey % 11 > 0 THEN o_orderpriority END AS name, 'm' AS base_model,
+  CASE WHEN o_totalprice > 20000 THEN o_orderstatus END AS training_type, 'out' AS output_directory FROM orders),
 known AS (SELECT s_suppkey AS dataset_id FROM supplier WHERE s_acctbal > 0),
-t AS (SELECT project_id, trait_type, count(*) AS found FROM a GROUP BY ALL),
+t AS (SELECT project_id, trait_type, count(*) AS found FROM a GROUP BY ALL
+  UNION ALL SELECT project_id, trait_type, 0 FROM listed WHERE (project_id, trait_type) NOT IN (SELECT (project_id, trait_type) FROM a)),
 d AS (SELECT project_id, dataset_id, count(*) AS found FROM a GROUP BY ALL)
 SELECT project_id, 'unknown_trait' AS rule, trait_type AS item, found FROM t WHERE trait_type = 'vision'
 UNION ALL SELECT project_id, 'trait_needs_exactly_one', trait_type, found FROM t WHERE trait_type IN ('reasoning', 'coding') AND found <> 1
+UNION ALL SELECT project_id, 'trait_needs_at_least_one', trait_type, found FROM t WHERE trait_type = 'general_tools' AND found = 0
+UNION ALL SELECT project_id, 'allocation_repeated', trait_type || '/' || dataset_id, count(*) FROM a GROUP BY project_id, trait_type, dataset_id HAVING count(*) > 1
 UNION ALL SELECT project_id, 'dataset_used_twice', CAST(dataset_id AS VARCHAR), found FROM d WHERE found > 1
-UNION ALL SELECT project_id, 'dataset_missing', CAST(dataset_id AS VARCHAR), found FROM d WHERE dataset_id NOT IN (SELECT dataset_id FROM known)""")
+UNION ALL SELECT project_id, 'dataset_missing', CAST(dataset_id AS VARCHAR), found FROM d WHERE dataset_id NOT IN (SELECT dataset_id FROM known)
+UNION ALL SELECT project_id, 'field_missing', 'name', 0 FROM p WHERE name IS NULL
+UNION ALL SELECT project_id, 'field_missing', 'training_type', 0 FROM p WHERE training_type IS NULL""")
 def project_checks(spark, sf):
     f = F.col("l_returnflag")
     a = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("project_id"), F.col("l_suppkey").alias("dataset_id"),
         F.when(f == "R", "reasoning").when(f == "A", "coding")
         .when(F.col("l_linestatus") == "O", "general_tools").otherwise("vision").alias("trait_type"))
+    o = table(spark, sf, "orders").withColumn("project_id", F.col("o_orderkey"))
+    first = F.substring("o_orderpriority", 1, 1)
+    listed = o.select("project_id", F.when(first == "1", "reasoning").when(first == "2", "general_tools").otherwise("coding").alias("trait_type"))
+    p = o.select("project_id", F.when(F.col("project_id") % 11 > 0, F.col("o_orderpriority")).alias("name"), F.lit("m").alias("base_model"),
+                 F.when(F.col("o_totalprice") > 20000, F.col("o_orderstatus")).alias("training_type"), F.lit("out").alias("output_directory"))
     known = table(spark, sf, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("dataset_id"))
-    return cat.project_checks(a, known)
+    return cat.project_checks(p, listed, a, known)
 
 
 @query("allocate_rows", ctes("dataset_catalog", "allocations") + """
@@ -179,20 +193,55 @@ def patch_rows_null_keeps(spark, sf):
                           ["c_acctbal"], "at", null_keeps=True)
 
 
-@query("cascade_delete", ctes("projects") + """, wanted AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 480000),
-gone AS (SELECT id FROM wanted WHERE id NOT IN (SELECT id FROM projects WHERE status = 'running')),
-p AS (SELECT id FROM projects WHERE id NOT IN (SELECT id FROM gone)),
-o AS (SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT id FROM gone))
-SELECT 'project' AS side, id FROM p
-UNION ALL SELECT 'allocation', o_orderkey FROM o
-UNION ALL SELECT 'refused', id FROM projects WHERE status = 'running' AND id IN (SELECT id FROM wanted)""")
+def _sides(left: dict, keys: dict, refused) -> DataFrame:
+    """Rows left per table and id, and the refused ids."""
+    out = refused.select(F.lit("refused").alias("side"), F.col("id").cast("long").alias("id"), F.lit(1).cast("long").alias("n"))
+    for name, rows in left.items():
+        out = out.unionByName(rows.groupBy(F.lit(name).alias("side"), F.col(keys[name]).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    return out
+
+
+_REACH = """
+reach AS (SELECT id AS root, '{root}' AS side, id FROM wanted
+  UNION SELECT r.root, e.side, e.id FROM reach r JOIN edges e ON e.parent_side = r.side AND e.parent = r.id),
+refused AS (SELECT DISTINCT root FROM reach WHERE {blocked}),
+gone AS (SELECT DISTINCT side, id FROM reach WHERE root NOT IN (SELECT root FROM refused))
+SELECT 'refused' AS side, CAST(root AS BIGINT) AS id, 1 AS n FROM refused
+UNION ALL SELECT side, CAST(id AS BIGINT), count(*) FROM rows_ WHERE (side, id) NOT IN (SELECT (side, id) FROM gone) GROUP BY side, id"""
+
+
+@query("cascade_delete", ctes("projects").replace("WITH", "WITH RECURSIVE", 1) + """, wanted AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 480000),
+edges AS (SELECT 'project' AS parent_side, o_custkey AS parent, 'trait' AS side, o_orderkey AS id FROM orders
+  UNION ALL SELECT 'trait', l_orderkey, 'allocation', l_orderkey FROM lineitem),
+rows_ AS (SELECT 'project' AS side, id FROM projects UNION ALL SELECT 'trait', o_orderkey FROM orders UNION ALL SELECT 'allocation', l_orderkey FROM lineitem),"""
+       + _REACH.format(root="project", blocked="side = 'project' AND id IN (SELECT id FROM projects WHERE status = 'running')"))
 def cascade_delete(spark, sf):
+    """Projects with their traits and the traits' allocations."""
     o = table(spark, sf, "orders")
     wanted = o.filter("o_totalprice > 480000").select(F.col("o_custkey").alias("id"))
-    left, kept, refused = cat.cascade_delete(projects(spark, sf), o, wanted, "id", "o_custkey")
-    return left.select(F.lit("project").alias("side"), "id") \
-        .unionByName(kept.select(F.lit("allocation").alias("side"), F.col("o_orderkey").alias("id"))) \
-        .unionByName(refused.select(F.lit("refused").alias("side"), "id"))
+    tables = {"project": projects(spark, sf), "trait": o.select("o_orderkey", "o_custkey"), "allocation": table(spark, sf, "lineitem").select("l_orderkey")}
+    keys = {"project": "id", "trait": "o_orderkey", "allocation": "l_orderkey"}
+    links = [cat.ForeignKey("trait", "o_custkey", "project"), cat.ForeignKey("allocation", "l_orderkey", "trait")]
+    left, refused = cat.cascade_delete(tables, keys, links, "project", wanted, {"project": F.col("status") == "running"})
+    return _sides(left, keys, refused)
+
+
+@query("cascade_delete_datasets", ctes("jobs").replace("WITH", "WITH RECURSIVE", 1) + """, wanted AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal < 2000),
+edges AS (SELECT 'dataset' AS parent_side, dataset_id AS parent, 'job' AS side, id FROM jobs
+  UNION ALL SELECT 'dataset', l_suppkey, 'allocation', l_suppkey FROM lineitem
+  UNION ALL SELECT 'job', user_id, 'log', event_id FROM events),
+rows_ AS (SELECT 'dataset' AS side, c_custkey AS id FROM customer UNION ALL SELECT 'job', id FROM jobs
+  UNION ALL SELECT 'allocation', l_suppkey FROM lineitem UNION ALL SELECT 'log', event_id FROM events),"""
+       + _REACH.format(root="dataset", blocked="side = 'job' AND id IN (SELECT id FROM jobs WHERE status = 'queued')"))
+def cascade_delete_datasets(spark, sf):
+    """Datasets with their jobs, the jobs' logs, and their allocations; a queued job holds its dataset."""
+    tables = {"dataset": table(spark, sf, "customer").select("c_custkey"), "job": jobs(spark, sf).select("id", "dataset_id", "status"),
+              "allocation": table(spark, sf, "lineitem").select("l_suppkey"), "log": table(spark, sf, "events").select("event_id", "user_id")}
+    keys = {"dataset": "c_custkey", "job": "id", "allocation": "l_suppkey", "log": "event_id"}
+    links = [cat.ForeignKey("job", "dataset_id", "dataset"), cat.ForeignKey("allocation", "l_suppkey", "dataset"), cat.ForeignKey("log", "user_id", "job")]
+    wanted = table(spark, sf, "customer").filter("c_acctbal < 2000").select(F.col("c_custkey").alias("id"))
+    left, refused = cat.cascade_delete(tables, keys, links, "dataset", wanted, {"job": F.col("status") == "queued"})
+    return _sides(left, keys, refused)
 
 
 @query("find_orphans", ctes("jobs") + """

@@ -49,12 +49,14 @@ FROM events)"""
 
 
 @query("csv_scan", """
-SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size,
+SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_partkey % 10 = 0 THEN p_name || chr(10) || '"' || p_brand || '"' ELSE p_name END AS p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size,
        CAST(p_retailprice AS VARCHAR) AS p_retailprice, (SELECT count(*) FROM part) AS line_count
 FROM part""")
 def csv_scan(spark, sf):
     path = scratch_path(spark, "part-csv")
-    table(spark, sf, "part").write.option("header", True).option("escape", '"').csv(path)
+    broken = F.concat(F.col("p_name"), F.lit('\n"'), F.col("p_brand"), F.lit('"'))  # quotes and a line break in a field
+    part = table(spark, sf, "part").withColumn("p_name", F.when(F.col("p_partkey") % 10 == 0, broken).otherwise(F.col("p_name")))
+    part.write.option("header", True).option("escape", '"').csv(path)
     lines = src.csv_line_counts(spark, path).agg(F.sum("line_count").alias("n"))
     return src.csv_scan(spark, path).withColumn("line_count", lines.scalar())
 
@@ -62,8 +64,9 @@ def csv_scan(spark, sf):
 @query("json_array_scan", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def json_array_scan(spark, sf):
     path = scratch_path(spark, "documents-json")
-    src.write_json_array(table(spark, sf, "documents"), path)
-    return src.json_array_scan(spark, path)
+    d = table(spark, sf, "documents")
+    src.write_json_array(d, path, 1 << 20)
+    return src.json_array_scan(spark, path, d.schema)
 
 
 @query("json_lines_scan", "SELECT doc_id, text, lang, source, n_chars FROM documents")

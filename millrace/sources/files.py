@@ -6,7 +6,7 @@ Directory operators take a listing frame (path, length, ...), so they work on
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +43,9 @@ ERROR_PATTERNS = (
 )
 
 
+ARRAY_BYTES = 64 << 20  # of a written JSON array file; more than the admission limit could not be read again
+
+
 def csv_scan(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header; every field is a string, blank lines are dropped, short
     rows end in nulls.  Quoted line breaks make a file unsplittable, which the
@@ -53,9 +56,15 @@ def csv_scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_line_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Physical lines per file below the header, blank ones included (the catalog's count)."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"))
-    return lines.groupBy("path").agg((F.count(F.lit(1)) - 1).alias("line_count"))
+    """Records per file below the header, blank lines included (the catalog's count).  Line breaks in quoted fields
+    begin no record; an open quote runs to the end.  A file is one value, as a quote may begin
+    anywhere; the admission limit bounds it.  A file of no bytes has no row here."""
+    quoted = r'(^|[,\r\n])"(?:[^"]++|"")*+(?:"|\z)'
+    plain = F.regexp_replace("value", quoted, "$1")
+    breaks = F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit("")))
+    rest = F.when((F.length("value") > 0) & ~F.col("value").endswith("\n"), 1).otherwise(0)
+    return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.greatest(breaks + rest - 1, F.lit(0)).cast("long").alias("line_count"))
 
 
 def json_array_names(spark: SparkSession, path: str) -> list[str]:
@@ -74,12 +83,15 @@ def json_array_names(spark: SparkSession, path: str) -> list[str]:
 
 def json_array_scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Rows of JSON array files, columns in the order of the first object (keys
-    that appear only later follow)."""
-    names = json_array_names(spark, path)
-    reader = spark.read.option("multiLine", True)
+    that appear only later follow).  With a schema the files are read once, and a file that is no array of objects is an error
+    of the job that reads it; a value of another type is null."""
     if schema is not None:
-        return reader.schema(schema).json(path)
-    rows = reader.json(path)
+        entries = F.from_json("value", T.ArrayType(schema))
+        wrong = F.json_array_length("value").isNull() | F.exists(F.from_json("value", T.ArrayType(T.StringType())), lambda x: ~F.coalesce(x.startswith("{"), F.lit(False)))
+        checked = F.when(wrong, F.raise_error(F.lit("JSON must contain an array of objects")).cast(T.ArrayType(schema))).otherwise(entries)
+        return spark.read.text(path, wholetext=True).select(F.inline(checked))
+    names = json_array_names(spark, path)
+    rows = spark.read.option("multiLine", True).json(path)
     return rows.select(*[F.col(f"`{c}`") for c in [*[n for n in names if n in rows.columns], *[c for c in rows.columns if c not in names]]])
 
 
@@ -88,23 +100,29 @@ def json_lines_scan(spark: SparkSession, path: str, schema: T.StructType | None
     return (spark.read.schema(schema) if schema is not None else spark.read).json(path)
 
 
-def _bracketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    opened = False
-    for b in batches:
-        if len(b):
-            v = b["value"].copy()
-            v.iloc[0] = ("," if opened else "[") + v.iloc[0]
-            v.iloc[1:] = "," + v.iloc[1:]
-            opened = True
-            yield v.to_frame("value")
-    yield pd.DataFrame({"value": ["]" if opened else "[]"]})
-
-
-def write_json_array(df: DataFrame, path: str) -> None:
-    """One JSON array per output file, text not escaped to ASCII.  Rows stream
-    through; only the brackets and commas are added."""
+def _arrays(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Task function: rows joined to arrays of at most ``most`` bytes (one larger row is an array of its own)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[str] = []
+        size, wrote = 0, False
+        for b in batches:
+            for v in b["value"]:
+                n = len(v.encode()) + 2
+                if held and size + n > most:
+                    yield pd.DataFrame({"value": ["[" + ",\n".join(held) + "]"]})
+                    held, size, wrote = [], 0, True
+                held.append(v)
+                size += n
+        if held or not wrote:
+            yield pd.DataFrame({"value": ["[" + ",\n".join(held) + "]"]})
+    return run
+
+
+def write_json_array(df: DataFrame, path: str, most: int = ARRAY_BYTES) -> None:
+    """JSON array files of at most ``most`` bytes each, text not escaped to ASCII.  Rows stream through a task; it holds
+    one file's at a time."""
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")) \
-        .mapInPandas(_bracketed, "value string").write.text(path)
+        .mapInPandas(_arrays(most), "value string").write.option("maxRecordsPerFile", 1).text(path)
 
 
 def json_safe(df: DataFrame) -> DataFrame:

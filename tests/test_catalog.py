@@ -56,12 +56,21 @@ def test_range_checks(spark):
 
 def test_project_checks(spark):
     allocs = spark.createDataFrame([
-        (1, "reasoning", 1, 50.0), (1, "reasoning", 2, 20.0), (1, "general_tools", 1, 5.0), (2, "odd", 9, 1.0), (3, "coding", 2, 10.0)],
+        (1, "reasoning", 1, 50.0), (1, "reasoning", 2, 20.0), (1, "general_tools", 1, 5.0), (2, "odd", 9, 1.0), (3, "coding", 2, 10.0),
+        (5, "general_tools", 1, 1.0), (5, "general_tools", 1, 2.0)],
         "project_id int, trait_type string, dataset_id int, percentage double")
+    traits = spark.createDataFrame([(1, "reasoning"), (1, "general_tools"), (3, "coding"), (4, "reasoning"), (4, "general_tools"), (4, "else")],
+                                   "project_id int, trait_type string")
+    projects = spark.createDataFrame([(1, "a", "m", "t", "o"), (4, None, "m", "t", None)],
+                                     "project_id int, name string, base_model string, training_type string, output_directory string")
     known = spark.createDataFrame([(1,), (2,)], "dataset_id int")
-    assert rows(cat.project_checks(allocs, known)) == [
+    got = cat.project_checks(projects, traits, allocs, known)
+    assert rows(got) == [
         (1, "dataset_used_twice", "1", 2), (1, "trait_needs_exactly_one", "reasoning", 2), (2, "dataset_missing", "9", 1),
-        (2, "unknown_trait", "odd", 1)]
+        (2, "unknown_trait", "odd", 1), (4, "field_missing", "name", 0), (4, "field_missing", "output_directory", 0),
+        (4, "trait_needs_at_least_one", "general_tools", 0), (4, "trait_needs_exactly_one", "reasoning", 0), (4, "unknown_trait", "else", 0),
+        (5, "allocation_repeated", "general_tools/1", 2), (5, "dataset_used_twice", "1", 2)]
+    assert cat.project_checks(projects.limit(0), traits.limit(0), allocs.limit(0), known).count() == 0
 
 
 def test_allocation_truncates(spark):
@@ -80,12 +89,37 @@ def test_patch_rows(spark):
     assert spark.range(1).select(cat.empty_list_to_null(F.array())).first()[0] is None
 
 
-def test_cascade_delete(spark):
-    parents = spark.createDataFrame([(1, "done"), (2, "running"), (3, "done")], "id int, status string")
-    kids = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "pid int, k int")
-    wanted = spark.createDataFrame([(1,), (2,)], "id int")
-    left, kept, refused = cat.cascade_delete(parents, kids, wanted, "id", "pid")
-    assert rows(left, "id") == [(2,), (3,)] and rows(kept, "k") == [(20,), (30,)] and rows(refused, "id") == [(2,)]
+def _forest(spark):
+    tables = {
+        "project": spark.createDataFrame([(1, "done"), (2, "running"), (3, "done"), (4, "done")], "id int, status string"),
+        "trait": spark.createDataFrame([(10, 1), (20, 2), (30, 3), (40, 4), (50, None)], "tid int, pid int"),
+        # 400 belongs to traits of two projects through its own parent, 401 to none
+        "item": spark.createDataFrame([(100, 10, None, "ok"), (300, 30, None, "ok"), (400, 40, None, "ok"), (401, None, 400, "ok"), (402, None, 401, "busy"),
+                                       (301, None, 300, "ok"), (500, None, None, "ok")], "iid int, tid int, up int, state string")}
+    links = [cat.ForeignKey("trait", "pid", "project"), cat.ForeignKey("item", "tid", "trait"), cat.ForeignKey("item", "up", "item")]
+    return tables, {"project": "id", "trait": "tid", "item": "iid"}, links
+
+
+def test_cascade_delete_reaches_all_levels(spark):
+    tables, keys, links = _forest(spark)
+    wanted = spark.createDataFrame([(1,), (2,), (3,), (4,), (9,), (None,)], "id int")
+    blocked = {"project": F.col("status") == "running", "item": F.col("state") == "busy"}
+    left, refused = cat.cascade_delete(tables, keys, links, "project", wanted, blocked)
+    # 2 runs, 4 has a busy row three levels below
+    assert rows(refused) == [(2,), (4,)]
+    assert rows(left["project"], "id") == [(2,), (4,)] and rows(left["trait"], "tid") == [(20,), (40,), (50,)]
+    assert rows(left["item"], "iid") == [(400,), (401,), (402,), (500,)]
+    left, refused = cat.cascade_delete(tables, keys, links, "project", wanted, {})
+    assert refused.count() == 0 and rows(left["item"], "iid") == [(500,)] and rows(left["trait"], "tid") == [(50,)]
+
+
+def test_cascade_ends_on_cycles_and_without_rows(spark):
+    loop = {"n": spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4), (5, None)], "id int, up int")}
+    link = [cat.ForeignKey("n", "up", "n")]
+    left, _ = cat.cascade_delete(loop, {"n": "id"}, link, "n", spark.createDataFrame([(1,)], "id int"), {})
+    assert rows(left["n"], "id") == [(4,), (5,)]
+    left, refused = cat.cascade_delete(loop, {"n": "id"}, link, "n", spark.createDataFrame([], "id int"), {"n": F.col("id") > 0})
+    assert left["n"].count() == 5 and refused.count() == 0
 
 
 def test_find_orphans_and_pool(spark):

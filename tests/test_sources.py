@@ -1,9 +1,12 @@
 """File sources on real trees, with the edge files of the loaders."""
 
+import csv
+import io
 import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.sources import files as src
 
@@ -37,6 +40,30 @@ def test_csv_line_count_counts_blank_lines(spark, tmp_path):
     assert src.csv_scan(spark, p).count() == 2
 
 
+@pytest.mark.parametrize("text", ["a,b\n1,x\n", "a,b\n1,\"two\nlines\"\n2,y", "a\n\n\n", "a", 'a,b\n"q ""in"" q\n",2\n3,4\n', 'a"b,c\n1"\n,2\n',
+                                  '"h\n1",b\n1,2\n', 'a\n"open\nto the\nend', 'a,b\r\n"x\r\ny",1\r\n2,3\r\n', 'a\n"x"tail\n"y"\n'])
+def test_csv_records_are_counted_as_a_reader_does(spark, tmp_path, text):
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    want = max(0, sum(1 for _ in csv.reader(io.StringIO(text, newline=""))) - 1)
+    assert [r.line_count for r in src.csv_line_counts(spark, str(tmp_path / "a.csv")).collect()] == [want]
+
+
+def test_json_arrays_have_bounded_files(spark, tmp_path):
+    df = spark.range(500).select("id", F.repeat(F.lit("é"), 40).alias("t")).coalesce(2)
+    out = str(tmp_path / "out")
+    src.write_json_array(df, out, 4000)
+    files = list((tmp_path / "out").glob("part-*"))
+    assert len(files) > 10 and max(f.stat().st_size for f in files) <= 4100
+    assert rows(src.json_array_scan(spark, out, df.schema)) == rows(df) == rows(src.json_array_scan(spark, out).select("id", "t"))
+
+
+@pytest.mark.parametrize("text", ['{"a": 1}', "[1]", "not json", '[{"a": 1}, 2]'])
+def test_json_shape_errors_with_a_schema(spark, tmp_path, text):
+    df = src.json_array_scan(spark, put(tmp_path, "a.json", text), T.StructType().add("a", "int"))
+    with pytest.raises(Exception, match="array of objects"):
+        df.collect()
+
+
 def test_json_column_order_is_the_first_objects(spark, tmp_path):
     p = put(tmp_path, "a.json", '[{"z": 1, "a": 2}, {"b": 3, "z": 4}]')
     df = src.json_array_scan(spark, p)
