@@ -1,7 +1,8 @@
 """Losses and metrics over tables of chosen and rejected log-probs.
 
 Row-wise losses are column expressions; only what depends on a batch (ranks,
-running means, the KL term) needs a shuffle."""
+running means, the KL term) needs a shuffle.  A pair without one side (null log-probs) keeps its row; what needs the side is
+null, and means leave it out."""
 
 from __future__ import annotations
 
@@ -42,7 +43,7 @@ def pair_logits(p: Pair, divergence: str = "reverse_kl", alpha: float = 1.0, ref
     chosen, rejected = (p.pc, p.pr) if reference_free else (p.chosen, p.rejected)
     if divergence == "alpha":
         def power(x: Column) -> Column:
-            return F.exp(F.least(x * F.lit(-alpha), F.lit(EXP_CAP)))
+            return F.when(x.isNotNull(), F.exp(F.least(x * F.lit(-alpha), F.lit(EXP_CAP))))
         return (power(rejected) - power(chosen)) / F.lit(alpha)
     plain = (p.pc - p.pr) - (F.lit(0.0) if reference_free else (p.rc - p.rr))
     if divergence == "js":
@@ -73,7 +74,7 @@ def pair_loss(kind: str, p: Pair, beta: float = 0.1, eps: float = 0.0, logits: C
         e = eps or 1e-3
         return sigmoid(x) * (logsigmoid(x) - F.lit(math.log(1 - e))) + sigmoid(-x) * (logsigmoid(-x) - F.lit(math.log(e)))
     if kind == "hinge":
-        return F.greatest(F.lit(1.0) - x, F.lit(0.0))
+        return F.when(x.isNotNull(), F.greatest(F.lit(1.0) - x, F.lit(0.0)))
     if kind == "ipo":
         return F.pow(z - F.lit(1 / (2 * beta)), F.lit(2.0))
     if kind == "sppo_hard":
@@ -102,7 +103,7 @@ def pair_rewards(p: Pair, beta: float = 0.1) -> tuple[Column, Column]:
 def aot_loss(df: DataFrame, kind: str = "aot_pair", batch: str = "batch_id", tie: Sequence[str] = ("pair_id",), beta: float = 0.1,
              eps: float = 0.0) -> DataFrame:
     """Both columns are sorted on their own within the batch and paired by rank:
-    (batch, rank, delta, loss)."""
+    (batch, rank, delta, loss).  Pairs without a side come last, with nulls."""
     p = Pair()
     if kind == "aot_pair":
         a, b = p.chosen, p.rejected
@@ -110,9 +111,10 @@ def aot_loss(df: DataFrame, kind: str = "aot_pair", batch: str = "batch_id", tie
         a, b = p.pc - p.pr, p.rc - p.rr
     else:
         raise ValueError(f"unknown loss type: {kind}")
-    both = materialise(df.select(batch, *tie, a.alias("a"), b.alias("b")))
-    left = rank_within(both.drop("b"), [batch], ["a", *tie], "rank").select(batch, "rank", "a")
-    right = rank_within(both.drop("a"), [batch], ["b", *tie], "rank").select(batch, "rank", "b")
+    whole = a.isNotNull() & b.isNotNull()
+    both = materialise(df.select(batch, *tie, F.when(whole, a).alias("a"), F.when(whole, b).alias("b")))
+    left = rank_within(both.drop("b"), [batch], [F.col("a").asc_nulls_last(), *tie], "rank").select(batch, "rank", "a")
+    right = rank_within(both.drop("a"), [batch], [F.col("b").asc_nulls_last(), *tie], "rank").select(batch, "rank", "b")
     delta = F.col("a") - F.col("b")
     # (batch, rank) is unique on both sides, so even one huge batch joins evenly
     return left.join(right, [batch, "rank"]).select(
@@ -156,23 +158,22 @@ def multi_loss(weights: Mapping[str, float], p: Pair, beta: float = 0.1, eps: fl
 
 def side_sums(tokens: DataFrame, pair: str, side: str, ld_alpha: float) -> DataFrame:
     """Token table (pair, side 0/1, pos, logp, ref_logp, log_sum_sq, mask) to one
-    row per pair: sums, means and the length-desensitised log-prob of each side."""
+    row per pair: sums, means and the length-desensitised log-prob of each side.  A side without a token that counts has
+    length 0 and nulls."""
     on = F.col("mask") == 1
     lens = tokens.groupBy(pair).agg(*[F.count_if(on & (F.col(side) == s)).alias(f"len_{s}") for s in (0, 1)])
-    public = lens.filter("len_0 > 0 AND len_1 > 0")
-    j = join_on_keys(tokens, public, [pair], "inner")
-    lp = F.when(on, F.col("logp")).otherwise(0.0)
+    j = join_on_keys(tokens, lens, [pair], "inner")
     front = F.col("pos") < F.least("len_0", "len_1")
     aggs = []
     for s in (0, 1):
-        mine = F.col(side) == s
+        mine = on & (F.col(side) == s)
         length = F.when(F.lit(s) == 0, F.col("len_0")).otherwise(F.col("len_1"))
         rear = ~front & (F.col("pos") < length)
-        ld = F.when(front & (F.col("pos") < length), lp).when(rear, F.lit(ld_alpha) * lp).otherwise(0.0)
+        ld = F.when(front & (F.col("pos") < length), F.col("logp")).when(rear, F.lit(ld_alpha) * F.col("logp")).otherwise(0.0)
         aggs += [
-            F.sum(F.when(mine, lp)).alias(f"logp_{s}"), F.avg(F.when(mine & on, F.col("logp"))).alias(f"mean_{s}"),
-            F.sum(F.when(mine & on, F.col("ref_logp"))).alias(f"ref_{s}"),
-            F.avg(F.when(mine & on, F.col("logp") - F.col("log_sum_sq"))).alias(f"adj_{s}"),
+            F.sum(F.when(mine, F.col("logp"))).alias(f"logp_{s}"), F.avg(F.when(mine, F.col("logp"))).alias(f"mean_{s}"),
+            F.sum(F.when(mine, F.col("ref_logp"))).alias(f"ref_{s}"),
+            F.avg(F.when(mine, F.col("logp") - F.col("log_sum_sq"))).alias(f"adj_{s}"),
             F.sum(F.when(mine, ld)).alias(f"ld_{s}"), F.max(f"len_{s}").alias(f"len_{s}")]
     return j.groupBy(pair).agg(*aggs)
 
@@ -188,7 +189,8 @@ def adjusted_loss(sums: DataFrame, batch: str, beta: float = 0.1, rpo_alpha: flo
         nll = sums.groupBy(batch).agg((-F.sum("logp_0") / F.sum("len_0")).alias("nll"))
         sums = join_small(sums, nll, [batch])
         loss = loss + F.lit(rpo_alpha) * F.col("nll")
-    weight = F.least(F.exp(F.col("adj_0") + F.col("adj_1")), F.lit(1.0))
+    both = F.col("adj_0") + F.col("adj_1")
+    weight = F.when(both.isNotNull(), F.least(F.exp(both), F.lit(1.0)))
     sums = sums.withColumn("policy_weight", weight)
     return sums.withColumn("loss", loss * F.col("policy_weight") if weighting else loss)
 
@@ -250,7 +252,7 @@ def cpo_loss(kind: str, pc: Column, pr: Column, beta: float = 0.1, eps: float =
     elif kind == "sigmoid":
         loss = smoothed(F.lit(beta) * z, eps)
     elif kind == "hinge":
-        loss = F.greatest(F.lit(1.0) - F.lit(beta) * z, F.lit(0.0))
+        loss = F.when(z.isNotNull(), F.greatest(F.lit(1.0) - F.lit(beta) * z, F.lit(0.0)))
     elif kind == "ipo":
         loss = F.pow(z - F.lit(1 / (2 * beta)), F.lit(2.0))
     else:
@@ -294,7 +296,7 @@ def online_pairs(two: DataFrame, prompt: Sequence[str], gen: str, missing_eos_pe
                  judge_rank: str | None = None) -> DataFrame:
     """One row per prompt (key columns) from its completions 0 and 1 (columns reward, logp,
     ref_logp, eos).  The first is chosen if its penalised reward is not lower, or
-    if the judge ranks it 0."""
+    if the judge ranks it 0.  A prompt with one of the two only keeps its row, with null choices."""
     r = F.col("reward")
     if missing_eos_penalty is not None:
         r = F.when(F.col("eos"), r).otherwise(r - F.lit(missing_eos_penalty))
@@ -303,14 +305,15 @@ def online_pairs(two: DataFrame, prompt: Sequence[str], gen: str, missing_eos_pe
     aggs = [F.max(F.when(c, v)).alias(f"{n}{i}") for n, v in names.items() for i, c in enumerate((first, second))]
     if judge_rank is not None:
         aggs.append(F.max(F.when(first, F.col(judge_rank))).alias("rank0"))
-    wide = two.groupBy(*prompt).agg(F.count_if(first | second).alias("_n"), *aggs).filter("_n = 2").drop("_n")
-    mask = F.col("rank0") == 0 if judge_rank is not None else F.col("reward0") >= F.col("reward1")
+    wide = two.filter(first | second).groupBy(*prompt).agg((F.bool_or(first) & F.bool_or(second)).alias("_both"), *aggs)
+    better = F.col("rank0") == 0 if judge_rank is not None else F.col("reward0") >= F.col("reward1")
+    wide = wide.withColumn("first_chosen", F.when(F.col("_both"), better)).drop("_both")
+    mask = F.col("first_chosen")
 
     def pick(n: str, best: bool) -> Column:
-        return F.when(mask == best, F.col(f"{n}0")).otherwise(F.col(f"{n}1"))
+        return F.when(mask == best, F.col(f"{n}0")).when(mask != best, F.col(f"{n}1"))
 
-    return wide.select("*", mask.alias("first_chosen"),
-                       pick("logp", True).alias("policy_chosen"), pick("logp", False).alias("policy_rejected"),
+    return wide.select("*", pick("logp", True).alias("policy_chosen"), pick("logp", False).alias("policy_rejected"),
                        pick("ref", True).alias("ref_chosen"), pick("ref", False).alias("ref_rejected"),
                        (pick("reward", True) - pick("reward", False)).alias("scores_margin"))
 
@@ -333,13 +336,14 @@ def xpo_loss(mm: Column, mr: Column, rm: Column, rr: Column, model_chosen: Colum
     """Pair loss plus the exploration term on sequence sums; arguments are
     (policy|reference) log-probs of (model|reference) data."""
     def pick(c: Column, a: Column, b: Column) -> Column:
-        return F.when(c, a).otherwise(b)
+        return F.when(c, a).when(~c, b)
     p = Pair(pick(model_chosen, mm, mr), pick(model_chosen, mr, mm), pick(model_chosen, rm, rr), pick(model_chosen, rr, rm))
     pair = pair_loss(kind, p, beta)
     extra = F.lit(alpha) * mr
     cr, rj = pair_rewards(p, beta)
     return {"pair_loss": pair, "xpo_loss": extra, "loss": pair + extra, "chosen_reward": cr, "rejected_reward": rj,
-            "margin": cr - rj, "kl": ((mm - rm) + (mr - rr)) / F.lit(2.0), "entropy": -(mm + mr) / F.lit(2.0)}
+            "margin": cr - rj, "kl": ((mm - rm) + (mr - rr)) / F.lit(2.0), "entropy": -(mm + mr) / F.lit(2.0),
+            "logps_chosen": p.pc + p.rc, "logps_rejected": p.pr + p.rr}
 
 
 def mean_metrics(df: DataFrame, cols: Sequence[str], positive: str | None = None) -> DataFrame:

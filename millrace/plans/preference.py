@@ -31,7 +31,7 @@ def _loss_query(spark: SparkSession, sf: str, kinds: dict[str, dict]) -> DataFra
 
 @query("pair_logits", _loss_sql({
     "reverse_kl": LOGITS, "reference_free": "(policy_chosen - policy_rejected)",
-    "alpha_half": f"(exp(least({SQL_RJ} * -0.5, 709.0)) - exp(least({SQL_CH} * -0.5, 709.0))) / 0.5",
+    "alpha_half": f"CASE WHEN policy_rejected IS NOT NULL THEN (exp(least({SQL_RJ} * -0.5, 709.0)) - exp(least({SQL_CH} * -0.5, 709.0))) / 0.5 END",
     "js": f"{LOGITS} - ({sql_softplus(SQL_CH)} - {sql_softplus(SQL_RJ)})"}))
 def pair_logits(spark, sf):
     p = pref.Pair()
@@ -48,7 +48,7 @@ _X = f"(0.1 * {LOGITS})"
     "sigmoid_ls": f"-{sql_logsigmoid(_X)} * 0.9 - {sql_logsigmoid('-' + _X)} * 0.1",
     "robust": f"(-{sql_logsigmoid(_X)} * 0.9 + {sql_logsigmoid('-' + _X)} * 0.1) / 0.8",
     "exo_pair": f"{sql_sigmoid(_X)} * ({sql_logsigmoid(_X)} - ln(0.999)) + {sql_sigmoid('-' + _X)} * ({sql_logsigmoid('-' + _X)} - ln(0.001))",
-    "hinge": f"greatest(1.0 - {_X}, 0.0)", "ipo": f"pow({LOGITS} - 5.0, 2)"}))
+    "hinge": f"CASE WHEN {_X} IS NOT NULL THEN greatest(1.0 - {_X}, 0.0) END", "ipo": f"pow({LOGITS} - 5.0, 2)"}))
 def loss_sigmoid_family(spark, sf):
     return _loss_query(spark, sf, {"sigmoid": {}, "sigmoid_ls": {"eps": 0.1}, "robust": {"eps": 0.1}, "exo_pair": {}, "hinge": {}, "ipo": {}})
 
@@ -70,8 +70,9 @@ def loss_sppo_family(spark, sf):
 
 def _aot_sql(a: str, b: str) -> str:
     x = "(0.1 * (a - b))"
-    return PAIRS + f""", l AS (SELECT batch_id, {a} AS a, row_number() OVER (PARTITION BY batch_id ORDER BY {a}, pair_id, pair_no) AS rank FROM pair_logps),
-r AS (SELECT batch_id, {b} AS b, row_number() OVER (PARTITION BY batch_id ORDER BY {b}, pair_id, pair_no) AS rank FROM pair_logps)
+    return PAIRS + f""", w AS (SELECT *, CASE WHEN policy_rejected IS NOT NULL THEN {a} END AS a, {b} AS b FROM pair_logps),
+l AS (SELECT batch_id, a, row_number() OVER (PARTITION BY batch_id ORDER BY a NULLS LAST, pair_id, pair_no) AS rank FROM w),
+r AS (SELECT batch_id, b, row_number() OVER (PARTITION BY batch_id ORDER BY b NULLS LAST, pair_id, pair_no) AS rank FROM w)
 SELECT batch_id, rank, {sql_rnd('a - b')} AS delta, {sql_rnd(f'-{sql_logsigmoid(x)} * 0.95 - {sql_logsigmoid("-" + x)} * 0.05')} AS loss
 FROM l JOIN r USING (batch_id, rank)"""
 
@@ -116,7 +117,7 @@ def loss_bco_unpaired(spark, sf):
 
 
 @query("multi_loss_weighting", _loss_sql({
-    "loss": f"-{sql_logsigmoid(_X)} * 0.8 + greatest(1.0 - {_X}, 0.0) * 0.2 + (1.0 - {sql_sigmoid(CR)} + {sql_sigmoid(RR)})",
+    "loss": f"-{sql_logsigmoid(_X)} * 0.8 + CASE WHEN {_X} IS NOT NULL THEN greatest(1.0 - {_X}, 0.0) END * 0.2 + (1.0 - {sql_sigmoid(CR)} + {sql_sigmoid(RR)})",
     "chosen_reward": f"2.0 * {CR}", "rejected_reward": f"2.0 * {RR}"}))
 def multi_loss_weighting(spark, sf):
     out = pref.multi_loss({"sigmoid": 0.8, "hinge": 0.2, "apo_zero": 1.0}, pref.Pair(), BETA)
@@ -132,23 +133,24 @@ def two_sided(spark: SparkSession, sf: str) -> DataFrame:
 
 SIDES_SQL = ctes("token_logps") + """, t AS (SELECT seq_id // 2 AS pair_id, seq_id % 2 AS side, pos, logp, ref_logp, -entropy AS lss, mask, value, token_id FROM token_logps),
 n AS (SELECT pair_id, count(*) FILTER (mask = 1 AND side = 0) AS len_0, count(*) FILTER (mask = 1 AND side = 1) AS len_1 FROM t GROUP BY pair_id),
-j AS (SELECT *, least(len_0, len_1) AS pub FROM t JOIN n USING (pair_id) WHERE len_0 > 0 AND len_1 > 0),
+j AS (SELECT *, least(len_0, len_1) AS pub FROM t JOIN n USING (pair_id)),
 s AS (SELECT pair_id, pair_id % 16 AS batch_id, max(len_0) AS len_0,
-  sum(CASE WHEN mask = 1 THEN logp ELSE 0.0 END) FILTER (side = 0) AS logp_0, sum(CASE WHEN mask = 1 THEN logp ELSE 0.0 END) FILTER (side = 1) AS logp_1,
+  sum(logp) FILTER (side = 0 AND mask = 1) AS logp_0, sum(logp) FILTER (side = 1 AND mask = 1) AS logp_1,
   avg(logp) FILTER (side = 0 AND mask = 1) AS mean_0, avg(logp) FILTER (side = 1 AND mask = 1) AS mean_1,
   sum(ref_logp) FILTER (side = 0 AND mask = 1) AS ref_0, sum(ref_logp) FILTER (side = 1 AND mask = 1) AS ref_1,
   avg(logp - lss) FILTER (side = 0 AND mask = 1) AS adj_0, avg(logp - lss) FILTER (side = 1 AND mask = 1) AS adj_1,
-  sum(CASE WHEN mask = 1 AND pos < len_0 THEN logp * CASE WHEN pos < pub THEN 1.0 ELSE 0.5 END ELSE 0.0 END) FILTER (side = 0) AS ld_0,
-  sum(CASE WHEN mask = 1 AND pos < len_1 THEN logp * CASE WHEN pos < pub THEN 1.0 ELSE 0.5 END ELSE 0.0 END) FILTER (side = 1) AS ld_1
+  sum(CASE WHEN pos < len_0 THEN logp * CASE WHEN pos < pub THEN 1.0 ELSE 0.5 END ELSE 0.0 END) FILTER (side = 0 AND mask = 1) AS ld_0,
+  sum(CASE WHEN pos < len_1 THEN logp * CASE WHEN pos < pub THEN 1.0 ELSE 0.5 END ELSE 0.0 END) FILTER (side = 1 AND mask = 1) AS ld_1
   FROM j GROUP BY pair_id)
 """
+_WPO = "CASE WHEN adj_0 + adj_1 IS NOT NULL THEN least(exp(adj_0 + adj_1), 1.0) END"
 _XS, _XL = "(0.1 * ((logp_0 - logp_1) - (ref_0 - ref_1)))", "(0.1 * ((ld_0 - ld_1) - (ref_0 - ref_1)))"
 
 
 @query("loss_adjustments", SIDES_SQL + f""", b AS (SELECT batch_id, -sum(logp_0) / sum(len_0) AS nll FROM s GROUP BY batch_id)
 SELECT pair_id, {sql_rnd('mean_0')} AS mean_chosen, {sql_rnd('mean_1')} AS mean_rejected, {sql_rnd('ld_0')} AS ld_chosen, {sql_rnd('ld_1')} AS ld_rejected,
-  {sql_rnd('least(exp(adj_0 + adj_1), 1.0)')} AS policy_weight, {sql_rnd('nll')} AS nll,
-  {sql_rnd(f'(-{sql_logsigmoid(_XS)} + 0.5 * nll) * least(exp(adj_0 + adj_1), 1.0)')} AS loss_rpo_wpo, {sql_rnd(f'-{sql_logsigmoid(_XL)}')} AS loss_ld
+  {sql_rnd(_WPO)} AS policy_weight, {sql_rnd('nll')} AS nll,
+  {sql_rnd(f'(-{sql_logsigmoid(_XS)} + 0.5 * nll) * {_WPO}')} AS loss_rpo_wpo, {sql_rnd(f'-{sql_logsigmoid(_XL)}')} AS loss_ld
 FROM s JOIN b USING (batch_id)""")
 def loss_adjustments(spark, sf):
     s = pref.side_sums(two_sided(spark, sf), "pair_id", "side", 0.5).withColumn("batch_id", F.col("pair_id") % 16)
@@ -161,15 +163,15 @@ def loss_adjustments(spark, sf):
 
 
 @query("preference_metrics", PAIRS + f"""
-SELECT batch_id, {sql_rnd(f'avg({CR})')} AS eval_rewards_chosen, {sql_rnd(f'avg({RR})')} AS eval_rewards_rejected,
-  {sql_rnd(f'avg(CASE WHEN {CR} > {RR} THEN 1.0 ELSE 0.0 END)')} AS eval_rewards_accuracy, {sql_rnd(f'avg({CR} - {RR})')} AS eval_rewards_margin,
-  {sql_rnd('avg(policy_chosen)')} AS eval_logps_chosen, {sql_rnd('avg(policy_rejected)')} AS eval_logps_rejected,
-  {sql_rnd('avg(-policy_chosen)')} AS eval_nll_loss
+SELECT batch_id, {sql_rnd(f'avg({CR})', 9)} AS eval_rewards_chosen, {sql_rnd(f'avg({RR})', 9)} AS eval_rewards_rejected,
+  {sql_rnd(f'avg(CASE WHEN {CR} > {RR} THEN 1.0 WHEN {CR} <= {RR} THEN 0.0 END)', 9)} AS eval_rewards_accuracy, {sql_rnd(f'avg({CR} - {RR})', 9)} AS eval_rewards_margin,
+  {sql_rnd('avg(policy_chosen)', 9)} AS eval_logps_chosen, {sql_rnd('avg(policy_rejected)', 9)} AS eval_logps_rejected,
+  {sql_rnd('avg(-policy_chosen)', 9)} AS eval_nll_loss
 FROM pair_logps GROUP BY batch_id""")
 def preference_metrics(spark, sf):
     cr, rr = pref.pair_rewards(pref.Pair(), BETA)
     m = pref.preference_metrics(pair_logps(spark, sf), ["batch_id"], cr, rr, "eval_", {"nll_loss": F.avg(-F.col("policy_chosen"))})
-    return m.select("batch_id", *[rnd(F.col(c)).alias(c) for c in m.columns if c != "batch_id"])
+    return m.select("batch_id", *[rnd(F.col(c), 9).alias(c) for c in m.columns if c != "batch_id"])
 
 
 KTO_SQL = BINARY + f""", k AS (SELECT batch_id, greatest(avg(policy_kl_logp - ref_kl_logp), 0.0) AS kl FROM binary_logps GROUP BY batch_id),
@@ -207,7 +209,7 @@ _AC, _AR = "((1.0 - exp(policy_chosen * -0.3)) / 0.3)", "((1.0 - exp(policy_reje
 
 
 @query("cpo_loss", _loss_sql({
-    "sigmoid": f"-{sql_logsigmoid(f'(0.1 * {_Z})')}", "hinge": f"greatest(1.0 - 0.1 * {_Z}, 0.0)", "ipo": f"pow({_Z} - 5.0, 2)",
+    "sigmoid": f"-{sql_logsigmoid(f'(0.1 * {_Z})')}", "hinge": f"CASE WHEN {_Z} IS NOT NULL THEN greatest(1.0 - 0.1 * {_Z}, 0.0) END", "ipo": f"pow({_Z} - 5.0, 2)",
     "simpo": f"-{sql_logsigmoid(f'(0.1 * ({_Z} - 5.0))')}", "alphapo": f"-{sql_logsigmoid(f'(0.1 * ({_AC} - {_AR}))')}",
     "alphapo_chosen_reward": f"0.1 * {_AC}", "total": f"-{sql_logsigmoid(f'(0.1 * {_Z})')} + 0.5 * -policy_chosen"}))
 def cpo_loss(spark, sf):
@@ -264,9 +266,9 @@ def _online(spark: SparkSession, sf: str) -> DataFrame:
 ONLINE_SQL = ctes("token_logps") + """, p AS (SELECT a.seq_id AS prompt_id, a.pos // 2 AS round,
   1.0 + a.logp - CASE WHEN a.mask = 0 THEN 0.2 ELSE 0.0 END AS r0, 1.0 + b.logp - CASE WHEN b.mask = 0 THEN 0.2 ELSE 0.0 END AS r1,
   a.logp AS l0, b.logp AS l1, a.ref_logp AS f0, b.ref_logp AS f1, a.mask AS e0, b.mask AS e1
-  FROM token_logps a JOIN token_logps b ON a.seq_id = b.seq_id AND a.pos % 2 = 0 AND b.pos = a.pos + 1),
-o AS (SELECT *, r0 >= r1 AS m, CASE WHEN r0 >= r1 THEN l0 ELSE l1 END AS lc, CASE WHEN r0 >= r1 THEN l1 ELSE l0 END AS lr,
-  CASE WHEN r0 >= r1 THEN f0 ELSE f1 END AS fc, CASE WHEN r0 >= r1 THEN f1 ELSE f0 END AS fr FROM p)
+  FROM token_logps a LEFT JOIN token_logps b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1 WHERE a.pos % 2 = 0),
+o AS (SELECT *, r0 >= r1 AS m, CASE WHEN r0 >= r1 THEN l0 WHEN r0 < r1 THEN l1 END AS lc, CASE WHEN r0 >= r1 THEN l1 WHEN r0 < r1 THEN l0 END AS lr,
+  CASE WHEN r0 >= r1 THEN f0 WHEN r0 < r1 THEN f1 END AS fc, CASE WHEN r0 >= r1 THEN f1 WHEN r0 < r1 THEN f0 END AS fr FROM p)
 """
 _XO = "(0.1 * ((lc - lr) - (fc - fr)))"
 
@@ -282,7 +284,7 @@ def online_pair_selection(spark, sf):
 
 @query("online_pair_metrics", ONLINE_SQL + f"""
 SELECT {sql_rnd('avg(0.1 * (lc - fc))')} AS rewards_chosen, {sql_rnd('avg(0.1 * (lr - fr))')} AS rewards_rejected,
-  {sql_rnd('avg(CASE WHEN 0.1 * (lc - fc) > 0.1 * (lr - fr) THEN 1.0 ELSE 0.0 END)')} AS rewards_accuracy,
+  {sql_rnd('avg(CASE WHEN 0.1 * (lc - fc) > 0.1 * (lr - fr) THEN 1.0 WHEN lc IS NOT NULL THEN 0.0 END)')} AS rewards_accuracy,
   {sql_rnd('avg(0.1 * (lc - fc) - 0.1 * (lr - fr))')} AS rewards_margin, {sql_rnd('avg(lc)')} AS logps_chosen, {sql_rnd('avg(lr)')} AS logps_rejected,
   {sql_rnd('avg(abs(r0 - r1))')} AS scores_margin, {sql_rnd('avg((r0 + r1) / 2.0)')} AS scores, {sql_rnd('avg((e0 + e1) / 2.0)')} AS contain_eos,
   {sql_rnd('avg((l0 - f0 + l1 - f1) / 2.0)')} AS kl, {sql_rnd('avg(-0.1 * (l0 - f0 + l1 - f1) / 2.0)')} AS non_score_reward,
@@ -294,7 +296,7 @@ def online_pair_metrics(spark, sf):
 
 def _sequence_sums(spark: SparkSession, sf: str) -> DataFrame:
     """Pair sums of policy and reference log-probs on model data (side 0) and
-    reference data (side 1); no positions needed, so one partial aggregation."""
+    reference data (side 1), null for a side without tokens; no positions needed, so one partial aggregation."""
     from ..tables import tokens_unordered
     t = tokens_unordered(spark, sf).select(
         F.floor(F.col("seq_id") / 2).alias("pair_id"), (F.col("seq_id") % 2).alias("side"), "logp", "ref_logp", "value", "token_id")
@@ -302,25 +304,30 @@ def _sequence_sums(spark: SparkSession, sf: str) -> DataFrame:
     for s in (0, 1):
         on = F.col("side") == s
         aggs += [F.count_if(on).alias(f"n{s}"), F.sum(F.when(on, F.col("logp"))).alias(f"m{s}"), F.sum(F.when(on, F.col("ref_logp"))).alias(f"r{s}"),
-                 F.sum(F.when(on, F.col("value"))).alias(f"score{s}"), F.coalesce(F.bool_or(F.when(on, F.col("token_id") == 7)), F.lit(False)).alias(f"eos{s}"),
+                 F.sum(F.when(on, F.col("value"))).alias(f"score{s}"), F.bool_or(F.when(on, F.col("token_id") == 7)).alias(f"eos{s}"),
                  F.sum(F.when(on, (F.col("logp") - F.col("ref_logp")) * F.col("logp"))).alias(f"q{s}")]
-    return t.groupBy("pair_id").agg(*aggs).filter("n0 > 0 AND n1 > 0")
+    return t.groupBy("pair_id").agg(*aggs)
 
 
 SUMS_SQL = ctes("token_logps") + ", g AS (SELECT seq_id // 2 AS pair_id, " + ", ".join(
     f"count(*) FILTER (seq_id % 2 = {s}) AS n{s}, sum(logp) FILTER (seq_id % 2 = {s}) AS m{s}, sum(ref_logp) FILTER (seq_id % 2 = {s}) AS r{s}, "
-    f"sum(value) FILTER (seq_id % 2 = {s}) AS score{s}, coalesce(bool_or(token_id = 7) FILTER (seq_id % 2 = {s}), false) AS eos{s}, "
+    f"sum(value) FILTER (seq_id % 2 = {s}) AS score{s}, bool_or(token_id = 7) FILTER (seq_id % 2 = {s}) AS eos{s}, "
     f"sum((logp - ref_logp) * logp) FILTER (seq_id % 2 = {s}) AS q{s}" for s in (0, 1)) + """
 FROM token_logps GROUP BY seq_id // 2),
-s AS (SELECT *, round(score0, 6) >= round(score1, 6) AS first FROM g WHERE n0 > 0 AND n1 > 0)
+s AS (SELECT *, round(score0, 6) >= round(score1, 6) AS first FROM g)
 """
+_PICK = "CASE WHEN first THEN {} WHEN NOT first THEN {} END"
 _XX = "(0.1 * CASE WHEN first THEN (m0 - r0) - (m1 - r1) ELSE (m1 - r1) - (m0 - r0) END)"
 
 
+_LC, _LR = _PICK.format("m0 + r0", "m1 + r1"), _PICK.format("m1 + r1", "m0 + r0")
+
+
 @query("xpo_loss", SUMS_SQL + f"""
 SELECT pair_id, {sql_rnd(f'-{sql_logsigmoid(_XX)}')} AS pair_loss, {sql_rnd('0.01 * m1')} AS xpo_loss, {sql_rnd(f'-{sql_logsigmoid(_XX)} + 0.01 * m1')} AS loss,
-  {sql_rnd('0.1 * CASE WHEN first THEN m0 - r0 ELSE m1 - r1 END')} AS chosen_reward, {sql_rnd('0.1 * CASE WHEN first THEN m1 - r1 ELSE m0 - r0 END')} AS rejected_reward,
-  {sql_rnd(_XX)} AS margin, {sql_rnd('((m0 - r0) + (m1 - r1)) / 2.0')} AS kl, {sql_rnd('-(m0 + m1) / 2.0')} AS entropy, eos0 AS model_eos, eos1 AS ref_eos
+  {sql_rnd(f'0.1 * {_PICK.format('m0 - r0', 'm1 - r1')}')} AS chosen_reward, {sql_rnd(f"0.1 * {_PICK.format('m1 - r1', 'm0 - r0')}")} AS rejected_reward,
+  {sql_rnd(_XX)} AS margin, {sql_rnd('((m0 - r0) + (m1 - r1)) / 2.0')} AS kl, {sql_rnd('-(m0 + m1) / 2.0')} AS entropy,
+  {sql_rnd(_LC)} AS logps_chosen, {sql_rnd(_LR)} AS logps_rejected, eos0 AS model_eos, eos1 AS ref_eos
 FROM s""")
 def xpo_loss(spark, sf):
     s = _sequence_sums(spark, sf)
@@ -341,30 +348,35 @@ def nash_md_loss(spark, sf):
 
 
 _XM = {"pair_loss": f"-{sql_logsigmoid(_XX)}", "xpo_loss": "0.01 * m1", "margin": _XX, "kl": "((m0 - r0) + (m1 - r1)) / 2.0",
-       "entropy": "-(m0 + m1) / 2.0", "scores_margin": "score0 - score1", "model_eos": "CASE WHEN eos0 THEN 1.0 ELSE 0.0 END",
-       "ref_eos": "CASE WHEN eos1 THEN 1.0 ELSE 0.0 END"}
+       "entropy": "-(m0 + m1) / 2.0", "logps_chosen": _LC, "logps_rejected": _LR, "chosen_reward": f"0.1 * {_PICK.format('m0 - r0', 'm1 - r1')}",
+       "rejected_reward": f"0.1 * {_PICK.format('m1 - r1', 'm0 - r0')}", "model_scores": "score0", "ref_scores": "score1",
+       "scores_margin": "score0 - score1", "model_eos": "CAST(eos0 AS INT)", "ref_eos": "CAST(eos1 AS INT)"}
 
 
 @query("xpo_metrics", SUMS_SQL + "SELECT " + ", ".join(f"{sql_rnd(f'avg({e})')} AS {n}" for n, e in _XM.items())
-       + f", {sql_rnd(f'avg(CASE WHEN {_XX} > 0 THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM s")
+       + f", {sql_rnd(f'avg(CASE WHEN {_XX} > 0 THEN 1.0 WHEN {_XX} <= 0 THEN 0.0 END)')} AS accuracy FROM s")
 def xpo_metrics(spark, sf):
     out = pref.xpo_loss(F.col("m0"), F.col("m1"), F.col("r0"), F.col("r1"), F.round("score0", 6) >= F.round("score1", 6), BETA, 0.01)
     s = _sequence_sums(spark, sf).select("*", *[c.alias(k) for k, c in out.items()], (F.col("score0") - F.col("score1")).alias("scores_margin"),
+                                         F.col("score0").alias("model_scores"), F.col("score1").alias("ref_scores"),
                                          F.col("eos0").alias("model_eos"), F.col("eos1").alias("ref_eos"))
     m = pref.mean_metrics(s, list(_XM), "margin")
     return m.select(*[rnd(F.col(c)).alias(c) for c in m.columns])
 
 
 _NM = {"loss": f"0.1 * q0 - ({_PR} - 0.5) * m0", "score": f"({_PR} - 0.5) * m0", "kl": "m0 - r0", "entropy": "-m0", "margin": "m0 - r0",
-       "probability": _PR, "model_eos": "CASE WHEN eos0 THEN 1.0 ELSE 0.0 END"}
+       "probability": _PR, "logps_chosen": "m0", "logps_rejected": "r0", "model_scores": "score0", "mixture_scores": "score1",
+       "model_eos": "CAST(eos0 AS INT)", "mixture_eos": "CAST(eos1 AS INT)"}
 
 
 @query("nash_md_metrics", SUMS_SQL + "SELECT " + ", ".join(f"{sql_rnd(f'avg({e})')} AS {n}" for n, e in _NM.items())
-       + f", {sql_rnd('avg(CASE WHEN m0 - r0 > 0 THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM s")
+       + f", {sql_rnd('avg(CASE WHEN m0 - r0 > 0 THEN 1.0 WHEN m0 - r0 <= 0 THEN 0.0 END)')} AS accuracy FROM s")
 def nash_md_metrics(spark, sf):
     prob = pref.pair_preference(F.col("score0"), F.col("score1"))
     out = pref.nash_md_loss(F.col("m0"), F.col("r0"), F.col("q0"), prob, BETA)
-    s = _sequence_sums(spark, sf).select("*", *[c.alias(k) for k, c in out.items()], prob.alias("probability"), F.col("eos0").alias("model_eos"))
+    s = _sequence_sums(spark, sf).select("*", *[c.alias(k) for k, c in out.items()], prob.alias("probability"), F.col("m0").alias("logps_chosen"),
+                                         F.col("r0").alias("logps_rejected"), F.col("score0").alias("model_scores"),
+                                         F.col("score1").alias("mixture_scores"), F.col("eos0").alias("model_eos"), F.col("eos1").alias("mixture_eos"))
     m = pref.mean_metrics(s, list(_NM), "margin")
     return m.select(*[rnd(F.col(c)).alias(c) for c in m.columns])
 

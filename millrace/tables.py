@@ -51,15 +51,25 @@ def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_logps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chosen and rejected log-probs: completions 0 and 1, 2 and 3, ... of each sequence."""
+    """Chosen and rejected log-probs: completions 0 and 1, 2 and 3, ... of each sequence.
+
+    The odd last completions of a batch's sequences are paired with each other by the order of the sequences; a pair is
+    named by its first completion.  One that is still left has no rejected side (nulls)."""
     t = token_logps(spark, sf_dir).withColumn("pair_no", F.floor(F.col("pos") / 2))
     first = F.col("pos") % 2 == 0
     wide = t.groupBy("seq_id", "pair_no").agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.when(first, F.col("logp"))).alias("cl"), F.max(F.when(~first, F.col("logp"))).alias("rl"),
-        F.max(F.when(first, F.col("ref_logp"))).alias("cr"), F.max(F.when(~first, F.col("ref_logp"))).alias("rr"))
-    return wide.filter("n = 2").select(
-        F.col("seq_id").alias("pair_id"), "pair_no", (F.col("seq_id") % 64).alias("batch_id"),
+        F.max(F.when(first, F.col("ref_logp"))).alias("cr"), F.max(F.when(~first, F.col("ref_logp"))).alias("rr")) \
+        .withColumn("batch_id", F.col("seq_id") % 64)
+    odd = rank_within(wide.filter("n = 1"), ["batch_id"], ["seq_id"], "rn")
+    chosen = F.col("rn") % 2 == 1
+    paired = odd.groupBy("batch_id", F.floor((F.col("rn") - 1) / 2).alias("two")).agg(
+        *[F.max(F.when(chosen, F.col(c))).alias(c) for c in ("seq_id", "pair_no", "cl", "cr")],
+        F.max(F.when(~chosen, F.col("cl"))).alias("rl"), F.max(F.when(~chosen, F.col("cr"))).alias("rr"))
+    names = ["seq_id", "pair_no", "batch_id", "cl", "rl", "cr", "rr"]
+    return wide.filter("n = 2").select(*names).unionByName(paired.select(*names)).select(
+        F.col("seq_id").alias("pair_id"), "pair_no", "batch_id",
         (F.col("cl") - F.lit(0.001)).alias("policy_chosen"), (F.col("rl") - F.lit(0.001)).alias("policy_rejected"),
         (F.col("cr") - F.lit(0.05)).alias("ref_chosen"), (F.col("rr") - F.lit(0.05)).alias("ref_rejected"))
 
@@ -158,11 +168,18 @@ SELECT seq_id AS prompt_id, pos AS gen, logp + 1.0 AS r1,
        CASE WHEN mask = 0 THEN NULL ELSE entropy END AS r2,
        token_id, logp, old_logp, ref_logp
 FROM token_logps)""",
-    "pair_logps": """pair_logps AS (
-SELECT c.seq_id AS pair_id, c.pos // 2 AS pair_no, c.seq_id % 64 AS batch_id,
-       c.logp - 0.001 AS policy_chosen, r.logp - 0.001 AS policy_rejected,
-       c.ref_logp - 0.05 AS ref_chosen, r.ref_logp - 0.05 AS ref_rejected
-FROM token_logps c JOIN token_logps r ON c.seq_id = r.seq_id AND c.pos % 2 = 0 AND r.pos = c.pos + 1)""",
+    "pair_logps": """odd_logps AS (
+SELECT seq_id, pos, logp, ref_logp, row_number() OVER (PARTITION BY seq_id % 64 ORDER BY seq_id) AS rn FROM (
+  SELECT *, count(*) OVER (PARTITION BY seq_id) AS n FROM token_logps) WHERE pos = n - 1 AND pos % 2 = 0),
+two_logps AS (
+SELECT c.seq_id, c.pos, c.logp AS cl, r.logp AS rl, c.ref_logp AS cr, r.ref_logp AS rr
+FROM token_logps c JOIN token_logps r ON c.seq_id = r.seq_id AND c.pos % 2 = 0 AND r.pos = c.pos + 1
+UNION ALL SELECT c.seq_id, c.pos, c.logp, r.logp, c.ref_logp, r.ref_logp
+FROM odd_logps c LEFT JOIN odd_logps r ON r.seq_id % 64 = c.seq_id % 64 AND r.rn = c.rn + 1 WHERE c.rn % 2 = 1),
+pair_logps AS (
+SELECT seq_id AS pair_id, pos // 2 AS pair_no, seq_id % 64 AS batch_id, cl - 0.001 AS policy_chosen, rl - 0.001 AS policy_rejected,
+       cr - 0.05 AS ref_chosen, rr - 0.05 AS ref_rejected
+FROM two_logps)""",
     "binary_logps": """binary_logps AS (
 SELECT seq_id AS row_id, seq_id % 64 AS batch_id, mask = 1 AS label,
        logp AS policy_logp, ref_logp, old_logp AS policy_kl_logp, ref_logp AS ref_kl_logp

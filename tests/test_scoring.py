@@ -1,5 +1,6 @@
 """Preference and reward formulas against plain Python."""
 
+from datetime import date
 import math
 import statistics as stats
 
@@ -103,7 +104,8 @@ def test_online_pairs(spark):
     df = spark.createDataFrame([(1, 0, 0.5, -1.0, -1.1, False, 1), (1, 1, 0.4, -2.0, -1.9, True, 0), (2, 0, 0.3, -1.0, -1.0, True, 0), (2, 1, 0.3, -1.5, -1.0, True, 1),
                                 (3, 0, 0.9, -1.0, -1.0, True, 0)], "p int, g int, reward double, logp double, ref_logp double, eos boolean, rank int")
     got = {r.p: r for r in pref.online_pairs(df, ["p"], "g", 0.2).collect()}
-    assert set(got) == {1, 2} and not got[1].first_chosen and got[2].first_chosen  # a tie keeps the first
+    assert set(got) == {1, 2, 3} and not got[1].first_chosen and got[2].first_chosen  # a tie keeps the first
+    assert got[3].first_chosen is None  # one completion only
     assert got[1].policy_chosen == -2.0 and got[1].scores_margin == pytest.approx(0.1)
     judged = {r.p: r.first_chosen for r in pref.online_pairs(df, ["p"], "g", judge_rank="rank").collect()}
     assert judged == {1: False, 2: True}
@@ -213,3 +215,46 @@ def test_metric_rollup(spark):
     df = spark.createDataFrame([(1, "train", "loss", 1.0), (1, "train", "loss", 3.0), (1, "eval", "loss", 5.0), (2, "train", "kl", 7.0)],
                                "step int, mode string, m string, v double")
     assert rows(rl.metric_rollup(df, ["step"], "mode", "m", "v", ["loss", "kl"])) == [(1, 2.0, None, 5.0, None), (2, None, 7.0, None, None)]
+
+
+def test_incomplete_pairs_keep_their_rows(spark):
+    df = spark.createDataFrame([(0, 0, -1.0, -2.0, -1.5, -1.5), (0, 1, -1.0, None, -1.5, None), (0, 2, -3.0, -1.0, -1.0, -2.0)],
+                               "batch_id int, pair_id int, policy_chosen double, policy_rejected double, ref_chosen double, ref_rejected double")
+    p = pref.Pair()
+    kinds = ["sigmoid", "robust", "exo_pair", "hinge", "ipo", "sppo_hard", "nca_pair", "apo_zero", "apo_down", "discopop"]
+    got = df.select("pair_id", *[pref.pair_loss(k, p, 0.1).alias(k) for k in kinds], pref.pair_logits(p, "alpha", 0.5).alias("alpha"),
+                    *[pref.cpo_loss(k, p.pc, p.pr)["loss"].alias(f"cpo_{k}") for k in ("simpo", "sigmoid", "hinge", "ipo")]).orderBy("pair_id").collect()
+    assert [[v is None for v in r[1:]] for r in got] == [[False] * 15, [True] * 15, [False] * 15]
+    for kind in ("aot", "aot_pair"):
+        ranked = {r["rank"]: r["loss"] for r in pref.aot_loss(df, kind).collect()}
+        whole = {r["rank"]: r["loss"] for r in pref.aot_loss(df.filter("policy_rejected is not null"), kind).collect()}
+        assert ranked == {**whole, 3: None}
+    m = pref.preference_metrics(df, [], *pref.pair_rewards(p)).first()
+    assert m["rewards_accuracy"] == 0.5
+
+
+def test_empty_sides_and_single_completions_give_nulls(spark):
+    t = spark.createDataFrame([(1, 0, 0, -1.0, -1.5, 0.1, 1), (1, 1, 0, -2.0, -1.0, 0.1, 0), (2, 0, 0, -1.0, -1.0, 0.2, 1), (2, 1, 0, -0.5, -1.0, 0.2, 1),
+                               (3, 1, 0, -0.5, -1.0, 0.2, 1)], "pair int, side int, pos int, logp double, ref_logp double, log_sum_sq double, mask int")
+    sums = pref.side_sums(t, "pair", "side", 0.5).withColumn("b", F.lit(0))
+    out = {r.pair: r for r in pref.adjusted_loss(sums, "b", rpo_alpha=0.5, weighting=True).collect()}
+    assert sorted(out) == [1, 2, 3] and out[1]["len_1"] == 0 and out[3]["logp_0"] is None
+    assert out[2]["loss"] is not None and out[1]["loss"] is None and out[3]["policy_weight"] is None
+    two = spark.createDataFrame([(1, 0, 1.0, -1.0, -1.0, True, 0), (1, 1, 2.0, -1.0, -1.0, True, 1), (2, 0, 1.0, -1.0, -1.0, False, 0), (3, 1, 1.0, -1.0, -1.0, False, 0)],
+                                "p int, g int, reward double, logp double, ref_logp double, eos boolean, rank int")
+    for judge in (None, "rank"):
+        got = {r.p: r for r in pref.online_pairs(two, ["p"], "g", judge_rank=judge).collect()}
+        assert got[1].first_chosen is (judge is not None)
+        assert all(got[k].first_chosen is None and got[k].policy_chosen is None and got[k].policy_rejected is None for k in (2, 3))
+
+
+def test_odd_completions_are_paired_in_their_batch(spark, tmp_path):
+    from millrace.tables import pair_logps
+    # sequences 64 to 64 * 5 share batch 0; their numbers of completions: 1, 2, 3, 1, 1
+    rows_ = [(64 * (i + 1), n, n, 1, float(n), 10.0, 0.0, 0.0, "N", date(2024, 1, 1))
+             for i, size in enumerate((1, 2, 3, 1, 1)) for n in range(size)]
+    spark.createDataFrame(rows_, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, "
+                                 "l_discount double, l_tax double, l_returnflag string, l_shipdate date").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted((r.pair_id, r.pair_no, r.policy_rejected is None) for r in pair_logps(spark, str(tmp_path)).collect())
+    # 64 with the last of 192, 256 with 320
+    assert got == [(64, 0, False), (128, 0, False), (192, 0, False), (256, 0, False)]

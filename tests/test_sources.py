@@ -59,7 +59,7 @@ def test_json_arrays_have_bounded_files(spark, tmp_path):
 
 @pytest.mark.parametrize("text", ['{"a": 1}', "[1]", "not json", '[{"a": 1}, 2]'])
 def test_json_shape_errors_with_a_schema(spark, tmp_path, text):
-    df = src.json_array_scan(spark, put(tmp_path, "a.json", text), T.StructType().add("a", "int"))
+    df = src.json_array_scan(spark, put(tmp_path, "a.json", text), T.StructType().add("a", T.IntegerType()))
     with pytest.raises(Exception, match="array of objects"):
         df.collect()
 
