@@ -20,9 +20,17 @@ FROM label_queries, normed)
 """
 
 
-@query("embed_documents")
+WORDS_SQL = """words AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS b, count(*) AS n FROM (
+  SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL),
+norms AS (SELECT doc_id, sqrt(sum(n * n)) AS z FROM words GROUP BY doc_id)"""
+
+
+@query("embed_documents", "WITH " + WORDS_SQL + """
+SELECT e.doc_id, list(round(coalesce(n / z, 0.0), 6) ORDER BY d) AS embedding
+FROM (SELECT doc_id, unnest(range(64)) AS d FROM documents) e LEFT JOIN norms ON norms.doc_id = e.doc_id
+LEFT JOIN words ON words.doc_id = e.doc_id AND words.b = e.d GROUP BY e.doc_id""")
 def embed_documents(spark, sf):
-    return vec.embed_documents(table(spark, sf, "documents").select("doc_id", "text"), "text", 64) \
+    return vec.embed_words(table(spark, sf, "documents"), "doc_id", "text", 64) \
         .select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
@@ -38,19 +46,33 @@ def exact_topk_inner_product(spark, sf):
     return hits.withColumn("score", rnd(F.col("score"))).withColumn("rank", F.col("rank").cast("long"))
 
 
-def _index_parts(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return docs, vectors
+MANY_SQL = "WITH " + NORM_SQL + """, hits AS (
+SELECT q.vec_id AS query_id, n.vec_id, list_inner_product(list_transform(q.embedding, lambda v: CAST(v AS DOUBLE)), n.x) AS score,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(list_transform(q.embedding, lambda v: CAST(v AS DOUBLE)), n.x) DESC, n.vec_id) AS rank
+FROM embeddings q, normed n WHERE q.vec_id % 10 = 0)
+SELECT query_id, vec_id, round(score, 6) + 0.0 AS score, rank FROM hits WHERE rank <= 3"""
+
+
+@query("exact_topk_many_queries", MANY_SQL)
+def exact_topk_many_queries(spark, sf):
+    """Every tenth embedding as a query, with text keys, which always meet the documents on the grid."""
+    e = table(spark, sf, "embeddings").withColumn("vec_id", F.format_string("%020d", "vec_id"))
+    q = e.filter(F.col("vec_id").cast("long") % 10 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = vec.exact_topk(e, q, 3)
+    return hits.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec_id").cast("long").alias("vec_id"),
+                       rnd(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _documents(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 @query("build_index_table", """
-SELECT 'given' AS embedding_model, 64 AS dimension, count(*) AS num_documents, 'flat_inner_product' AS index_type, 'float' AS dtype,
-  '[' || count(*) || ',64]' AS shape, '2024-01-01T00:00:00' AS created_at FROM documents JOIN embeddings ON doc_id = vec_id""")
+SELECT 'hashed-words' AS embedding_model, 64 AS dimension, count(*) AS num_documents, 'flat_inner_product' AS index_type, 'float' AS dtype,
+  '[' || count(*) || ',64]' AS shape, '2024-01-01T00:00:00' AS created_at FROM documents""")
 def build_index_table(spark, sf):
-    docs, vectors = _index_parts(spark, sf)
-    return vec.build_index_table(docs.join(vectors.select("id"), "id", "left_semi"), vectors.join(docs.select("id"), "id", "left_semi"),
-                                 scratch_path(spark, "index"), "given", "2024-01-01T00:00:00")
+    docs = _documents(spark, sf)
+    return vec.build_index_table(docs, vec.embed_words(docs, "id", "text", 64), scratch_path(spark, "index"), "hashed-words", "2024-01-01T00:00:00")
 
 
 @query("assemble_context", TOPK_SQL + """
@@ -59,7 +81,7 @@ SELECT query_id, 'Based on the following context, answer the question.' || chr(1
   chr(10) || chr(10) || 'Answer:' AS prompt
 FROM hits JOIN documents ON doc_id = vec_id WHERE rank <= 5 GROUP BY query_id""")
 def assemble_context(spark, sf):
-    docs, _ = _index_parts(spark, sf)
+    docs = _documents(spark, sf)
     q = label_queries(spark, sf)
     hits = vec.exact_topk(table(spark, sf, "embeddings"), q, 5)
     questions = q.select("query_id", F.concat(F.lit("What is label "), F.col("query_id").cast("string"), F.lit("?")).alias("question"))
@@ -67,17 +89,23 @@ def assemble_context(spark, sf):
 
 
 @query("index_integrity", """
-SELECT (SELECT count(*) FROM embeddings) AS vectors, (SELECT min(len(embedding)) FROM embeddings) AS min_dim,
-  (SELECT max(len(embedding)) FROM embeddings) AS max_dim,
-  (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS without_vector,
-  (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS without_document,
-  (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) = 0
-   AND (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) = 0 AS valid""")
+WITH d AS (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 256 AS block FROM documents),
+whole AS (SELECT 'whole' AS state, count(*) AS vectors, 64 AS min_dim, 64 AS max_dim, 0 AS without_vector, 0 AS without_document, 0 AS bad_blocks, true AS valid FROM d),
+damaged AS (SELECT 'damaged', count(*) FILTER (doc_id % 97 <> 3), min(CASE WHEN doc_id % 89 = 4 AND doc_id % 97 <> 3 THEN 63 ELSE 64 END), 64,
+  count(*) FILTER (doc_id % 97 = 3 AND doc_id % 101 <> 5), count(*) FILTER (doc_id % 101 = 5 AND doc_id % 97 <> 3),
+  count(DISTINCT block) FILTER (doc_id % 97 = 3 OR doc_id % 89 = 4 OR doc_id % 83 = 6), false FROM d)
+SELECT * FROM whole UNION ALL SELECT * FROM damaged""")
 def index_integrity(spark, sf):
-    docs, vectors = _index_parts(spark, sf)
-    cfg = vectors.agg(F.count(F.lit(1)).alias("num_documents")).withColumn("dimension", F.lit(64))
-    out = vec.index_integrity(docs, vectors, cfg)
-    return out.withColumn("min_dim", F.col("min_dim").cast("long")).withColumn("max_dim", F.col("max_dim").cast("long"))
+    """The index of all documents, and a copy that lost documents and vectors, has short vectors and vectors that changed."""
+    path, docs = scratch_path(spark, "index"), _documents(spark, sf)
+    vec.build_index_table(docs, vec.embed_words(docs, "id", "text", 64), path, "hashed-words", "2024-01-01T00:00:00")
+    docs, vectors, config, manifest = vec.open_index(spark, path)
+    changed = F.when(F.col("id") % 89 == 4, F.slice("embedding", 1, 63)) \
+        .when(F.col("id") % 83 == 6, F.transform("embedding", lambda x: x + F.lit(0.5))).otherwise(F.col("embedding"))
+    torn = vectors.filter("id % 97 <> 3").withColumn("embedding", changed)
+    whole = vec.index_integrity(docs, vectors, config, manifest).withColumn("state", F.lit("whole"))
+    damaged = vec.index_integrity(docs.filter("id % 101 <> 5"), torn, config, manifest).withColumn("state", F.lit("damaged"))
+    return whole.unionByName(damaged)
 
 
 @query("domain_classifier")

@@ -61,10 +61,45 @@ def test_index_round_trip(spark, tmp_path, docs):
     texts = docs.select(F.col("vec_id").alias("id"), F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("text"))
     vectors = docs.select(F.col("vec_id").alias("id"), "embedding")
     vec.build_index_table(texts, vectors, str(tmp_path / "i"), "m", "now")
-    d, v, c = vec.open_index(spark, str(tmp_path / "i"))
-    assert c.first()["num_documents"] == 301 and vec.index_integrity(d, v, c).first()["valid"]
-    broken = vec.index_integrity(d, v.filter("id > 0"), c).first()
-    assert not broken["valid"] and broken["without_vector"] == 1
+    d, v, c, m = vec.open_index(spark, str(tmp_path / "i"))
+    assert c.first()["num_documents"] == 301 and vec.index_integrity(d, v, c, m).first()["valid"]
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-9 for r in v.filter("id < 300").collect())
+    broken = vec.index_integrity(d, v.filter("id > 0"), c, m).first()
+    assert not broken["valid"] and broken["without_vector"] == 1 and broken["bad_blocks"] == 1
+    # two vectors that changed places have the counts and the values of a whole index
+    swapped = v.withColumn("id", F.when(F.col("id") == 7, 8).when(F.col("id") == 8, 7).otherwise(F.col("id")))
+    found = vec.index_integrity(d, swapped, c, m).first()
+    assert not found["valid"] and found["vectors"] == 301 and found["without_vector"] == 0 and found["bad_blocks"] in (1, 2)
+    twice = vec.index_integrity(d, v.union(v.filter("id = 9")), c, m).first()
+    assert not twice["valid"] and twice["bad_blocks"] == 1
+
+
+def test_empty_index(spark, tmp_path):
+    texts = spark.createDataFrame([], "id long, text string")
+    vec.build_index_table(texts, vec.embed_words(texts, "id", "text", 8), str(tmp_path / "i"), "m", "now")
+    d, v, c, m = vec.open_index(spark, str(tmp_path / "i"))
+    assert c.first()["num_documents"] == 0 and vec.index_integrity(d, v, c, m).first()["valid"]
+
+
+def test_word_vectors(spark):
+    import hashlib
+    df = spark.createDataFrame([(1, "a B  a\tc"), (2, ""), (3, None), (4, "word " * 5000)], "id long, text string")
+    got = {r.id: r.embedding for r in vec.embed_words(df, "id", "text", 16).collect()}
+    want = [0.0] * 16
+    for w in ("a", "b", "a", "c"):
+        want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
+    norm = sum(x * x for x in want) ** 0.5
+    assert got[1] == pytest.approx([x / norm for x in want]) and got[2] == got[3] == [0.0] * 16 and sum(got[4]) == 1.0
+
+
+def test_topk_with_text_keys_in_small_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(vec, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(vec, "TILE", 100)
+    qs = [(i, [float(i % 3) - 1, 0.5, -0.2 * i, 1.0]) for i in range(150)]
+    text = docs.withColumn("vec_id", F.format_string("%04d", "vec_id"))
+    q = spark.createDataFrame([(f"q{i}", v) for i, v in qs], "query_id string, embedding array<double>")
+    got = vec.exact_topk(text, q, 4)
+    assert sorted((int(r.query_id[1:]), int(r.vec_id), r["rank"]) for r in got.collect()) == sorted(brute(docs, qs, 4))
 
 
 def test_context(spark):

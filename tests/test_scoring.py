@@ -1,8 +1,8 @@
 """Preference and reward formulas against plain Python."""
 
-from datetime import date
 import math
 import statistics as stats
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,7 +108,7 @@ def test_online_pairs(spark):
     assert got[3].first_chosen is None  # one completion only
     assert got[1].policy_chosen == -2.0 and got[1].scores_margin == pytest.approx(0.1)
     judged = {r.p: r.first_chosen for r in pref.online_pairs(df, ["p"], "g", judge_rank="rank").collect()}
-    assert judged == {1: False, 2: True}
+    assert judged == {1: False, 2: True, 3: None}
 
 
 @pytest.mark.parametrize("beta", [0.0, 0.3, 1.0])
