@@ -45,7 +45,7 @@ def group_advantage(df: DataFrame, prompt: str, reward: str, scale: str = "group
     """Reward minus the group mean, over the sample std of the group or of the
     whole batch.  A group of one has no std and keeps null."""
     r = F.col(reward)
-    g = with_group_stats(df, [prompt], F.avg(r).alias("_m"), F.stddev_samp(r).alias("group_std"))
+    g = with_group_stats(df, [prompt], {"_m": F.avg(r), "group_std": F.stddev_samp(r)})
     adv = r - F.col("_m")
     if scale == "group":
         adv = adv / (F.col("group_std") + F.lit(1e-4))
@@ -60,7 +60,7 @@ def group_advantage(df: DataFrame, prompt: str, reward: str, scale: str = "group
 def leave_one_out_advantage(df: DataFrame, prompt: str, reward: str, normalize: bool = False) -> DataFrame:
     """Reward minus the mean of the other completions of the prompt."""
     r = F.col(reward)
-    g = with_group_stats(df, [prompt], F.sum(r).alias("_s"), F.count(r).alias("_n"))
+    g = with_group_stats(df, [prompt], {"_s": F.sum(r), "_n": F.count(r)})
     g = g.withColumn("advantage", r - F.try_divide(F.col("_s") - r, (F.col("_n") - 1).cast("double"))).drop("_s", "_n")
     if not normalize:
         return g
@@ -118,8 +118,9 @@ def k3(logp: Column, ref: Column) -> Column:
 def with_sequence_ratio(df: DataFrame, seq: str, new: str = "logp", old: str = "old_logp", mask: str = "mask") -> DataFrame:
     """``log_ratio``: the masked mean over the sequence of new minus old log-probs."""
     on = F.col(mask) == 1
-    mean = F.coalesce(F.sum(F.when(on, F.col(new) - F.col(old))), F.lit(0.0)) / F.greatest(F.count_if(on), F.lit(1))
-    return with_group_stats(df, [seq], mean.alias("log_ratio"))
+    g = with_group_stats(df, [seq], {"_sum": F.sum(F.when(on, F.col(new) - F.col(old))), "_on": F.count(F.when(on, 1))})
+    mean = F.coalesce(F.col("_sum"), F.lit(0.0)) / F.greatest(F.col("_on"), F.lit(1))
+    return g.withColumn("log_ratio", mean).drop("_sum", "_on")
 
 
 def clipped_policy_loss(log_ratio: Column, advantage: Column, eps_low: float = 0.2, eps_high: float = 0.2,
@@ -199,8 +200,7 @@ def ppo_token_rewards(df: DataFrame, seq: str, score: Column, pad: int, eos: int
     """``reward`` per token: minus the KL cost, plus the score at the position
     after the last token (at the last one where there is none).  Adds ``last``."""
     tok, pos = F.col("token_id"), F.col("pos")
-    g = with_group_stats(df, [seq], F.min(F.when(tok == pad, pos)).alias("_pad"), F.max(pos).alias("_end"),
-                         F.bool_or(tok == eos).alias("_eos"))
+    g = with_group_stats(df, [seq], {"_pad": F.min(F.when(tok == pad, pos)), "_end": F.max(pos), "_eos": F.bool_or(tok == eos)})
     last = F.coalesce(F.col("_pad") - 1, F.col("_end"))
     end = F.when(last + 1 <= F.col("_end"), last + 1).otherwise(last)
     if missing_eos_penalty is not None:

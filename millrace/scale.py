@@ -3,8 +3,9 @@
 A key, batch or source may hold a third of all rows.  Plain keyed windows and
 the join of rows with their own group statistics then put that third into one
 task.  The helpers here first count rows per hash bucket of the key (one
-map-side combined pass that moves at most ``BUCKETS`` rows per task) and treat
-the overfull buckets another way.  The list of hot buckets is bounded by ``BUCKETS``.
+map-side combined pass that moves at most ``BUCKETS`` rows per task).  Keys of buckets with more rows than the limit are
+counted one by one; those over the limit are hot.  They stay a table, one row each with its number of salts, and are never
+collected: as each has more rows than the limit, there are at most rows / limit of them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import types as T
 from .session import materialise
 
 BUCKETS = 4096
-SALTS = 64
 SMALL_ROWS = 200_000
 SMALL_BYTES = 64 << 20
 HOT_ROWS_KEY = "spark.millrace.hotRows"
@@ -42,27 +42,36 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def hot_buckets(df: DataFrame, keys: Sequence[str]) -> list[int]:
-    """Hash buckets of ``keys`` too full for one task."""
-    rows = df.groupBy(_bucket(keys).alias("b")).count().collect()
-    mean = sum(r["count"] for r in rows) / BUCKETS
-    return sorted(r["b"] for r in rows if r["count"] > _limit(df.sparkSession, mean))
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys with more rows than a task should have: the key columns as ``_hot_<name>`` and ``_salts``, rows / limit rounded up.
+    None where there is no such key; then only the bucket counts were made."""
+    keys, limit = list(keys), _hot_rows(df.sparkSession)
+    buckets = df.groupBy(_bucket(keys).alias("b")).count().collect()
+    full = sorted(r["b"] for r in buckets if r["count"] > limit)
+    if not full:
+        return None
+    inside = df if len(full) == len(buckets) else df.filter(_bucket(keys).isin(full))
+    rows = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
+    hot = materialise(rows.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("_salts")))
+    return None if hot.isEmpty() else hot
 
 
-def _limit(spark: SparkSession, mean: float) -> float:
-    """Rows of a bucket above which its keys take the other route: the set number, and the mean where buckets
-    of ordinary keys are larger than that (there half of them or fewer are listed, 4,096 at most)."""
-    return max(_hot_rows(spark), mean)
+def _marked(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Rows with the ``_salts`` of their key, null where it is not hot.  Null is a key like others.  The list is
+    broadcast after it was counted; a longer one is joined, and AQE splits what is skewed."""
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    return df.join(F.broadcast(hot) if hot.count() <= SMALL_ROWS else hot, same, "left").drop(*[f"_hot_{k}" for k in keys])
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", null_safe: bool = False) -> DataFrame:
-    """Join rows with a frame that has one row per key; with ``null_safe`` null is a key like others.
+    """Join rows (inner, left, left semi or left anti) with a frame that has one row per key; with ``null_safe`` null is a key like others.
 
-    Left rows in hot buckets get a salt from the hash of the whole row and the
-    matching right rows are repeated once per salt; all other rows join plainly.
+    Left rows of hot keys get a salt from the hash of the whole row and the matching right rows are repeated once per
+    salt, as often as the key's size asks; all other rows join plainly.
     """
     keys = list(keys)
-    hot = hot_buckets(left, keys)
+    hot = hot_keys(left, keys)
+
     def equal(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
         if not null_safe:
             return a.join(b, on, how)
@@ -70,21 +79,31 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
         same = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in on]
         return a.join(b, reduce(lambda x, y: x & y, same), how).drop(*[f"_same_{k}" for k in on])
 
-    if not hot:
+    if hot is None:
         return equal(left, right, keys)
-    is_hot = _bucket(keys).isin(hot)
     hashable = [F.col(f.name) for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
-    salted = left.withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    spread = right.withColumn(
-        "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    salted = _marked(left, keys, hot).withColumn("_salt", F.pmod(F.xxhash64(*hashable), salts).cast("int")).drop("_salts")
+    spread = _marked(right, keys, hot).withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return equal(salted, spread, keys + ["_salt"]).drop("_salt")
 
 
-def with_group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
-    """Every row with aggregates of its group (partial aggregation, then a
-    hot-safe join back) in place of an unordered keyed window."""
-    return join_on_keys(df, df.groupBy(*keys).agg(*aggs), keys, null_safe=True)
+def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
+    """Every row with aggregates of its group; null is a key like others.
+
+    Ordinary groups take a keyed window, which shares the exchange of other work on the key.  Groups of hot keys are aggregated
+    (combined per task) and joined back with salts."""
+    keys = list(keys)
+    hot = hot_keys(df, keys)
+
+    def windowed(rows: DataFrame) -> DataFrame:
+        return rows.select("*", *[a.over(Window.partitionBy(*keys)).alias(n) for n, a in aggs.items()])
+    if hot is None:
+        return windowed(df)
+    marked = _marked(df, keys, hot)
+    busy = marked.filter("_salts IS NOT NULL").drop("_salts")
+    stats = busy.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
+    return windowed(marked.filter("_salts IS NULL").drop("_salts")).unionByName(join_on_keys(busy, stats, keys, null_safe=True))
 
 
 def _range_rank(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
@@ -114,17 +133,17 @@ def _range_rank(df: DataFrame, keys: list[str], order: list[Column], name: str)
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rn") -> DataFrame:
-    """1-based ``row_number`` per key.  Keys in hot buckets take the range
+    """1-based ``row_number`` per key.  Hot keys take the range
     route; the rest use one ordinary window."""
     keys = list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    hot = hot_buckets(df, keys)
+    hot = hot_keys(df, keys)
     plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
-    if not hot:
+    if hot is None:
         return df.withColumn(name, plain)
-    is_hot = _bucket(keys).isin(hot)
-    cold = df.filter(~is_hot).withColumn(name, plain)
-    return cold.unionByName(_range_rank(df.filter(is_hot), keys, order, name))
+    marked = _marked(df, keys, hot)
+    cold = marked.filter("_salts IS NULL").drop("_salts").withColumn(name, plain)
+    return cold.unionByName(_range_rank(marked.filter("_salts IS NOT NULL").drop("_salts"), keys, order, name))
 
 
 def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
@@ -147,15 +166,18 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     """``lag(col)`` per key; hot keys are ranked by range and joined to the row before."""
     keys = list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    hot = hot_buckets(df, keys)
+    hot = hot_keys(df, keys)
     plain = F.lag(col).over(Window.partitionBy(*keys).orderBy(*order))
-    if not hot:
+    if hot is None:
         return df.withColumn(name, plain)
-    is_hot = _bucket(keys).isin(hot)
-    cold = df.filter(~is_hot).withColumn(name, plain)
-    ranked = materialise(_range_rank(df.filter(is_hot), keys, order, "_rn"))
-    before = ranked.select(*keys, (F.col("_rn") + 1).alias("_rn"), F.col(col).alias(name))
-    return cold.unionByName(ranked.join(before, keys + ["_rn"], "left").drop("_rn"))
+    marked = _marked(df, keys, hot)
+    cold = marked.filter("_salts IS NULL").drop("_salts").withColumn(name, plain)
+    ranked = materialise(_range_rank(marked.filter("_salts IS NOT NULL").drop("_salts"), keys, order, "_rn"))
+    before = ranked.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_rn") + 1).alias("_after"), F.col(col).alias(name))
+    same = F.col("_rn") == F.col("_after")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return cold.unionByName(ranked.join(before, same, "left").drop("_rn", "_after", *[f"_k{i}" for i in range(len(keys))]))
 
 
 def running_sums(df: DataFrame, key: str, cols: Sequence[str], fan: int = 1024, depth: int | None = None) -> DataFrame:

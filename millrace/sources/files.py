@@ -273,7 +273,7 @@ def file_summary(listing: DataFrame) -> DataFrame:
     directory may hold any number of files)."""
     d = listing.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"),
                        file_name(F.col("path")).alias("name"), "length")
-    return with_group_stats(d, ["dir"], F.count(F.lit(1)).alias("file_count"), F.sum("length").alias("total_size"))
+    return with_group_stats(d, ["dir"], {"file_count": F.count(F.lit(1)), "total_size": F.sum("length")})
 
 
 def relocate_catalog_paths(listing: DataFrame, catalog: DataFrame, root: str) -> DataFrame:

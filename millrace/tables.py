@@ -135,7 +135,7 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts are joined on afterwards."""
     docs = table(spark, sf_dir, "documents")
     ranked = rank_within(docs.select("doc_id", "lang"), ["lang"], ["doc_id"], "rn")
-    ranked = with_group_stats(ranked, ["lang"], F.count(F.lit(1)).alias("n"))
+    ranked = with_group_stats(ranked, ["lang"], {"n": F.count(F.lit(1))})
     after = ranked.select("lang", F.col("rn").alias("at"), F.col("doc_id").alias("next_id"))
     pairs = ranked.select(F.col("doc_id").alias("pair_id"), "lang", (F.col("rn") % F.col("n") + 1).alias("at")).join(after, ["lang", "at"])
     return pairs.join(docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("chosen")), "pair_id") \

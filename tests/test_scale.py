@@ -19,13 +19,36 @@ def skewed(spark):
     return spark.createDataFrame(data, "k int, id long, v int, x double").repartition(7).cache()
 
 
-def test_hot_buckets_bound(spark, skewed, hot):
-    found = scale.hot_buckets(skewed, ["k"])
-    assert found and len(found) <= scale.BUCKETS / 4
+def test_hot_keys_are_a_table_with_salts_by_size(spark, skewed):
+    spark.conf.set(scale.HOT_ROWS_KEY, "300")
+    try:
+        found = scale.hot_keys(skewed, ["k"])
+        assert rows(found) == [(0, 4)]  # 1,000 rows
+        side = skewed.groupBy("k").agg(F.max("x").alias("m"))
+        joined = scale.join_on_keys(skewed, side, ["k"])
+        assert rows(joined, "id", "m") == rows(skewed.join(side, "k", "left"), "id", "m")
+    finally:
+        spark.conf.unset(scale.HOT_ROWS_KEY)
 
 
 def test_no_hot_keys_by_default(skewed):
-    assert scale.hot_buckets(skewed, ["k"]) == []
+    assert scale.hot_keys(skewed, ["k"]) is None
+
+
+def test_cold_group_statistics_share_one_exchange(skewed):
+    ranked = scale.rank_within(skewed, ["k"], ["id"], "rn")
+    plan = scale.with_group_stats(ranked, ["k"], {"n": F.count(F.lit(1)), "m": F.avg("v")})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(k") == 1
+
+
+def test_null_keys_are_hot_too(spark, hot):
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 2, 4.0), (1, 3, 1.0), (1, 4, 2.0), (2, 5, 9.0)], "k int, id long, v double")
+    got = scale.with_group_stats(df, ["k"], {"m": F.avg("v")})
+    assert rows(got, "id", "m") == [(1, 3.0), (2, 3.0), (3, 1.5), (4, 1.5), (5, 9.0)]
+    assert rows(scale.with_previous(df, ["k"], ["id"], "v", "p"), "id", "p") == [(1, None), (2, 2.0), (3, None), (4, 1.0), (5, None)]
+    side = spark.createDataFrame([(1, "a"), (3, "b")], "k int, s string")
+    assert rows(scale.join_on_keys(df, side, ["k"]), "id", "s") == [(1, None), (2, None), (3, "a"), (4, "a"), (5, None)]
+    assert rows(scale.join_on_keys(df, side, ["k"], "left_anti"), "id") == [(1,), (2,), (5,)]
 
 
 @pytest.mark.parametrize("keys", [["k"], ["k", "v"]])
@@ -54,7 +77,7 @@ def test_with_previous(skewed, hot):
 
 
 def test_group_stats(skewed, hot):
-    got = scale.with_group_stats(skewed, ["k"], F.sum("v").alias("s"))
+    got = scale.with_group_stats(skewed, ["k"], {"s": F.sum("v")})
     want = skewed.withColumn("s", F.sum("v").over(Window.partitionBy("k")))
     assert rows(got, "id", "s") == rows(want, "id", "s")
 
@@ -118,5 +141,5 @@ def test_group_stats_of_a_null_key(spark, is_hot, request):
     if is_hot:
         request.getfixturevalue("hot")
     df = spark.createDataFrame([(1, 2.0), (1, 4.0), (None, 1.0), (None, 5.0)], "k int, v double")
-    assert rows(scale.with_group_stats(df, ["k"], F.avg("v").alias("m")), "k", "v", "m") == sorted(
+    assert rows(scale.with_group_stats(df, ["k"], {"m": F.avg("v")}), "k", "v", "m") == sorted(
         [(1, 2.0, 3.0), (1, 4.0, 3.0), (None, 1.0, 3.0), (None, 5.0, 3.0)], key=repr)
