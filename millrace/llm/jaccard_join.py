@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,11 @@ from .text import Texts, mix64, parts
 FULL = 1_000_000  # signatures of a block
 GROUP = 2_000_000  # shingles whose signatures one group compares, on average
 SUBPARTS = 3  # second-level parts of a part; all subsets that leave one out are signatures
-BLOCK = 512  # classes on each side of a task that compares open components
+SPARE = 8  # one part in so many is added, so that empty signatures may be left out
+BLOCK = 512  # classes on each side of a block that compares open components
+PACK = 16 << 20  # bytes of the sketches of small blocks that share a task, on average
+FEW = 4  # pairs per class that leave a block one by one; a block with more compares whole sets
+NO_BOUND = 1 << 20  # stands for a sketch's cell that is full
 SMALL = 1_000_000  # keys (16 bytes) that are broadcast; more are joined by shuffle
 
 
@@ -59,7 +64,11 @@ class PartEnum:
     Sizes fall into bands [l, l * 100 / percent]; a similar pair lies in one band or in neighbours, so a set is
     signed for its own band and the next.  In a band sets differ in at most k elements.  The domain is dealt
     into parts, so that one of them has at most one difference; that part is dealt into ``subparts``, and all of these
-    but one are equal."""
+    but one are equal.
+
+    Unlike sets share signatures of no element.  With s spare parts, s + 1 parts have at most one difference.  So a set with empty
+    signatures in s parts or fewer leaves them out: of the s + 1, one part has none, and its signature is not empty in the other set
+    either, which keeps it whatever it does with its own."""
 
     def __init__(self, percent: int, subparts: int = SUBPARTS) -> None:
         if not 0 < percent <= 100 or subparts < 2:
@@ -88,13 +97,20 @@ class PartEnum:
             if k == 0:
                 continue
             n1 = (k + 2) // 2
+            spare = n1 // SPARE
+            n1 += spare
             cell = ((elements >> np.uint64(24)) % np.uint64(n1 * self.subparts)).astype(np.int64)
             sums = np.zeros(n1 * self.subparts, dtype=np.uint64)
             np.add.at(sums, cell, elements)
             sums = sums.reshape(n1, self.subparts)
             without = (sums.sum(axis=1, dtype=np.uint64)[:, None] - sums).ravel()
             place = np.arange(n1 * self.subparts, dtype=np.uint64) + np.uint64(band << 40)
-            out.append(mix64(without + mix64(place)))
+            signed = mix64(without + mix64(place))
+            held = np.bincount(cell, minlength=n1 * self.subparts).reshape(n1, self.subparts)
+            empty = held.sum(axis=1)[:, None] == held
+            if empty.any(axis=1).sum() <= spare:
+                signed = signed[~empty.ravel()]
+            out.append(signed)
         return np.concatenate(out) if out else elements[:0]
 
 
@@ -110,18 +126,35 @@ def _class(s: np.ndarray) -> tuple[int, int]:
     return int(h[0].astype(np.int64)), int(h[1].astype(np.int64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Exact counts of a set's elements in hash cells, some four in each; 255 stands for more."""
+    cells = 1 << max(5, (len(s) // 4).bit_length())
+    return np.minimum(np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of equally many cells.  The sum of the lesser counts is an upper bound of an overlap."""
+    cells = min(map(len, sketches))
+    out = np.empty((len(sketches), cells), dtype=np.int32)
+    for i, x in enumerate(sketches):
+        counts = np.frombuffer(x, dtype=np.uint8).astype(np.int32)
+        counts[counts == 255] = NO_BOUND
+        out[i] = counts if len(counts) == cells else counts.reshape(-1, cells).sum(axis=0)
+    return out
+
+
 def classes_of(docs: DataFrame, width: int, key: str, text: str, seed: int) -> DataFrame:
-    """Key, hash of the text (``t``), size of the set and class (``c``; ``c2`` to verify it) of each row; empty sets have no class."""
+    """Key, hash of the text (``t``), size of the set, class (``c``; ``c2`` to verify it) and sketch of each row; empty sets have no class."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width, seed)
         for b in batches:
-            rows = [(len(s), *_class(s)) if len(s) else (0, None, None) for s in shingles.sets(b.column("_text").to_pylist())]
-            n, c, c2 = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("t"), *(pa.array(x, pa.int64()) for x in (n, c, c2))],
-                                             names=["_key", "t", "n_shingles", "c", "c2"])
-    return _scan(docs, key, text).mapInArrow(run, f"_key {kind}, t bigint, n_shingles bigint, c bigint, c2 bigint")
+            rows = [(len(s), *_class(s), sketch(s)) if len(s) else (0, None, None, None) for s in shingles.sets(b.column("_text").to_pylist())]
+            *numbers, cells = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("t"), *(pa.array(x, pa.int64()) for x in numbers),
+                                              pa.array(cells, pa.binary())], names=["_key", "t", "n_shingles", "c", "c2", "cells"])
+    return _scan(docs, key, text).mapInArrow(run, f"_key {kind}, t bigint, n_shingles bigint, c bigint, c2 bigint, cells binary")
 
 
 def buckets_of(docs: DataFrame, width: int, percent: int, key: str, text: str, seed: int, groups: int) -> DataFrame:
@@ -213,6 +246,21 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int, key: str, text: str,
         .mapInArrow(run, "c bigint, s binary")
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches do not rule them out; no pair that is similar enough goes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for m, n, x, y in zip(*(b.column(c).to_pylist() for c in ("na", "nb", "ka", "kb")), strict=True):
+                both = folded([x, y])
+                keep.append(int(both.min(axis=0).sum()) * (100 + percent) >= percent * (m + n))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    left = sketches.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ka"))
+    right = sketches.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("kb"))
+    size = F.greatest("na", "nb") * F.lit(percent) <= F.least("na", "nb") * F.lit(100)
+    return pairs.join(left, "a").join(right, "b").filter(size).mapInArrow(run, "a bigint, b bigint")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,38 +272,77 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
     left, right = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
-    size = F.greatest(F.length("sa"), F.length("sb")) * F.lit(percent) <= F.least(F.length("sa"), F.length("sb")) * F.lit(100)
-    return pairs.join(left, "a").join(right, "b").filter(size).mapInArrow(run, "a bigint, b bigint")
-
-
-def _open_links(bucket: DataFrame, root: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components that meet in a bucket, as many as join them.
-
-    Buckets that hold several components are open; classes that meet in open buckets form a group.  In a group
-    all that are not in its largest component are compared with all of it, in blocks of ``BLOCK`` classes."""
-    at = bucket.select("sig", "c").join(root.select(F.col("node").alias("c"), "root"), "c", "left") \
-        .select("sig", "c", F.coalesce("root", "c").alias("root"))
-    at = materialise(at)
-    state = materialise(at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("c").alias("first"))
-                        .filter("lo <> hi").select("sig", "first"))
-    meet = at.join(state, "sig").select(F.col("first").alias("a"), F.col("c").alias("b"))
-    group = components(meet).select(F.col("node").alias("c"), F.col("root").alias("grp"))
-    member = materialise(group.join(root.select(F.col("node").alias("c"), "root"), "c", "left")
-                         .select("grp", "c", F.coalesce("root", "c").alias("root")))
-    by_root = member.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n"))
-    size = materialise(by_root.groupBy("grp").agg(
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _open_blocks(bucket: DataFrame, root: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Blocks (sig, l, r) of classes to compare, in buckets that hold several components: (sig, l, r, c, root, is_left, g).
+
+    What is not in a bucket's largest component is on the left, all is on the right, ``BLOCK`` classes of either in a block.
+    Buckets of the same classes count once.  ``g`` puts small blocks together, some ``PACK`` bytes, and leaves others alone."""
+    at = materialise(bucket.select("sig", "c").join(root.select(F.col("node").alias("c"), "root"), "c", "left")
+                     .select("sig", "c", F.coalesce("root", "c").alias("root")))
+    several = at.groupBy("sig").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"),
+        F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")).filter("lo <> hi")
+    once = materialise(several.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig"))
+    member = materialise(at.join(once, "sig"))
+    size = materialise(member.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(
         F.sum("n").alias("every"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")))
     lefts, rights = F.ceil((F.col("every") - F.col("most")) / F.lit(BLOCK)), F.ceil(F.col("every") / F.lit(BLOCK))
-    sized = member.join(size, "grp").select("grp", "c", "root", (F.col("root") != F.col("main")).alias("rest"),
+    sized = member.join(size, "sig").select("sig", "c", "root", (F.col("root") != F.col("main")).alias("rest"),
                                             lefts.cast("int").alias("lefts"), rights.cast("int").alias("rights"))
+
     def block(n: str) -> Column:
         return F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - F.lit(1)))
-    left = sized.filter("rest").select("grp", "c", "root", F.lit(True).alias("is_left"), block("lefts").alias("l"), every("rights").alias("r"))
-    right = sized.select("grp", "c", "root", F.lit(False).alias("is_left"), block("rights").alias("r"), every("lefts").alias("l"))
-    return materialise(left.unionByName(right).join(sets, "c").groupBy("grp", "l", "r").applyInArrow(
-        _compare(percent), "a bigint, b bigint"))
+    held = member.join(sketches.select("c", (F.length("cells") + F.lit(64)).alias("size")), "c").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    packs = held // PACK + 1
+    left = sized.filter("rest").select("sig", "c", "root", "lefts", "rights", F.lit(True).alias("is_left"), block("lefts").alias("l"), every("rights").alias("r"))
+    right = sized.select("sig", "c", "root", "lefts", "rights", F.lit(False).alias("is_left"), block("rights").alias("r"), every("lefts").alias("l"))
+    alone = F.xxhash64("sig", "l", "r")
+    return left.unionByName(right).select("sig", "l", "r", "c", "root", "is_left", F.when(
+        (F.col("lefts") == 1) & (F.col("rights") == 1), F.pmod(F.xxhash64("sig"), F.lit(packs))).otherwise(alone).alias("g"))
+
+
+def _sketched(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Task function: of each block the pairs (a, b) of different components that sketches leave; a block with many is
+    named instead (sig, l, r)."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("sig", "ascending"), ("l", "ascending"), ("r", "ascending")])
+        sig, l, r, c, root, n = (rows.column(x).to_numpy() for x in ("sig", "l", "r", "c", "root", "n"))
+        is_left = np.array(rows.column("is_left").to_pylist(), dtype=bool)
+        cells = rows.column("cells").to_pylist()
+        cut = np.flatnonzero((np.diff(sig) != 0) | (np.diff(l) != 0) | (np.diff(r) != 0)) + 1
+        a, b, dense = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], []
+        for lo, hi in pairwise([0, *cut.tolist(), len(sig)]):
+            left, right = lo + np.flatnonzero(is_left[lo:hi]), lo + np.flatnonzero(~is_left[lo:hi])
+            if not len(left) or not len(right):
+                continue
+            counts = folded(cells[lo:hi])
+            own, found, many = counts[right - lo], 0, FEW * (len(left) + len(right))
+            x, y = [], []
+            for i in left.tolist():
+                bound = np.minimum(own, counts[i - lo]).sum(axis=1, dtype=np.int64)
+                j = right[(root[right] != root[i]) & (bound * (100 + percent) >= percent * (n[right] + n[i]))]
+                x.append(np.full(len(j), c[i]))
+                y.append(c[j])
+                found += len(j)
+            if found > many:
+                dense.append(lo)
+            else:
+                a.extend(x)
+                b.extend(y)
+        one, two = np.concatenate(a), np.concatenate(b)
+        none = pa.nulls(len(dense), pa.int64())
+        gap = pa.nulls(len(one), pa.int32())
+        return pa.table({
+            "a": pa.concat_arrays([pa.array(np.minimum(one, two), pa.int64()), none]), "b": pa.concat_arrays([pa.array(np.maximum(one, two), pa.int64()), none]),
+            "sig": pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(sig[dense], pa.int64())]),
+            "l": pa.concat_arrays([gap, pa.array(l[dense], pa.int32())]), "r": pa.concat_arrays([gap, pa.array(r[dense], pa.int32())])})
+    return run
 
 
 def _compare(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -303,9 +390,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     Rows with equal sets are one class (64-bit hash, checked by a second one; on a clash all is hashed anew).
     Classes that share a signature form a bucket.  Its least class is tested against all others, so a bucket of
     n near copies costs n tests.  Where the others are then in several components, what is outside of the largest is
-    compared with all classes it may meet, in blocks (``_open_links``): no pair of different components that shares a
-    signature stays untested.  That step grows with the product of the two numbers; it holds
-    near copies that are not quite similar enough.  Shingles are compared by 64-bit hashes.
+    compared with the whole bucket, in blocks: no pair of different components that shares a
+    signature stays untested.  Before sets move, sketches of exact counts (``sketch``) rule out pairs whose overlap can't be enough;
+    blocks where many pairs are left compare whole sets.  Shingles are compared by 64-bit hashes.  A very long text is one set,
+    worked on whole by one task, in memory that grows with its length.
     """
     seed = 0
     while True:
@@ -321,13 +409,29 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     shared = materialise(member.groupBy("sig").agg(F.min("c").alias("pivot"), F.max("c").alias("hi"))
                          .filter("pivot <> hi").drop("hi"))
     bucket = materialise(member.join(shared, "sig").filter("c <> pivot"))
-    pairs = materialise(bucket.select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct())
-    nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    wanted = materialise(base.filter("c is not null").groupBy("c").agg(F.min("t").alias("t")).join(nodes, "c", "left_semi"))
-    sets = materialise(sets_of(docs, wanted, width, key, text, seed).dropDuplicates(["c"]))
-    links = materialise(_similar(pairs, sets, percent))
+    sketches = materialise(base.filter("c is not null").groupBy("c").agg(
+        F.min("t").alias("t"), F.max("n_shingles").alias("n"), F.min("cells").alias("cells")).join(
+        member.select("c").distinct(), "c", "left_semi"))
+
+    def sets(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+        wanted = materialise(sketches.select("c", "t").join(nodes, "c", "left_semi"))
+        return materialise(sets_of(docs, wanted, width, key, text, seed).dropDuplicates(["c"]))
+    pairs = bucket.select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
+    pairs = materialise(_possible(pairs, sketches, percent))
+    links = materialise(_similar(pairs, sets(pairs), percent))
     root = components(links)
-    more = _open_links(bucket, root, sets, percent)
+    whole = bucket.select("sig", "c").unionByName(shared.select("sig", F.col("pivot").alias("c")))
+    blocks = materialise(_open_blocks(whole, root, sketches))
+    open_ = materialise(blocks.join(sketches.select("c", "n", "cells"), "c").groupBy("g").applyInArrow(
+        _sketched(percent), "a bigint, b bigint, sig bigint, l int, r int"))
+    pairs = materialise(open_.filter("sig is null").select("a", "b").distinct())
+    more = _similar(pairs, sets(pairs), percent)
+    dense = blocks.join(open_.filter("sig is not null").select("sig", "l", "r"), ["sig", "l", "r"], "left_semi")
+    if not dense.isEmpty():
+        own = sets(dense.select(F.col("c").alias("a"), F.col("c").alias("b")))
+        more = more.union(dense.join(own, "c").groupBy("sig", "l", "r").applyInArrow(_compare(percent), "a bigint, b bigint"))
+    more = materialise(more)
     if not more.isEmpty():
         root = components(links.union(more))
     named = materialise(base.join(root.select(F.col("node").alias("c"), "root"), "c", "left")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.llm.components import components
 from millrace.llm.embedding_dedup import near_duplicate_components
 from millrace.llm.hnsw import Hnsw
-from millrace.llm.jaccard_join import PartEnum, jaccard_components, jaccard_dedup
+from millrace.llm.jaccard_join import PartEnum, folded, jaccard_components, jaccard_dedup, sketch
 from millrace.llm.language_id import Judge, identify_languages, keep_identified, train_languages, viterbi
 from millrace.llm.lm_scoring import score_documents
 from millrace.llm.ngram_trie import EliasFano, PairTrie
@@ -129,6 +129,41 @@ def test_jaccard_join_null_and_repeated_keys(spark):
     assert got == sorted(((k, len(s), w) for (k, _, _), s, w in zip(every, sets, want)), key=repr)
 
 
+@pytest.mark.parametrize("few", [0, 4])
+def test_jaccard_join_in_small_blocks(spark, monkeypatch, few):
+    """Near copies that mostly just miss the threshold, in blocks of a few classes, with and without whole sets in them."""
+    import millrace.llm.jaccard_join as module
+    monkeypatch.setattr(module, "BLOCK", 3)
+    monkeypatch.setattr(module, "FEW", few)
+    monkeypatch.setattr(module, "PACK", 2000)
+    rng = random.Random(21)
+    every = []
+    for g in range(3):
+        base = prose(rng, 70).split(" ")
+        for i in range(25):
+            w = list(base)
+            for k in rng.sample(range(70), rng.choice([1, 2, 2, 3])):
+                w[k] = f"new{g}{i}{k}"
+            every.append((100 * g + i, " ".join(w), None))
+    every += [(1000 + i, prose(rng, rng.randint(5, 80)), None) for i in range(40)]
+    sets, want = _jaccard_truth(every, 5, 80)
+    assert 3 < len({c for c in want if c < 1000}) < 60
+    df = spark.createDataFrame(every, "doc_id long, text string, lang string").repartition(3)
+    got = rows(jaccard_components(df, 5, 80), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(((k, len(s), w) for (k, _, _), s, w in zip(every, sets, want)), key=repr)
+
+
+def test_sketches_bound_overlaps():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (3, 700), (200, 260), (5000, 5200), (40, 90_000)):
+        a, b = (np.unique(rng.integers(0, 1 << 63, x).astype(np.uint64)) for x in (n, m))
+        b = np.unique(np.concatenate([b, a[:n // 2]]))
+        assert folded([sketch(a), sketch(b)]).min(axis=0).sum() >= len(np.intersect1d(a, b))
+    # full cells bound nothing
+    same = np.arange(1, 3000, dtype=np.uint64) << np.uint64(20)
+    assert folded([sketch(same), sketch(same)]).min(axis=0).sum() >= len(same)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for top, n in ((10, 0), (10, 1), (1 << 20, 500), (1 << 62, 3000), (40, 200)):
