@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .components import components
 from .joins import without
-from .text import Texts, mix64, parts
+from .text import Texts, mix64, parts, short_batches
 
 FULL = 1_000_000  # signatures of a block
 GROUP = 2_000_000  # shingles whose signatures one group compares, on average
@@ -395,6 +395,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     blocks where many pairs are left compare whole sets.  Shingles are compared by 64-bit hashes.  A very long text is one set,
     worked on whole by one task, in memory that grows with its length.
     """
+    with short_batches(docs.sparkSession):
+        return _components(docs, width, percent, key, text)
+
+
+def _components(docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """``jaccard_components``; all but a last join is written when it returns."""
     seed = 0
     while True:
         base = materialise(classes_of(docs, width, key, text, seed))

@@ -8,13 +8,27 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 1 << 20  # bytes that are hashed at once
 BATCH = 4 << 20  # bytes of text that are worked on at once
+ROWS = 250  # whole texts that go to a Python worker at once where memory counts
+ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = ROWS) -> Iterator[None]:
+    """Send fewer rows at once to Python workers in the jobs that run inside: texts are long, and buffers hold whole batches."""
+    before = spark.conf.get(ROWS_KEY)
+    spark.conf.set(ROWS_KEY, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_KEY, before)
 
 
 def lower_az(text: Column) -> Column:
