@@ -14,6 +14,7 @@ from millrace.llm.jaccard_join import jaccard_dedup
 from millrace.llm.language_id import keep_identified, train_languages
 from millrace.llm.packing import pack_documents
 from millrace.llm.plans import vocabulary
+from millrace.llm.text import short_batches
 from millrace.session import materialise
 
 LEAST_SCORE = 0.1  # below, words and spans tell next to nothing
@@ -25,7 +26,8 @@ ORACLE_SQL = None
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the documents with a language; drop those without a letter or with languages all mixed."""
-    return keep_identified(docs, train_languages(docs.filter(F.col("lang").isNotNull())), LEAST_SCORE)
+    with short_batches(spark):
+        return materialise(keep_identified(docs, train_languages(docs.filter(F.col("lang").isNotNull())), LEAST_SCORE))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, each with its place in a sequence."""
-    return pack_documents(docs, vocabulary("word_bpe_49k.json"), SEQUENCE)
+    with short_batches(spark):
+        return pack_documents(docs, vocabulary("word_bpe_49k.json"), SEQUENCE)
 
 
 STAGES = [("language ID", identify), ("exact dedup", drop_exact_copies), ("near dedup", drop_near_copies), ("packing", pack)]
