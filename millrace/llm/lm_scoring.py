@@ -19,6 +19,7 @@ from .text import Texts, mix64, parts
 SHARD_BYTES = 16 << 20  # text whose pairs one shard scores, on average
 BLOCK_BYTES = 6 << 20  # text whose pairs are counted together before they move
 BLOCK_DOCS = 60_000
+assert BLOCK_DOCS < 1 << 16  # a document's number in its block has 16 bits
 DISCOUNT = 0.9  # taken from the count of each pair that was seen
 PAIR_SHARE = 0.5  # of the pair model; the rest is the single word's probability
 END = 0x5DEECE66D1234567  # hash of the end token
@@ -80,6 +81,12 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first) if len(first) else values[:0]
 
 
+def _whole_counts(row: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of block counts per row number, in 64 bits: a common word of a large corpus passes 2^32."""
+    order = np.argsort(row, kind="stable")
+    return _sums(n[order].astype(np.int64), np.flatnonzero(_starts(row[order])))
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """Rows of several batches, in blocks of bounded text; one longer text is a block."""
     held: dict[str, list] = {}
@@ -168,12 +175,12 @@ def count_words(source: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
                           for c, t in (("w", np.uint64), ("n", np.uint32), ("k", np.uint32), ("to", np.uint32)))
         owner = np.repeat(word, k)
         distinct, row = np.unique(word, return_inverse=True)
-        total = np.bincount(row, weights=n).astype(np.uint32)
+        total = _whole_counts(row, n)
         _, once = np.unique(mix64(owner + to.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
         owner, to = owner[once], to[once].astype(np.int64)
         order = np.argsort(to, kind="stable")
         owner, to = owner[order], to[order]
-        out = [(-1, np.array([len(distinct)]).tobytes(), np.array([int(total.sum(dtype=np.int64))]).tobytes())]
+        out = [(-1, np.array([len(distinct)]).tobytes(), np.array([int(total.sum())]).tobytes())]
         at = np.searchsorted(distinct, owner)
         cut = np.searchsorted(to, np.arange(shards + len(hot) + 1))
         for t in range(shards):
@@ -244,7 +251,7 @@ def count_contexts(source: DataFrame, hot: np.ndarray, shards: int, order: int)
         pairs = np.unique(to[keep] * len(first) + owner[keep])
         to, owner = pairs // len(first), pairs % len(first)
         cut = np.searchsorted(to, np.arange(shards + 1))
-        out = [(p, key[first[i]].tobytes(), total[i].astype(np.uint32).tobytes(), after[i].astype(np.uint32).tobytes())
+        out = [(p, key[first[i]].tobytes(), total[i].tobytes(), after[i].tobytes())
                for p in range(shards) if len(i := owner[cut[p]:cut[p + 1]])]
         cols = list(zip(*out, strict=True)) or [()] * 4
         return pa.table({"part": pa.array(cols[0], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip("wnt", cols[1:], strict=True)}})
@@ -336,9 +343,11 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
             return pa.table({"block": out["block"], "shard": pa.array([-1] * left.num_rows, pa.int32()), "a": out["train"],
                              "b": pa.nulls(left.num_rows, pa.binary()), "n": pa.nulls(left.num_rows, pa.binary()),
                              "d": out["d"], "keys": out["keys"]})
-        raw = left.select(list(PAIRS)).to_pylist()
-        lists = []
-        for r in raw:
+        cols = [left.column(c) for c in PAIRS]
+
+        def entries(i: int) -> tuple[np.ndarray, ...]:
+            """Word before, word, occurrences, documents, training occurrences and older words of a row's n-grams."""
+            r = dict(zip(PAIRS, (c[i].as_py() for c in cols), strict=True))
             h = np.repeat(np.frombuffer(r["h"], dtype=np.uint64), np.frombuffer(r["hn"], dtype=np.uint32))
             w = np.frombuffer(r["lo"], dtype=np.uint32).astype(np.uint64) | (np.frombuffer(r["hi"], dtype=np.uint8).astype(np.uint64) << np.uint64(32))
             wn = np.frombuffer(r["wn"], dtype=np.uint32)
@@ -346,13 +355,20 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
             m, d = np.frombuffer(r["m"], dtype=np.uint8).astype(np.int64), np.frombuffer(r["d"], dtype=np.uint16)
             old = np.frombuffer(r["ulo"], dtype=np.uint32).astype(np.uint64) | (np.frombuffer(r["uhi"], dtype=np.uint8).astype(np.uint64) << np.uint64(32))
             learn = np.unpackbits(np.frombuffer(r["train"], dtype=np.uint8))[d]
-            lists.append((h, w, m, d, np.add.reduceat(learn.astype(np.int64), np.cumsum(m) - m), old.reshape(order - 2, len(m))))
-        h, w, c = (np.concatenate([x[i] for x in lists]) for i in (0, 1, 4))
-        us = np.concatenate([x[5] for x in lists], axis=1)
-        asked = np.isin(h, hot)  # contexts whose totals come from elsewhere
-        asked_h, asked_us = h[asked], us[:, asked]
-        seen = c > 0
-        h, w, c, us = h[seen], w[seen], c[seen], us[:, seen]
+            return h, w, m, d, np.add.reduceat(learn.astype(np.int64), np.cumsum(m) - m), old.reshape(order - 2, len(m))
+
+        # rows stay packed; what was not learned goes at once, and rows are unpacked again when they are scored
+        kept, far = [], []
+        for i in range(left.num_rows):
+            h, w, _, _, c, us = entries(i)
+            asked = np.isin(h, hot)  # contexts whose totals come from elsewhere
+            far.append((h[asked], us[:, asked]))
+            seen = c > 0
+            kept.append((h[seen], w[seen], c[seen], us[:, seen]))
+        asked_h, asked_us = np.concatenate([x[0] for x in far]), np.concatenate([x[1] for x in far], axis=1)
+        h, w, c = (np.concatenate([x[i] for x in kept]) for i in range(3))
+        us = np.concatenate([x[3] for x in kept], axis=1)
+        del kept, far
         by = np.lexsort((*us[::-1], w, h))
         h, w, c, us = h[by], w[by], c[by], us[:, by]
         all_h, all_c = np.concatenate([h, asked_h]), c
@@ -381,7 +397,7 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
         answers = list(zip(*(right.column(x).to_pylist() for x in ("w", "n", "t")), strict=True))
         def numbers(i: int, kind: type, longer: bool) -> np.ndarray:
             return np.concatenate([np.frombuffer(x[i], dtype=kind) for x in answers if (x[2] is not None) == longer] or [np.zeros(0, dtype=kind)])
-        known, single = numbers(0, np.uint64, False), numbers(1, np.uint32, False)
+        known, single = numbers(0, np.uint64, False), numbers(1, np.int64, False)
         by = np.argsort(known)
         known, single = known[by], single[by]
         p = (single[np.searchsorted(known, w)] + 0.5) / smoothed if len(w) else np.zeros(0)
@@ -390,7 +406,7 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
         pair = (c - discount) / (counts[context_of] * p) + back[context_of]
         with tempfile.TemporaryDirectory() as folder:
             PairTrie.write(folder, contexts, counts, np.log10(share * back + 1 - share), sizes, w, np.log10(share * pair + 1 - share))
-            keys, key_count, key_after = numbers(0, np.uint64, True), numbers(1, np.uint32, True), numbers(2, np.uint32, True)
+            keys, key_count, key_after = numbers(0, np.uint64, True), numbers(1, np.int64, True), numbers(2, np.int64, True)
             by = np.argsort(keys)
             keys, key_count, key_after = keys[by], key_count[by], key_after[by]
             hot_key = np.concatenate([np.isin(all_h[:len(all_c)], hot), np.ones(len(asked_h), dtype=bool)])
@@ -417,7 +433,9 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
             trie = PairTrie(folder)
             longer = [(Level(folder, f"contexts{n}"), Level(folder, f"words{n}")) for n in range(3, order + 1)]
             out = []
-            for block, part, (h, w, m, d, _, old) in zip(left.column("block").to_pylist(), left.column("part").to_pylist(), lists, strict=True):
+            del all_h, all_us, us, h, w, c, hot_key, up
+            for i, (block, part) in enumerate(zip(left.column("block").to_pylist(), left.column("part").to_pylist(), strict=True)):
+                h, w, m, d, _, old = entries(i)
                 rank, count = trie.context(h)
                 weight, node, above = trie.weight(rank, w), trie.successor(rank, w), rank
                 for (lower, level), u in zip(longer, old, strict=True):
@@ -426,9 +444,9 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
                     weight = np.where(above < 0, weight, np.where(node < 0, np.log10(less), level.weight(node)))
                 weight = np.repeat(weight, m)
                 count = np.repeat(count, m)
-                docs, i = np.unique(d, return_inverse=True)
-                out.append((block, part, np.bincount(i, weights=weight).tobytes(), np.bincount(i, weights=np.log10(count + 0.5)).tobytes(),
-                            np.bincount(i, weights=count > 0).astype(np.int32).tobytes(), docs.tobytes(), None))
+                docs, at = np.unique(d, return_inverse=True)
+                out.append((block, part, np.bincount(at, weights=weight).tobytes(), np.bincount(at, weights=np.log10(count + 0.5)).tobytes(),
+                            np.bincount(at, weights=count > 0).astype(np.int32).tobytes(), docs.tobytes(), None))
             del trie, longer
         cols = list(zip(*out, strict=True))
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[2:6]),

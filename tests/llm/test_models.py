@@ -340,3 +340,11 @@ def test_embedding_components(spark, shard_rows):
     if shard_rows > 1000:
         assert near_duplicate_components(df.filter("vec_id = -1")).count() == 0
         assert near_duplicate_components(spark.createDataFrame(bad, df.schema)).filter("kept").count() == len(bad)
+
+
+def test_word_counts_pass_32_bits():
+    from millrace.llm.lm_scoring import _whole_counts
+    row = np.array([1, 0, 1, 1, 2, 0])
+    n = np.array([4_000_000_000, 5, 4_000_000_000, 3_999_999_999, 1, 4_294_967_295], dtype=np.uint32)
+    assert _whole_counts(row, n).tolist() == [4_294_967_300, 11_999_999_999, 1]
+    assert _whole_counts(row[:0], n[:0]).tolist() == []
