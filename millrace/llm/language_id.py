@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import LETTER, class_table
-from .text import Texts, mix64, parts
+from .text import Texts, mix64, parts, released
 
 BUCKETS = 1 << 16  # hashed letter n-grams; the model has one number for each and language
 ORDERS = 3  # n-grams of 1 to 3 letters, word ends included
@@ -216,7 +216,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float, text: s
         for b in batches:
             lang, score, _ = judge.languages(b.column(text).cast(pa.binary()).to_pylist(), False)
             yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 class Judge:

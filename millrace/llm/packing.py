@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .text import released
 from .word_encoder import WordEncoder
 
 WIDTH = 3  # fillings tried at a node
@@ -175,7 +176,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0,
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(n, task), pa.int32()),
                  pa.array(local, pa.int64())], names=names)
     return docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text")).mapInArrow(
-        cut, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, _task int, _local bigint")
+        released(cut), f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, _task int, _local bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id",

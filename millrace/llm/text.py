@@ -6,11 +6,13 @@ bytes of many texts at once, inside tasks.
 
 from __future__ import annotations
 
+import ctypes
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,18 @@ def short_batches(spark: SparkSession, rows: int = ROWS) -> Iterator[None]:
         spark.conf.set(ROWS_KEY, before)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task function, giving freed memory back to the system when it ends: Python workers live on for later tasks, and
+    would hold what the largest of them needed."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim is not None:
+            trim(0)
+    return task
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` does just that where all characters are ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
