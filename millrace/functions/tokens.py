@@ -46,17 +46,45 @@ def truncate_left_combined(prompt: Column, completion: Column, max_len: int) ->
     return F.slice(prompt, over + 1, F.greatest(F.size(prompt) - over, F.lit(0)))
 
 
+def answer_parts(prompt: Column, whole: Column) -> tuple[Column, Column]:
+    """Ids of prompt plus answer, cut where the answer begins.  Where the prompt's last token changed by what follows it,
+    that token counts as the answer's."""
+    at = F.size(prompt) - F.when(keep_first(whole, F.size(prompt)) == prompt, 0).otherwise(1)
+    at = F.greatest(at, F.lit(0))
+    return keep_first(whole, at), F.slice(whole, at + 1, F.greatest(F.size(whole) - at, F.lit(0)))
+
+
+def with_bos(ids: Column, bos: int | None) -> Column:
+    """``bos`` first, once."""
+    if bos is None:
+        return ids
+    return F.when(F.get(ids, F.lit(0)) == bos, ids).otherwise(F.array_prepend(ids, F.lit(bos).cast("long")))
+
+
+def with_eos(ids: Column, eos: int | None) -> Column:
+    """``eos`` last, once."""
+    if eos is None:
+        return ids
+    return F.when(F.try_element_at(ids, F.lit(-1)) == eos, ids).otherwise(F.array_append(ids, F.lit(eos).cast("long")))
+
+
 def budget_pair(prompt_c: Column, prompt_r: Column, chosen: Column, rejected: Column, max_len: int,
-                max_prompt: int, mode: str = "keep_end") -> dict[str, Column]:
+                max_prompt: int, mode: str = "keep_end", bos: int | None = None, eos: int | None = None,
+                prompt: Column | None = None) -> dict[str, Column]:
     """Cut a pair to a token budget: first the prompts, then the answers.
-    Labels repeat the ids with the prompt positions ignored."""
+    Labels repeat the ids with the prompt positions ignored.
+
+    ``prompt`` (the chosen side's, if not given) is the prompt alone, as long as the shorter side's.  ``bos`` and ``eos`` are put
+    around each side before anything is measured, unless they are there already."""
     if mode not in ("keep_start", "keep_end"):
         raise ValueError(f"unknown truncation mode: {mode}")
+    shared = F.least(F.size(prompt_c), F.size(prompt_r))
+    prompt = with_bos(keep_first(prompt_c if prompt is None else prompt, shared), bos)
+    prompt_c, prompt_r = with_bos(prompt_c, bos), with_bos(prompt_r, bos)
+    chosen, rejected = with_eos(chosen, eos), with_eos(rejected, eos)
     longer = F.greatest(F.size(chosen), F.size(rejected))
     cut = keep_first if mode == "keep_start" else keep_last
-    shared = F.least(F.size(prompt_c), F.size(prompt_r))
     out: dict[str, Column] = {}
-    prompt = keep_first(prompt_c, shared)
     out["prompt_ids"] = F.when(F.size(prompt) + longer > max_len, cut(prompt, max_prompt)).otherwise(prompt)
     for side, p, a in (("chosen", prompt_c, chosen), ("rejected", prompt_r, rejected)):
         p2 = F.when(F.size(p) + longer > max_len, cut(p, max_prompt)).otherwise(p)
@@ -89,6 +117,20 @@ def step_ids(steps: Column, sep: int) -> Column:
     return F.flatten(F.transform(steps, lambda s: F.array_append(s, F.lit(sep).cast("long"))))
 
 
+def step_example(prompt: Column, steps: Column, labels: Column, sep: int, bos: int | None = None, max_prompt: int | None = None,
+                 max_completion: int | None = None, max_len: int | None = None, last_only: bool = False) -> dict[str, Column]:
+    """``input_ids`` and ``labels`` of a prompt and its steps, cut together: the prompt (after ``bos``) keeps its last
+    tokens, the steps their first, the whole its first.  Prompt positions are ignored."""
+    ids, marks = step_ids(steps, sep), step_labels(steps, labels, last_only)
+    prompt = prompt if bos is None else F.array_prepend(prompt, F.lit(bos).cast("long"))
+    if max_prompt is not None:
+        prompt = keep_last(prompt, max_prompt)
+    if max_completion is not None:
+        ids, marks = keep_first(ids, max_completion), keep_first(marks, max_completion)
+    out = {"input_ids": F.concat(prompt, ids), "labels": F.concat(F.array_repeat(F.lit(IGNORE).cast("long"), F.size(prompt)), marks)}
+    return out if max_len is None else {k: keep_first(v, max_len) for k, v in out.items()}
+
+
 def pad_count(ids: Column, prompt_len: Column | int, pad: int) -> Column:
     n = F.lit(prompt_len) if isinstance(prompt_len, int) else prompt_len
     return F.size(F.filter(F.slice(ids, F.lit(1), n), lambda x: x == pad))

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import keep_first
-from ..scale import SMALL_ROWS, dense_index, join_on_keys, join_small, rank_within, running_sums, spread
+from ..functions.tokens import IGNORE, keep_first, keep_last, step_example
+from ..scale import SMALL_ROWS, dense_index, join_on_keys, join_small, rank_within, running_sums, spread, with_group_stats
 from ..session import materialise
 
 
@@ -129,6 +129,30 @@ def tokenize(df: DataFrame, text: str, tokenizer: Callable[[Column], Column], ma
     return df.withColumn("input_ids", ids)
 
 
+def step_examples(turns: DataFrame, key: str, order: Sequence[str], ids: str, label: str, sep: int, max_completion: int,
+                  max_prompt: int | None = None, max_len: int | None = None, bos: int | None = None, last_only: bool = False) -> DataFrame:
+    """``input_ids`` and ``labels`` of each conversation: its first turn is the prompt, the others are labelled steps.
+
+    A step has one token at least, so only the first ``max_completion`` steps, and as many of their tokens, can stay after the
+    cut; the rest goes before turns are gathered, however long a conversation is.  A prompt without steps stays alone; a null
+    label counts as false, null ids as none."""
+    numbered = rank_within(turns.select(key, *order, ids, label), [key], order, "_rn")
+    if last_only:
+        numbered = with_group_stats(numbered, [key], {"_of": F.max("_rn")})
+    none = F.array().cast("array<bigint>")
+    mark = F.coalesce(F.col(label).cast("boolean"), F.lit(False)).cast("long")
+    if last_only:
+        mark = F.when(F.col("_rn") == F.col("_of"), mark).otherwise(F.lit(IGNORE))
+    prompt = F.col(ids) if max_prompt is None else keep_last(F.col(ids), max_prompt)
+    kept = F.coalesce(F.when(F.col("_rn") == 1, prompt).otherwise(keep_first(F.col(ids), max_completion)), none)
+    short = numbered.filter(F.col("_rn") <= max_completion + 1).select(key, "_rn", kept.alias("_ids"), mark.cast("long").alias("_label"))
+    step = F.struct(F.col("_rn").alias("n"), F.col("_ids").alias("ids"), F.col("_label").alias("label"))
+    one = short.groupBy(key).agg(F.max(F.when(F.col("_rn") == 1, F.col("_ids"))).alias("_prompt"),
+                                 F.sort_array(F.collect_list(F.when(F.col("_rn") > 1, step))).alias("_steps"))
+    out = step_example(F.col("_prompt"), F.col("_steps.ids"), F.col("_steps.label"), sep, bos, max_prompt, max_completion, max_len)
+    return one.select(key, *[v.alias(k) for k, v in out.items()])
+
+
 def vocabulary(words: DataFrame, word: str, token_id: Callable[[Column], Column], size: int) -> DataFrame:
     """One row, ``vocab``: array of the word of each id (the first in order where
     several share one).  ``size`` bounds it.  Words are made distinct first, so

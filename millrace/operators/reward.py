@@ -150,23 +150,41 @@ def reduce_losses(df: DataFrame, seq: str, loss: Column, mask: str, max_length:
 
 
 def clip_metrics(df: DataFrame, batch: str, log_ratio: Column, advantage: Column, sampling: str, old: str, mask: str = "mask",
-                 eps_low: float = 0.2, eps_high: float = 0.2, is_cap: float = 2.0) -> DataFrame:
-    """Clip ratios, KL, entropy and importance-sampling statistics: per batch, then across batches."""
+                 eps_low: float = 0.2, eps_high: float = 0.2, is_cap: float = 2.0, delta: float | None = None,
+                 sequence: str | None = None) -> DataFrame:
+    """Clip ratios, KL, entropy and importance-sampling statistics: per batch, then across batches.
+
+    Ratios are capped at ``delta`` before they are tested.  With ``sequence`` a sequence has one ratio, of the masked mean of
+    ``log_ratio``, and one advantage, and clip ratios are means over sequences; the other figures stay those of the tokens.
+    A batch without unmasked tokens has zeros."""
     on = F.col(mask) == 1
-    ratio = F.exp(log_ratio)
-    low, high = (ratio < 1 - eps_low) & (advantage < 0), (ratio > 1 + eps_high) & (advantage > 0)
     diff = F.abs(F.col(old) - F.col(sampling))
     weight = F.least(F.exp(F.col(old) - F.col(sampling)), F.lit(is_cap))
-
-    def mean(x: Column) -> Column:
-        return F.sum(F.when(on, x)) / F.greatest(F.count_if(on), F.lit(1))
-
-    per = df.groupBy(batch).agg(
-        mean(low.cast("double")).alias("low"), mean(high.cast("double")).alias("high"), mean((low | high).cast("double")).alias("region"),
-        mean(k3(F.col("logp"), F.col("ref_logp"))).alias("kl"), mean(F.col("entropy")).alias("entropy"),
-        F.coalesce(F.avg(F.when(on, diff)), F.lit(0.0)).alias("diff_mean"), F.coalesce(F.max(F.when(on, diff)), F.lit(0.0)).alias("diff_max"),
-        F.coalesce(F.min(F.when(on, weight)), F.lit(0.0)).alias("is_min"), F.coalesce(F.avg(F.when(on, weight)), F.lit(0.0)).alias("is_mean"),
-        F.coalesce(F.max(F.when(on, weight)), F.lit(0.0)).alias("is_max"))
+    n = F.greatest(F.sum("_n"), F.lit(1))
+
+    def total(x: Column) -> Column:
+        return F.coalesce(F.sum(F.when(on, x)), F.lit(0.0))
+
+    def clips(log: Column, a: Column) -> dict[str, Column]:
+        ratio = F.exp(log) if delta is None else clamp(F.exp(log), hi=delta)
+        low, high = (ratio < 1 - eps_low) & (a < 0), (ratio > 1 + eps_high) & (a > 0)
+        return {"low": low.cast("double"), "high": high.cast("double"), "region": (low | high).cast("double")}
+
+    sums = {"_kl": total(k3(F.col("logp"), F.col("ref_logp"))), "_entropy": total(F.col("entropy")), "_diff": total(diff), "_is": total(weight),
+            "_n": F.count_if(on), "diff_max": F.max(F.when(on, diff)), "is_min": F.min(F.when(on, weight)), "is_max": F.max(F.when(on, weight))}
+    if sequence is None:
+        sums |= {k: total(x) for k, x in clips(log_ratio, advantage).items()}
+        parts = df.groupBy(batch).agg(*[x.alias(k) for k, x in sums.items()])
+        clip = {k: F.sum(k) / n for k in ("low", "high", "region")}
+    else:
+        sums |= {"_log": total(log_ratio), "_a": F.max(advantage)}
+        parts = df.groupBy(batch, sequence).agg(*[x.alias(k) for k, x in sums.items()])
+        clip = {k: F.avg(x) for k, x in clips(F.col("_log") / F.greatest("_n", F.lit(1)), F.col("_a")).items()}
+    zero = F.lit(0.0)
+    per = parts.groupBy(batch).agg(
+        *[x.alias(k) for k, x in clip.items()], (F.sum("_kl") / n).alias("kl"), (F.sum("_entropy") / n).alias("entropy"),
+        (F.sum("_diff") / n).alias("diff_mean"), F.coalesce(F.max("diff_max"), zero).alias("diff_max"),
+        F.coalesce(F.min("is_min"), zero).alias("is_min"), (F.sum("_is") / n).alias("is_mean"), F.coalesce(F.max("is_max"), zero).alias("is_max"))
     return per.agg(F.avg("low").alias("low_mean"), F.min("low").alias("low_min"), F.avg("high").alias("high_mean"),
                    F.max("high").alias("high_max"), F.avg("region").alias("region_mean"), F.avg("kl").alias("kl"),
                    F.avg("entropy").alias("entropy"), F.avg("diff_mean").alias("diff_mean"), F.max("diff_max").alias("diff_max"),

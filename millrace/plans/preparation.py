@@ -115,6 +115,14 @@ def tokenize(spark, sf):
     return prep.tokenize(d, "text", lambda t: hashed_words(t, VOCAB, "md5"), bos=1, bos_text="The ").drop("text")
 
 
+@query("tokenize_truncated", f"""
+SELECT doc_id, (CASE WHEN starts_with(text, 'The ') THEN ids ELSE list_prepend(1, ids) END)[1:128] AS input_ids
+FROM (SELECT doc_id, text, {sql_words('text')} AS ids FROM documents)""")
+def tokenize_truncated(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return prep.tokenize(d, "text", lambda t: hashed_words(t, VOCAB, "md5"), 128, bos=1, bos_text="The ").drop("text")
+
+
 @query("detokenize", f"""
 WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> '')) AS w FROM documents),
 v AS (SELECT CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {VOCAB} AS id, min(w) AS w FROM w GROUP BY 1),

@@ -174,6 +174,41 @@ def clip_and_is_metrics(spark, sf):
     return out.select(*[rnd(F.col(c)).alias(c) for c in out.columns])
 
 
+_CAP = 1.04
+_TOKEN_STATS = """avg(k) AS kl, avg(entropy) AS entropy, avg(d) AS dm, max(d) AS dx, min(w) AS wn, avg(w) AS wm, max(w) AS wx"""
+_CLIP_OUT = f"""SELECT {sql_rnd('avg(low)')} AS low_mean, {sql_rnd('min(low)')} AS low_min, {sql_rnd('avg(high)')} AS high_mean, {sql_rnd('max(high)')} AS high_max,
+  {sql_rnd('avg(region)')} AS region_mean, {sql_rnd('avg(kl)')} AS kl, {sql_rnd('avg(entropy)')} AS entropy, {sql_rnd('avg(dm)')} AS diff_mean,
+  {sql_rnd('max(dx)')} AS diff_max, {sql_rnd('min(wn)')} AS is_min, {sql_rnd('avg(wm)')} AS is_mean, {sql_rnd('max(wx)')} AS is_max"""
+
+
+def _clip_flags(high: float) -> str:
+    lo, hi = "(r < 0.99 AND a < 0)", f"(r > {high} AND a > 0)"
+    return ", ".join(f"avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END) AS {n}" for n, c in (("low", lo), ("high", hi), ("region", f"{lo} OR {hi}")))
+
+
+# the cap lies below the upper limit, so no token counts as clipped there
+@query("clip_metrics_capped", TOK + f""", t AS (SELECT *, {ADV_SQL} AS a, seq_id % 16 AS b, least({_RATIO}, {_CAP}) AS r, abs(old_logp - ref_logp) AS d,
+  least(exp(old_logp - ref_logp), 2.0) AS w, {_K3} AS k FROM token_logps WHERE mask = 1),
+p AS (SELECT b, {_clip_flags(1.05)}, {_TOKEN_STATS} FROM t GROUP BY b) {_CLIP_OUT} FROM p""")
+def clip_metrics_capped(spark, sf):
+    t = tokens_unordered(spark, sf).withColumn("b", F.col("seq_id") % 16)
+    out = rl.clip_metrics(t, "b", F.col("logp") - F.col("old_logp"), adv(), "ref_logp", "old_logp", eps_low=0.01, eps_high=0.05, delta=_CAP)
+    return out.select(*[rnd(F.col(c)).alias(c) for c in out.columns])
+
+
+@query("clip_metrics_sequence", TOK + f""", t AS (SELECT *, {ADV_SQL} AS a, seq_id % 16 AS b, abs(old_logp - ref_logp) AS d,
+  least(exp(old_logp - ref_logp), 2.0) AS w, {_K3} AS k FROM token_logps),
+s AS (SELECT b, seq_id, max(a) AS a, least(exp(coalesce(sum(logp - old_logp) FILTER (mask = 1), 0.0) / greatest(count(*) FILTER (mask = 1), 1)), {_CAP}) AS r
+  FROM t GROUP BY b, seq_id),
+c AS (SELECT b, {_clip_flags(1.01)} FROM s GROUP BY b),
+m AS (SELECT b, {_TOKEN_STATS} FROM t WHERE mask = 1 GROUP BY b) {_CLIP_OUT} FROM c JOIN m USING (b)""")
+def clip_metrics_sequence(spark, sf):
+    t = tokens_unordered(spark, sf).withColumn("b", F.col("seq_id") % 16)
+    out = rl.clip_metrics(t, "b", F.col("logp") - F.col("old_logp"), adv(), "ref_logp", "old_logp", eps_low=0.01, eps_high=0.01, delta=_CAP,
+                          sequence="seq_id")
+    return out.select(*[rnd(F.col(c)).alias(c) for c in out.columns])
+
+
 @query("high_entropy_mask", TOK + """
 SELECT seq_id, pos, mask = 1 AND entropy >= (SELECT quantile_cont(entropy, 0.8) FROM token_logps WHERE mask = 1) AS high FROM token_logps""")
 def high_entropy_mask(spark, sf):

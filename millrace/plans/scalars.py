@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, numeric, text, tokens
 from ..functions.numeric import rnd
+from ..operators.preparation import step_examples
 from ..tables import ctes, table, text_pairs, token_logps
 from .registry import query
 
@@ -165,6 +166,78 @@ def budget_pair_tokens(spark, sf):
                     tokens.prompts_agree(F.col("prompt"), F.col("prompt")).alias("agree"))
 
 
+def _sql_marked(bos: str, ids: str) -> str:
+    return f"CASE WHEN len({ids}) > 0 AND {ids}[1] = {bos} THEN {ids} ELSE list_prepend({bos}, {ids}) END"
+
+
+def _sql_ended(ids: str, eos: str) -> str:
+    return f"CASE WHEN len({ids}) > 0 AND {ids}[len({ids})] = {eos} THEN {ids} ELSE list_append({ids}, {eos}) END"
+
+
+# odd pairs glue the answer to the prompt's last word; of three rejected sides one has its own prompt, one another last word
+@query("budget_pair_specials", ctes("text_pairs") + f""", x AS (
+SELECT pair_id, 'answer in ' || lang || ' for ' || pair_id AS pc,
+  CASE pair_id % 3 WHEN 0 THEN 'reply to ' || lang || ' for ' || pair_id WHEN 1 THEN 'answer in ' || lang || ' for ' || (pair_id + 1)
+    ELSE 'answer in ' || lang || ' for ' || pair_id END AS pr,
+  CASE WHEN pair_id % 2 = 0 THEN ' ' ELSE '' END || coalesce(chosen, '') AS a, ' ' || coalesce(rejected, '') AS b FROM text_pairs),
+t AS (SELECT pair_id, {sql_words('pc')} AS pc, {sql_words('pr')} AS pr, {sql_words('pc || a')} AS fc, {sql_words('pr || b')} AS fr FROM x),
+u AS (SELECT *, len(pc) - CASE WHEN fc[1:len(pc)] = pc THEN 0 ELSE 1 END AS nc, len(pr) - CASE WHEN fr[1:len(pr)] = pr THEN 0 ELSE 1 END AS nr FROM t),
+v AS (SELECT pair_id, {_sql_marked('1', 'pc[1:least(nc, nr)]')} AS p, {_sql_marked('1', 'fc[1:nc]')} AS p1, {_sql_marked('1', 'fr[1:nr]')} AS p2,
+  {_sql_ended('fc[nc + 1:len(fc)]', '2')} AS a1, {_sql_ended('fr[nr + 1:len(fr)]', '2')} AS a2,
+  len(list_filter(range(1, least(nc, nr) + 1), lambda i: fc[i] <> fr[i])) <= 1 AND abs(nc - nr) <= 1 AS agree FROM u),
+w AS (SELECT *, greatest(len(a1), len(a2)) AS longer FROM v),
+y AS (SELECT pair_id, agree, longer, a1, a2, CASE WHEN len(p) + longer > 120 THEN p[len(p) - 3:len(p)] ELSE p END AS p,
+  CASE WHEN len(p1) + longer > 120 THEN p1[len(p1) - 3:len(p1)] ELSE p1 END AS p1, CASE WHEN len(p2) + longer > 120 THEN p2[len(p2) - 3:len(p2)] ELSE p2 END AS p2 FROM w),
+z AS (SELECT *, CASE WHEN len(p1) + longer > 120 THEN a1[1:116] ELSE a1 END AS b1, CASE WHEN len(p2) + longer > 120 THEN a2[1:116] ELSE a2 END AS b2 FROM y)
+SELECT pair_id, p AS prompt_ids, list_concat(p1, b1) AS chosen_ids, list_concat(list_transform(p1, lambda x: -100), b1) AS chosen_labels,
+  list_concat(p2, b2) AS rejected_ids, list_concat(list_transform(p2, lambda x: -100), b2) AS rejected_labels, agree FROM z""")
+def budget_pair_specials(spark, sf):
+    said = F.concat(F.lit("answer in "), F.col("lang"), F.lit(" for "), F.col("pair_id").cast("string"))
+    kind = F.col("pair_id") % 3
+    t = text_pairs(spark, sf).select(
+        "pair_id", said.alias("pc"),
+        F.when(kind == 0, F.concat(F.lit("reply to "), F.col("lang"), F.lit(" for "), F.col("pair_id").cast("string")))
+        .when(kind == 1, F.concat(F.lit("answer in "), F.col("lang"), F.lit(" for "), (F.col("pair_id") + 1).cast("string"))).otherwise(said).alias("pr"),
+        F.concat(F.when(F.col("pair_id") % 2 == 0, " ").otherwise(""), F.coalesce("chosen", F.lit(""))).alias("a"),
+        F.concat(F.lit(" "), F.coalesce("rejected", F.lit(""))).alias("b"))
+
+    def ids(*parts: str):
+        return tokens.hashed_words(F.concat(*parts), VOCAB, "md5")
+    t = t.select("pair_id", ids("pc").alias("pc"), ids("pr").alias("pr"), ids("pc", "a").alias("fc"), ids("pr", "b").alias("fr"))
+    (p1, a1), (p2, a2) = (tokens.answer_parts(F.col(p), F.col(f)) for p, f in (("pc", "fc"), ("pr", "fr")))
+    t = t.select("pair_id", "pc", p1.alias("p1"), a1.alias("a1"), p2.alias("p2"), a2.alias("a2"))
+    out = tokens.budget_pair(F.col("p1"), F.col("p2"), F.col("a1"), F.col("a2"), 120, 4, bos=1, eos=2, prompt=F.col("pc"))
+    return t.select("pair_id", *[v.alias(k) for k, v in out.items()], tokens.prompts_agree(F.col("p1"), F.col("p2")).alias("agree"))
+
+
+def _sql_steps(last_only: bool) -> str:
+    label = "CASE WHEN rn = n THEN label ELSE -100 END" if last_only else "label"
+    return f"""
+WITH s AS (SELECT conv_id, {sql_words('text')} AS ids, CAST(role = 'assistant' AS BIGINT) AS label,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+g AS (SELECT conv_id, list_prepend(1, any_value(ids) FILTER (rn = 1)) AS p,
+  coalesce(flatten(list(list_append(ids, 0) ORDER BY rn) FILTER (rn > 1)), []) AS c,
+  coalesce(flatten(list(list_append(list_transform(ids, lambda x: -100), {label}) ORDER BY rn) FILTER (rn > 1)), []) AS l FROM s GROUP BY conv_id),
+h AS (SELECT conv_id, p[greatest(len(p) - 11, 1):len(p)] AS p, c[1:60] AS c, l[1:60] AS l FROM g)
+SELECT conv_id, list_concat(p, c)[1:64] AS input_ids, list_concat(list_transform(p, lambda x: -100), l)[1:64] AS labels FROM h"""
+
+
+def _step_examples(spark: SparkSession, sf: str, last_only: bool) -> DataFrame:
+    c = table(spark, sf, "conversations").select(
+        "conv_id", "turn", tokens.hashed_words(F.col("text"), VOCAB, "md5").alias("ids"), (F.col("role") == "assistant").alias("label"))
+    return step_examples(c, "conv_id", ["turn"], "ids", "label", 0, 60, max_prompt=12, max_len=64, bos=1, last_only=last_only)
+
+
+@query("step_examples", _sql_steps(False))
+def step_examples_all(spark, sf):
+    return _step_examples(spark, sf, False)
+
+
+@query("step_examples_last", _sql_steps(True))
+def step_examples_last(spark, sf):
+    return _step_examples(spark, sf, True)
+
+
 @query("step_labels", f"""
 WITH s AS (SELECT conv_id, turn,
   {sql_words('text')} AS ids, CAST(role = 'assistant' AS BIGINT) AS label FROM conversations)

@@ -197,6 +197,14 @@ def import_rows(spark, sf):
     return src.import_rows(table(spark, sf, "documents"), "doc_id", 1_000_000)
 
 
+@query("import_rows_cut", """
+SELECT doc_id, text, lang, source, n_chars FROM documents QUALIFY row_number() OVER (ORDER BY doc_id) <= (SELECT count(*) // 2 FROM documents)""")
+def import_rows_cut(spark, sf):
+    """The loader's row limit, set to half of the rows."""
+    d = table(spark, sf, "documents")
+    return src.import_rows(d, "doc_id", d.count() // 2)
+
+
 @query("catalog_search", """
 SELECT id, downloads, author, name FROM (
   SELECT p_brand || '/' || p_name AS id, p_size * 100 + p_partkey % 100 AS downloads, p_brand AS author, p_name AS name, p_type AS tag

@@ -154,3 +154,34 @@ def test_step_arithmetic(spark):
     assert one(spark, numeric.total_steps(F.lit(10), 4, 3)) == 6
     assert one(spark, numeric.batch_count(F.lit(10), 4)) == 3
     assert one(spark, numeric.progress_percent(F.lit(6), F.lit(6))) == 99.0
+
+
+def test_budget_pair_with_specials(spark):
+    out = tokens.budget_pair(ids(1, 5), ids(5), ids(7, 2), ids(8), 99, 9, bos=1, eos=2, prompt=ids(5, 6))
+    assert {k: one(spark, v) for k, v in out.items()} == {
+        "prompt_ids": [1, 5], "chosen_ids": [1, 5, 7, 2], "chosen_labels": [-100, -100, 7, 2], "rejected_ids": [1, 5, 8, 2],
+        "rejected_labels": [-100, -100, 8, 2]}
+    # the specials count: six tokens are over five, so prompts and then answers are cut
+    out = tokens.budget_pair(ids(4, 5), ids(4, 5), ids(7, 8), ids(9), 5, 2, bos=1, eos=2)
+    assert one(spark, out["chosen_ids"]) == [4, 5, 7, 8, 2] and one(spark, out["rejected_ids"]) == [4, 5, 9, 2]
+    assert one(spark, tokens.budget_pair(ids(), ids(), ids(), ids(), 5, 2, bos=1, eos=2)["chosen_ids"]) == [1, 2]
+
+
+def test_answer_parts(spark):
+    for prompt, whole, want in (([1, 2], [1, 2, 3], ([1, 2], [3])), ([1, 2], [1, 9, 3], ([1], [9, 3])), ([], [4], ([], [4])), ([1], [1], ([1], [])),
+                                ([7], [8], ([], [8]))):
+        p, a = tokens.answer_parts(ids(*prompt), ids(*whole))
+        assert (one(spark, p), one(spark, a)) == want
+
+
+def test_step_example(spark):
+    steps, labels = F.array(ids(5, 6), ids(7)), F.array(F.lit(True), F.lit(False))
+
+    def both(**kw):
+        out = tokens.step_example(ids(3, 4), steps, labels, 0, **kw)
+        return one(spark, out["input_ids"]), one(spark, out["labels"])
+    i = -100
+    assert both(bos=1) == ([1, 3, 4, 5, 6, 0, 7, 0], [i, i, i, i, i, 1, i, 0])
+    assert both(bos=1, max_prompt=2, max_completion=3) == ([3, 4, 5, 6, 0], [i, i, i, i, 1])
+    assert both(bos=1, max_len=4, last_only=True) == ([1, 3, 4, 5], [i] * 4)
+    assert both(last_only=True) == ([3, 4, 5, 6, 0, 7, 0], [i] * 6 + [0])

@@ -231,3 +231,22 @@ def test_review_rows(spark):
     df = spark.createDataFrame([(i, "ab", f"ab{i}", [0.123456]) for i in range(9)], "id int, prompt string, text string, s array<double>")
     got = prep.sample_review_rows(df, "id", 4, "prompt", ["text"], ["s"]).collect()
     assert len(got) == 4 and all(r.text == str(r.id) and r.s == [0.1235] for r in got)
+
+
+@pytest.mark.parametrize("last_only", [False, True])
+def test_step_examples(spark, last_only):
+    rng = random.Random(3)
+    turns = [(c, t, None if rng.random() < 0.1 else [rng.randrange(2, 99) for _ in range(rng.choice([0, 1, 3, 30]))], rng.choice([True, False, None]))
+             for c, n in [("a", 1), ("b", 2), ("c", 5), (None, 3), ("d", 40)] for t in range(n)]
+    df = spark.createDataFrame(turns, "conv string, turn int, ids array<bigint>, ok boolean").repartition(3)
+    got = {r["conv"]: (r["input_ids"], r["labels"]) for r in prep.step_examples(df, "conv", ["turn"], "ids", "ok", 0, 12, 4, 14, 1, last_only).collect()}
+    want = {}
+    for c in {t[0] for t in turns}:
+        prompt, *steps = [t for t in turns if t[0] == c]
+        p = [1, *(prompt[2] or [])][-4:]
+        ids = [x for s in steps for x in [*(s[2] or []), 0]][:12]
+        labels = [x for k, s in enumerate(steps) for x in
+                  [*[-100] * len(s[2] or []), -100 if last_only and k < len(steps) - 1 else int(bool(s[3]))]][:12]
+        want[c] = ((p + ids)[:14], ([-100] * len(p) + labels)[:14])
+    assert got == want
+    assert prep.step_examples(df.limit(0), "conv", ["turn"], "ids", "ok", 0, 12).count() == 0

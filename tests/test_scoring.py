@@ -1,6 +1,7 @@
 """Preference and reward formulas against plain Python."""
 
 import math
+import random
 import statistics as stats
 from datetime import date
 
@@ -258,3 +259,29 @@ def test_odd_completions_are_paired_in_their_batch(spark, tmp_path):
     got = sorted((r.pair_id, r.pair_no, r.policy_rejected is None) for r in pair_logps(spark, str(tmp_path)).collect())
     # 64 with the last of 192, 256 with 320
     assert got == [(64, 0, False), (128, 0, False), (192, 0, False), (256, 0, False)]
+
+
+@pytest.mark.parametrize("sequence", [None, "seq"])
+def test_clip_metrics_after_the_cap(spark, sequence):
+    rng = random.Random(4)
+    data = [(b, s, rng.gauss(0, 0.5), 0.0, 0.0, 0.0, rng.random(), 0 if b == 2 else rng.choice([0, 1, 1]), (-1.0) ** s)
+            for b in range(3) for s in range(b * 4, b * 4 + 4) for _ in range(5)]
+    df = spark.createDataFrame(data, "b int, seq int, logp double, ref_logp double, old_logp double, s double, entropy double, mask int, a double").repartition(3)
+    for delta in (None, 1.1):
+        got = rl.clip_metrics(df, "b", F.col("logp") - F.col("old_logp"), F.col("a"), "s", "old_logp", eps_low=0.1, eps_high=0.2, delta=delta,
+                              sequence=sequence).first()
+        low, high = [], []
+        for b in range(3):
+            on = [r for r in data if r[0] == b and r[7]]
+            pairs = [(r[2], r[8]) for r in on]
+            if sequence:
+                pairs = []
+                for s in range(b * 4, b * 4 + 4):
+                    own = [r[2] for r in on if r[1] == s]
+                    pairs.append((sum(own) / max(len(own), 1), (-1.0) ** s))
+            ratios = [(min(math.exp(x), delta or 1e9), a) for x, a in pairs]
+            low.append(sum(r < 0.9 and a < 0 for r, a in ratios) / max(len(ratios), 1))
+            high.append(sum(r > 1.2 and a > 0 for r, a in ratios) / max(len(ratios), 1))
+        assert (got["low_mean"], got["low_min"]) == pytest.approx((sum(low) / 3, min(low)))
+        assert (got["high_mean"], got["high_max"]) == pytest.approx((sum(high) / 3, max(high)))
+        assert delta is None or got["high_max"] == 0
