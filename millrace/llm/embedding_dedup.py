@@ -16,9 +16,12 @@ from .hnsw import Hnsw
 SHARDS = 8
 SHARD_ROWS = 250_000  # more vectors get more shards
 QUERIES = 20_000  # of one search task, on average
+SHARD_BYTES = 1 << 30  # of an index, which is one value; wide vectors get more shards
 BEAM, WIDEST = 48, 1024
-AUDIT = 128  # queries of each search task that are compared with all nodes
-RECALL = 0.98  # of the links of the audited queries
+AUDIT = 1024  # queries that are compared with all nodes of all shards, on average
+RECALL = 0.98  # of the links of the audited queries with other nodes
+LINKS = 100  # with fewer links among the audited queries, their nearest other nodes are judged in place of links
+NEAREST, NEAR_RECALL = 3, 0.9
 BLOCK = 512  # members of a ball that are compared at once
 EDGE = 1e-9  # angles are summed with this margin
 
@@ -58,6 +61,73 @@ def _build(absorb: float):
     return build
 
 
+def _reach(graph: Hnsw, q: np.ndarray, far: np.ndarray, beam: int, top: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries and nodes with cosines of ``far`` or more, and each query's ``top`` best of the first beam.  A beam that ends among
+    what counts is widened; 0 reads all nodes, in blocks."""
+    line, node, best = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], np.zeros((len(q), 0), dtype=np.int64)
+    if not beam:
+        for i in range(0, len(q), 256):
+            a, c = np.nonzero(q[i:i + 256] @ graph.v.T >= far[i:i + 256][:, None])
+            line.append(a + i)
+            node.append(c)
+        return np.concatenate(line), np.concatenate(node), best
+    todo, b = np.arange(len(q)), beam
+    while len(todo):
+        b = min(b, graph.size)
+        found, sims = graph.search(q[todo], b)
+        if len(todo) == len(q) and not best.size:
+            best = found[:, :top]
+        full = (sims[:, -1] >= far[todo]) & (b < graph.size)  # the beam ended among what counts
+        hit = (sims >= far[todo][:, None]) & (found >= 0) & ~full[:, None]
+        line.append(np.broadcast_to(todo[:, None], hit.shape)[hit])
+        node.append(found[hit])
+        todo, b = todo[full], b * 4
+    return np.concatenate(line), np.concatenate(node), best
+
+
+def _audit(limit: float, beam: int):
+    """Links of the audited queries with a shard's other nodes, and their nearest other nodes; how many of both the beam finds."""
+    def audit(index: pa.Table, queries: pa.Table) -> pa.Table:
+        tally = np.zeros(4, dtype=np.int64)
+        if index.num_rows and queries.num_rows:
+            graph, parts = Hnsw.load(index.column("data")[0].as_py())
+            ids, radius = parts["ids"], parts["radius"]
+            q_ids, r = queries.column("leader").to_numpy(), queries.column("radius").to_numpy()
+            every = unit(_matrix(queries.column("v"))).astype(np.float32)
+            for i in range(0, len(every), 128):
+                q, own, rad = every[i:i + 128], q_ids[i:i + 128], r[i:i + 128]
+                sims = q @ graph.v.T
+                sims[own[:, None] == ids] = -2.0
+                links = (sims >= np.cos(np.minimum(limit + rad[:, None] + radius, math.pi))) & (sims > -2.0)
+                k = min(NEAREST, graph.size)
+                near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                real = np.take_along_axis(sims, near, axis=1) > -2.0
+                line, node, top = _reach(graph, q, np.cos(np.minimum(limit + rad + radius.max() + 1e-6, math.pi)), beam, NEAREST + 1)
+                got = np.zeros(links.shape, dtype=bool)
+                got[line, node] = True
+                tally += links.sum(), (links & got).sum(), real.sum(), ((near[:, :, None] == top[:, None, :]).any(axis=2) & real).sum()
+        return pa.table([pa.array([x], pa.int64()) for x in tally.tolist()], names=["links", "found", "near", "near_found"])
+    return audit
+
+
+def suffices(links: int, found: int, near: int, near_found: int) -> bool:
+    """Whether the audit over all tasks shows enough recall."""
+    if links >= LINKS:
+        return found >= RECALL * links
+    return found == links and near_found >= NEAR_RECALL * near
+
+
+def fitting_beam(whole: DataFrame, some: DataFrame, limit: float, beam: int) -> int:
+    """The narrowest beam, of ``beam`` and its doubles, that suffices for the audited queries; 0 if none does."""
+    while 0 < beam <= WIDEST:
+        tally = whole.groupBy("dim", "shard").cogroup(some.groupBy("dim", "shard")).applyInArrow(
+            _audit(limit, beam), "links bigint, found bigint, near bigint, near_found bigint")
+        if suffices(*tally.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in tally.columns]).first()):
+            return beam
+        beam *= 2
+    return 0
+
+
 def _search(limit: float, beam: int):
     """Pairs of balls that can hold a link: angle of the leaders at most ``limit`` plus both radii."""
     names = ["a", "b", "cos"]
@@ -69,34 +139,7 @@ def _search(limit: float, beam: int):
         ids, exact, radius = parts["ids"], parts["exact"], parts["radius"]
         q_ids, q, r = queries.column("leader").to_numpy(), _matrix(queries.column("v")), queries.column("radius").to_numpy()
         far = np.cos(np.minimum(limit + r + radius.max() + 1e-6, math.pi))  # below this cosine nothing counts
-        unit_q = unit(q).astype(np.float32)
-        sample = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(np.int64)
-        truth = unit_q[sample] @ graph.v.T >= far[sample][:, None]
-        width = beam
-        while True:
-            line, node, todo, b = [], [], np.arange(len(q)), width
-            while len(todo):
-                b = min(b, graph.size)
-                found, sims = graph.search(unit_q[todo], b)
-                full = (sims[:, -1] >= far[todo]) & (b < graph.size)  # the beam ended among what counts
-                hit = (sims >= far[todo][:, None]) & (found >= 0) & ~full[:, None]
-                line.append(np.broadcast_to(todo[:, None], hit.shape)[hit])
-                node.append(found[hit])
-                todo, b = todo[full], b * 4
-            line, node = np.concatenate(line), np.concatenate(node)
-            got = np.isin(line, sample)
-            caught = len(np.unique(line[got] * graph.size + node[got]))
-            if caught >= RECALL * truth.sum():
-                break
-            width *= 2
-            if width > WIDEST:  # the graph can't reach them: all nodes, in blocks
-                line, node = [], []
-                for i in range(0, len(q), 256):
-                    a, c = np.nonzero(unit_q[i:i + 256] @ graph.v.T >= far[i:i + 256][:, None])
-                    line.append(a + i)
-                    node.append(c)
-                line, node = np.concatenate(line), np.concatenate(node)
-                break
+        line, node, _ = _reach(graph, unit(q).astype(np.float32), far, beam)
         other = q_ids[line] != ids[node]
         line, node = line[other], node[other]
         cos = cosines(q[line], exact[node])
@@ -144,8 +187,11 @@ def near_duplicate_components(vectors: DataFrame, least: float = 0.9, key: str =
     Rows are dealt to shards by hash.  A shard's graph takes as nodes the vectors that are not within a quarter
     of the linking angle (and a little less) of a node; these join the node's ball, whose members are thus all linked.  So
     thousands of near copies are one node for each shard.  Every node is searched in every shard; beams widen until they reach past
-    what can be linked, and until the audited queries' recall holds, at last to all nodes.  Balls that lie wholly
-    within the angle count by their sizes; balls at its edge are compared member by member, in blocks.
+    what can be linked.  Before, a sample of the nodes is compared with all nodes of all shards: the narrowest beam that finds
+    ``RECALL`` of their links with other nodes, over all tasks together, serves the search.  A sample with fewer than ``LINKS`` links
+    is judged by its nearest other nodes, too; where no beam suffices, the search reads all nodes.  Balls that lie wholly
+    within the angle count by their sizes; balls at its edge are compared member by member, in blocks.  Vectors may
+    have any length: shards have so few rows that an index stays below ``SHARD_BYTES``.
     """
     limit = math.acos(least)
     absorb = math.cos(limit / 2 - 1e-3)  # two members are at most twice this angle apart
@@ -155,18 +201,24 @@ def near_duplicate_components(vectors: DataFrame, least: float = 0.9, key: str =
                                       F.col(vector).cast("array<double>").alias("v"))
                        .withColumn("ok", F.coalesce(fit, F.lit(False))))
     good = base.filter("ok")
-    shards = max(shards, -(-good.count() // shard_rows))
+    size = good.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim")).first()
+    shard_rows = max(1, min(shard_rows, SHARD_BYTES // (12 * size["dim"] + 256)))
+    shards = max(shards, -(-size["n"] // shard_rows))
     shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")
     built = materialise(good.select("row", "v", F.size("v").alias("dim"), shard).groupBy("dim", "shard").applyInArrow(
         _build(absorb), "dim int, shard int, row bigint, leader bigint, angle double, data binary"))
     members = built.filter("data is null").select("row", "leader", "angle", "dim")
     balls = materialise(members.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.max("angle").alias("radius"),
                                                       F.max("dim").alias("dim")))
-    groups = max(1, -(-balls.count() // QUERIES))
+    nodes = balls.count()
+    groups = max(1, -(-nodes // QUERIES))
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     queries = balls.join(good.select(F.col("row").alias("leader"), "v"), "leader").select(
         "dim", F.pmod(F.xxhash64("leader"), F.lit(groups)).cast("int").alias("turn"), "leader", "radius", "v", every)
-    index = built.filter("data is not null").select(
+    whole = built.filter("data is not null").select("dim", "shard", "data")
+    some = queries.filter(F.pmod(F.xxhash64(F.lit("audit"), "leader"), F.lit(max(1, nodes // AUDIT))) == 0)
+    beam = fitting_beam(whole, materialise(some), limit, beam)
+    index = whole.select(
         "dim", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("turn"), "data", "shard")
     keys = ["dim", "shard", "turn"]
     pairs = materialise(index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(
@@ -177,7 +229,7 @@ def near_duplicate_components(vectors: DataFrame, least: float = 0.9, key: str =
     judged = materialise(pairs.join(side[0], "a").join(side[1], "b").select(
         "a", "b", "size_a", "size_b", F.when(single, F.when(F.col("cos") >= F.lit(least), "all").otherwise("none"))
         .when(angle + reach <= F.lit(limit - EDGE), "all").otherwise("some").alias("links")))
-    whole = judged.filter("links = 'all'")
+    inside = judged.filter("links = 'all'")
     block = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / F.lit(BLOCK))).cast("int").alias("block")
     edge = judged.filter("links = 'some'")
     rim = edge.select(F.col("a").alias("leader")).union(edge.select("b")).distinct()
@@ -188,8 +240,8 @@ def near_duplicate_components(vectors: DataFrame, least: float = 0.9, key: str =
     y = packed.select(F.col("leader").alias("b"), F.col("block").alias("bb"), F.col("ids").alias("iy"), F.col("vs").alias("vy"))
     found = materialise(edge.select("a", "b").join(x, "a").join(y, "b").groupBy("a", "ba", "b", "bb").applyInArrow(
         _count(least), "row bigint, n bigint, a bigint, b bigint"))
-    root = components(whole.select("a", "b").union(found.select("a", "b").distinct()))
-    more = materialise(whole.select(F.col("a").alias("leader"), F.col("size_b").alias("n")).union(whole.select("b", "size_a"))
+    root = components(inside.select("a", "b").union(found.select("a", "b").distinct()))
+    more = materialise(inside.select(F.col("a").alias("leader"), F.col("size_b").alias("n")).union(inside.select("b", "size_a"))
                        .groupBy("leader").agg(F.sum("n").alias("by_ball")))
     each = materialise(found.groupBy("row").agg(F.sum("n").alias("by_row")))
     ball = materialise(balls.join(more, "leader", "left").join(root.withColumnRenamed("node", "leader"), "leader", "left").select(

@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import embedding_dedup
 from millrace.llm.components import components
-from millrace.llm.embedding_dedup import near_duplicate_components
+from millrace.llm.embedding_dedup import near_duplicate_components, suffices
 from millrace.llm.hnsw import Hnsw
 from millrace.llm.jaccard_join import PartEnum, folded, jaccard_components, jaccard_dedup, sketch
 from millrace.llm.language_id import Judge, identify_languages, keep_identified, train_languages, viterbi
@@ -342,6 +343,40 @@ def test_embedding_components(spark, shard_rows):
         assert near_duplicate_components(spark.createDataFrame(bad, df.schema)).filter("kept").count() == len(bad)
 
 
+def test_pooled_recall_suffices():
+    # links that a sample does not have prove nothing: the nearest nodes are judged
+    assert suffices(1000, 980, 30, 0) and not suffices(1000, 979, 30, 30)
+    assert suffices(0, 0, 3000, 2700) and not suffices(0, 0, 3000, 2699)
+    assert suffices(99, 99, 3000, 3000) and not suffices(99, 98, 3000, 3000)
+    assert suffices(0, 0, 0, 0)
+
+
+def planted_vectors(n: int, d: int) -> np.ndarray:
+    """Vectors of which a quarter have one or two partners close to the threshold on either side."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(n, d))
+    half = n // 4
+    v[half:2 * half] = v[:half] + rng.normal(size=(half, d)) * rng.uniform(0.3, 0.6, size=(half, 1))
+    v[2 * half:2 * half + half // 2] = v[:half // 2] + rng.normal(size=(half // 2, d)) * 0.3
+    return v
+
+
+@pytest.mark.parametrize("beam", [48, 2, 0])
+def test_recall_of_planted_links(spark, beam, monkeypatch):
+    """Shards of thousands of nodes: links against brute force; a beam that is too narrow is widened by the audit."""
+    v = planted_vectors(3000, 32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    if beam == 0:  # no beam suffices: all nodes are read
+        monkeypatch.setattr(embedding_dedup, "fitting_beam", lambda *audited: 0)
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicate_components(df, shards=2, beam=beam or 48).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert want.sum() > 1000 and len(got) == len(v)
+    found = np.array([got[i] for i in range(len(v))])
+    assert (found <= want).all()
+    assert found.sum() == want.sum() if beam == 0 else found.sum() >= 0.98 * want.sum()
+
+
 def test_word_counts_pass_32_bits():
     from millrace.llm.lm_scoring import _whole_counts
     row = np.array([1, 0, 1, 1, 2, 0])
