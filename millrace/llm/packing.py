@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .text import released
-from .word_encoder import WordEncoder
+from .word_encoder import worker_encoder
 
 WIDTH = 3  # fillings tried at a node
 NODES = 20_000  # nodes of the search; after these the best packing found stands
@@ -152,7 +152,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0,
     names = [key, "piece", "start", "length", "ids_crc32", "_task", "_local"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, task = worker_encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
             where, piece, start, length, crc, local = [], [], [], [], [], []

@@ -96,3 +96,15 @@ class WordEncoder:
             upto = np.zeros(j - i + 1, dtype=np.int64)
             np.cumsum(np.bincount(doc, weights=lens, minlength=j - i).astype(np.int64), out=upto[1:])
             yield i, self.cache.flat[ranges(self.cache.starts[rows], lens)], upto
+
+
+_OF_WORKER: dict[str, WordEncoder] = {}
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder that this Python worker has for ``path``, so that words learned in one task (``KNOWN`` at most) serve the worker's later
+    tasks.  A worker keeps one encoder; a lost worker costs its words' ids, nothing else."""
+    if path not in _OF_WORKER:
+        _OF_WORKER.clear()
+        _OF_WORKER[path] = WordEncoder(path)
+    return _OF_WORKER[path]
