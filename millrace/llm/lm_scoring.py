@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import materialise
-from .ngram_trie import WORD_BITS, Level, PairTrie
-from .text import Texts, mix64, parts
+from .ngram_trie import STEP, WORD_BITS, Level, PairTrie
+from .text import Texts, give_back, mix64, parts, ranges, released
 
 SHARD_BYTES = 16 << 20  # text whose pairs one shard scores, on average
 BLOCK_BYTES = 6 << 20  # text whose pairs are counted together before they move
@@ -50,16 +50,42 @@ class Tokens:
         return t, before, np.concatenate(number) if number else np.zeros(0, dtype=np.int64)
 
 
-def older(token: np.ndarray, number: np.ndarray, order: int) -> list[np.ndarray]:
-    """The words (``WORD_BITS``) two and more places before each token, as far as ``order`` needs; ends before the text."""
+def older(word: np.ndarray, number: np.ndarray, order: int, end: int) -> list[np.ndarray]:
+    """The words two and more places before each token, as far as ``order`` needs; ``end`` before the text."""
     out = []
     for k in range(2, order):
-        u = np.full(len(token), END, dtype=np.uint64)
-        u[k:] = np.where(number[k:] == number[:-k], token[:-k], np.uint64(END))
-        out.append(u & WORD)
+        u = np.full(len(word), end, dtype=word.dtype)
+        u[k:] = np.where(number[k:] == number[:-k], word[:-k], word.dtype.type(end))
+        out.append(u)
     return out
 
 
+def sort_key(ranks: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+    """One number for each row, in the order of the rows' ranks (each below its size)."""
+    key, span = ranks[0].astype(np.uint64), sizes[0]
+    for rank, size in zip(ranks[1:], sizes[1:], strict=True):
+        if span * size > 1 << 63:
+            kinds, key = np.unique(key, return_inverse=True)
+            key, span = key.astype(np.uint64), len(kinds)
+        key, span = key * np.uint64(size) + rank.astype(np.uint64), span * size
+    return key
+
+
+def narrow(values: np.ndarray, kinds: tuple[type, ...]) -> bytes:
+    """Integers in the first of these types that holds all of them."""
+    least, most = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    kind = next(k for k in kinds if np.iinfo(k).min <= least and most <= np.iinfo(k).max)
+    return values.astype(kind).tobytes()
+
+
+def widen(packed: bytes, n: int, kinds: tuple[type, ...]) -> np.ndarray:
+    """``n`` integers that ``narrow`` packed."""
+    return np.frombuffer(packed, dtype=next((k for k in kinds if np.dtype(k).itemsize * n == len(packed)), kinds[0]))
+
+
+INDEX, SIGNED, COUNT = (np.uint16, np.uint32, np.int64), (np.int32, np.int64), (np.uint8, np.uint16, np.int64)
+
+
 def context_key(before: np.ndarray, us: list[np.ndarray]) -> np.ndarray:
     """Hash of a context: the word before and the ones before that."""
     key = mix64(before)
@@ -81,6 +107,11 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first) if len(first) else values[:0]
 
 
+def _counted(c: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of short counts, in 64 bits."""
+    return np.add.reduceat(c, first, dtype=np.int64) if len(first) else np.zeros(0, dtype=np.int64)
+
+
 def _whole_counts(row: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Sums of block counts per row number, in 64 bits: a common word of a large corpus passes 2^32."""
     order = np.argsort(row, kind="stable")
@@ -129,7 +160,7 @@ def hot_words(source: DataFrame, shards: int) -> np.ndarray:
             many = n >= n.sum() / (8 * shards)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(h[many], np.uint64(0)).view(np.int64)),
                                               pa.array(np.append(n[many], n.sum()).astype(np.int64))], names=["h", "n"])
-    sums = materialise(source.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
+    sums = materialise(source.mapInArrow(released(count), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
     total = sums.filter("h = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = sums.filter((F.col("h") != 0) & (F.col("n") * F.lit(4 * shards) >= F.lit(total))).select("h").collect()
     return np.sort(np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64))
@@ -151,28 +182,28 @@ def count_words(source: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
             if not len(token):
                 continue
             target, context = deal(before, token, hot, shards)
-            w = np.concatenate([token, token[context >= 0]])
-            to = np.concatenate([target, shards + context[context >= 0]])
-            _, once = np.unique(mix64(w + to.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-            w, to = w[once], to[once]
-            word, n = np.unique(token, return_counts=True)
+            word, own, n = np.unique(token, return_inverse=True, return_counts=True)
+            places = shards + len(hot)
+            pairs = np.sort(np.concatenate([own * places + target, own[context >= 0] * places + (shards + context[context >= 0])]))
+            pairs = pairs[_starts(pairs)]
+            row, to = pairs // places, pairs % places
+            k = np.bincount(row, minlength=len(word))
             group = (mix64(word + np.uint64(2)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(group, kind="stable")
-            word, n, group = word[order], n[order], group[order]
-            by_word = np.argsort(word, kind="stable")
-            row = by_word[np.searchsorted(word[by_word], w)]
-            order = np.argsort(row, kind="stable")
-            to, k = to[order], np.bincount(row, minlength=len(word))
+            to = to[ranges((np.cumsum(k) - k)[order], k[order])]
+            word, n, group, k = word[order], n[order], group[order], k[order]
             cut, upto = np.searchsorted(group, np.arange(shards + 1)), np.concatenate([[0], np.cumsum(k)])
             rows = [(g, word[a:z].tobytes(), n[a:z].astype(np.uint32).tobytes(), k[a:z].astype(np.uint32).tobytes(),
-                     to[upto[a]:upto[z]].astype(np.uint32).tobytes())
+                     narrow(to[upto[a]:upto[z]], INDEX))
                     for g, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=fields)
 
     def gather(rows: pa.Table) -> pa.Table:
-        word, n, k, to = (np.concatenate([np.frombuffer(x, dtype=t) for x in rows.column(c).to_pylist()])
-                          for c, t in (("w", np.uint64), ("n", np.uint32), ("k", np.uint32), ("to", np.uint32)))
+        word, n, k = (np.concatenate([np.frombuffer(x, dtype=t) for x in rows.column(c).to_pylist()])
+                      for c, t in (("w", np.uint64), ("n", np.uint32), ("k", np.uint32)))
+        to = np.concatenate([widen(x, int(np.frombuffer(y, dtype=np.uint32).sum()), INDEX)
+                             for x, y in zip(rows.column("to").to_pylist(), rows.column("k").to_pylist(), strict=True)])
         owner = np.repeat(word, k)
         distinct, row = np.unique(word, return_inverse=True)
         total = _whole_counts(row, n)
@@ -193,7 +224,7 @@ def count_words(source: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
         out.append((-2, np.asarray(mine, dtype=np.int64).tobytes(), after.astype(np.int64).tobytes()))
         cols = list(zip(*out, strict=True))
         return pa.table({"part": pa.array(cols[0], pa.int32()), "w": pa.array(cols[1], pa.binary()), "n": pa.array(cols[2], pa.binary())})
-    return source.filter("_train").mapInArrow(count, "part int, w binary, n binary, k binary, to binary") \
+    return source.filter("_train").mapInArrow(released(count), "part int, w binary, n binary, k binary, to binary") \
         .groupBy("part").applyInArrow(gather, "part int, w binary, n binary")
 
 
@@ -210,7 +241,7 @@ def count_contexts(source: DataFrame, hot: np.ndarray, shards: int, order: int)
             mine = at >= 0
             if not mine.any():
                 continue
-            us = [u[mine] for u in older(token, number, order)]
+            us = [u[mine] for u in older(token & WORD, number, order, END & int(WORD))]
             learn = np.array(held["_train"], dtype=bool)[number[mine]].astype(np.int64)
             word, at = token[mine] & WORD, at[mine]
             rows = []
@@ -255,7 +286,7 @@ def count_contexts(source: DataFrame, hot: np.ndarray, shards: int, order: int)
                for p in range(shards) if len(i := owner[cut[p]:cut[p + 1]])]
         cols = list(zip(*out, strict=True)) or [()] * 4
         return pa.table({"part": pa.array(cols[0], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip("wnt", cols[1:], strict=True)}})
-    return source.mapInArrow(count, "part int, key binary, kn binary, v binary, lo binary, hi binary, n binary") \
+    return source.mapInArrow(released(count), "part int, key binary, kn binary, v binary, lo binary, hi binary, n binary") \
         .groupBy("part").applyInArrow(gather, "part int, w binary, n binary, t binary")
 
 
@@ -277,14 +308,15 @@ def _totals(answers: DataFrame, code: int, size: int) -> tuple[np.ndarray, np.nd
     return a, b
 
 
-PAIRS = ("h", "hn", "lo", "hi", "wn", "ulo", "uhi", "m", "d", "train")
+PAIRS = ("h", "hn", "vlo", "vhi", "w", "wn", "u", "m", "d", "train")
 
 
 def pair_blocks(source: DataFrame, hot: np.ndarray, shards: int, order: int) -> DataFrame:
     """All n-grams of all documents, packed by block and shard, and for each block its documents.
 
-    An n-gram of a block moves once, with the documents it is in: word before (8 bytes, once for its pairs), word (5, once
-    for the pair), older words (5 each), number of occurrences (1), and the document of each (2)."""
+    An n-gram of a block moves once, with the documents it is in: word before (8 bytes, once for its pairs), word (once
+    for the pair) and older words as numbers in a list of the row's words (5 bytes a word; numbers of 2, or 4 past 65,536
+    words), number of occurrences (1), and the document of each (2)."""
     fields, kind = ["part", "block", *PAIRS, "keys"], source.schema["_key"].dataType
     keys = pa.list_(to_arrow_type(kind))
 
@@ -296,11 +328,15 @@ def pair_blocks(source: DataFrame, hot: np.ndarray, shards: int, order: int) ->
             token, before, doc = tokens.of(held["_text"])
             train = np.array(held["_train"], dtype=bool)
             part, _ = deal(before, token, hot, shards)
-            word = token & WORD
-            us = older(token, doc, order)
-            by = np.lexsort((doc, *us[::-1], word, before, part))
-            part, before, word, doc, us = part[by], before[by], word[by], doc[by], [u[by] for u in us]
-            new_context = _starts(part, before)
+            whole, own = np.unique(token, return_inverse=True)
+            vocabulary, rank = np.unique(whole & WORD, return_inverse=True)  # words of the block, by what successors keep of them
+            word, end = rank[own], int(np.searchsorted(whole, np.uint64(END)))
+            context_of = np.append(end, own[:-1])  # a text ends with an end, which comes before the next
+            us = older(word, doc, order, int(rank[end]))
+            by = np.argsort(sort_key([context_of, word, *us], [len(whole)] + [len(vocabulary)] * (order - 1)))
+            by = by[np.argsort(part[by].astype(np.uint16) if shards <= 1 << 16 else part[by], kind="stable")]
+            part, context_of, word, doc, us = part[by], context_of[by], word[by], doc[by], [u[by] for u in us]
+            new_context = _starts(part, context_of)
             new_pair = new_context | _starts(word)
             new_entry = new_pair | _starts(word, *us)
             start = np.flatnonzero(new_entry)
@@ -309,17 +345,22 @@ def pair_blocks(source: DataFrame, hot: np.ndarray, shards: int, order: int) ->
             m = np.diff(np.append(entry, len(part))).astype(np.uint8)
             wn = np.diff(np.append(np.searchsorted(entry, pair), len(entry))).astype(np.uint32)
             hn = np.diff(np.append(np.searchsorted(pair, context), len(pair))).astype(np.uint32)
-            w, h = word[pair], before[context]
-            old = np.stack([u[entry] for u in us]) if us else np.zeros((0, len(entry)), dtype=np.uint64)
+            w, h = word[pair], whole[context_of[context]]
+            old = np.stack([u[entry] for u in us]) if us else np.zeros((0, len(entry)), dtype=np.int64)
+            number = np.empty(len(vocabulary), dtype=np.int64)
             bits = np.packbits(train).tobytes()
             rows = []
             edges = np.arange(shards + 1)
             cuts = [np.searchsorted(x, edges) for x in (part[context], part[pair], part[entry], part)]
             for p, (a, z), (b, y), (e, f), (c, x) in zip(range(shards), *(zip(i[:-1], i[1:], strict=True) for i in cuts), strict=True):
                 if z > a:
-                    rows.append((p, block, h[a:z].tobytes(), hn[a:z].tobytes(), w[b:y].astype(np.uint32).tobytes(),
-                                 (w[b:y] >> np.uint64(32)).astype(np.uint8).tobytes(), wn[b:y].tobytes(), old[:, e:f].astype(np.uint32).tobytes(),
-                                 (old[:, e:f] >> np.uint64(32)).astype(np.uint8).tobytes(), m[e:f].tobytes(),
+                    mine = np.sort(np.concatenate([w[b:y], old[:, e:f].ravel()]))
+                    mine = mine[_starts(mine)]
+                    number[mine] = np.arange(len(mine))
+                    v = vocabulary[mine]
+                    kind = np.uint16 if len(mine) <= 1 << 16 else np.uint32
+                    rows.append((p, block, h[a:z].tobytes(), hn[a:z].tobytes(), v.astype(np.uint32).tobytes(), (v >> np.uint64(32)).astype(np.uint8).tobytes(),
+                                 number[w[b:y]].astype(kind).tobytes(), wn[b:y].tobytes(), number[old[:, e:f]].astype(kind).tobytes(), m[e:f].tobytes(),
                                  doc[c:x].astype(np.uint16).tobytes(), bits, None))
             # the documents of the block: keys and numbers of tokens
             n = np.bincount(doc, minlength=len(train)).astype(np.int64)
@@ -328,7 +369,7 @@ def pair_blocks(source: DataFrame, hot: np.ndarray, shards: int, order: int) ->
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[2:12]),
                  pa.array(cols[12], keys)], names=fields)
-    return source.mapInArrow(pack, f"part int, block bigint, {', '.join(f'{c} binary' for c in PAIRS)}, keys array<{kind.simpleString()}>")
+    return source.mapInArrow(released(pack), f"part int, block bigint, {', '.join(f'{c} binary' for c in PAIRS)}, keys array<{kind.simpleString()}>")
 
 
 def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_count: np.ndarray, hot_after: np.ndarray, order: int):
@@ -346,54 +387,56 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
         cols = [left.column(c) for c in PAIRS]
 
         def entries(i: int) -> tuple[np.ndarray, ...]:
-            """Word before, word, occurrences, documents, training occurrences and older words of a row's n-grams."""
+            """Contexts of a row with their pairs, words of pairs with their n-grams, older words, occurrences, documents, training occurrences."""
             r = dict(zip(PAIRS, (c[i].as_py() for c in cols), strict=True))
-            h = np.repeat(np.frombuffer(r["h"], dtype=np.uint64), np.frombuffer(r["hn"], dtype=np.uint32))
-            w = np.frombuffer(r["lo"], dtype=np.uint32).astype(np.uint64) | (np.frombuffer(r["hi"], dtype=np.uint8).astype(np.uint64) << np.uint64(32))
-            wn = np.frombuffer(r["wn"], dtype=np.uint32)
-            h, w = np.repeat(h, wn), np.repeat(w, wn)
-            m, d = np.frombuffer(r["m"], dtype=np.uint8).astype(np.int64), np.frombuffer(r["d"], dtype=np.uint16)
-            old = np.frombuffer(r["ulo"], dtype=np.uint32).astype(np.uint64) | (np.frombuffer(r["uhi"], dtype=np.uint8).astype(np.uint64) << np.uint64(32))
+            h, hn, wn = np.frombuffer(r["h"], dtype=np.uint64), np.frombuffer(r["hn"], dtype=np.uint32), np.frombuffer(r["wn"], dtype=np.uint32)
+            v = np.frombuffer(r["vlo"], dtype=np.uint32).astype(np.uint64) | (np.frombuffer(r["vhi"], dtype=np.uint8).astype(np.uint64) << np.uint64(32))
+            kind = np.uint16 if len(v) <= 1 << 16 else np.uint32
+            m, d = np.frombuffer(r["m"], dtype=np.uint8), np.frombuffer(r["d"], dtype=np.uint16)
+            old = v[np.frombuffer(r["u"], dtype=kind)].reshape(order - 2, len(m))
             learn = np.unpackbits(np.frombuffer(r["train"], dtype=np.uint8))[d]
-            return h, w, m, d, np.add.reduceat(learn.astype(np.int64), np.cumsum(m) - m), old.reshape(order - 2, len(m))
+            c = np.add.reduceat(learn, np.cumsum(m, dtype=np.int64) - m, dtype=np.uint8)  # at most 255 occurrences in a row
+            return h, hn, v[np.frombuffer(r["w"], dtype=kind)], wn, old, m, d, c
 
         # rows stay packed; what was not learned goes at once, and rows are unpacked again when they are scored
         kept, far = [], []
         for i in range(left.num_rows):
-            h, w, _, _, c, us = entries(i)
-            asked = np.isin(h, hot)  # contexts whose totals come from elsewhere
+            h, hn, w, wn, us, _, _, c = entries(i)
+            asked = np.repeat(np.repeat(np.isin(h, hot), hn), wn) & (c == 0)  # contexts whose totals come from elsewhere
+            h, w, seen = np.repeat(np.repeat(h, hn), wn), np.repeat(w, wn), c > 0
             far.append((h[asked], us[:, asked]))
-            seen = c > 0
             kept.append((h[seen], w[seen], c[seen], us[:, seen]))
-        asked_h, asked_us = np.concatenate([x[0] for x in far]), np.concatenate([x[1] for x in far], axis=1)
+        del h, w, c, us, asked, seen
         h, w, c = (np.concatenate([x[i] for x in kept]) for i in range(3))
         us = np.concatenate([x[3] for x in kept], axis=1)
+        asked_h, asked_us = np.concatenate([x[0] for x in far]), np.concatenate([x[1] for x in far], axis=1)
         del kept, far
-        by = np.lexsort((*us[::-1], w, h))
-        h, w, c, us = h[by], w[by], c[by], us[:, by]
-        all_h, all_c = np.concatenate([h, asked_h]), c
-        all_us = np.concatenate([us, asked_us], axis=1)
-        new = _starts(h, w)
+        # a hot context has its other words in other shards, and may have none here
+        contexts = np.union1d(h, hot[hot_count > 0])
+        up, asked_up = (np.searchsorted(contexts, x).astype(np.int32) for x in (h, asked_h))
+        if len(asked_h):  # a context that was never learned has no weights
+            learned = np.flatnonzero(contexts[np.minimum(asked_up, max(len(contexts) - 1, 0))] == asked_h) if len(contexts) else []
+            asked_up, asked_us = asked_up[learned], asked_us[:, learned]
+        pair = (up.astype(np.uint64) << np.uint64(WORD_BITS)) | w
+        del h, w, asked_h
+        by = np.lexsort((*us[::-1], pair)).astype(np.uint32 if len(pair) < 1 << 32 else np.int64)
+        pair, up, c, us = pair[by], up[by], c[by], us[:, by]
+        del by
+        new = _starts(pair)
         first = np.flatnonzero(new)
-        pair_of = above = np.cumsum(new) - 1
+        sizes, counts = np.bincount(up[first], minlength=len(contexts)), np.bincount(up, weights=c, minlength=len(contexts)).astype(np.int64)
+        after = sizes.copy()
+        at = np.searchsorted(contexts, hot[hot_count > 0])
+        counts[at], after[at] = hot_count[hot_count > 0], hot_after[hot_count > 0]
+        pair_of = above = (np.cumsum(new) - 1).astype(np.int32)
         nodes = []  # of each longer order: first entry, parent, count
         for u in us:
             new = new | _starts(u)
-            at = np.flatnonzero(new)
-            nodes.append((at, above[at], _sums(c, at)))
-            above = np.cumsum(new) - 1
-        h, w, c = h[first], w[first], _sums(c, first)
-        contexts, sizes = np.unique(h, return_counts=True)
-        start = np.cumsum(sizes) - sizes
-        counts, after = (np.add.reduceat(c, start) if len(start) else c).astype(np.int64), sizes.astype(np.int64)
-        # a hot context has its other words in other shards, and may have none here
-        at = np.searchsorted(contexts, hot)
-        counts, after = counts.copy(), after.copy()
-        here = (at < len(contexts)) & (contexts[np.minimum(at, max(len(contexts) - 1, 0))] == hot) if len(contexts) else np.zeros(len(hot), dtype=bool)
-        counts[at[here]], after[at[here]] = hot_count[here], hot_after[here]
-        more = ~here & (hot_count > 0)
-        contexts, at = np.insert(contexts, at[more], hot[more]), at[more]
-        counts, after, sizes = np.insert(counts, at, hot_count[more]), np.insert(after, at, hot_after[more]), np.insert(sizes, at, 0)
+            at = np.flatnonzero(new).astype(np.int32)
+            nodes.append((at, above[at], _counted(c, at)))
+            above = (np.cumsum(new) - 1).astype(np.int32)
+        w, pair_count, context_of = pair[first] & WORD, _counted(c, first), up[first]
+        del new, above, pair, first
         answers = list(zip(*(right.column(x).to_pylist() for x in ("w", "n", "t")), strict=True))
         def numbers(i: int, kind: type, longer: bool) -> np.ndarray:
             return np.concatenate([np.frombuffer(x[i], dtype=kind) for x in answers if (x[2] is not None) == longer] or [np.zeros(0, dtype=kind)])
@@ -402,51 +445,81 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
         known, single = known[by], single[by]
         p = (single[np.searchsorted(known, w)] + 0.5) / smoothed if len(w) else np.zeros(0)
         back = discount * after / np.maximum(counts, 1)
-        context_of = np.repeat(np.arange(len(contexts)), sizes)
-        pair = (c - discount) / (counts[context_of] * p) + back[context_of]
+        ratio = (pair_count - discount) / (counts[context_of] * p) + back[context_of]
+        del known, single, by, pair_count, context_of
         with tempfile.TemporaryDirectory() as folder:
-            PairTrie.write(folder, contexts, counts, np.log10(share * back + 1 - share), sizes, w, np.log10(share * pair + 1 - share))
+            PairTrie.write(folder, contexts, counts, np.log10(share * back + 1 - share), sizes, w, np.log10(share * ratio + 1 - share))
             keys, key_count, key_after = numbers(0, np.uint64, True), numbers(1, np.int64, True), numbers(2, np.int64, True)
             by = np.argsort(keys)
             keys, key_count, key_after = keys[by], key_count[by], key_after[by]
-            hot_key = np.concatenate([np.isin(all_h[:len(all_c)], hot), np.ones(len(asked_h), dtype=bool)])
-            up, up_size, ratio, size = np.searchsorted(contexts, all_h), len(contexts), pair, len(w)
+            del answers, by
+            learned, size = len(up), len(w)
+            is_hot = np.isin(contexts, hot)
+            # the n-grams that were seen, then those asked for below hot contexts
+            up, us = np.concatenate([up, asked_up]), np.concatenate([us, asked_us], axis=1)
+            context_of, up_size = up, len(contexts)
             for n, (at, parent, own) in enumerate(nodes, 3):
-                key, where, of = np.unique(context_key(all_h, list(all_us[:n - 2])), return_index=True, return_inverse=True)
-                total = np.bincount(of[:len(all_c)], weights=all_c, minlength=len(key))
-                follow = np.bincount(of[at], minlength=len(key)).astype(np.float64)
-                far = hot_key[where]
-                if far.any():
-                    i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                    hit = far & (keys[i] == key) if len(keys) else np.zeros(len(key), dtype=bool)
+                entry = (up.astype(np.uint64) << np.uint64(WORD_BITS)) | us[n - 3]
+                by = np.argsort(entry).astype(np.uint32 if len(entry) < 1 << 32 else np.int64)
+                entry = entry[by]
+                new = _starts(entry)
+                of = np.empty(len(entry), dtype=np.int32)
+                of[by] = np.cumsum(new) - 1
+                entry, where = entry[new], by[new]
+                del by, new
+                total = np.bincount(of[:learned], weights=c, minlength=len(entry))
+                follow = np.bincount(of[at], minlength=len(entry)).astype(np.float64)
+                far = np.flatnonzero(is_hot[context_of[where]])
+                if len(far):
                     total[far], follow[far] = 0, 0
-                    total[hit], follow[hit] = key_count[i[hit]], key_after[i[hit]]
+                    key = context_key(contexts[context_of[where[far]]], list(us[:n - 2, where[far]]))
+                    i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                    hit = keys[i] == key if len(keys) else np.zeros(len(key), dtype=bool)
+                    total[far[hit]], follow[far[hit]] = key_count[i[hit]], key_after[i[hit]]
                 lower = discount * follow / np.maximum(total, 1)
-                ratio = (own - discount) / (total[of[at]] * p[pair_of[at]]) + lower[of[at]] * ratio[parent]
                 kept = np.flatnonzero(total > 0)
-                kept = kept[np.lexsort((all_us[n - 3][where[kept]], up[where[kept]]))]
-                Level.write(folder, f"contexts{n}", up_size, up[where[kept]], all_us[n - 3][where[kept]], np.log10(lower[kept]))
-                Level.write(folder, f"words{n}", size, parent, us[n - 3][at], np.log10(share * ratio + 1 - share))
-                row = np.full(len(key), -1)
+                Level.write(folder, f"contexts{n}", up_size, (entry[kept] >> np.uint64(WORD_BITS)).astype(np.int64), entry[kept] & WORD, np.log10(lower[kept]))
+                ratio = (own - discount) / (total[of[at]] * p[pair_of[at]]) + lower[of[at]] * ratio[parent]
+                row = np.full(len(entry), -1, dtype=np.int32)
                 row[kept] = np.arange(len(kept))
-                up, up_size, size = row[of], len(kept), len(at)
+                up, up_size = row[of], len(kept)
+                del entry, where, total, follow, lower, kept, of, row
+                Level.write(folder, f"words{n}", size, parent, us[n - 3][at], np.log10(share * ratio + 1 - share))
+                size = len(at)
+                if n < order and len(up) > learned:  # what was asked for and not learned has no longer contexts
+                    stay = np.concatenate([np.arange(learned), learned + np.flatnonzero(up[learned:] >= 0)])
+                    up, context_of, us = up[stay], context_of[stay], us[:, stay]
+            del us, c, w, up, nodes, pair_of, ratio, p, context_of, asked_up, asked_us, contexts, counts, after, back, sizes, keys, key_count, key_after
+            give_back()
             trie = PairTrie(folder)
             longer = [(Level(folder, f"contexts{n}"), Level(folder, f"words{n}")) for n in range(3, order + 1)]
             out = []
-            del all_h, all_us, us, h, w, c, hot_key, up
             for i, (block, part) in enumerate(zip(left.column("block").to_pylist(), left.column("part").to_pylist(), strict=True)):
-                h, w, m, d, _, old = entries(i)
+                h, hn, w, wn, old, m, d, _ = entries(i)
                 rank, count = trie.context(h)
-                weight, node, above = trie.weight(rank, w), trie.successor(rank, w), rank
-                for (lower, level), u in zip(longer, old, strict=True):
-                    node, above = level.find(node, u), lower.find(above, u)
-                    less = np.maximum(10 ** weight - (1 - share), 1e-12) * 10 ** lower.weight(above) + 1 - share
-                    weight = np.where(above < 0, weight, np.where(node < 0, np.log10(less), level.weight(node)))
-                weight = np.repeat(weight, m)
-                count = np.repeat(count, m)
-                docs, at = np.unique(d, return_inverse=True)
-                out.append((block, part, np.bincount(at, weights=weight).tobytes(), np.bincount(at, weights=np.log10(count + 0.5)).tobytes(),
-                            np.bincount(at, weights=count > 0).astype(np.int32).tobytes(), docs.tobytes(), None))
+                node = trie.successor(rank, w, hn)
+                weight, below = np.repeat(trie.weight_of(rank, node, hn), wn), _counted(wn, np.cumsum(hn, dtype=np.int64) - hn)
+                above, sizes = np.repeat(rank, below), wn
+                for n, ((lower, level), u) in enumerate(zip(longer, old, strict=True), 3):
+                    node, sizes = level.find(node, u, sizes), None
+                    unseen = np.flatnonzero(node < 0)
+                    if n < order:
+                        above = lower.find(above, u)
+                        under = above[unseen]
+                    else:  # an n-gram that was seen has its own weight
+                        under = lower.find(above[unseen], u[unseen])
+                    less = np.maximum(10 ** weight[unseen] - (1 - share), 1e-12) * 10 ** lower.weight(under) + 1 - share
+                    weight = np.where(node < 0, weight, level.weight(node))
+                    weight[unseen[under >= 0]] = np.log10(less[under >= 0])
+                size = 8 * len(cols[-1][i].as_py())
+                weight = np.bincount(d, weights=np.repeat(np.rint(weight * STEP), m), minlength=size)
+                base = np.bincount(d, weights=np.repeat(np.repeat(np.log10(count + 0.5), below), m), minlength=size)
+                known = np.bincount(d, weights=np.repeat(np.repeat(count > 0, below), m), minlength=size)
+                here = np.bincount(d, minlength=size) > 0
+                docs, bits = np.flatnonzero(here), np.packbits(here).tobytes()
+                listed = docs.astype(np.uint16).tobytes()
+                out.append((block, part, narrow(weight[here], SIGNED), base[here].tobytes(), narrow(known[here], COUNT),
+                            b"b" + bits if len(bits) < len(listed) else b"l" + listed, None))
             del trie, longer
         cols = list(zip(*out, strict=True))
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[2:6]),
@@ -465,7 +538,8 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
 
     Tokens are words (A-Z lower-cased, cut at ASCII white space) and one end for each text; null is the empty text.
     Single words have (c + 0.5) / (N + 0.5 (V + 1)).  Pairs are smoothed by absolute discounting (``discount``) down
-    to single words, longer n-grams in the same way down to the next shorter (to these alone where the context was not seen), and mixed with single words (``share``), so each context's probabilities sum to one.  A row: the key, ``held_out``,
+    to single words, longer n-grams in the same way down to the next shorter (to these alone where the context was not seen), and mixed with single words (``share``), so each context's probabilities sum to one.  Each token's weight against its single word
+    is rounded to the steps of the trie (1 / 2048 in log10) before a document's sum, which is exact.  A row: the key, ``held_out``,
     ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (single words), ``score``.  Without training
     rows every probability is that of an unknown word.  Every input row is one row; other columns are not read.
 
@@ -506,10 +580,12 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         learned = np.unpackbits(np.frombuffer(cols["a"][own].as_py(), dtype=np.uint8), count=size).astype(bool)
         weight, single, known = np.zeros(size), np.zeros(size), np.zeros(size, dtype=np.int64)
         for i in map(int, order[1:]):
-            d = np.frombuffer(cols["d"][i].as_py(), dtype=np.uint16)
-            weight[d] += np.frombuffer(cols["a"][i].as_py(), dtype=np.float64)
+            d = cols["d"][i].as_py()  # documents that have words in the shard: a bit each, or a list
+            d = np.flatnonzero(np.unpackbits(np.frombuffer(d[1:], dtype=np.uint8))) if d[:1] == b"b" else np.frombuffer(d[1:], dtype=np.uint16)
+            weight[d] += widen(cols["a"][i].as_py(), len(d), SIGNED)
             single[d] += np.frombuffer(cols["b"][i].as_py(), dtype=np.float64)
-            known[d] += np.frombuffer(cols["n"][i].as_py(), dtype=np.int32)
+            known[d] += widen(cols["n"][i].as_py(), len(d), COUNT).astype(np.int64)
+        weight /= STEP
         single -= total * base
         return pa.table([keys, pa.array(~learned), pa.array(total), pa.array(known), pa.array(np.full(size, tokens)),
                          pa.array(single), pa.array(single + weight)], names=names)

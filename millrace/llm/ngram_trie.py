@@ -7,6 +7,7 @@ import os
 import numpy as np
 
 WORD_BITS = 40  # of a successor's hash; it is looked for below its context only
+PIECE = 1 << 18  # values that are packed at once
 STEP = 2048  # quantised log10: steps in a unit
 ZERO = 32768  # code of 0
 
@@ -18,25 +19,26 @@ class EliasFano:
         self.low, self.high = low, high
         self.n, self.bits, self.size = (int(x) for x in shape)
         gaps = np.flatnonzero(np.unpackbits(self.high, count=self.size) == 0)
-        self.upto = gaps - np.arange(len(gaps))  # elements whose high part is at most k
+        kind = np.uint32 if self.n < 1 << 32 else np.int64
+        self.ends = np.append(gaps - np.arange(len(gaps)), self.n).astype(kind)
+        self.upto = self.ends[:-1]  # elements whose high part is at most k
 
     @staticmethod
     def build(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        values = values.astype(np.uint64)
         n, top = len(values), int(values[-1]) + 1 if len(values) else 1
         bits = max(0, (top // max(n, 1)).bit_length() - 1)
         low = np.zeros((n * bits >> 6) + 2, dtype=np.uint64)
-        if bits:
-            part = values & np.uint64((1 << bits) - 1)
-            at = np.arange(n) * bits
-            word, off = at >> 6, (at & 63).astype(np.uint64)
-            np.add.at(low, word, part << off)
-            over = off + np.uint64(bits) > 64
-            np.add.at(low, word[over] + 1, part[over] >> (np.uint64(64) - off[over]))
-        high = (values >> np.uint64(bits)).astype(np.int64)
-        size = n + (int(high[-1]) if n else 0) + 1
+        size = n + ((top - 1) >> bits) + 1 if n else 1
         ones = np.zeros(size, dtype=bool)
-        ones[high + np.arange(n)] = True
+        for i in range(0, n, PIECE):
+            v = values[i:i + PIECE].astype(np.uint64)
+            ones[(v >> np.uint64(bits)).astype(np.int64) + np.arange(i, i + len(v))] = True
+            if bits:
+                part = v & np.uint64((1 << bits) - 1)
+                at = np.arange(i, i + len(v)) * bits
+                word, off = at >> 6, (at & 63).astype(np.uint64)
+                np.add.at(low, word, part << off)
+                np.add.at(low, word + 1, (part >> np.uint64(1)) >> (np.uint64(63) - off))
         return low, np.packbits(ones), np.array([n, bits, size])
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -44,21 +46,18 @@ class EliasFano:
             return np.zeros(len(i), dtype=np.uint64)
         at = i * self.bits
         word, off = at >> 6, (at & 63).astype(np.uint64)
-        v = self.low[word] >> off
-        over = off + np.uint64(self.bits) > 64
-        v[over] |= self.low[word[over] + 1] << (np.uint64(64) - off[over])
+        v = (self.low[word] >> off) | ((self.low[word + 1] << np.uint64(1)) << (np.uint64(63) - off))
         return v & np.uint64((1 << self.bits) - 1)
 
     def values(self, i: np.ndarray) -> np.ndarray:
-        high = np.searchsorted(self.upto, i, side="right").astype(np.uint64)
+        high = np.searchsorted(self.upto, i.astype(self.upto.dtype), side="right").astype(np.uint64)
         return (high << np.uint64(self.bits)) | self._low(i)
 
     def successor(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first element that is not less than x, between ``first`` and ``last``, and whether it is x."""
         high = x >> np.uint64(self.bits)
         k = np.minimum(high, np.uint64(len(self.upto))).astype(np.int64)
-        ends = np.append(self.upto, self.n)
-        lo, hi = np.where(k > 0, ends[np.maximum(k - 1, 0)], 0), ends[k]
+        lo, hi = np.where(k > 0, self.ends[np.maximum(k - 1, 0)], 0).astype(np.int64), self.ends[k].astype(np.int64)
         if first is not None:
             lo, hi = np.maximum(lo, first), np.maximum(np.minimum(hi, last), np.maximum(lo, first))
         stop, low = hi.copy(), x & np.uint64((1 << self.bits) - 1)
@@ -103,7 +102,7 @@ class PairTrie:
 
     def __init__(self, folder: str) -> None:
         def load(name: str) -> np.ndarray:
-            return np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r")
+            return np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r").view(np.ndarray)
         self.contexts, self.pointers, self.successors = (
             EliasFano(*(load(f"{name}.{part}") for part in ("low", "high", "shape"))) for name in self.LEVELS)
         self.counts, self.backoff, self.weights = load("counts"), load("backoff"), load("weights")
@@ -117,25 +116,32 @@ class PairTrie:
 
     def weight(self, rank: np.ndarray, words: np.ndarray) -> np.ndarray:
         """log10 of p(word | context) / p(word) for contexts of these ranks."""
-        out = np.zeros(len(rank))
-        known = np.flatnonzero(rank >= 0)
-        out[known] = restore(self.backoff[rank[known]])
-        i = self.successor(rank, words)
-        hit = i >= 0
-        out[hit] = restore(self.weights[i[hit]])
+        return self.weight_of(rank, self.successor(rank, words), np.ones(len(rank), dtype=np.int64))
+
+    def weight_of(self, rank: np.ndarray, found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 of p(word | context) / p(word): ``sizes`` words for the context of each rank, at these indexes (-1: none)."""
+        back = np.zeros(len(rank))
+        back[rank >= 0] = restore(self.backoff[rank[rank >= 0]])
+        out = np.repeat(back, sizes)
+        hit = found >= 0
+        out[hit] = restore(self.weights[found[hit]])
         return out
 
-    def successor(self, rank: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Index of each word below the context of this rank (-1: none)."""
-        return _below(self.pointers, self.successors, rank, words)
+    def successor(self, rank: np.ndarray, words: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Index of each word below its context (-1: none); ``sizes`` words for the context of each rank, else one."""
+        return _below(self.pointers, self.successors, rank, words, sizes)
 
 
-def _below(pointers: EliasFano, entries: EliasFano, parent: np.ndarray, words: np.ndarray) -> np.ndarray:
-    out = np.full(len(parent), -1)
+def _below(pointers: EliasFano, entries: EliasFano, parent: np.ndarray, words: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Index of each word among the entries of its parent (-1: none).  ``sizes``: words of each parent, one after the other."""
+    first, last = np.zeros(len(parent), dtype=np.int64), np.zeros(len(parent), dtype=np.int64)
     known = np.flatnonzero(parent >= 0)
-    r = parent[known]
-    first, last = pointers.values(r).astype(np.int64), pointers.values(r + 1).astype(np.int64)
-    i, hit = entries.successor((r.astype(np.uint64) << np.uint64(WORD_BITS)) | words[known], first, last)
+    first[known], last[known] = pointers.values(parent[known]), pointers.values(parent[known] + 1)
+    if sizes is not None:
+        parent, first, last = np.repeat(parent, sizes), np.repeat(first, sizes), np.repeat(last, sizes)
+    out = np.full(len(parent), -1)
+    known = np.flatnonzero(first < last)
+    i, hit = entries.successor((parent[known].astype(np.uint64) << np.uint64(WORD_BITS)) | words[known], first[known], last[known])
     out[known[hit]] = i[hit]
     return out
 
@@ -155,12 +161,12 @@ class Level:
 
     def __init__(self, folder: str, name: str) -> None:
         def load(what: str) -> np.ndarray:
-            return np.load(os.path.join(folder, f"{name}.{what}.npy"), mmap_mode="r")
+            return np.load(os.path.join(folder, f"{name}.{what}.npy"), mmap_mode="r").view(np.ndarray)
         self.pointers, self.words = (EliasFano(*(load(f"{k}.{part}") for part in ("low", "high", "shape"))) for k in ("pointers", "words"))
         self.weights = load("weights")
 
-    def find(self, parent: np.ndarray, words: np.ndarray) -> np.ndarray:
-        return _below(self.pointers, self.words, parent, words)
+    def find(self, parent: np.ndarray, words: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        return _below(self.pointers, self.words, parent, words, sizes)
 
     def weight(self, i: np.ndarray) -> np.ndarray:
         """Weights of these indexes; 0 for -1."""

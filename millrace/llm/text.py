@@ -33,15 +33,20 @@ def short_batches(spark: SparkSession, rows: int = ROWS) -> Iterator[None]:
         spark.conf.set(ROWS_KEY, before)
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The task function, giving freed memory back to the system when it ends: Python workers live on for later tasks, and
     would hold what the largest of them needed."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-        if trim is not None:
-            trim(0)
+        give_back()
     return task
 
 
