@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import materialise
 from .ngram_trie import STEP, WORD_BITS, Level, PairTrie
-from .text import Texts, give_back, mix64, parts, ranges, released
+from .text import Texts, give_back, mix64, parts, ranges, released, short_batches
 
 SHARD_BYTES = 16 << 20  # text whose pairs one shard scores, on average
 BLOCK_BYTES = 6 << 20  # text whose pairs are counted together before they move
@@ -327,13 +327,17 @@ def pair_blocks(source: DataFrame, hot: np.ndarray, shards: int, order: int) ->
             number_of += 1
             token, before, doc = tokens.of(held["_text"])
             train = np.array(held["_train"], dtype=bool)
-            part, _ = deal(before, token, hot, shards)
+            part = deal(before, token, hot, shards)[0]
             whole, own = np.unique(token, return_inverse=True)
+            del token, before
             vocabulary, rank = np.unique(whole & WORD, return_inverse=True)  # words of the block, by what successors keep of them
+            own, rank = own.astype(np.int32), rank.astype(np.int32)
+            part, doc = part.astype(np.int32), doc.astype(np.int32)
             word, end = rank[own], int(np.searchsorted(whole, np.uint64(END)))
-            context_of = np.append(end, own[:-1])  # a text ends with an end, which comes before the next
+            context_of = np.append(np.int32(end), own[:-1])  # a text ends with an end, which comes before the next
             us = older(word, doc, order, int(rank[end]))
             by = np.argsort(sort_key([context_of, word, *us], [len(whole)] + [len(vocabulary)] * (order - 1)))
+            del own
             by = by[np.argsort(part[by].astype(np.uint16) if shards <= 1 << 16 else part[by], kind="stable")]
             part, context_of, word, doc, us = part[by], context_of[by], word[by], doc[by], [u[by] for u in us]
             new_context = _starts(part, context_of)
@@ -550,6 +554,11 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
+    with short_batches(docs.sparkSession):
+        return materialise(_scored(docs, train, key, text, discount, share, shard_bytes, order))
+
+
+def _scored(docs: DataFrame, train: Column, key: str, text: str, discount: float, share: float, shard_bytes: int, order: int) -> DataFrame:
     source = _source(docs, key, text, F.coalesce(train, F.lit(False)))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     shards = max(4, -(-size // shard_bytes))
