@@ -19,6 +19,7 @@ from .text import Texts, give_back, mix64, parts, ranges, released, short_batche
 SHARD_BYTES = 16 << 20  # text whose pairs one shard scores, on average
 BLOCK_BYTES = 6 << 20  # text whose pairs are counted together before they move
 BLOCK_DOCS = 60_000
+PACKED_ROWS = 32  # rows that go to a Python worker at once; packed rows have some 100 KB
 assert BLOCK_DOCS < 1 << 16  # a document's number in its block has 16 bits
 DISCOUNT = 0.9  # taken from the count of each pair that was seen
 PAIR_SHARE = 0.5  # of the pair model; the rest is the single word's probability
@@ -222,6 +223,8 @@ def count_words(source: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
         mine = np.searchsorted(distinct, hot)
         mine = np.where((mine < len(distinct)) & (distinct[np.minimum(mine, len(distinct) - 1)] == hot), total[np.minimum(mine, len(distinct) - 1)], 0)
         out.append((-2, np.asarray(mine, dtype=np.int64).tobytes(), after.astype(np.int64).tobytes()))
+        del owner, to, distinct, total, at, row, word, n, k
+        give_back()
         cols = list(zip(*out, strict=True))
         return pa.table({"part": pa.array(cols[0], pa.int32()), "w": pa.array(cols[1], pa.binary()), "n": pa.array(cols[2], pa.binary())})
     return source.filter("_train").mapInArrow(released(count), "part int, w binary, n binary, k binary, to binary") \
@@ -525,6 +528,7 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
                 out.append((block, part, narrow(weight[here], SIGNED), base[here].tobytes(), narrow(known[here], COUNT),
                             b"b" + bits if len(bits) < len(listed) else b"l" + listed, None))
             del trie, longer
+        give_back()
         cols = list(zip(*out, strict=True))
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[2:6]),
                          pa.nulls(len(out), left.schema.field("keys").type)], names=names)
@@ -554,7 +558,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
-    with short_batches(docs.sparkSession):
+    with short_batches(docs.sparkSession, PACKED_ROWS):
         return materialise(_scored(docs, train, key, text, discount, share, shard_bytes, order))
 
 
