@@ -143,3 +143,21 @@ def test_group_stats_of_a_null_key(spark, is_hot, request):
     df = spark.createDataFrame([(1, 2.0), (1, 4.0), (None, 1.0), (None, 5.0)], "k int, v double")
     assert rows(scale.with_group_stats(df, ["k"], {"m": F.avg("v")}), "k", "v", "m") == sorted(
         [(1, 2.0, 3.0), (1, 4.0, 3.0), (None, 1.0, 3.0), (None, 5.0, 3.0)], key=repr)
+
+
+def test_rows_of_a_task_are_bounded(spark, skewed):
+    """Ranks, lags and joins deal rows over more partitions than the session sets, so that a task's part stays as it is."""
+    spark.conf.set(scale.TASK_ROWS_KEY, "100")
+    try:
+        ranked = scale.rank_within(skewed, ["id"], ["x"])
+        before = scale.with_previous(skewed, ["id"], ["x"], "v", "before")
+        joined = scale.join_on_keys(skewed, skewed.join(skewed.select("id"), "id").groupBy("id").agg(F.max("v").alias("m")), ["id"])
+        for df in (ranked, before, joined):
+            parts = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            assert len(parts) == 30 and max(r["count"] for r in parts) < 200
+        by_key = scale.rank_within(skewed, ["k"], ["id"])
+        w = Window.partitionBy("k").orderBy("id")
+        assert rows(by_key) == rows(skewed.withColumn("rn", F.row_number().over(w).cast("long")))
+        assert rows(joined, "id", "m") == rows(skewed, "id", "v")
+    finally:
+        spark.conf.unset(scale.TASK_ROWS_KEY)
