@@ -2,8 +2,10 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import Row
 
 from millrace.streaming import runs as st
+from millrace.streaming.guard import TransitionGuard
 from millrace.streaming.tables import BatchTable
 
 from .conftest import rows
@@ -129,6 +131,23 @@ def test_guard_with_nulls_and_repeats(spark, tmp_path):
     assert rows(got, "run_id", "event_id", "status", "previous") == [(None, 5, "running", "failed")]
 
 
+def test_guard_calls_on_the_state_do_not_grow_with_the_events():
+    """Each call is a round trip to the JVM."""
+    def calls(n):
+        seen = []
+
+        class Handle:
+            def __getattr__(self, name):
+                return lambda *a: seen.append(name) or (Handle() if name.startswith("get") and a else None)
+
+        guard = TransitionGuard([], "bigint")
+        guard.init(Handle())
+        seen.clear()
+        assert list(guard.handleInputRows((1,), iter([Row(event_id=i, status="queued", us=i) for i in range(n)]), None)) == []
+        return len(seen)
+    assert calls(200) == calls(2) <= 4
+
+
 def test_batch_table_keeps_few_files_and_survives_retries(spark, tmp_path):
     table = BatchTable(spark, str(tmp_path / "t"), ["k"], kept=4)
     log = BatchTable(spark, str(tmp_path / "a"), kept=4)
