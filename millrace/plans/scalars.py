@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import names, numeric, text, tokens
 from ..functions.numeric import rnd
 from ..operators.preparation import step_examples
+from ..scale import spread
+from ..session import materialise
 from ..tables import ctes, table, text_pairs, token_logps
 from .registry import query
 
@@ -130,8 +132,10 @@ def extract_document_text(spark, sf):
 
 
 def _pair_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return text_pairs(spark, sf).select("pair_id", tokens.hashed_words(F.col("chosen"), VOCAB, "md5").alias("p"),
-                                        tokens.hashed_words(F.col("rejected"), VOCAB, "md5").alias("c"))
+    """Token ids of both sides.  Every document is on two sides, so its ids are made once and written."""
+    ids = materialise(spread(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", tokens.hashed_words(F.col("text"), VOCAB, "md5").alias("text")))
+    return text_pairs(spark, sf, ids).select("pair_id", F.col("chosen").alias("p"), F.col("rejected").alias("c"))
 
 
 PAIR_TOKENS_SQL = ctes("text_pairs") + f""", t AS (

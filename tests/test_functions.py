@@ -1,11 +1,13 @@
 """Scalar functions on hand-written edge values."""
 
+import hashlib
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import names, numeric, text, tokens
+from millrace.plans import all_queries
 
 
 def one(spark, col, **values):
@@ -185,3 +187,23 @@ def test_step_example(spark):
     assert both(bos=1, max_prompt=2, max_completion=3) == ([3, 4, 5, 6, 0], [i, i, i, i, 1])
     assert both(bos=1, max_len=4, last_only=True) == ([1, 3, 4, 5], [i] * 4)
     assert both(last_only=True) == ([3, 4, 5, 6, 0, 7, 0], [i] * 6 + [0])
+
+
+def test_a_document_on_two_sides_is_hashed_once(spark, tmp_path):
+    texts = ["a b  c", "", None, "c\nd " * 400, "e"]
+    spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    got = all_queries()["truncate_tokens"](spark, str(tmp_path))
+    assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()  # the ids are written before the pairs
+
+    def ids(t):
+        return None if t is None else [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 1000 for w in t.split()]
+
+    after = {0: 2, 2: 4, 4: 0, 1: 3, 3: 1}
+    for r in got.collect():
+        p, c = ids(texts[r.pair_id]), ids(texts[after[r.pair_id]])
+        assert r.prompt_ids == (None if p is None else p[-512:])
+        assert r.completion_ids == (None if c is None else [*c, 2][:256])
+        if p is not None and c is not None:
+            assert r.combined_ids == p[max(len(p) + len(c) - 600, 0):]
+    assert got.count() == 5
