@@ -190,8 +190,8 @@ class ForeignKey:
 
 
 def _meet(rows: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """Join with a written list of ids, broadcast if it is short (it is counted)."""
-    return rows.join(F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids, on, how)
+    """Join with a written list of ids, broadcast if it is short (it is counted); else rows are dealt by their number."""
+    return rows.join(F.broadcast(ids), on, how) if ids.count() <= SMALL_ROWS else join_on_keys(rows, ids, [on], how)
 
 
 def cascade_closure(tables: Mapping[str, DataFrame], keys: Mapping[str, str], links: Sequence[ForeignKey], root: str,
@@ -232,7 +232,7 @@ def cascade_delete(tables: Mapping[str, DataFrame], keys: Mapping[str, str], lin
     Returns the rows left of each table and the ids refused (``id``).  A row that two roots reach goes if one of them does.  Rows
     with a null foreign key stay."""
     reached = cascade_closure(tables, keys, links, root, wanted)
-    held = [reached[name].join(tables[name].filter(condition).select(F.col(keys[name]).alias("id")), "id", "left_semi").select("root")
+    held = [join_on_keys(reached[name], tables[name].filter(condition).select(F.col(keys[name]).alias("id")), ["id"], "left_semi").select("root")
             for name, condition in blocked.items() if name in reached]
     refused = materialise(reduce(DataFrame.union, held).distinct()) if held else tables[root].sparkSession.createDataFrame(
         [], reached[root].select("root").schema)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import catalog as cat
+from millrace.scale import TASK_ROWS_KEY
 
 from .conftest import rows
 
@@ -176,3 +177,24 @@ def test_point_lookup_is_pushed_down(spark, tmp_path):
 def test_unknown_scope_is_all(spark, bad):
     df = spark.sql("select 1 as id, 'running' as status, timestamp_ntz'2024-01-01' as created_at")
     assert rows(cat.status_counts(df, bad)) == [(0, 1, 0)]
+
+
+def test_cascade_delete_deals_rows_by_their_number(spark, monkeypatch):
+    """Lists too long to broadcast: a task's part of the rows does not grow with the table."""
+    monkeypatch.setattr(cat, "SMALL_ROWS", 0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set(TASK_ROWS_KEY, "50")
+    try:
+        tables = {"p": spark.range(1500).selectExpr("id", "id % 9 = 0 AS held"), "c": spark.range(3000).selectExpr("id", "if(id % 100 = 99, null, id % 1500) AS p")}
+        left, refused = cat.cascade_delete(tables, {"p": "id", "c": "id"}, [cat.ForeignKey("c", "p", "p")], "p",
+                                           spark.range(0, 1500, 3).toDF("id"), {"p": F.col("held")})
+        parts = left["c"].groupBy(F.spark_partition_id().alias("part")).count().collect()
+        assert len(parts) > 40 and max(r["count"] for r in parts) < 150
+        gone = {i for i in range(0, 1500, 3) if i % 9}
+        assert {r.id for r in refused.collect()} == set(range(0, 1500, 9))
+        assert {r.id for r in left["p"].collect()} == set(range(1500)) - gone
+        assert {r.id for r in left["c"].collect()} == {i for i in range(3000) if i % 100 == 99 or i % 1500 not in gone}
+    finally:
+        spark.conf.unset(TASK_ROWS_KEY)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
