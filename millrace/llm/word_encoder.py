@@ -6,6 +6,7 @@ ends): the ids of a text are then the ids of its words, one after the other.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -14,6 +15,14 @@ import pandas as pd
 
 from .text import Texts, parts, ranges
 
+MARK = "\x01"
+# A normaliser and splitter that lower-case letters and always cut between a letter and what is none.
+PLAIN = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
 KNOWN = 1_000_000  # slices whose ids a task remembers; beyond, it starts anew
 
 
@@ -57,20 +66,54 @@ class SliceIds:
         return self.rows[np.searchsorted(self.hashes, hashes)]
 
 
+class Slices:
+    """Cuts texts at ASCII white space, and where a file allows it at more places, so that fewer slices are distinct."""
+
+    def __init__(self, file: dict, special: list[bytes]) -> None:
+        self.plain, self.special, self.texts = all(file[k] == v for k, v in PLAIN.items()), special, Texts()
+        self.letter, self.sign = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+        self.letter[[*range(65, 91), *range(97, 123)]] = True
+        self.sign[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
+    def of(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes and the start, end and text number of slices whose ids follow each other.
+
+        With ``PLAIN`` slices are cut before an ASCII sign that follows an ASCII letter, and A-Z are lower-cased.  A letter before a byte that
+        is not ASCII stays as it is, as a combining mark may be joined with it first.  Special tokens are looked for in whole raw text, so
+        bytes that hold one, lower-cased or not, are cut at white space only."""
+        if self.plain and len(buf):
+            folded = np.where(np.append(buf[1:], np.uint8(0)) < 128, self.texts.fold[buf], buf)
+            whole = folded.tobytes()
+            if not any(c in whole for c in self.special):
+                edge = np.zeros(len(buf), dtype=bool)
+                edge[1:] = self.letter[buf[:-1]] & self.sign[buf[1:]]
+                return folded, *self.texts.words(folded, offsets, edge)
+        return buf, *self.texts.words(buf, offsets)
+
+
 class WordEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
-        self.texts, self.cache = Texts(), SliceIds()
+        own = self.tokenizer.encode(f"a\n{MARK}\na", add_special_tokens=False).ids
+        alone = self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.mark = own[1] if len(own) == 3 and [own[0], own[2]] == alone * 2 else None
+        with open(path, encoding="utf-8") as f:
+            self.slices = Slices(json.load(f), [c.encode() for c in self.special])
+        self.cache = SliceIds()
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        """One call for all words with a special token between them, as long as none of them holds one."""
-        for content, mark in list(self.special.items())[:1]:
-            text = b"\n".join(words)
-            if not any(c.encode() in text for c in self.special):
-                joined = text.decode("utf-8", "replace").replace("\n", content)  # no word holds a line break
+        """One call for all words with a mark between them, as long as none of them holds one.  The control character ``MARK`` between line
+        breaks, where it is one token, costs less than a special token, at which the library cuts its text."""
+        text = b"\n".join(words)  # no word holds a line break
+        if not any(c.encode() in text for c in self.special):
+            marks = [(c, i) for c, i in list(self.special.items())[:1]]
+            if self.mark is not None and MARK.encode() not in text:
+                marks.insert(0, (f"\n{MARK}\n", self.mark))
+            for content, mark in marks:
+                joined = text.decode("utf-8", "replace").replace("\n", content)
                 ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
                 cut = ids == mark
                 if cut.sum() == len(words) - 1:
@@ -83,8 +126,8 @@ class WordEncoder:
     def encode(self, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """First text, its and the following texts' ids, and where each text's ids begin (with the end)."""
         for i, j, buf, offsets in parts(texts):
-            starts, ends, doc = self.texts.words(buf, offsets)
-            codes, distinct = pd.factorize(self.texts.hashes(buf, starts, ends))
+            buf, starts, ends, doc = self.slices.of(buf, offsets)
+            codes, distinct = pd.factorize(self.slices.texts.hashes(buf, starts, ends))
             new = np.flatnonzero(self.cache.missing(distinct))
             if len(new):
                 first = np.empty(len(distinct), dtype=np.int64)

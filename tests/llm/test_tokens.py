@@ -71,6 +71,16 @@ def test_round_trip(docs, texts, no_docs, byte_bpe):
     assert round_trip_digests(no_docs, vocabulary(RANKS)).count() == 0
 
 
+def test_slices_of_equal_ids_are_learned_once(word_bpe):
+    """Signs after a letter and A-Z make no slices of their own where the file lets them be cut off and lower-cased."""
+    texts = ["lech Lech, lech. LECH!? (lech) don't", "a H\u0331 E\u0301 T\u0308, I\u0307. <|endoftext|>x", "<|ENDOFTEXT|>", "\x01 a\x01b 's,'S 9a!"]
+    own = WordEncoder(vocabulary("word_bpe_49k.json"))
+    assert [ids.tolist() for i, ids, upto in own.encode([texts[0].encode()])] == [word_bpe(texts[0])]
+    assert len(own.cache.hashes) == 8  # lech , . !? (lech ) don 't
+    for t in texts:
+        assert [ids.tolist() for i, ids, upto in own.encode([t.encode()])] == [word_bpe(t)]
+
+
 def test_counts(docs, texts, no_docs, word_bpe):
     lengths = np.array([len(word_bpe(t)) for _, t, _ in texts])
     hist = length_histogram(encoded_lengths(docs, vocabulary("word_bpe_49k.json")))
