@@ -21,11 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Texts, parts, ranges
-from .word_encoder import SliceIds
+from .text import parts, ranges
+from .word_encoder import SliceIds, Slices
 
 WORD_END = 0x1000  # added to the code point of a word's last symbol
-PAIRS = 1_000_000  # tested pairs that a task remembers; beyond, it starts anew
+PAIRS = 1_000_000  # tested pairs that a worker remembers; beyond, it starts anew
+PIECES = 500_000  # pieces whose ids a worker remembers; beyond, it starts anew
+SHIFT = 32  # of the first token in a pair's number
+
+# what ``PLAIN`` makes of a lower-cased slice of printable ASCII, one byte a symbol
+ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class PrefixBpe:
@@ -54,7 +59,8 @@ class PrefixBpe:
                     raise ValueError(f"{s!r} is neither a symbol nor made by a merge")
                 symbols[t] = chr(ord(body) + WORD_END) if ends else body
                 self.born[t] = -1
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
+        self.whole: dict[str, int] = {}  # tokens by their text
         self.automaton = ahocorasick.Automaton()
         text = dict(symbols)
         for t in sorted(made, key=self.born.__getitem__):
@@ -63,6 +69,7 @@ class PrefixBpe:
             # a token that its own text does not merge to is never used
             if t in symbols or self._free(self.left[t], self.right[t], self.born[t]):
                 self.automaton.add_word(s, (t, len(s)))
+                self.whole[s] = t
         self.automaton.make_automaton()
 
     def _free(self, a: int, b: int, before: float = math.inf) -> bool:
@@ -86,26 +93,34 @@ class PrefixBpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the text of two tokens is encoded as these two."""
-        got = self.known.get((a, b))
+        got = self.known.get(a << SHIFT | b)
         if got is None:
             if len(self.known) >= PAIRS:
                 self.known.clear()
-            got = self.known[a, b] = self._free(a, b)
+            got = self.known[a << SHIFT | b] = self._free(a, b)
         return got
 
     def encode(self, word: str) -> list[int]:
         """Ids of a word whose last symbol has ``WORD_END`` added."""
+        token = self.whole.get(word)
+        if token is not None:  # the longest token that ends at the last symbol is the first one tested there
+            return [token]
         last: list[int] = []  # last token of each prefix
         size: list[int] = []
+        done, known = 0, self.known.get
         for end, (t, n) in self.automaton.iter(word):
-            if end < len(last):
+            if end < done:
                 continue  # the prefix has its token
-            if n > end or self.compatible(last[end - n], t):
-                last.append(t)
-                size.append(n)
-        if len(last) < len(word):
-            raise ValueError(f"no token ends at symbol {len(last)} of {word[:100]!r}")
-        out, at = [], len(word) - 1
+            if n <= end:
+                fits = known(last[end - n] << SHIFT | t)
+                if not (self.compatible(last[end - n], t) if fits is None else fits):
+                    continue
+            last.append(t)
+            size.append(n)
+            done += 1
+        if done < len(word):
+            raise ValueError(f"no token ends at symbol {done} of {word[:100]!r}")
+        out, at = [], done - 1
         while at >= 0:
             out.append(last[at])
             at -= size[at]
@@ -115,14 +130,15 @@ class PrefixBpe:
 class WordBpe:
     """Encoder and decoder by a ``tokenizers`` file of a BPE model with word ends and without a decoder.
 
-    The file's own normaliser and splitter cut texts to words, each distinct slice between white space once; special
-    tokens are found in raw text.  Merging is ``PrefixBpe``."""
+    The file's own normaliser and splitter cut texts to words, each distinct slice between white space once (slices of printable
+    ASCII are cut by a regular expression where the file has the normaliser and splitter of ``PLAIN``); special tokens are found in raw text.  Merging is ``PrefixBpe``."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.decoder is not None or not model["end_of_word_suffix"]:
             raise ValueError("the file must have a suffix of word ends and no decoder")
@@ -132,7 +148,16 @@ class WordBpe:
         self.marks = re.compile(b"(" + b"|".join(re.escape(c) for c in sorted(self.special, key=len, reverse=True)) + b")")
         self.bpe = PrefixBpe(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"])
         self.tokens = {i: s.encode() for s, i in (model["vocab"] | added).items()}
-        self.texts, self.cache = Texts(), SliceIds()
+        self.pieces: dict[str, list[int]] = {}
+        self.slices, self.cache = Slices(file, list(self.special)), SliceIds()
+
+    def _words(self, raw: bytes) -> list[str]:
+        """The words of a slice without special tokens."""
+        if self.slices.plain and raw.isascii():
+            text = raw.decode()
+            if text.isprintable():
+                return ASCII_PIECES.findall(text.lower())
+        return [word for word, _ in self.split(self.normalise(raw.decode("utf-8", "replace")))]
 
     def _slice(self, raw: bytes) -> list[int]:
         out: list[int] = []
@@ -140,15 +165,20 @@ class WordBpe:
             if i % 2:
                 out.append(self.special[piece])
             elif piece:
-                for word, _ in self.split(self.normalise(piece.decode("utf-8", "replace"))):
-                    out.extend(self.bpe.encode(word[:-1] + chr(ord(word[-1]) + WORD_END)))
+                for word in self._words(piece):
+                    ids = self.pieces.get(word)
+                    if ids is None:
+                        if len(self.pieces) >= PIECES:
+                            self.pieces.clear()
+                        ids = self.pieces[word] = self.bpe.encode(word[:-1] + chr(ord(word[-1]) + WORD_END))
+                    out.extend(ids)
         return out
 
     def encode(self, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """First text, its and the following texts' ids, and where each text's ids begin (with the end)."""
         for i, j, buf, offsets in parts(texts):
-            starts, ends, doc = self.texts.words(buf, offsets)
-            codes, distinct = pd.factorize(self.texts.hashes(buf, starts, ends))
+            buf, starts, ends, doc = self.slices.of(buf, offsets)
+            codes, distinct = pd.factorize(self.slices.texts.hashes(buf, starts, ends))
             new = np.flatnonzero(self.cache.missing(distinct))
             if len(new):
                 first = np.empty(len(distinct), dtype=np.int64)
@@ -165,6 +195,18 @@ class WordBpe:
         return b" ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+_OF_WORKER: dict[str, WordBpe] = {}
+
+
+def worker_bpe(path: str) -> WordBpe:
+    """The encoder that this Python worker has for ``path``: its automaton is built once, and what it remembers serves later tasks.
+    A worker keeps one encoder."""
+    if path not in _OF_WORKER:
+        _OF_WORKER.clear()
+        _OF_WORKER[path] = WordBpe(path)
+    return _OF_WORKER[path]
+
+
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
 
@@ -178,7 +220,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(path)
+        bpe = worker_bpe(path)
         for b in batches:
             for i, ids, upto in bpe.encode(b.column("_text").to_pylist()):
                 lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))
@@ -191,7 +233,7 @@ def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: st
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(path)
+        bpe = worker_bpe(path)
         for b in batches:
             texts = [None if x is None else bpe.decode(np.array(x, dtype=np.int64)).decode() for x in b.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(texts, pa.string())], names=["_key", "text"])
@@ -205,7 +247,7 @@ def word_bpe_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(path)
+        bpe = worker_bpe(path)
         for b in batches:
             for i, ids, upto in bpe.encode(b.column("_text").to_pylist()):
                 n, sha, back = [], [], []

@@ -156,6 +156,17 @@ def test_long_words_take_linear_work(library):
     assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_are_merged_once(library):
+    """Slices that share a piece share its ids, and a worker has one encoder."""
+    from millrace.llm.word_bpe import worker_bpe
+    own = worker_bpe(vocabulary(WORDS))
+    assert worker_bpe(vocabulary(WORDS)) is own
+    own.pieces.clear()
+    text = "anblewhq Anblewhq, (anblewhq) 'anblewhq' \u00e9anblewhq H\u0331"
+    assert next(iter(own.encode([text.encode()])))[1].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum("anblewhq" in p for p in own.pieces) == 2
+
+
 def test_word_bpe_documents(spark, docs, no_docs, texts, library):
     path = vocabulary(WORDS)
     want = []
