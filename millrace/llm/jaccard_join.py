@@ -24,6 +24,7 @@ BLOCK = 512  # classes on each side of a block that compares open components
 PACK = 16 << 20  # bytes of the sketches of small blocks that share a task, on average
 FEW = 4  # pairs per class that leave a block one by one; a block with more compares whole sets
 NO_BOUND = 1 << 20  # stands for a sketch's cell that is full
+SIG_BITS = 40  # of a signature, besides those that name its group; chance meetings are compared like others
 SMALL = 1_000_000  # keys (16 bytes) that are broadcast; more are joined by shuffle
 
 
@@ -162,9 +163,11 @@ def buckets_of(docs: DataFrame, width: int, percent: int, key: str, text: str, s
 
     A task sorts the signatures of a block of documents.  Members that share one inside the block are passed on as
     they are, and one row for each signature and block goes, packed with its neighbours, to the group of its range.
-    So a signature of most documents has a row for each block there, and each signature moves once, in 10 bytes."""
-    top = np.uint64(64 - groups.bit_length() + 1)
-    fields = ["part", "c", "sig", "at"]
+    So a signature of most documents has a row for each block there, and each signature moves once, in 7 bytes: it keeps ``SIG_BITS`` bits
+    below those of its group."""
+    spare = np.uint64(max(0, 64 - SIG_BITS - groups.bit_length() + 1))
+    top = np.uint64(64 - groups.bit_length() + 1) - spare
+    fields = ["part", "c", "sig", "hi", "at"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, enum = Shingles(width, seed), PartEnum(percent)
@@ -190,7 +193,7 @@ def buckets_of(docs: DataFrame, width: int, percent: int, key: str, text: str, s
     def packed(seen: dict[int, int], sigs: list[np.ndarray], number: int) -> pa.RecordBatch:
         c = np.fromiter(seen, dtype=np.int64, count=len(seen))
         at = np.repeat(np.arange(len(sigs), dtype=np.uint16), [len(x) for x in sigs])
-        sig = np.concatenate(sigs)
+        sig = np.concatenate(sigs) >> spare
         order = np.argsort(sig)
         sig, at = sig[order], at[order]
         first = np.ones(len(sig), dtype=bool)
@@ -199,21 +202,29 @@ def buckets_of(docs: DataFrame, width: int, percent: int, key: str, text: str, s
         twice[:-1] |= ~first[1:]
         rows = []
         if twice.any():  # another group passes them on
-            rows.append((groups + number % groups, c[at[twice]].tobytes(), sig[twice].tobytes(), b""))
+            rows.append((groups + number % groups, c[at[twice]].tobytes(), sig[twice].tobytes(), b"", b""))
         sig, at = sig[first], at[first]
         part = (sig >> top).astype(np.int64) if groups > 1 else np.zeros(len(sig), dtype=np.int64)
+        low = sig & ((np.uint64(1) << top) - np.uint64(1)) if spare else sig
+        lo, hi = (low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8)) if spare else (low, np.zeros(0, dtype=np.uint8))
         cut = np.searchsorted(part, np.arange(groups + 1))
         for p in range(groups):
             if cut[p] < cut[p + 1]:
                 used, i = np.unique(at[cut[p]:cut[p + 1]], return_inverse=True)
-                rows.append((p, c[used].tobytes(), sig[cut[p]:cut[p + 1]].tobytes(), i.astype(np.uint16).tobytes()))
+                own = slice(cut[p], cut[p + 1])
+                rows.append((p, c[used].tobytes(), lo[own].tobytes(), hi[own].tobytes(), i.astype(np.uint16).tobytes()))
         cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=fields)
 
     def shared(blocks: pa.Table) -> pa.Table:
         c = [np.frombuffer(x, dtype=np.int64) for x in blocks.column("c").to_pylist()]
-        sig = [np.frombuffer(x, dtype=np.int64) for x in blocks.column("sig").to_pylist()]
-        if blocks.column("part")[0].as_py() >= groups:
+        part, packed_sig = blocks.column("part")[0].as_py(), blocks.column("sig").to_pylist()
+        if part >= groups or not spare:
+            sig = [np.frombuffer(x, dtype=np.int64) for x in packed_sig]
+        else:
+            sig = [np.frombuffer(x, dtype=np.uint32).astype(np.int64) | (np.frombuffer(y, dtype=np.uint8).astype(np.int64) << 32) | (part << int(top))
+                   for x, y in zip(packed_sig, blocks.column("hi").to_pylist(), strict=True)]
+        if part >= groups:
             c, sig = np.concatenate(c), np.concatenate(sig)
         else:
             at = [np.frombuffer(x, dtype=np.uint16) for x in blocks.column("at").to_pylist()]
@@ -226,7 +237,7 @@ def buckets_of(docs: DataFrame, width: int, percent: int, key: str, text: str, s
             keep[:-1] |= same
             sig, c = sig[keep], c[keep]
         return pa.table({"sig": pa.array(sig, pa.int64()), "c": pa.array(c, pa.int64())})
-    return _scan(docs, key, text).mapInArrow(split, "part int, c binary, sig binary, at binary") \
+    return _scan(docs, key, text).mapInArrow(split, "part int, c binary, sig binary, hi binary, at binary") \
         .groupBy("part").applyInArrow(shared, "sig bigint, c bigint")
 
 

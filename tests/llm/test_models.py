@@ -383,3 +383,16 @@ def test_word_counts_pass_32_bits():
     n = np.array([4_000_000_000, 5, 4_000_000_000, 3_999_999_999, 1, 4_294_967_295], dtype=np.uint32)
     assert _whole_counts(row, n).tolist() == [4_294_967_300, 11_999_999_999, 1]
     assert _whole_counts(row[:0], n[:0]).tolist() == []
+
+
+def test_signatures_move_short(spark):
+    """A signature keeps 40 bits below those of its group, and no bucket of near copies is lost by that."""
+    from millrace.llm.jaccard_join import SIG_BITS, buckets_of
+    words = [f"w{i}" for i in range(120)]
+    rows = [(k, " ".join(words[:60 + k] + [f"x{k}"] + words[60 + k:])) for k in range(6)]
+    own = buckets_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 90, "doc_id", "text", 0, 4)
+    found = own.groupBy("sig").count().collect()
+    assert found and all(0 <= r["sig"] < 4 << SIG_BITS for r in found)
+    assert max(r["sig"] for r in found) >= 1 << SIG_BITS  # the bits of the group count
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+    assert {r["component_id"] for r in got.collect()} == {0}
