@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ AUDIT = 1024  # queries that are compared with all nodes of all shards, on avera
 RECALL = 0.98  # of the links of the audited queries with other nodes
 LINKS = 100  # with fewer links among the audited queries, their nearest other nodes are judged in place of links
 NEAREST, NEAR_RECALL = 3, 0.9
+ENLARGED = 8  # times the audited queries at most, to reach enough links
 BLOCK = 512  # members of a ball that are compared at once
 EDGE = 1e-9  # angles are summed with this margin
 
@@ -117,14 +119,20 @@ def suffices(links: int, found: int, near: int, near_found: int) -> bool:
     return found == links and near_found >= NEAR_RECALL * near
 
 
-def fitting_beam(whole: DataFrame, some: DataFrame, limit: float, beam: int) -> int:
-    """The narrowest beam, of ``beam`` and its doubles, that suffices for the audited queries; 0 if none does."""
+def fitting_beam(whole: DataFrame, sample: Callable[[int], DataFrame], limit: float, beam: int) -> int:
+    """The narrowest beam, of ``beam`` and each half as wide again, that suffices for the audited queries; 0 if none does.
+    ``sample``: queries, so many times the usual number.  One that fails with too few links to judge by is enlarged once."""
+    some, enlarged = materialise(sample(1)), False
     while 0 < beam <= WIDEST:
         tally = whole.groupBy("dim", "shard").cogroup(some.groupBy("dim", "shard")).applyInArrow(
             _audit(limit, beam), "links bigint, found bigint, near bigint, near_found bigint")
-        if suffices(*tally.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in tally.columns]).first()):
+        links, *found = tally.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in tally.columns]).first()
+        if suffices(links, *found):
             return beam
-        beam *= 2
+        if links < LINKS and not enlarged:
+            some, enlarged = materialise(sample(min(ENLARGED, -(-2 * LINKS // max(links, 1))))), True
+        else:
+            beam += max(1, beam // 2)
     return 0
 
 
@@ -189,7 +197,7 @@ def near_duplicate_components(vectors: DataFrame, least: float = 0.9, key: str =
     thousands of near copies are one node for each shard.  Every node is searched in every shard; beams widen until they reach past
     what can be linked.  Before, a sample of the nodes is compared with all nodes of all shards: the narrowest beam that finds
     ``RECALL`` of their links with other nodes, over all tasks together, serves the search.  A sample with fewer than ``LINKS`` links
-    is judged by its nearest other nodes, too; where no beam suffices, the search reads all nodes.  Balls that lie wholly
+    is judged by its nearest other nodes, too, and enlarged before beams widen for it; where no beam suffices, the search reads all nodes.  Balls that lie wholly
     within the angle count by their sizes; balls at its edge are compared member by member, in blocks.  Vectors may
     have any length: shards have so few rows that an index stays below ``SHARD_BYTES``.
     """
@@ -216,8 +224,10 @@ def near_duplicate_components(vectors: DataFrame, least: float = 0.9, key: str =
     queries = balls.join(good.select(F.col("row").alias("leader"), "v"), "leader").select(
         "dim", F.pmod(F.xxhash64("leader"), F.lit(groups)).cast("int").alias("turn"), "leader", "radius", "v", every)
     whole = built.filter("data is not null").select("dim", "shard", "data")
-    some = queries.filter(F.pmod(F.xxhash64(F.lit("audit"), "leader"), F.lit(max(1, nodes // AUDIT))) == 0)
-    beam = fitting_beam(whole, materialise(some), limit, beam)
+
+    def sample(times: int) -> DataFrame:
+        return queries.filter(F.pmod(F.xxhash64(F.lit("audit"), "leader"), F.lit(max(1, nodes // (AUDIT * times)))) == 0)
+    beam = fitting_beam(whole, sample, limit, beam)
     index = whole.select(
         "dim", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("turn"), "data", "shard")
     keys = ["dim", "shard", "turn"]

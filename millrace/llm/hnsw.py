@@ -11,6 +11,7 @@ LINKS = 16  # neighbours a new node chooses; the lowest level keeps twice as man
 BUILD_BEAM = 64
 BATCH = 256
 UPPER_BEAM = 4
+PICKS = 4  # of a beam's nodes are followed at once; with the links of a node below 255, for the marks
 CELLS = 16 << 20  # visited marks of one batch of queries
 
 
@@ -126,31 +127,45 @@ class Hnsw:
 
     def _layer(self, q: np.ndarray, entry: np.ndarray, beam: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         n, rows = len(q), np.arange(len(q))
-        seen = np.zeros((n, self.size + 1), dtype=bool)  # the last mark is for -1
-        seen[:, -1] = True
+        seen = np.zeros((n, self.size + 1), dtype=np.uint8)  # 0: not yet; the last mark is for -1
+        seen[:, -1] = 1
         ids = np.full((n, beam), -1, dtype=np.int64)
         sims = np.full((n, beam), -2.0, dtype=np.float32)
         width = min(beam, entry.shape[1])
         ids[:, :width] = entry[:, :width]
         sims[:, :width] = np.where(ids[:, :width] >= 0, np.einsum("nd,nkd->nk", q, self.v[ids[:, :width]]), -2.0)
-        seen[rows[:, None], ids[:, :width]] = True
-        done = ids < 0
-        while len(rows):
+        seen[rows[:, None], ids[:, :width]] = 1
+        done, picks = ids < 0, min(PICKS, beam)
+        while True:
             best = np.where(done[rows], -3.0, sims[rows])
-            pick = best.argmax(axis=1)
-            rows, pick = (m := best[np.arange(len(rows)), pick] > -3.0, rows[m], pick[m])[1:]
+            alive = best.max(axis=1) > -3.0
+            rows, best = rows[alive], best[alive]
             if not len(rows):
                 break
-            done[rows, pick] = True
-            near = self.next[k][ids[rows, pick]].astype(np.int64)
-            fresh = ~seen[rows[:, None], near]
-            seen[rows[:, None], near] = True
-            s = np.where(fresh, np.einsum("nd,nkd->nk", q[rows], self.v[near]), -2.0)
-            every, score = np.concatenate([ids[rows], near], axis=1), np.concatenate([sims[rows], s], axis=1)
-            flag = np.concatenate([done[rows], ~fresh], axis=1)
-            keep = np.argpartition(-score, beam - 1, axis=1)[:, :beam]
             line = np.arange(len(rows))[:, None]
-            ids[rows], sims[rows], done[rows] = every[line, keep], score[line, keep], flag[line, keep]
+            pick = np.argpartition(-best, picks - 1, axis=1)[:, :picks] if picks < beam else np.broadcast_to(np.arange(beam), best.shape)
+            done[rows[:, None], pick] = True
+            near = self.next[k][ids[rows[:, None], pick]]
+            near[best[line, pick] <= -3.0] = -1
+            near = near.reshape(len(rows), -1)
+            at, col = np.nonzero(seen[rows[:, None], near] == 0)
+            to, own = near[at, col], rows[at]
+            seen[own, to] = mark = (col + 1).astype(np.uint8)
+            once = seen[own, to] == mark  # a node that several picks lead to counts once
+            at, to, own = at[once], to[once], own[once]
+            s = np.einsum("fd,fd->f", q.take(own, axis=0), self.v.take(to, axis=0))
+            better = s > sims[rows].min(axis=1)[at]
+            at, to, s = at[better], to[better], s[better]
+            if not len(at):
+                continue
+            count = np.bincount(at, minlength=len(rows))
+            place = np.arange(len(at)) - (np.cumsum(count) - count)[at]
+            new, score = np.full((len(rows), count.max()), -1, dtype=np.int64), np.full((len(rows), count.max()), -2.0, dtype=np.float32)
+            new[at, place], score[at, place] = to, s
+            new, score = np.concatenate([ids[rows], new], axis=1), np.concatenate([sims[rows], score], axis=1)
+            flag = np.concatenate([done[rows], np.broadcast_to(False, (len(rows), count.max()))], axis=1)
+            keep = np.argpartition(-score, beam - 1, axis=1)[:, :beam]
+            ids[rows], sims[rows], done[rows] = new[line, keep], score[line, keep], flag[line, keep]
             done[rows] |= sims[rows] <= -2.0
         order = np.argsort(-sims, axis=1)
         ids, sims = ids[np.arange(n)[:, None], order], sims[np.arange(n)[:, None], order]

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -343,6 +344,35 @@ def test_embedding_components(spark, shard_rows):
         assert near_duplicate_components(spark.createDataFrame(bad, df.schema)).filter("kept").count() == len(bad)
 
 
+def test_few_links_enlarge_the_audit_before_the_beam(spark, monkeypatch):
+    def audit(limit, beam):
+        def tally(index, queries):
+            links = 20 * queries.num_rows  # all found; of the nearest others too few
+            return pa.table({"links": [links], "found": [links], "near": [100], "near_found": [50 if beam < 72 else 95]})
+        return tally
+    monkeypatch.setattr(embedding_dedup, "_audit", audit)
+    whole = spark.createDataFrame([(2, 0, None)], "dim int, shard int, data binary")
+
+    def sample(times):
+        asked.append(times)
+        return spark.range(min(times * 3, most)).selectExpr("2 AS dim", "0 AS shard")
+    asked, most = [], 99
+    assert embedding_dedup.fitting_beam(whole, sample, 0.4, 48) == 48 and asked == [1, 4]
+    asked, most = [], 4  # there are no more
+    assert embedding_dedup.fitting_beam(whole, sample, 0.4, 48) == 72 and asked == [1, 4]
+
+
+def test_search_finds_each_node_once():
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(600, 6))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    graph, _ = Hnsw.load(Hnsw(v).save())
+    for beam in (1, 3, 40):
+        found, sims = graph.search(v[:50], beam)
+        assert all(len(set(row)) == beam for row in found.tolist())
+        assert np.allclose(sims, np.take_along_axis(v[:50] @ v.T, found, axis=1), atol=1e-5) and (np.diff(sims, axis=1) <= 0).all()
+
+
 def test_pooled_recall_suffices():
     # links that a sample does not have prove nothing: the nearest nodes are judged
     assert suffices(1000, 980, 30, 0) and not suffices(1000, 979, 30, 30)
