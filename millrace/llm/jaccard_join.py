@@ -318,6 +318,30 @@ def _open_blocks(bucket: DataFrame, root: DataFrame, sketches: DataFrame) -> Dat
         (F.col("lefts") == 1) & (F.col("rights") == 1), F.pmod(F.xxhash64("sig"), F.lit(packs))).otherwise(alone).alias("g"))
 
 
+def _once(dense: DataFrame) -> DataFrame:
+    """Blocks (sig, l, r, c, root, is_left) that compare whole sets, so that classes that many signatures share meet once.
+
+    Classes that dense blocks connect are a group, compared in a grid of blocks of its own; ``sig`` is then its least class.  Where
+    the blocks have fewer pairs than such a grid (groups linked in chains), they stay as they are."""
+    dense = materialise(dense.select("sig", "l", "r", "c", "root", "is_left"))
+    edges = dense.select("sig", "c").distinct()
+    group = components(edges.join(edges.groupBy("sig").agg(F.min("c").alias("b")), "sig").select(F.col("c").alias("a"), "b"))
+    member = materialise(dense.select("c", "root").distinct().join(group.select(F.col("node").alias("c"), F.col("root").alias("g")), "c"))
+    work = materialise(dense.groupBy("sig", "l", "r").agg(
+        F.min("c").alias("c"), F.count_if("is_left").alias("m"), F.count_if(~F.col("is_left")).alias("n")).join(member.select("c", "g"), "c"))
+    size = member.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    grid = materialise(work.groupBy("g").agg(F.sum(F.col("m") * F.col("n")).alias("pairs")).join(size, "g").filter(
+        "pairs >= n * n").select("g", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("side")))
+    own = member.join(grid, "g").withColumn("at", F.pmod(F.xxhash64("c"), F.col("side")).cast("int"))
+    left = own.select(F.col("g").alias("sig"), F.col("at").alias("l"), F.explode(F.sequence(F.col("at"), F.col("side") - F.lit(1))).alias("r"),
+                      "c", "root", F.lit(True).alias("is_left"))
+    right = own.select(F.col("g").alias("sig"), F.explode(F.sequence(F.lit(0), F.col("at"))).alias("l"), F.col("at").alias("r"),
+                       "c", "root", F.lit(False).alias("is_left"))
+    rest = dense.join(work.join(grid, "g", "left_anti").select("sig", "l", "r"), ["sig", "l", "r"], "left_semi")
+    flag = [F.lit(x).alias("is_grid") for x in (True, False)]
+    return left.unionByName(right).select("*", flag[0]).unionByName(rest.select("*", flag[1]))
+
+
 def _sketched(percent: int) -> Callable[[pa.Table], pa.Table]:
     """Task function: of each block the pairs (a, b) of different components that sketches leave; a block with many is
     named instead (sig, l, r)."""
@@ -403,7 +427,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, key:
     n near copies costs n tests.  Where the others are then in several components, what is outside of the largest is
     compared with the whole bucket, in blocks: no pair of different components that shares a
     signature stays untested.  Before sets move, sketches of exact counts (``sketch``) rule out pairs whose overlap can't be enough;
-    blocks where many pairs are left compare whole sets.  Shingles are compared by 64-bit hashes.  A very long text is one set,
+    blocks where many pairs are left compare whole sets, once for all signatures that share them.  Shingles are compared by 64-bit hashes.  A very long text is one set,
     worked on whole by one task, in memory that grows with its length.
     """
     with short_batches(docs.sparkSession):
@@ -446,8 +470,9 @@ def _components(docs: DataFrame, width: int, percent: int, key: str, text: str)
     more = _similar(pairs, sets(pairs), percent)
     dense = blocks.join(open_.filter("sig is not null").select("sig", "l", "r"), ["sig", "l", "r"], "left_semi")
     if not dense.isEmpty():
+        dense = materialise(_once(dense))
         own = sets(dense.select(F.col("c").alias("a"), F.col("c").alias("b")))
-        more = more.union(dense.join(own, "c").groupBy("sig", "l", "r").applyInArrow(_compare(percent), "a bigint, b bigint"))
+        more = more.union(dense.join(own, "c").groupBy("is_grid", "sig", "l", "r").applyInArrow(_compare(percent), "a bigint, b bigint"))
     more = materialise(more)
     if not more.isEmpty():
         root = components(links.union(more))
