@@ -17,7 +17,7 @@ from .ngram_trie import STEP, WORD_BITS, Level, PairTrie
 from .text import Texts, give_back, mix64, parts, ranges, released, short_batches
 
 SHARD_BYTES = 16 << 20  # text whose pairs one shard scores, on average
-BLOCK_BYTES = 6 << 20  # text whose pairs are counted together before they move
+BLOCK_BYTES = 9 << 20  # text whose pairs are counted together before they move
 BLOCK_DOCS = 60_000
 PACKED_ROWS = 32  # rows that go to a Python worker at once; packed rows have some 100 KB
 assert BLOCK_DOCS < 1 << 16  # a document's number in its block has 16 bits
@@ -25,6 +25,7 @@ DISCOUNT = 0.9  # taken from the count of each pair that was seen
 PAIR_SHARE = 0.5  # of the pair model; the rest is the single word's probability
 END = 0x5DEECE66D1234567  # hash of the end token
 WORD = np.uint64((1 << WORD_BITS) - 1)
+CELLS = 1 << 16  # of tokens by hash: only those of full cells can be common
 
 
 class Tokens:
@@ -72,19 +73,23 @@ def sort_key(ranks: list[np.ndarray], sizes: list[int]) -> np.ndarray:
     return key
 
 
-def narrow(values: np.ndarray, kinds: tuple[type, ...]) -> bytes:
-    """Integers in the first of these types that holds all of them."""
-    least, most = (int(values.min()), int(values.max())) if len(values) else (0, 0)
-    kind = next(k for k in kinds if np.iinfo(k).min <= least and most <= np.iinfo(k).max)
-    return values.astype(kind).tobytes()
+def squeeze(values: np.ndarray, rising: bool = False) -> bytes:
+    """Packs an array for a shuffle: compressed, all first bytes of its numbers, then all second ones, and so on.  ``rising``
+    (unsigned integers in order): the differences in place of the numbers."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def widen(packed: bytes, n: int, kinds: tuple[type, ...]) -> np.ndarray:
-    """``n`` integers that ``narrow`` packed."""
-    return np.frombuffer(packed, dtype=next((k for k in kinds if np.dtype(k).itemsize * n == len(packed)), kinds[0]))
-
-
-INDEX, SIGNED, COUNT = (np.uint16, np.uint32, np.int64), (np.int32, np.int64), (np.uint8, np.uint16, np.int64)
+def unsqueeze(packed: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    """The array of this kind that ``squeeze`` packed."""
+    size = int.from_bytes(packed[:8], "little")
+    if not size:
+        return np.zeros(0, dtype=kind)
+    planes = np.frombuffer(pa.decompress(packed[8:], size, codec="zstd", asbytes=True), dtype=np.uint8)
+    values = np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if rising else values
 
 
 def context_key(before: np.ndarray, us: list[np.ndarray]) -> np.ndarray:
@@ -157,10 +162,12 @@ def hot_words(source: DataFrame, shards: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for held in blocks(batches):
-            h, n = np.unique(tokens.of(held["_text"])[0], return_counts=True)
-            many = n >= n.sum() / (8 * shards)
+            token = tokens.of(held["_text"])[0]
+            cell, total = (token & np.uint64(CELLS - 1)).astype(np.int64), len(token)
+            h, n = np.unique(token[(np.bincount(cell, minlength=CELLS) >= total / (8 * shards))[cell]], return_counts=True)
+            many = n >= total / (8 * shards)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(h[many], np.uint64(0)).view(np.int64)),
-                                              pa.array(np.append(n[many], n.sum()).astype(np.int64))], names=["h", "n"])
+                                              pa.array(np.append(n[many], total).astype(np.int64))], names=["h", "n"])
     sums = materialise(source.mapInArrow(released(count), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
     total = sums.filter("h = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = sums.filter((F.col("h") != 0) & (F.col("n") * F.lit(4 * shards) >= F.lit(total))).select("h").collect()
@@ -194,36 +201,31 @@ def count_words(source: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
             to = to[ranges((np.cumsum(k) - k)[order], k[order])]
             word, n, group, k = word[order], n[order], group[order], k[order]
             cut, upto = np.searchsorted(group, np.arange(shards + 1)), np.concatenate([[0], np.cumsum(k)])
-            rows = [(g, word[a:z].tobytes(), n[a:z].astype(np.uint32).tobytes(), k[a:z].astype(np.uint32).tobytes(),
-                     narrow(to[upto[a]:upto[z]], INDEX))
+            rows = [(g, squeeze(word[a:z], True), squeeze(n[a:z].astype(np.uint32)), squeeze(k[a:z].astype(np.uint32)),
+                     squeeze(to[upto[a]:upto[z]].astype(np.uint32)))
                     for g, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=fields)
 
     def gather(rows: pa.Table) -> pa.Table:
-        word, n, k = (np.concatenate([np.frombuffer(x, dtype=t) for x in rows.column(c).to_pylist()])
-                      for c, t in (("w", np.uint64), ("n", np.uint32), ("k", np.uint32)))
-        to = np.concatenate([widen(x, int(np.frombuffer(y, dtype=np.uint32).sum()), INDEX)
-                             for x, y in zip(rows.column("to").to_pylist(), rows.column("k").to_pylist(), strict=True)])
-        owner = np.repeat(word, k)
+        word, n, k, to = (np.concatenate([unsqueeze(x, t, c == "w") for x in rows.column(c).to_pylist()])
+                          for c, t in (("w", np.uint64), ("n", np.uint32), ("k", np.uint32), ("to", np.uint32)))
         distinct, row = np.unique(word, return_inverse=True)
         total = _whole_counts(row, n)
-        _, once = np.unique(mix64(owner + to.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-        owner, to = owner[once], to[once].astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        owner, to = owner[order], to[order]
+        pairs = np.sort(to.astype(np.int64) * len(distinct) + np.repeat(row, k))
+        pairs = pairs[_starts(pairs)]
+        to, at = pairs // len(distinct), pairs % len(distinct)
         out = [(-1, np.array([len(distinct)]).tobytes(), np.array([int(total.sum())]).tobytes())]
-        at = np.searchsorted(distinct, owner)
         cut = np.searchsorted(to, np.arange(shards + len(hot) + 1))
         for t in range(shards):
             if cut[t] < cut[t + 1]:
                 own = slice(cut[t], cut[t + 1])
-                out.append((t, (owner[own] & WORD).tobytes(), total[at[own]].tobytes()))
+                out.append((t, squeeze(distinct[at[own]] & WORD), squeeze(total[at[own]])))
         after = np.diff(cut[shards:])
         mine = np.searchsorted(distinct, hot)
         mine = np.where((mine < len(distinct)) & (distinct[np.minimum(mine, len(distinct) - 1)] == hot), total[np.minimum(mine, len(distinct) - 1)], 0)
         out.append((-2, np.asarray(mine, dtype=np.int64).tobytes(), after.astype(np.int64).tobytes()))
-        del owner, to, distinct, total, at, row, word, n, k
+        del to, distinct, total, at, row, word, n, k, pairs
         give_back()
         cols = list(zip(*out, strict=True))
         return pa.table({"part": pa.array(cols[0], pa.int32()), "w": pa.array(cols[1], pa.binary()), "n": pa.array(cols[2], pa.binary())})
@@ -234,7 +236,7 @@ def count_words(source: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
 def count_contexts(source: DataFrame, hot: np.ndarray, shards: int, order: int) -> DataFrame:
     """Counts and distinct successors of longer contexts that end in a hot word, sent on to the shards that have one of
     their n-grams, seen or asked for.  Rows: ``part`` (shard) with keys (``w``), counts (``n``) and successors (``t``)."""
-    fields = ["part", "key", "kn", "v", "lo", "hi", "n"]
+    fields = ["part", "key", "kn", "v", "w", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -263,15 +265,13 @@ def count_contexts(source: DataFrame, hot: np.ndarray, shards: int, order: int)
                 for p in range(shards):
                     a, z, i, j = upto[p], upto[p + 1], by[p], by[p + 1]
                     if a < z:
-                        rows.append((p, k[own[i:j]].tobytes(), kn[i:j].tobytes(), v[own[i:j]].tobytes(), w[a:z].astype(np.uint32).tobytes(),
-                                     (w[a:z] >> np.uint64(32)).astype(np.uint8).tobytes(), c[a:z].tobytes()))
+                        rows.append((p, squeeze(k[own[i:j]], True), squeeze(kn[i:j]), squeeze(v[own[i:j]]), squeeze(w[a:z]), squeeze(c[a:z])))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=fields)
 
     def gather(rows: pa.Table) -> pa.Table:
-        key, kn, v, lo, hi, n = (np.concatenate([np.frombuffer(x, dtype=t) for x in rows.column(c).to_pylist()]) for c, t in (
-            ("key", np.uint64), ("kn", np.uint32), ("v", np.uint32), ("lo", np.uint32), ("hi", np.uint8), ("n", np.uint32)))
-        w = lo.astype(np.uint64) | (hi.astype(np.uint64) << np.uint64(32))
+        key, kn, v, w, n = (np.concatenate([unsqueeze(x, t, c == "key") for x in rows.column(c).to_pylist()]) for c, t in (
+            ("key", np.uint64), ("kn", np.uint32), ("v", np.uint32), ("w", np.uint64), ("n", np.uint32)))
         key, v = np.repeat(key, kn), np.repeat(v, kn)
         o = np.lexsort((w, key))
         key, w, v, n = key[o], w[o], v[o], n[o].astype(np.int64)
@@ -285,11 +285,11 @@ def count_contexts(source: DataFrame, hot: np.ndarray, shards: int, order: int)
         pairs = np.unique(to[keep] * len(first) + owner[keep])
         to, owner = pairs // len(first), pairs % len(first)
         cut = np.searchsorted(to, np.arange(shards + 1))
-        out = [(p, key[first[i]].tobytes(), total[i].tobytes(), after[i].tobytes())
+        out = [(p, squeeze(key[first[i]], True), squeeze(total[i]), squeeze(after[i]))
                for p in range(shards) if len(i := owner[cut[p]:cut[p + 1]])]
         cols = list(zip(*out, strict=True)) or [()] * 4
         return pa.table({"part": pa.array(cols[0], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip("wnt", cols[1:], strict=True)}})
-    return source.mapInArrow(released(count), "part int, key binary, kn binary, v binary, lo binary, hi binary, n binary") \
+    return source.mapInArrow(released(count), "part int, key binary, kn binary, v binary, w binary, n binary") \
         .groupBy("part").applyInArrow(gather, "part int, w binary, n binary, t binary")
 
 
@@ -311,15 +311,15 @@ def _totals(answers: DataFrame, code: int, size: int) -> tuple[np.ndarray, np.nd
     return a, b
 
 
-PAIRS = ("h", "hn", "vlo", "vhi", "w", "wn", "u", "m", "d", "train")
+PAIRS = ("h", "hn", "v", "w", "wn", "u", "m", "d", "train")
 
 
 def pair_blocks(source: DataFrame, hot: np.ndarray, shards: int, order: int) -> DataFrame:
     """All n-grams of all documents, packed by block and shard, and for each block its documents.
 
-    An n-gram of a block moves once, with the documents it is in: word before (8 bytes, once for its pairs), word (once
+    An n-gram of a block moves once, with the documents it is in: word before (once for its pairs), word (once
     for the pair) and older words as numbers in a list of the row's words (5 bytes a word; numbers of 2, or 4 past 65,536
-    words), number of occurrences (1), and the document of each (2)."""
+    words), number of occurrences (1), and the document of each (2); all of them squeezed."""
     fields, kind = ["part", "block", *PAIRS, "keys"], source.schema["_key"].dataType
     keys = pa.list_(to_arrow_type(kind))
 
@@ -366,16 +366,16 @@ def pair_blocks(source: DataFrame, hot: np.ndarray, shards: int, order: int) ->
                     number[mine] = np.arange(len(mine))
                     v = vocabulary[mine]
                     kind = np.uint16 if len(mine) <= 1 << 16 else np.uint32
-                    rows.append((p, block, h[a:z].tobytes(), hn[a:z].tobytes(), v.astype(np.uint32).tobytes(), (v >> np.uint64(32)).astype(np.uint8).tobytes(),
-                                 number[w[b:y]].astype(kind).tobytes(), wn[b:y].tobytes(), number[old[:, e:f]].astype(kind).tobytes(), m[e:f].tobytes(),
-                                 doc[c:x].astype(np.uint16).tobytes(), bits, None))
+                    rows.append((p, block, squeeze(h[a:z], True), squeeze(hn[a:z]), squeeze(v, True),
+                                 squeeze(number[w[b:y]].astype(kind)), squeeze(wn[b:y]), squeeze(number[old[:, e:f]].astype(kind).ravel()), squeeze(m[e:f]),
+                                 squeeze(doc[c:x].astype(np.uint16)), bits, None))
             # the documents of the block: keys and numbers of tokens
             n = np.bincount(doc, minlength=len(train)).astype(np.int64)
-            rows.append((shards + block % shards, block, *[None] * 8, n.tobytes(), bits, held["_key"]))
+            rows.append((shards + block % shards, block, *[None] * 7, n.tobytes(), bits, held["_key"]))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[2:12]),
-                 pa.array(cols[12], keys)], names=fields)
+                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[2:11]),
+                 pa.array(cols[11], keys)], names=fields)
     return source.mapInArrow(released(pack), f"part int, block bigint, {', '.join(f'{c} binary' for c in PAIRS)}, keys array<{kind.simpleString()}>")
 
 
@@ -396,14 +396,13 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
         def entries(i: int) -> tuple[np.ndarray, ...]:
             """Contexts of a row with their pairs, words of pairs with their n-grams, older words, occurrences, documents, training occurrences."""
             r = dict(zip(PAIRS, (c[i].as_py() for c in cols), strict=True))
-            h, hn, wn = np.frombuffer(r["h"], dtype=np.uint64), np.frombuffer(r["hn"], dtype=np.uint32), np.frombuffer(r["wn"], dtype=np.uint32)
-            v = np.frombuffer(r["vlo"], dtype=np.uint32).astype(np.uint64) | (np.frombuffer(r["vhi"], dtype=np.uint8).astype(np.uint64) << np.uint64(32))
+            h, hn, wn, v = unsqueeze(r["h"], np.uint64, True), unsqueeze(r["hn"], np.uint32), unsqueeze(r["wn"], np.uint32), unsqueeze(r["v"], np.uint64, True)
             kind = np.uint16 if len(v) <= 1 << 16 else np.uint32
-            m, d = np.frombuffer(r["m"], dtype=np.uint8), np.frombuffer(r["d"], dtype=np.uint16)
-            old = v[np.frombuffer(r["u"], dtype=kind)].reshape(order - 2, len(m))
+            m, d = unsqueeze(r["m"], np.uint8), unsqueeze(r["d"], np.uint16)
+            old = v[unsqueeze(r["u"], kind)].reshape(order - 2, len(m))
             learn = np.unpackbits(np.frombuffer(r["train"], dtype=np.uint8))[d]
             c = np.add.reduceat(learn, np.cumsum(m, dtype=np.int64) - m, dtype=np.uint8)  # at most 255 occurrences in a row
-            return h, hn, v[np.frombuffer(r["w"], dtype=kind)], wn, old, m, d, c
+            return h, hn, v[unsqueeze(r["w"], kind)], wn, old, m, d, c
 
         # rows stay packed; what was not learned goes at once, and rows are unpacked again when they are scored
         kept, far = [], []
@@ -446,7 +445,7 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
         del new, above, pair, first
         answers = list(zip(*(right.column(x).to_pylist() for x in ("w", "n", "t")), strict=True))
         def numbers(i: int, kind: type, longer: bool) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x[i], dtype=kind) for x in answers if (x[2] is not None) == longer] or [np.zeros(0, dtype=kind)])
+            return np.concatenate([unsqueeze(x[i], kind, longer and not i) for x in answers if (x[2] is not None) == longer] or [np.zeros(0, dtype=kind)])
         known, single = numbers(0, np.uint64, False), numbers(1, np.int64, False)
         by = np.argsort(known)
         known, single = known[by], single[by]
@@ -525,7 +524,7 @@ def _shard(discount: float, share: float, smoothed: float, hot: np.ndarray, hot_
                 here = np.bincount(d, minlength=size) > 0
                 docs, bits = np.flatnonzero(here), np.packbits(here).tobytes()
                 listed = docs.astype(np.uint16).tobytes()
-                out.append((block, part, narrow(weight[here], SIGNED), base[here].tobytes(), narrow(known[here], COUNT),
+                out.append((block, part, squeeze(weight[here].astype(np.int64)), squeeze(base[here]), squeeze(known[here].astype(np.int64)),
                             b"b" + bits if len(bits) < len(listed) else b"l" + listed, None))
             del trie, longer
         give_back()
@@ -595,9 +594,9 @@ def _scored(docs: DataFrame, train: Column, key: str, text: str, discount: float
         for i in map(int, order[1:]):
             d = cols["d"][i].as_py()  # documents that have words in the shard: a bit each, or a list
             d = np.flatnonzero(np.unpackbits(np.frombuffer(d[1:], dtype=np.uint8))) if d[:1] == b"b" else np.frombuffer(d[1:], dtype=np.uint16)
-            weight[d] += widen(cols["a"][i].as_py(), len(d), SIGNED)
-            single[d] += np.frombuffer(cols["b"][i].as_py(), dtype=np.float64)
-            known[d] += widen(cols["n"][i].as_py(), len(d), COUNT).astype(np.int64)
+            weight[d] += unsqueeze(cols["a"][i].as_py(), np.int64)
+            single[d] += unsqueeze(cols["b"][i].as_py(), np.float64)
+            known[d] += unsqueeze(cols["n"][i].as_py(), np.int64)
         weight /= STEP
         single -= total * base
         return pa.table([keys, pa.array(~learned), pa.array(total), pa.array(known), pa.array(np.full(size, tokens)),

@@ -426,3 +426,26 @@ def test_signatures_move_short(spark):
     assert max(r["sig"] for r in found) >= 1 << SIG_BITS  # the bits of the group count
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
     assert {r["component_id"] for r in got.collect()} == {0}
+
+
+def test_classes_of_many_dense_blocks_meet_once(spark):
+    """Classes that many signatures share are one grid of blocks; a chain of signatures keeps its own blocks."""
+    from millrace.llm.jaccard_join import _once
+    dense = [(s, 0, 0, c, c, left) for s in range(100, 110) for c in range(6) for left in (True, False)]
+    chain = [(s, 0, 0, c, c, left) for s in range(200, 230) for c in (s, s + 1) for left in (True, False) if not (left and c > s)]
+    df = spark.createDataFrame(dense + chain, "sig long, l int, r int, c long, root long, is_left boolean")
+    got = _once(df).collect()
+    assert sorted((r["sig"], r["l"], r["r"], r["c"], r["is_left"]) for r in got if r["is_grid"]) == sorted((0, 0, 0, c, x) for c in range(6) for x in (True, False))
+    assert sorted((r["sig"], r["l"], r["r"], r["c"], r["root"], r["is_left"]) for r in got if not r["is_grid"]) == sorted(chain)
+
+
+def test_arrays_move_squeezed():
+    from millrace.llm.lm_scoring import squeeze, unsqueeze
+    rng = np.random.default_rng(2)
+    for x in (np.sort(rng.integers(0, 1 << 40, 5000)).astype(np.uint64), np.array([0, 1 << 63, (1 << 64) - 1], dtype=np.uint64), np.zeros(0, dtype=np.uint64)):
+        assert (unsqueeze(squeeze(x, True), np.uint64, True) == x).all() and (unsqueeze(squeeze(x), np.uint64) == x).all()
+    for x in (rng.integers(-20000, 20000, 5000), rng.normal(size=700), rng.integers(0, 900, 5000).astype(np.uint16)):
+        back = unsqueeze(squeeze(x), x.dtype.type)
+        assert back.dtype == x.dtype and (back == x).all()
+    words = np.sort(rng.integers(0, 1 << 40, 5000)).astype(np.uint64)
+    assert len(squeeze(words, True)) < 4.2 * len(words) and len(squeeze(rng.integers(-20000, 20000, 5000))) < 2.5 * 5000
