@@ -22,6 +22,7 @@ class EliasFano:
         kind = np.uint32 if self.n < 1 << 32 else np.int64
         self.ends = np.append(gaps - np.arange(len(gaps)), self.n).astype(kind)
         self.upto = self.ends[:-1]  # elements whose high part is at most k
+        self._high: np.ndarray | None = None
 
     @staticmethod
     def build(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,8 +51,9 @@ class EliasFano:
         return v & np.uint64((1 << self.bits) - 1)
 
     def values(self, i: np.ndarray) -> np.ndarray:
-        high = np.searchsorted(self.upto, i.astype(self.upto.dtype), side="right").astype(np.uint64)
-        return (high << np.uint64(self.bits)) | self._low(i)
+        if self._high is None:  # high part of each element
+            self._high = np.repeat(np.arange(len(self.ends), dtype=self.ends.dtype), np.diff(self.ends, prepend=self.ends.dtype.type(0)))
+        return (self._high[i].astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
 
     def successor(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first element that is not less than x, between ``first`` and ``last``, and whether it is x."""

@@ -449,3 +449,58 @@ def test_arrays_move_squeezed():
         assert back.dtype == x.dtype and (back == x).all()
     words = np.sort(rng.integers(0, 1 << 40, 5000)).astype(np.uint64)
     assert len(squeeze(words, True)) < 4.6 * len(words) and len(squeeze(rng.integers(-20000, 20000, 5000))) < 3.5 * 5000
+
+
+@pytest.mark.parametrize("common", [0, 5, 60])  # words without a number, and some with one
+def test_lm_scores_whatever_words_have_numbers(docs, common):
+    train = F.coalesce(F.col("doc_id") % 4 != 1, F.lit(False))
+    def scores(**how):
+        return sorted(score_documents(docs, train, order=3, **how).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]))
+    for one, other in zip(scores(), scores(shard_bytes=2000, common=common), strict=True):
+        assert one[:5] == other[:5] and math.isclose(one["base_score"], other["base_score"], rel_tol=1e-9)
+        assert abs(one["score"] - other["score"]) <= one["n_tokens"] / 1000
+
+
+def test_lm_blocks_do_not_grow_with_shards(spark):
+    from millrace.llm.lm_scoring import _source, frequent_words, pair_blocks
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghilmnorst") for _ in range(7)) for _ in range(2000)]
+    weights = [1 / (i + 1) for i in range(2000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, weights, k=300))) for i in range(400)], "doc_id long, text string").coalesce(1)
+    source, size = _source(docs, "doc_id", "text", F.lit(True)), {}
+    for shards in (4, 64):
+        hot, common = frequent_words(source, shards, 1 << 17)
+        assert len(common) > 1000 and hot.size <= 4 * shards
+        rows = pair_blocks(source, hot, common, np.zeros(len(common), dtype=np.int64), shards, 3).filter(f"part < {shards}").collect()
+        size[shards] = sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray)))
+    assert size[64] < 1.3 * size[4], size
+
+
+def test_hashes_place_by_place_are_those_by_windows():
+    from millrace.llm.text import RUN, SHORT, Texts
+    texts, rng = Texts(), np.random.default_rng(3)
+    buf = rng.integers(0, 256, 100_000).astype(np.uint8)
+    for n, longest in ((0, 2), (RUN + 5, 9), (900, SHORT + 4), (60, 700)):
+        lens = rng.integers(1, longest, n)
+        starts = np.sort(rng.integers(0, len(buf) - longest, n))
+        assert (texts.hashes(buf, starts, starts + lens) == texts._long(buf, starts, starts + lens)).all()
+
+
+def test_rows_in_order_of_keys_that_fill_their_bits():
+    from millrace.llm.lm_scoring import _order
+    rng = np.random.default_rng(4)
+    for n, keys in ((0, 2), (5000, 40), (5000, 1 << 63)):
+        key, *others = rng.integers(0, keys, n).astype(np.uint64), *(rng.integers(0, 1 << 40, (2, n)) % (1 << 40 if keys > 40 else 3)).astype(np.uint64)
+        by, plain = _order(key, others), np.lexsort((others[1], others[0], key))
+        assert all((x[by] == x[plain]).all() for x in (key, *others)) and (np.sort(by) == np.arange(n)).all()
+
+
+@pytest.mark.parametrize("common", [0, 1 << 17])
+def test_lm_words_that_clash_have_the_count_of_the_most_frequent(spark, common):
+    # the two words have the same 40 bits of their hash
+    def scores(seldom):
+        texts = [f"x{i % 3} erndouon" for i in range(30)] + [f"y {seldom}"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return {r["doc_id"]: r["score"] for r in score_documents(docs, F.lit(True), order=3, common=common).collect() if r["doc_id"] < 30}
+    one, other = scores("ll\u00f1osdoie"), scores("other")
+    assert one.keys() == other.keys() and all(math.isclose(one[i], other[i], abs_tol=1e-9) for i in one)
