@@ -12,7 +12,8 @@ BUILD_BEAM = 64
 BATCH = 256
 UPPER_BEAM = 4
 PICKS = 4  # of a beam's nodes are followed at once; with the links of a node below 255, for the marks
-CELLS = 16 << 20  # visited marks of one batch of queries
+CELLS = 16 << 20  # visited marks of one batch of queries, or bytes of its beams
+BEAM_BYTES = 40  # for each node of a query's beam
 
 
 class Hnsw:
@@ -20,7 +21,7 @@ class Hnsw:
     nearest node's ball in place of becoming a node."""
 
     def __init__(self, vectors: np.ndarray, absorb: float = 2.0) -> None:
-        self.all = vectors.astype(np.float32)
+        self.all = vectors.astype(np.float32, copy=False)
         n = len(vectors)
         self.leader = np.full(n, -1, dtype=np.int64)  # node (place in ``all``) of each vector
         self.node = np.zeros(0, dtype=np.int64)  # place in ``all`` of each node
@@ -29,7 +30,10 @@ class Hnsw:
         self.v = np.zeros((n, vectors.shape[1]), dtype=np.float32)
         self.size, tops = 0, int(level.max()) + 1 if n else 1
         self.level = np.zeros(n, dtype=np.int64)
-        self.next = [np.full((n, LINKS * (2 if k == 0 else 1)), -1, dtype=np.int32) for k in range(tops)]
+        # the lowest level has a row for each node; the others have one for each of theirs, at its place
+        self.next = [np.full((int((level >= k).sum()), LINKS * (2 if k == 0 else 1)), -1, dtype=np.int32) for k in range(tops)]
+        self.place = [np.full(n if k else 0, -1, dtype=np.int32) for k in range(tops)]
+        self.count = [0] * tops
         self.near = [np.full(a.shape, -2.0, dtype=np.float32) for a in self.next]
         self.into = np.zeros(n, dtype=np.int64)  # links of the lowest level that lead to a node
         nodes: list[int] = []
@@ -39,8 +43,9 @@ class Hnsw:
         self._trim()
 
     def _trim(self) -> None:
+        del self.all, self.near
         self.v = self.v[:self.size]
-        self.next = [a[:self.size] for a in self.next]
+        self.next = [a[:max(1, c)] for a, c in zip(self.next, self.count)]
 
     def _insert(self, batch: np.ndarray, level: np.ndarray, absorb: float, nodes: list[int]) -> None:
         x = self.all[batch]
@@ -62,6 +67,10 @@ class Hnsw:
             self.leader[batch[i]] = batch[i]
             self.v[self.size], self.level[self.size] = x[i], level[batch[i]]
             nodes.append(int(batch[i]))
+            for k in range(level[batch[i]] + 1):
+                if k:
+                    self.place[k][self.size] = self.count[k]
+                self.count[k] += 1
             self.size += 1
         new = np.arange(first, self.size)
         if not len(new):
@@ -86,7 +95,8 @@ class Hnsw:
                         self._link(k, int(ids[row, c]), int(node), float(s))
 
     def _link(self, k: int, a: int, b: int, s: float) -> None:
-        row, near = self.next[k][a], self.near[k][a]
+        i = self.place[k][a] if k else a
+        row, near = self.next[k][i], self.near[k][i]
         if (row == b).any():
             return
         at = int(near.argmin())
@@ -109,7 +119,7 @@ class Hnsw:
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Nodes and cosines of the ``beam`` best found for each query, best first (-1 and -2: none)."""
         ids, sims = [], []
-        step = max(8, min(512, CELLS // max(self.size, 1)))
+        step = max(8, min(512, CELLS // max(self.size, BEAM_BYTES * beam, 1)))
         for i in range(0, len(queries), step):
             q = queries[i:i + step].astype(np.float32)
             at = np.zeros((len(q), 1), dtype=np.int64)
@@ -145,8 +155,11 @@ class Hnsw:
             line = np.arange(len(rows))[:, None]
             pick = np.argpartition(-best, picks - 1, axis=1)[:, :picks] if picks < beam else np.broadcast_to(np.arange(beam), best.shape)
             done[rows[:, None], pick] = True
-            near = self.next[k][ids[rows[:, None], pick]]
-            near[best[line, pick] <= -3.0] = -1
+            here = ids[rows[:, None], pick]
+            if k:
+                here = self.place[k][here]
+            near = self.next[k][here]
+            near[(best[line, pick] <= -3.0) | (here < 0)] = -1
             near = near.reshape(len(rows), -1)
             at, col = np.nonzero(seen[rows[:, None], near] == 0)
             to, own = near[at, col], rows[at]
@@ -171,16 +184,25 @@ class Hnsw:
         ids, sims = ids[np.arange(n)[:, None], order], sims[np.arange(n)[:, None], order]
         return np.where(sims > -2.0, ids, -1), sims
 
-    def save(self, **more: np.ndarray) -> bytes:
+    def save(self, vectors: bool = True, **more: np.ndarray) -> bytes:
+        """Without its vectors a graph has some 140 bytes for each node, whatever their length."""
         out = io.BytesIO()
-        np.savez(out, v=self.v, level=self.level[:self.size], node=self.node, **{f"next{k}": a for k, a in enumerate(self.next)}, **more)
+        if vectors:
+            more["v"] = self.v
+        np.savez(out, level=self.level[:self.size].astype(np.uint8), node=self.node, **{f"next{k}": a for k, a in enumerate(self.next)}, **more)
         return out.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> tuple[Hnsw, dict[str, np.ndarray]]:
+    def load(cls, data: bytes, v: np.ndarray | None = None) -> tuple[Hnsw, dict[str, np.ndarray]]:
+        """``v``: unit vectors of the nodes, where they were not saved."""
         parts = dict(np.load(io.BytesIO(data)))
         out = cls.__new__(cls)
-        out.v, out.level, out.node = parts.pop("v"), parts.pop("level"), parts.pop("node")
+        out.v = parts.pop("v") if v is None else v
+        out.level, out.node = parts.pop("level"), parts.pop("node")
         out.size = len(out.v)
         out.next = [parts.pop(f"next{k}") for k in range(sum(n.startswith("next") for n in parts))]
+        out.place = [np.full(out.size if k else 0, -1, dtype=np.int32) for k in range(len(out.next))]
+        for k in range(1, len(out.next)):
+            own = np.flatnonzero(out.level >= k)
+            out.place[k][own] = np.arange(len(own))
         return out, parts
